@@ -12,6 +12,7 @@ itself; an empty table gives an empty result; columns besides the named two are
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -27,11 +28,14 @@ from studyloom.llm.shared import col, written
 #: Tokens in a sequence, and the id that ends a document.
 MAX_TOKENS, END_ID = 2048, 0
 #: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 300_000
-#: Pieces in one group of the ranking, about.
-RANK_ROWS = 100_000
-
-_SUFFIX = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*()]*)$")
+CACHE_WORDS = 500_000
+#: Pieces for each salt of the ranking, about; a length with a third of all pieces has a third of that in a group.
+RANK_ROWS = 10_000
+
+#: Marks that may follow a word's letters and make one piece of their own.
+_MARKS = ".,!?;:#$%&*()"
+_WIDE = re.compile("[^\x00-\xff]")
+_LOWER = {k: k + 32 for k in (*range(65, 91), *range(192, 215), *range(216, 223))}
 _SPECIAL = "<|"
 
 
@@ -61,49 +65,56 @@ class WordTokenizer:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, missing: set[str]) -> None:
+        """Remembers words; letters of Latin-1 are in lower case already, as all of the text then is."""
         if len(self.words) + len(missing) > self.limit:
             self.words.clear()
         if len(self.parts) > self.limit:
             self.parts.clear()
-        split, new = {}, {}
+        words, parts, split = self.words, self.parts, []
         for w in missing:
-            m = _SUFFIX.match(w)
-            if m is None:
-                self.words[w] = self.direct(w) if w else b""
+            letters = w.rstrip(_MARKS)
+            if letters.isalpha() and not _WIDE.search(letters):
+                split.append((w, letters))
             else:
-                split[w] = (m[1].lower(), m[2])
-                if split[w][0] not in self.parts:
-                    new[split[w][0]] = None
-        todo = list(new)
+                words[w] = self.direct(w) if w else b""
+        todo = list({x for _, x in split if x not in parts})
         for i in range(0, len(todo), 2000):
             some = todo[i : i + 2000]
-            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(some):
-                self.parts.update((w, self.direct(w)) for w in some)
+                parts.update((w, self.direct(w)) for w in some)
                 continue
             raw, at = ids.tobytes(), 0
-            for w, end in zip(some, cut.tolist(), strict=True):
-                self.parts[w] = raw[4 * at : 4 * end]
+            for w, end in zip(some, (4 * cut).tolist(), strict=True):
+                parts[w] = raw[at:end]
                 at = end
-        for w, (letters, marks) in split.items():
-            if marks and marks not in self.parts:
-                self.parts[marks] = self.direct(marks)
-            self.words[w] = self.parts[letters] + (self.parts[marks] if marks else b"")
+        for w, letters in split:
+            marks = w[len(letters) :]
+            if marks and marks not in parts:
+                parts[marks] = self.direct(marks)
+            words[w] = parts[letters] + parts[marks] if marks else parts[letters]
 
     def __call__(self, text: str) -> bytes:
         if not self.by_words or _SPECIAL in text:
             return self.direct(text)
+        # a capital in a wide text is not lowered here, as one letter's lower case depends on its neighbours
+        text = text.lower() if text.isascii() or not _WIDE.search(text) else text.translate(_LOWER)
         words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            self.learn({w for w in words if w not in self.words})
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:  # the cache was emptied just now
-            self.learn(set(words))
-            return b"".join([self.words[w] for w in words])
+        found = list(map(self.words.get, words))
+        if None in found:
+            self.learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            found = list(map(self.words.get, words))
+            if None in found:  # the cache was emptied just now
+                self.learn(set(words))
+                found = list(map(self.words.get, words))
+        return b"".join(found)
+
+
+@functools.cache
+def tokenizer_of_worker(path: str) -> WordTokenizer:
+    """One for all tasks that a Python worker runs, so that what it has learned stays."""
+    return WordTokenizer(path)
 
 
 def default_tokenizer() -> str:
@@ -118,7 +129,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, max_tokens: i
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordTokenizer(path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = tokenizer_of_worker(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(5 + with_ids)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
