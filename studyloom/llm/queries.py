@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from studyloom.llm.decontamination import op6_positional_index
 from studyloom.llm.packing import op2_best_fit_packing
 from studyloom.llm.pii import op10_anchor_expansion
+from studyloom.llm.quality import op5_adaptive_quality
+from studyloom.llm.secrets import op4_ownership_frequency
+from studyloom.llm.sharding import op9_lookup_sharding
 from studyloom.llm.warc import op1_warc_dictionary
 
 
@@ -15,6 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_dictionary": op1_warc_dictionary,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_ownership_frequency": op4_ownership_frequency,
+        "op5_adaptive_quality": op5_adaptive_quality,
+        "op6_positional_index": op6_positional_index,
+        "op9_lookup_sharding": op9_lookup_sharding,
         "op10_anchor_expansion": op10_anchor_expansion,
     }
 
