@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from studyloom.llm.decontamination import op6_positional_index
+from studyloom.llm.language_id import op8_byte_gru
+from studyloom.llm.near_dedup import op3_signature_join
 from studyloom.llm.packing import op2_best_fit_packing
 from studyloom.llm.pii import op10_anchor_expansion
 from studyloom.llm.quality import op5_adaptive_quality
 from studyloom.llm.secrets import op4_ownership_frequency
 from studyloom.llm.sharding import op9_lookup_sharding
+from studyloom.llm.url_filter import op7_host_words
 from studyloom.llm.warc import op1_warc_dictionary
 
 
@@ -19,9 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_dictionary": op1_warc_dictionary,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_signature_join": op3_signature_join,
         "op4_ownership_frequency": op4_ownership_frequency,
         "op5_adaptive_quality": op5_adaptive_quality,
         "op6_positional_index": op6_positional_index,
+        "op7_host_words": op7_host_words,
+        "op8_byte_gru": op8_byte_gru,
         "op9_lookup_sharding": op9_lookup_sharding,
         "op10_anchor_expansion": op10_anchor_expansion,
     }
