@@ -62,9 +62,10 @@ def _tables(coordinates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def _powers(n: int) -> np.ndarray:
-    """Powers of an odd base modulo 2**64."""
-    out = np.full(n + 1, np.uint64(0x9E3779B97F4A7C15))
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    """Powers of an odd base, or of its inverse, modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    out = np.full(n, np.uint64(pow(base, -1, 1 << 64) if inverse else base))
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -77,14 +78,14 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     byte, _, _ = _tables(COORDINATES)
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     values = byte[data]
-    length = 1 << max(16, int(len(data)).bit_length())
-    powers = _powers(length)
+    length = 1 << max(20, int(len(data)).bit_length())
+    powers, inverse = _powers(length), _powers(length, inverse=True)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values * powers[: len(data)], out=sums[1:])
     inside = np.concatenate([[False], values != 0])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    hashes = _mix((sums[ends] - sums[starts]) * powers[length - starts])
+    hashes = _mix((sums[ends] - sums[starts]) * inverse[starts])
     sizes = np.array([len(t) + 1 for t in texts])
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     n = len(hashes)
