@@ -135,19 +135,21 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node (the class) and sig; node and sig are null for an empty set.  ``docs``: doc_id, text."""
+    """row_key, doc_id, n_shingles, node (the class) and sig; node and sig are null for an empty set.  ``docs``: doc_id, text, row_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = 0
             for ids, texts in _blocks(batch):
+                keys, at = batch.column(2)[at : at + len(ids)], at + len(ids)
                 sets = shingle_sets(texts, words)
                 some = [s for s in sets if len(s)]
                 rows = iter(signatures(some).tolist() if some else [])
                 sigs = [next(rows) if len(s) else None for s in sets]
                 nodes = [class_id(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["row_key", "doc_id", "n_shingles", "node", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sig array<int>")
+    return docs.select("doc_id", "text", "row_key").mapInArrow(run, "row_key long, doc_id long, n_shingles long, node long, sig array<int>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -244,9 +246,8 @@ def link(docs: DataFrame, signed_docs: DataFrame, words: int, percent: int, matc
     return components(edges.unionByName(confirmed(rest, sets_of(rest), percent)))
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach) and kept for each row of ``docs``."""
-    own = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+def _judged(docs: DataFrame, words: int, percent: int, matches: int, id_col: str, text_col: str) -> DataFrame:
+    own = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     marked = written(signed(own, words).withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), "signatures")
     labels = link(own, marked, words, percent, matches)
     first = marked.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
@@ -255,13 +256,18 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     known = named.join(least, "label").select(F.col("node").alias("_node"), "component_id")
     out = marked.drop("sig").join(known, F.col("node") == F.col("_node"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("row_key", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach) and kept for each row of ``docs``."""
+    return _judged(docs, words, percent, matches, id_col, text_col).drop("row_key")
 
 
-def filter_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each group, the one with the smallest id, every column as it was; of repeated rows all that have it."""
-    bad = near_duplicates(docs, id_col=id_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return docs.join(bad, col(id_col) == F.col("_id"), "left_anti")
+def filter_documents(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, the one with the smallest id, every column as it was; rows that repeat it stay."""
+    bad = _judged(docs, words, percent, matches, id_col, text_col).where(~F.col("kept")).select(F.col("row_key").alias("_rejected")).distinct()
+    return docs.join(bad, F.xxhash64(col(id_col).cast("long"), col(text_col).cast("string")) == F.col("_rejected"), "left_anti")
 
 
 def op3_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 #: Sketch size; texts below which a group borrows; quartile ranges in a fence; slack of each measure.
 SKETCH_K, LEAST_GROUP, RANGES = 2048, 200, 3.0
 SLACK = {"symbol_rate": 0.1, "dup_line_rate": 0.35, "repeat_rate": 0.1, "word_length": 1.0}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Measures with a lower fence too.
 BOTH_SIDES = ("word_length",)
 
@@ -102,21 +103,23 @@ def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & ~outside)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, the counts, base_failed and kept for each row of ``docs``."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(lang_col).alias("lang"), col(source_col).alias("source"))
-    counts = with_counts(own).select("doc_id", "lang", "source", *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
+    own = own.withColumn("row_key", F.xxhash64("doc_id", "text", "lang", "source"))
+    counts = with_counts(own).select("row_key", "doc_id", "lang", "source", *[F.col(f"_{c}").alias(c) for c in COUNTS])
     counted = written(counts.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))), "quality-counts")
-    return judge(counted, thresholds(counted)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(counted, thresholds(counted))
+
 
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """doc_id, the counts, base_failed and kept for each row of ``docs``."""
+    return _judged(docs, id_col, text_col, lang_col, source_col).select("doc_id", *COUNTS, "base_failed", "kept")
 
-def filter_documents(docs: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """The rows of ``docs`` that are kept, every column as it was.
 
-    Verdicts are joined by id; of rows that repeat an id, all go if one is rejected.
-    """
-    bad = quality(docs, id_col, **columns).where(~F.col("kept")).select(F.col("doc_id").alias("_rejected"))
-    return docs.join(bad, col(id_col).eqNullSafe(F.col("_rejected")), "left_anti")
+def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that are kept, every column as it was; verdicts are joined by a hash of the four columns."""
+    bad = _judged(docs, id_col, text_col, lang_col, source_col).where(~F.col("kept")).select(F.col("row_key").alias("_rejected")).distinct()
+    return docs.join(bad, F.xxhash64(col(id_col), col(text_col), col(lang_col), col(source_col)) == F.col("_rejected"), "left_anti")
 
 
 def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

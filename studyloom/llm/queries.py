@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from studyloom.llm.decontamination import op6_positional_index
@@ -20,6 +21,7 @@ from studyloom.llm.warc import op1_warc_dictionary
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_warc_dictionary": op1_warc_dictionary,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_signature_join": op3_signature_join,
