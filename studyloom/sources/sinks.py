@@ -37,5 +37,5 @@ def save_markdown(numbered: DataFrame, path: str) -> None:
     """Sections in order behind the title, as text files; their names sort as their sections do."""
     spark = numbered.sparkSession
     title = spark.createDataFrame([(0, "# Generated Q&A Pairs\n\n")], "number int, section string")
-    sections = title.unionByName(markdown(numbered)).orderBy("number").select("section")
-    sections.write.mode("overwrite").option("lineSep", "").text(path)
+    sections = title.unionByName(markdown(numbered)).orderBy("number").select(F.regexp_replace("section", r"\n\z", ""))
+    sections.write.mode("overwrite").text(path)
