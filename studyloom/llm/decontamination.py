@@ -24,12 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import ascii_lower, col, written
+from studyloom.llm.shared import ascii_lower, barrier, col, written
 
 #: Words in a window, and the rows up to which a term list is broadcast.
 WINDOW, BROADCAST_TERMS = 10, 100_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -49,13 +48,29 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: DataFrame | None = None, terms: int = 0) -> DataFrame:
-    """The written index: term (or, with a ``vocabulary`` of term and tid, tid), key, pos.  ``terms``: its rows."""
-    posted = docs.select(F.xxhash64(col(id_col), col(text_col)).alias("key"), F.posexplode(words_of(col(text_col))).alias("pos", "term")).where(F.col("term") != "")
+    """The written index: term (or, with a ``vocabulary`` of term and tid, tid), key, pos.  ``terms``: its rows.
+
+    A vocabulary made by :func:`vocabulary_of` also keeps one length posting for each document (:func:`lengths`).
+    """
+    own = barrier(docs.select(F.xxhash64(col(id_col), col(text_col)).alias("key"), col(text_col).alias("_text")), _w=words_of(F.col("_text"))).drop("_text")
     if vocabulary is None:
-        return written(posted.select("term", "key", "pos").sortWithinPartitions("term"), "index")
+        return written(own.select("key", F.posexplode("_w").alias("pos", "term")).where(F.col("term") != "").select("term", "key", "pos").sortWithinPartitions("term"), "index")
+    empty = (F.col("_w")[0] == "").cast("int") + ((F.size("_w") > 1) & (F.element_at("_w", -1) == "")).cast("int")
+    posted = own.select("key", F.posexplode(F.concat("_w", F.array(F.concat(F.lit("\0"), empty.cast("string"))))).alias("pos", "term"))
     return written(posted.join(bounded(vocabulary, terms), "term").select("tid", "key", "pos").sortWithinPartitions("tid"), "index")
 
 
+def vocabulary_of(tokens: DataFrame) -> DataFrame:
+    """term and tid: the different terms, and one for a document's length for each number of empty words at its ends."""
+    lengths_ = tokens.sparkSession.createDataFrame([(f"\0{k}", k) for k in range(3)], "term string, tid long")
+    return written(tokens.select("term").distinct().withColumn("tid", F.xxhash64("term")).unionByName(lengths_), "vocabulary")
+
+
+def lengths(index: DataFrame) -> DataFrame:
+    """key and n_words of every document; the length posting stands behind the last word, its tid empty words counted in."""
+    return index.where(F.col("tid").isin(0, 1, 2)).groupBy("key").agg(F.max(F.col("pos") - F.col("tid")).cast("long").alias("n_words"))
+
+
 def windows_of(tokens: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
     """ikey, start, length and ranked, the window's (n, at, tid) from the rarest; windows with an unknown term can't match and are left out.
 
@@ -112,14 +127,13 @@ def prepared(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(items, tokens, index) for a test set: items as of :func:`items_of`, tokens with ikey, item_words, at, tid."""
     items = written(items_of(benchmark, item_col, item_text_col), "items")
     tokens = items.select("ikey", F.size("words").alias("item_words"), F.posexplode("words").alias("at", "term"))
-    vocabulary = written(tokens.select("term").distinct().withColumn("tid", F.xxhash64("term")), "vocabulary")
+    vocabulary = vocabulary_of(tokens)
     tokens = tokens.select("ikey", "item_words", "at", F.xxhash64("term").alias("tid"))
     return items, tokens, build_index(docs, id_col, text_col, vocabulary, vocabulary.count())
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **columns: str) -> DataFrame:
+def hits(items: DataFrame, tokens: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
     """key, n_hit, n_items, items (sorted ids, comma-joined) for documents with a match."""
-    items, tokens, index = prepared(docs, benchmark, **columns)
     found = written(phrase_matches(index, tokens, window), "phrase-matches")
     words = found.select("key", F.explode("wins").alias("w"), "shift").select("key", F.explode(F.sequence(F.col("shift") + F.col("w.start"), F.col("shift") + F.col("w.start") + F.col("w.length") - 1)).alias("pos"))
     n_hit = words.distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
@@ -129,16 +143,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **columns:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items for each row of ``docs``."""
-    found = hits(docs, benchmark, window, id_col=id_col, text_col=text_col, **columns).withColumnRenamed("key", "_key")
-    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    own = docs.select(col(id_col).alias("doc_id"), F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), F.xxhash64(col(id_col), col(text_col)).alias("key"))
+    items, tokens, index = prepared(docs, benchmark, id_col, text_col, **columns)
+    known = lengths(index).join(hits(items, tokens, index, window), "key", "left").withColumnRenamed("key", "_key")
+    own = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(id_col), col(text_col)).alias("key"))
     zero, names = F.lit(0).cast("long"), F.coalesce("items", F.lit(""))
-    return own.join(found, F.col("key") == F.col("_key"), "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(names, 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), names.alias("items"))
+    return own.join(known, F.col("key") == F.col("_key"), "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(names, 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), names.alias("items"))
 
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """The rows of ``docs`` without a match, every column as it was."""
-    bad = hits(docs, benchmark, window, id_col=id_col, text_col=text_col, **columns).select(F.col("key").alias("_key"))
+    bad = hits(*prepared(docs, benchmark, id_col, text_col, **columns), window).select(F.col("key").alias("_key"))
     return docs.join(bad, F.xxhash64(col(id_col), col(text_col)) == F.col("_key"), "left_anti")
 
 
