@@ -63,7 +63,7 @@ def base_failed(words: Column, repeats: Column) -> Column:
 
 
 def measures(df: DataFrame) -> DataFrame:
-    n = F.col("n_words").cast("double")
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")  # a text without words fails by the base rules
     return df.withColumns({"symbol_rate": F.col("n_symbols") / n, "dup_line_rate": F.col("n_dup_lines") / n, "repeat_rate": F.col("n_repeat_words") / n, "word_length": F.col("word_chars") / n})
 
 
