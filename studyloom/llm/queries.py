@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from studyloom.llm.decontamination import op6_positional_index
 from studyloom.llm.language_id import op8_byte_gru
 from studyloom.llm.near_dedup import op3_signature_join
+from studyloom.llm.oracles import oracle_sql
 from studyloom.llm.packing import op2_best_fit_packing
 from studyloom.llm.pii import op10_anchor_expansion
 from studyloom.llm.quality import op5_adaptive_quality
@@ -35,5 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
