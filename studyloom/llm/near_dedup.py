@@ -10,7 +10,8 @@ such values than a match allows is left out at once; frequent values fall behind
 Lists are merged with skipping.  First each list only compares its members with one pivot, the same class in as many
 lists as possible, so that a large group of copies costs one comparison for each member, not one for each pair.
 Then lists whose members are all linked already are skipped, and what is left is compared across components, so no link
-is lost.  Pairs that collide on enough coordinates are confirmed on the full sets; the links' connected components are
+is lost; in long lists, where nearly all agree on many coordinates, whole-set bounds leave out what can't be similar
+(:func:`long_list_pairs`).  Pairs that collide on enough coordinates are confirmed on the full sets; the links' connected components are
 found by label propagation with pointer jumping, on written tables.
 
 Class ids and shingles are 64-bit hashes.  Defined cases: null and empty texts, and rows without an id, are linked with
@@ -36,6 +37,8 @@ from studyloom.llm.shared import col, written
 SHINGLE, PERCENT = 5, 80
 #: Signature length, and coordinates on which a pair must agree (for 80 percent, 4.7 standard deviations below the mean).
 COORDINATES, MATCHES = 64, 36
+#: Members beyond which a list that holds several components is merged by whole-set bounds.
+LONG_LIST = 64
 #: Bytes of text that are hashed side by side.
 BLOCK = 1 << 20
 
@@ -169,13 +172,12 @@ def similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
-    """key, node, n: the postings of each class's prefix, without values that no other class has."""
-    posted = classes.select("node", F.posexplode("sig").alias("j", "v")).select("node", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("v").cast("long") + (1 << 31)).alias("key"))
+def coordinate_lists(classes: DataFrame, matches: int) -> DataFrame:
+    """key, node, n: the postings of each class's prefix under (coordinate, value) keys, without keys that no other class has."""
+    posted = classes.select("node", F.col("n_shingles").alias("n"), F.posexplode("sig").alias("j", "v")).select("node", "n", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("v").cast("long") + (1 << 31)).alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1").withColumnRenamed("key", "_key")
-    common = posted.join(shared, F.col("key") == F.col("_key")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys")).where(F.size("keys") >= matches)
-    chosen = common.select("node", F.explode(F.slice("keys", F.lit(1), F.size("keys") - matches + 1)).alias("k")).select(F.col("k.key").alias("key"), "node")
-    return chosen.join(classes.select("node", F.col("n_shingles").alias("n")), "node").select("key", "node", "n")
+    common = posted.join(shared, F.col("key") == F.col("_key")).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys")).where(F.size("keys") >= matches)
+    return common.select("node", "n", F.explode(F.slice("keys", F.lit(1), F.size("keys") - matches + 1)).alias("k")).select(F.col("k.key").alias("key"), "node", "n")
 
 
 def pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -185,16 +187,64 @@ def pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a < b: members of a list that are in different components; lists within one component are skipped."""
+def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists with members in more than one component: key, node, n, label and size, the list's length."""
     own = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("_key"))
-    left = own.join(mixed, F.col("key") == F.col("_key"), "left_semi")
-    right = left.select(*[F.col(c).alias(f"{c}2") for c in ("key", "node", "n", "label")])
-    met = left.join(right, (F.col("key") == F.col("key2")) & (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & similar_sizes(F.col("n"), F.col("n2"), percent))
+    mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select(F.col("key").alias("_key"), "size")
+    return own.join(mixed, F.col("key") == F.col("_key")).select("key", "node", "n", "label", "size")
+
+
+def cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """a < b: members of a list that are in different components."""
+    right = mixed.select(*[F.col(c).alias(f"{c}2") for c in ("key", "node", "n", "label")])
+    met = mixed.join(right, (F.col("key") == F.col("key2")) & (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & similar_sizes(F.col("n"), F.col("n2"), percent))
     return met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
+def major_of(mixed: DataFrame) -> DataFrame:
+    """_key and major: each list's largest component."""
+    return mixed.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("c", "label"))["label"].alias("major"))
+
+
+def minor_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """a < b: every member outside a list's largest component with two members of that component, others in each list."""
+    own = mixed.join(major_of(mixed), F.col("key") == F.col("_key"))
+    pivots = own.where(F.col("label") == F.col("major")).groupBy(F.col("key").alias("_p")).agg(*[f(F.struct(F.xxhash64("key", "node").alias("h"), "node", "n")).alias(f"p{k}") for k, f in enumerate((F.min, F.max))])
+    met = own.where(F.col("label") != F.col("major")).join(pivots, F.col("key") == F.col("_p")).select("node", "n", F.explode(F.array("p0", "p1")).alias("p")).where(similar_sizes(F.col("n"), F.col("p.n"), percent))
+    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def long_list_pairs(mixed: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a < b across components of long lists; ``sets`` holds their members.
+
+    Among these members a shingle is rare if ``LONG_LIST`` of them have it or fewer.  Two members with a rare shingle in
+    common meet under it, in a short list, and count if the shingles that each shares with anyone are enough.  All others have only frequent shingles in common, f of them or fewer, with f
+    the smaller number of frequent ones, and so are similar only if f is large enough against their sizes.  Most members
+    that are linked with none fail that even against the best of their list.
+    """
+    posted = sets.select("node", F.size("members").alias("n"), F.explode("members").alias("key"))
+    often = posted.groupBy("key").agg(F.count("*").alias("often")).withColumnRenamed("key", "_key")
+    posted = written(posted.join(often, F.col("key") == F.col("_key")).select("key", "node", "n", "often"), "member-shingles")
+    weights = posted.groupBy("node", "n").agg(F.count_if(F.col("often") > LONG_LIST).alias("f"), F.count_if(F.col("often") > 1).alias("shared"))
+    weights = written(weights.withColumnRenamed("node", "_node"), "member-weights")
+
+    def enough(f: Column, n: Column, n2: Column) -> Column:
+        return 100 * f >= percent * (n + n2 - f)
+
+    rare = posted.where((F.col("often") > 1) & (F.col("often") <= LONG_LIST)).select("key", "node", "n")
+    rare = cross_pairs(labelled(rare, labels), percent)
+    for k in ("a", "b"):
+        rare = rare.join(weights.select(F.col("_node").alias(k), F.col("shared").alias(f"s_{k}"), F.col("n").alias(f"n_{k}")), k)
+    rare = rare.where(enough(F.least("s_a", "s_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    members = written(mixed.join(weights.drop("n"), F.col("node") == F.col("_node")).select("key", "node", "n", "label", "f"), "long-lists")
+    most = members.groupBy("key").agg(F.min("n").alias("least_n"), F.max("f").alias("most_f")).join(major_of(members), F.col("key") == F.col("_key")).drop("key")
+
+    minor = members.join(most, F.col("key") == F.col("_key")).where((F.col("label") != F.col("major")) & enough(F.least("f", "most_f"), F.col("n"), F.col("least_n")))
+    right = members.select(*[F.col(c).alias(f"{c}2") for c in members.columns])
+    met = minor.join(right, (F.col("key") == F.col("key2")) & (F.col("label") != F.col("label2")) & similar_sizes(F.col("n"), F.col("n2"), percent) & enough(F.least("f", "f2"), F.col("n"), F.col("n2")))
+    return rare.union(met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
+
+
 def colliding(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     """The pairs that agree on enough coordinates."""
     sig = lambda k: classes.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}"))
@@ -228,22 +278,33 @@ def link(docs: DataFrame, signed_docs: DataFrame, words: int, percent: int, matc
     """node and label for every class that is linked with another.  ``docs``: doc_id, text; ``signed_docs``: a written table."""
     classes = signed_docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
     classes = written(classes, "classes")
-    lists = written(prefix_postings(classes, matches), "prefix-postings")
+    lists = written(coordinate_lists(classes, matches), "coordinate-lists")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        need = classes.join(need, "node", "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        need = classes.join(nodes.distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
         found = full_sets(docs.join(need.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi"), words)
         # a repeated id can bring texts of other classes
         return written(found.join(need.select("_node"), F.col("node") == F.col("_node"), "left_semi").dropDuplicates(["node"]), "full-sets")
 
+    def nodes_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+
     tried = written(colliding(pivot_pairs(lists, percent), classes, matches), "pivot-pairs")
-    edges = written(confirmed(tried, sets_of(tried), percent), "pivot-links")
-    rest = colliding(cross_pairs(lists, components(edges), percent).join(tried, ["a", "b"], "left_anti"), classes, matches)
-    rest = written(rest, "cross-pairs")
+    edges = written(confirmed(tried, sets_of(nodes_of(tried)), percent), "pivot-links")
+    labels = components(edges)
+    mixed = written(labelled(lists, labels), "mixed-lists")
+    short, long = mixed.where(F.col("size") <= LONG_LIST), mixed.where(F.col("size") > LONG_LIST)
+    pairs = cross_pairs(short, percent)
+    if not long.isEmpty():
+        sets = sets_of(long.select("node"))
+        more = written(confirmed(minor_pairs(long, percent), sets, percent), "minor-links")
+        edges = edges.unionByName(more)
+        labels = components(edges)
+        pairs = pairs.union(long_list_pairs(labelled(long.select("key", "node", "n"), labels), labels, sets, percent)).distinct()
+    rest = written(colliding(pairs.join(tried, ["a", "b"], "left_anti"), classes, matches), "cross-pairs")
     if rest.isEmpty():
-        return components(edges)
-    return components(edges.unionByName(confirmed(rest, sets_of(rest), percent)))
+        return labels
+    return components(edges.unionByName(confirmed(rest, sets_of(nodes_of(rest)), percent)))
 
 
 def _judged(docs: DataFrame, words: int, percent: int, matches: int, id_col: str, text_col: str) -> DataFrame:
