@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from studyloom.llm.shared import ascii_lower, col, written
@@ -62,12 +62,24 @@ def with_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -
     return urls.withColumns({"rule": rule, "ruled": ruled})
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of a written table with n at least so great that no more than ``most`` rows have it.
+
+    The least count is found from how many rows have each count, a short table, so no task and not the driver ever holds
+    candidates of all partitions.
+    """
+    by_n = counts.groupBy("n").agg(F.count("*").alias("rows"))
+    up_to = by_n.select("n", F.sum("rows").over(Window.orderBy(F.desc("n"))).alias("up_to"))
+    least = up_to.where(F.col("up_to") <= most).agg(F.min("n")).first()[0]
+    return counts.where(F.lit(False) if least is None else F.col("n") >= least)
+
+
 def word_counts(texts: DataFrame, text_col: str, most: int = VOCABULARY, longest: int = LONGEST) -> dict[str, int]:
-    """The ``most`` frequent words of letters a to z over all rows, markup left out."""
+    """The ``most`` frequent words of letters a to z over all rows, markup left out; words tied beyond ``most`` are all left out."""
     bare = F.regexp_replace(F.lower(col(text_col).cast("string")), "<[^>]*>", " ")
     words = texts.select(F.explode(F.regexp_extract_all(bare, F.lit(f"[a-z]{{2,{longest}}}"), F.lit(0))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    return {r["w"]: r["n"] for r in top.collect()}  # at most ``most`` rows
+    counts = written(words.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
+    return {r["w"]: r["n"] for r in most_frequent(counts, most).collect()}  # at most ``most`` rows
 
 
 class Segmenter:
@@ -138,7 +150,7 @@ def train(urls: DataFrame, counts: dict[str, int], most: int = TOKENS) -> NaiveB
     table = written(table, "url-tokens")
     total = table.agg(F.sum("b"), F.sum("a")).first()
     rows = urls.where(F.col("ruled").isNotNull()).agg(F.sum(is_block), F.sum(1 - is_block)).first()
-    top = table.orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(most).collect()  # at most ``most`` rows
+    top = most_frequent(table.withColumn("n", F.col("a") + F.col("b")), most).collect()  # at most ``most`` rows
     return NaiveBayes({r["token"]: (r["b"], r["a"]) for r in top}, (total[0] or 0, total[1] or 0), (rows[0] or 0, rows[1] or 0))
 
 
