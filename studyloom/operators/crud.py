@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.functions.formats import trimmed, valid_color, valid_name
+from studyloom.sources.storage import written
 
 
 def by_id(df: DataFrame, value, id_col: str = "id") -> DataFrame:
@@ -31,14 +32,16 @@ def validated(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_new_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, id_col: str = "id") -> DataFrame:
-    """Consecutive ids in a given order, the same for any layout: ranges are numbered apart and shifted by what lies before."""
-    from pyspark.sql import Window
+    """Consecutive ids in a given order, the same for any layout: sorted ranges are numbered apart and shifted by what lies before.
 
+    The numbered ranges are written, as a second evaluation could cut them elsewhere.
+    """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return ranged.join(F.broadcast(counts.select("_p", "_before")), "_p").withColumn(id_col, (own + F.col("_before") + start - 1).cast("long")).drop("_p", "_before")
+    held = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "new-ids")
+    own = held.withColumns({"_p": F.shiftright("_m", 33), "_own": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = own.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))  # one row a range
+    return own.join(F.broadcast(before), "_p").withColumn(id_col, F.col("_own") + F.col("_before") + start).drop("_p", "_m", "_own", "_before")
 
 
 def patched(df: DataFrame, patches: DataFrame, fields: Mapping[str, str], id_col: str = "id") -> DataFrame:

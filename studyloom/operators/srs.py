@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: State of a new card, gain of ease, and the last day of the calendar.
 EASE, INTERVAL, REPETITIONS, GAIN, LAST = 2.5, 1, 0, 0.1, datetime(9999, 12, 31)
+#: Correct answers in a row after which the next date would always leave the calendar.
+STREAK = 13
 #: Days from which no date of our era can be reached.
 TOO_FAR = 3_000_000
 
@@ -37,11 +39,13 @@ def review_state(events: DataFrame, card: str = "card_id", ts: str = "ts", event
     """card_id, repetitions, interval, ease_factor, last_reviewed and next_review after all events in order of time, then id.
 
     Events before a card's last wrong answer can't matter, so they are dropped before a card's events are gathered:
-    the last wrong answer is an aggregate with partial results, and what is gathered is one streak.
+    the last wrong answer is an aggregate with partial results, and what is gathered is the start of one streak, as no
+    streak changes a card beyond ``STREAK`` answers.
     """
     own = events.select(F.col(card).alias("card_id"), F.struct(F.col(ts).cast("timestamp_ntz").alias("ts"), F.col(event).alias("id")).alias("o"), F.coalesce(F.col(correct), F.lit(False)).alias("ok"))
     wrong = own.where(~F.col("ok")).groupBy("card_id").agg(F.max("o").alias("reset"))
     since = own.join(wrong, "card_id", "left").where(F.col("reset").isNull() | (F.col("o") >= F.col("reset")))
+    since = since.withColumn("_n", F.row_number().over(Window.partitionBy("card_id").orderBy("o"))).where(F.col("_n") <= STREAK + 1)
     runs = since.groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("o.ts", "o.id", "ok"))).alias("run"))
     new = _state(F.lit(REPETITIONS), F.lit(INTERVAL).cast("long"), F.lit(EASE), F.lit(None).cast("timestamp_ntz"))
 

@@ -7,15 +7,22 @@ from studyloom.operators.qa import TEMPLATES
 
 _WS = "[" + "".join(f"\\x{{{a:04x}}}-\\x{{{b:04x}}}" for a, b in WHITE_SPACE) + "]+"
 _LIGHT = rf"trim(regexp_replace(regexp_replace(text, '{_WS}', ' ', 'g'), '[^\x00-\x7F]+', ' ', 'g'))"
-_AS_OF = "TIMESTAMP '2024-01-15 00:00:00'"
+_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
-_CHUNKS = f"""
-cleaned AS (SELECT doc_id, source, {_LIGHT} AS t FROM documents),
+_FULL = rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_WS}', ' ', 'g'), '--- PAGE \p{{Nd}}+ ---', '', 'g'), 'http[^ ]+|www[^ ]+', '', 'g'), '[^ ]+@[^ ]+', '', 'g'), '[^a-zA-Z0-9 .,!?''"\-:]', '', 'g'), ' +', ' ', 'g'))"""
+
+
+def _chunks(clean: str) -> str:
+    return f"""
+cleaned AS (SELECT doc_id, source, {clean} AS t FROM documents),
 split AS (SELECT doc_id, source, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM cleaned),
 starts AS (SELECT doc_id, source, w, unnest(range(0, len(w), 400)) AS st FROM split WHERE len(w) > 0),
 chunks AS (SELECT doc_id, source, (st // 400 + 1)::INT AS chunk_id, array_to_string(w[st+1:st+500], ' ') AS text,
   array_to_string(w[st+1:least(st+8, st+500)], ' ') AS title, len(w[st+1:st+500])::INT AS word_count FROM starts)"""
 
+
+_CHUNKS = _chunks(_LIGHT)
+
 _PAIRS = (
     _CHUNKS
     + r""",
@@ -52,12 +59,18 @@ _STATE_COLUMNS = "SELECT card_id, repetitions, interval, ease_factor, last_revie
 
 SQL: dict[str, str] = {
     "clean_light": f"SELECT doc_id, {_LIGHT} AS text FROM documents",
-    "clean_full": rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_WS}', ' ', 'g'), '--- PAGE \p{{Nd}}+ ---', '', 'g'), 'http[^ ]+|www[^ ]+', '', 'g'), '[^ ]+@[^ ]+', '', 'g'), '[^a-zA-Z0-9 .,!?''"\-:]', '', 'g'), ' +', ' ', 'g')) AS text FROM documents""",
+    "clean_full": f"SELECT doc_id, {_FULL} AS text FROM documents",
     "chunk_documents": f"WITH {_CHUNKS} SELECT doc_id, chunk_id, text, title, word_count FROM chunks",
     "chunk_stats": f"WITH {_CHUNKS}, n AS (SELECT doc_id, count(*) AS n_chunks, sum(word_count)::BIGINT AS chunk_words FROM chunks GROUP BY doc_id) SELECT d.doc_id, length(d.text)::INT AS raw_chars, length({_LIGHT.replace('text', 'd.text')})::INT AS cleaned_chars, n_chunks, chunk_words FROM documents d JOIN n USING (doc_id)",
     "fallback_qa": f"WITH {_PAIRS} SELECT doc_id, chunk_id, source_chunk, question, answer, difficulty, topic FROM pairs",
     "qa_by_difficulty": f"WITH {_PAIRS} SELECT difficulty, count(*) AS n FROM pairs GROUP BY difficulty",
     "qa_by_topic": f"WITH {_PAIRS} SELECT topic, count(*) AS n FROM pairs GROUP BY topic",
+    "topic_questions": f"WITH {_PAIRS} SELECT topic, count(*) AS n, string_agg(question, '|' ORDER BY question) AS questions FROM pairs GROUP BY topic",
+    "hard_questions": f"WITH {_PAIRS} SELECT doc_id, chunk_id, question FROM pairs WHERE difficulty = 'hard'",
+    "preview_pairs": f"WITH {_PAIRS} SELECT doc_id, chunk_id, upper(difficulty) AS label, question FROM pairs ORDER BY doc_id, chunk_id, difficulty LIMIT 5",
+    "batch_metadata": f"""WITH {_chunks(_FULL)}, n AS (SELECT doc_id, count(*) AS c FROM chunks GROUP BY doc_id)
+SELECT d.doc_id AS path, CASE WHEN n_chars < 50 THEN 'too short' END AS error, CASE WHEN n_chars >= 50 THEN length(text)::INT END AS file_size_chars, CASE WHEN n_chars >= 50 THEN length({_FULL})::INT END AS cleaned_size_chars,
+  CASE WHEN n_chars >= 50 THEN coalesce(c, 0) ELSE 0 END AS chunk_count, CASE WHEN n_chars >= 50 THEN 3 * coalesce(c, 0) ELSE 0 END AS qa_count, 'llama3:8b' AS model, '2024-01-15T00:00:00' AS generated_at FROM documents d LEFT JOIN n USING (doc_id)""",
     "upload_stats": f"WITH {_PAIRS} SELECT doc_id, count(*) AS qa_pairs, count(DISTINCT chunk_id) AS chunks FROM pairs GROUP BY doc_id",
     "weak_chunks": f"WITH {_CHUNKS} SELECT doc_id, chunk_id, substring(text, 1, 1500) AS text, md5(text) AS text_md5 FROM chunks WHERE length(trim(text)) >= 200",
     "embedding_inputs": f"WITH {_CHUNKS} SELECT doc_id, chunk_id, substring(text, 1, 2000) AS input FROM chunks WHERE chunk_id <= 5",

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from studyloom.functions import formats, text
 from studyloom.operators import analytics, cards, crud, qa, srs, vectors
 from studyloom.operators.chunking import chunk, first_chunks
+from studyloom.plans import flows
 from studyloom.sources import files, sinks
 from studyloom.sources.storage import new_folder
 from studyloom.streaming import reviews
 
 #: The moment at which cards are due.
-AS_OF = datetime.datetime(2024, 1, 15)
+AS_OF = datetime.datetime(2024, 1, 31)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +88,26 @@ def qa_by_topic(spark: SparkSession, d: str) -> DataFrame:
     return analytics.by_topic(_pairs(spark, d))
 
 
+def topic_questions(spark: SparkSession, d: str) -> DataFrame:
+    own = analytics.by_topic(_pairs(spark, d), with_questions=True)
+    return own.select("topic", "n", F.array_join("questions", "|").alias("questions"))
+
+
+def hard_questions(spark: SparkSession, d: str) -> DataFrame:
+    return crud.of_instance(_pairs(spark, d), "hard", "difficulty").select("doc_id", "chunk_id", "question")
+
+
+def preview_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The report's five sample pairs."""
+    own = _pairs(spark, d).orderBy("doc_id", "chunk_id", "difficulty").limit(5)
+    return own.select("doc_id", "chunk_id", formats.difficulty_label(F.col("difficulty")).alias("label"), "question")
+
+
+def batch_metadata(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text", F.when(F.col("n_chars") < 50, "too short").alias("error"))
+    return flows.batch(own, "2024-01-15T00:00:00")[0]
+
+
 def upload_stats(spark: SparkSession, d: str) -> DataFrame:
     return analytics.upload_stats(_pairs(spark, d), ["doc_id"])
 
@@ -276,7 +297,7 @@ def join_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    clean_light, clean_full, chunk_documents, chunk_stats, fallback_qa, qa_by_difficulty, qa_by_topic, upload_stats, weak_chunks, embedding_inputs, flashcards_new,
+    clean_light, clean_full, chunk_documents, chunk_stats, fallback_qa, qa_by_difficulty, qa_by_topic, topic_questions, hard_questions, preview_pairs, batch_metadata, upload_stats, weak_chunks, embedding_inputs, flashcards_new,
     distinct_documents, bootstrap_documents, unique_questions, review_state, due_cards, review_stream, instance_summary, instance_page, instance_lookup,
     instance_documents, instance_patch, instance_delete, numbered_documents, validated_inputs, vector_topk, topic_accuracy, avg_accuracy, best_topic, weak_topics,
     test_score, accuracy_series, progress, batch_summary, extract_json, generate_with_fallback, export_markdown, export_csv_rows, display_formats, extract_text, join_pages,
