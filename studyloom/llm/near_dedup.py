@@ -188,16 +188,21 @@ def pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists with members in more than one component: key, node, n, label and size, the list's length."""
+    """The lists with members in more than one component, with label and size, the list's length, added."""
     own = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select(F.col("key").alias("_key"), "size")
-    return own.join(mixed, F.col("key") == F.col("_key")).select("key", "node", "n", "label", "size")
+    return own.join(mixed, F.col("key") == F.col("_key")).select(*lists.columns, "label", "size")
+
+
+def enough(f: Column, n: Column, n2: Column, percent: int) -> Column:
+    """Whether sets of n and n2 with f in common are similar; f = n says no more than that their sizes allow it."""
+    return 100 * f >= percent * (n + n2 - f)
 
 
 def cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """a < b: members of a list that are in different components."""
-    right = mixed.select(*[F.col(c).alias(f"{c}2") for c in ("key", "node", "n", "label")])
-    met = mixed.join(right, (F.col("key") == F.col("key2")) & (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & similar_sizes(F.col("n"), F.col("n2"), percent))
+    """a < b: members of a list that are in different components; f is the most that a member can share with another."""
+    right = mixed.select(*[F.col(c).alias(f"{c}2") for c in ("key", "node", "n", "label", "f")])
+    met = mixed.join(right, (F.col("key") == F.col("key2")) & (F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & enough(F.least("f", "f2"), F.col("n"), F.col("n2"), percent))
     return met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
@@ -228,20 +233,14 @@ def long_list_pairs(mixed: DataFrame, labels: DataFrame, sets: DataFrame, percen
     weights = posted.groupBy("node", "n").agg(F.count_if(F.col("often") > LONG_LIST).alias("f"), F.count_if(F.col("often") > 1).alias("shared"))
     weights = written(weights.withColumnRenamed("node", "_node"), "member-weights")
 
-    def enough(f: Column, n: Column, n2: Column) -> Column:
-        return 100 * f >= percent * (n + n2 - f)
-
-    rare = posted.where((F.col("often") > 1) & (F.col("often") <= LONG_LIST)).select("key", "node", "n")
+    rare = posted.where((F.col("often") > 1) & (F.col("often") <= LONG_LIST)).join(weights.drop("n"), F.col("node") == F.col("_node")).select("key", "node", "n", F.col("shared").alias("f"))
     rare = cross_pairs(labelled(rare, labels), percent)
-    for k in ("a", "b"):
-        rare = rare.join(weights.select(F.col("_node").alias(k), F.col("shared").alias(f"s_{k}"), F.col("n").alias(f"n_{k}")), k)
-    rare = rare.where(enough(F.least("s_a", "s_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     members = written(mixed.join(weights.drop("n"), F.col("node") == F.col("_node")).select("key", "node", "n", "label", "f"), "long-lists")
     most = members.groupBy("key").agg(F.min("n").alias("least_n"), F.max("f").alias("most_f")).join(major_of(members), F.col("key") == F.col("_key")).drop("key")
 
-    minor = members.join(most, F.col("key") == F.col("_key")).where((F.col("label") != F.col("major")) & enough(F.least("f", "most_f"), F.col("n"), F.col("least_n")))
+    minor = members.join(most, F.col("key") == F.col("_key")).where((F.col("label") != F.col("major")) & enough(F.least("f", "most_f"), F.col("n"), F.col("least_n"), percent))
     right = members.select(*[F.col(c).alias(f"{c}2") for c in members.columns])
-    met = minor.join(right, (F.col("key") == F.col("key2")) & (F.col("label") != F.col("label2")) & similar_sizes(F.col("n"), F.col("n2"), percent) & enough(F.least("f", "f2"), F.col("n"), F.col("n2")))
+    met = minor.join(right, (F.col("key") == F.col("key2")) & (F.col("label") != F.col("label2")) & enough(F.least("f", "f2"), F.col("n"), F.col("n2"), percent))
     return rare.union(met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
 
 
@@ -294,14 +293,14 @@ def link(docs: DataFrame, signed_docs: DataFrame, words: int, percent: int, matc
     labels = components(edges)
     mixed = written(labelled(lists, labels), "mixed-lists")
     short, long = mixed.where(F.col("size") <= LONG_LIST), mixed.where(F.col("size") > LONG_LIST)
-    pairs = cross_pairs(short, percent)
+    pairs = colliding(cross_pairs(short.withColumn("f", F.col("n")), percent).join(tried, ["a", "b"], "left_anti"), classes, matches)
     if not long.isEmpty():
         sets = sets_of(long.select("node"))
         more = written(confirmed(minor_pairs(long, percent), sets, percent), "minor-links")
         edges = edges.unionByName(more)
         labels = components(edges)
-        pairs = pairs.union(long_list_pairs(labelled(long.select("key", "node", "n"), labels), labels, sets, percent)).distinct()
-    rest = written(colliding(pairs.join(tried, ["a", "b"], "left_anti"), classes, matches), "cross-pairs")
+        pairs = pairs.union(long_list_pairs(labelled(long.select("key", "node", "n"), labels), labels, sets, percent)).distinct()  # that have passed a stricter test
+    rest = written(pairs.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     if rest.isEmpty():
         return labels
     return components(edges.unionByName(confirmed(rest, sets_of(nodes_of(rest)), percent)))
