@@ -5,8 +5,8 @@ for each direction, two recurrent units of ``HIDDEN`` cells read the text from b
 states labels every byte.  A document's probabilities are the mean over all its bytes.  Texts are read in stretches of
 ``STRETCH`` bytes, each from a zero state, so that thousands of them run side by side at any text length.
 
-Training takes a bounded, documented sample: ``SAMPLE_DOCS`` documents of each language in the order of a hash of
-their id, ``SAMPLE_WINDOWS`` stretches of each.  Everything else reads whole texts.
+Training takes a bounded, documented sample: about ``SAMPLE_DOCS`` documents of each language, those whose id has a
+hash below the share that this number is of the language, and ``SAMPLE_WINDOWS`` stretches of each.  Everything else reads whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; null ids hash as the empty string; rows
 without a language train nothing; with no row to learn from, all is ``und``; repeated rows each get their result; an
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm.shared import col
@@ -195,19 +195,20 @@ def held_out(key: Column) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, epochs: int = EPOCHS) -> ByteGRU | None:
     """A model from the rows of ``docs`` that have a language; None if there are none."""
-    key = F.coalesce(col(id_col).cast("string"), F.lit(""))
-    known = docs.where(col(lang_col).isNotNull() & (F.char_length(F.trim(col(text_col))) > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    ids = known.select(key.alias("key"), col(lang_col).cast("string").alias("lang")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_docs).select("key", "lang").distinct()
     text = col(text_col).cast("string")
-    cuts = F.array(*[F.substring(text, F.pmod(F.xxhash64(key, F.lit(k)), F.greatest(F.char_length(text) - STRETCH, F.lit(1))).cast("int") + 1, F.lit(STRETCH)) for k in range(SAMPLE_WINDOWS)])
-    own = known.select(key.alias("key"), col(lang_col).cast("string").alias("lang"), cuts.alias("cuts"))
-    rows = own.join(F.broadcast(ids), ["key", "lang"]).groupBy("key", "lang").agg(F.min("cuts").alias("cuts")).collect()  # sample_docs of each language at most
-    langs = sorted({r["lang"] for r in rows})
-    if not langs:
-        return None
-    if len(langs) > MOST_LANGS:
+    own = docs.select(F.coalesce(col(id_col).cast("string"), F.lit("")).alias("key"), col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    own = own.where(F.col("lang").isNotNull() & (F.char_length(F.trim("text")) > 0))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
+    if not sizes:
+        return None
+    # ids whose hash lies below their language's share: no task gathers a language, whatever part of the rows it has
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["n"]))])
+    some = own.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    cuts = F.array(*[F.substring("text", F.pmod(F.xxhash64("key", F.lit(k)), F.greatest(F.char_length("text") - STRETCH, F.lit(1))).cast("int") + 1, F.lit(STRETCH)) for k in range(SAMPLE_WINDOWS)])
+    rows = some.groupBy("key", "lang").agg(F.min(cuts).alias("cuts")).collect()  # about sample_docs ids of each language
+    langs = sorted({r["lang"] for r in rows})
     # each stretch also in capitals, so that capitals alone don't mislead
     pairs = sorted((r["lang"], r["key"], x.encode()[:STRETCH]) for r in rows for c in r["cuts"] if c for x in (c, c.upper()))
     model = ByteGRU(langs)
