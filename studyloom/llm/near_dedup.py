@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import col, written
+from studyloom.llm.shared import col, dropped, written
 
 #: Words of a shingle and percent of similarity, unless a caller says otherwise.
 SHINGLE, PERCENT = 5, 80
@@ -223,9 +223,10 @@ def long_list_pairs(mixed: DataFrame, labels: DataFrame, sets: DataFrame, percen
     """a < b across components of long lists; ``sets`` holds their members.
 
     Among these members a shingle is rare if ``LONG_LIST`` of them have it or fewer.  Two members with a rare shingle in
-    common meet under it, in a short list, and count if the shingles that each shares with anyone are enough.  All others have only frequent shingles in common, f of them or fewer, with f
-    the smaller number of frequent ones, and so are similar only if f is large enough against their sizes.  Most members
-    that are linked with none fail that even against the best of their list.
+    common meet under it, in a short list, and count if the shingles that each shares with anyone are enough.  All
+    others have only frequent shingles in common, f of them or fewer, with f the smaller number of frequent ones, and so
+    are similar only if f is large enough against their sizes.  Most members that are linked with none fail that even
+    against the best of their list.
     """
     posted = sets.select("node", F.size("members").alias("n"), F.explode("members").alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("often")).withColumnRenamed("key", "_key")
@@ -238,9 +239,11 @@ def long_list_pairs(mixed: DataFrame, labels: DataFrame, sets: DataFrame, percen
     members = written(mixed.join(weights.drop("n"), F.col("node") == F.col("_node")).select("key", "node", "n", "label", "f"), "long-lists")
     most = members.groupBy("key").agg(F.min("n").alias("least_n"), F.max("f").alias("most_f")).join(major_of(members), F.col("key") == F.col("_key")).drop("key")
 
+    keys = members.groupBy(F.col("node").alias("_n")).agg(F.collect_set("key").alias("keys"))
+    members = members.join(keys, F.col("node") == F.col("_n")).drop("_n")
     minor = members.join(most, F.col("key") == F.col("_key")).where((F.col("label") != F.col("major")) & enough(F.least("f", "most_f"), F.col("n"), F.col("least_n"), percent))
     right = members.select(*[F.col(c).alias(f"{c}2") for c in members.columns])
-    met = minor.join(right, (F.col("key") == F.col("key2")) & (F.col("label") != F.col("label2")) & enough(F.least("f", "f2"), F.col("n"), F.col("n2"), percent))
+    met = minor.join(right, (F.col("key") == F.col("key2")) & (F.col("label") != F.col("label2")) & enough(F.least("f", "f2"), F.col("n"), F.col("n2"), percent) & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")))  # once for each pair
     return rare.union(met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
 
 
@@ -260,7 +263,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label, the smallest node that links reach; nodes without a link are left out."""
+    """A written table with node and label, the smallest node that links reach; nodes without a link are left out."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
@@ -268,8 +271,10 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(seen, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("_n"), F.col("label").alias("up"))
         jumped = written(hooked.join(up, F.col("label") == F.col("_n")).select("node", "old", F.least("label", "up").alias("label")), "labels")
-        labels = jumped.select("node", "label")
+        dropped(labels)
+        labels = jumped
         if jumped.where("old <> label").isEmpty():
+            dropped(both)
             return labels
 
 
@@ -290,7 +295,7 @@ def link(docs: DataFrame, signed_docs: DataFrame, words: int, percent: int, matc
 
     tried = written(colliding(pivot_pairs(lists, percent), classes, matches), "pivot-pairs")
     edges = written(confirmed(tried, sets_of(nodes_of(tried)), percent), "pivot-links")
-    labels = components(edges)
+    labels = components(edges).select("node", "label")
     mixed = written(labelled(lists, labels), "mixed-lists")
     short, long = mixed.where(F.col("size") <= LONG_LIST), mixed.where(F.col("size") > LONG_LIST)
     pairs = colliding(cross_pairs(short.withColumn("f", F.col("n")), percent).join(tried, ["a", "b"], "left_anti"), classes, matches)
@@ -298,7 +303,7 @@ def link(docs: DataFrame, signed_docs: DataFrame, words: int, percent: int, matc
         sets = sets_of(long.select("node"))
         more = written(confirmed(minor_pairs(long, percent), sets, percent), "minor-links")
         edges = edges.unionByName(more)
-        labels = components(edges)
+        labels = components(edges).select("node", "label")
         pairs = pairs.union(long_list_pairs(labelled(long.select("key", "node", "n"), labels), labels, sets, percent)).distinct()  # that have passed a stricter test
     rest = written(pairs.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     if rest.isEmpty():
