@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import ascii_lower, barrier, col, written
+from studyloom.llm.shared import ascii_lower, barrier, col, dropped, written
 
 #: Words in a window, and the rows up to which a term list is broadcast.
 WINDOW, BROADCAST_TERMS = 10, 100_000
@@ -84,7 +84,7 @@ def windows_of(tokens: DataFrame, frequency: DataFrame, window: int) -> DataFram
 
 
 def phrase_matches(index: DataFrame, tokens: DataFrame, window: int = WINDOW) -> DataFrame:
-    """ikey, key, shift and starts: the windows of an item that stand in a document at one shift (document minus item position)."""
+    """A written table of ikey, key, shift and wins: the windows of an item that stand in a document at one shift (document minus item position)."""
     frequency = written(index.groupBy("tid").agg(F.count("*").alias("n")), "term-frequency")
     wins = written(windows_of(tokens, frequency, window), "windows")
     first, second = F.col("ranked")[0], F.get("ranked", F.least(F.lit(1), F.size("ranked") - 1))
@@ -104,7 +104,9 @@ def phrase_matches(index: DataFrame, tokens: DataFrame, window: int = WINDOW) ->
     met = asked.join(index.select(F.col("tid").alias("_t"), F.col("key").alias("_k"), F.col("pos").alias("_p")), (F.col("key") == F.col("_k")) & (F.col("pos") == F.col("_p")) & (F.col("tid") == F.col("_t")), "left_semi")
     there = met.groupBy("ikey", "key", "shift").agg(F.collect_set("at").alias("there"))
     ok = F.filter("wins", lambda w: F.size(F.array_intersect(F.sequence(w["start"], w["start"] + w["length"] - 1), "there")) == w["length"])
-    return aligned.join(there, ["ikey", "key", "shift"]).select("ikey", "key", "shift", ok.alias("wins")).where(F.size("wins") > 0)
+    matches = written(aligned.join(there, ["ikey", "key", "shift"]).select("ikey", "key", "shift", ok.alias("wins")).where(F.size("wins") > 0), "phrase-matches")
+    dropped(frequency, wins, seeds, rare, aligned)
+    return matches
 
 
 def proximity_matches(index: DataFrame, tokens: DataFrame, window: int = WINDOW, slop: int = 5) -> DataFrame:
@@ -134,7 +136,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def hits(items: DataFrame, tokens: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
     """key, n_hit, n_items, items (sorted ids, comma-joined) for documents with a match."""
-    found = written(phrase_matches(index, tokens, window), "phrase-matches")
+    found = phrase_matches(index, tokens, window)
     words = found.select("key", F.explode("wins").alias("w"), "shift").select("key", F.explode(F.sequence(F.col("shift") + F.col("w.start"), F.col("shift") + F.col("w.start") + F.col("w.length") - 1)).alias("pos"))
     n_hit = words.distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     named = found.select("ikey", "key").distinct().join(items.select("ikey", "item"), "ikey").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("names"))
@@ -152,7 +154,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """The rows of ``docs`` without a match, every column as it was."""
-    bad = hits(*prepared(docs, benchmark, id_col, text_col, **columns), window).select(F.col("key").alias("_key"))
+    items, tokens, index = prepared(docs, benchmark, id_col, text_col, **columns)
+    bad = hits(items, tokens, index, window).select(F.col("key").alias("_key"))
+    dropped(index)  # the hits are written
     return docs.join(bad, F.xxhash64(col(id_col), col(text_col)) == F.col("_key"), "left_anti")
 
 
