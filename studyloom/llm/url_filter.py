@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import ascii_lower, col, written
+from studyloom.llm.shared import ascii_lower, col, dropped, written
 
 #: Words of the unigram model, tokens of the classifier, and letters of the longest word.
 VOCABULARY, TOKENS, LONGEST = 50_000, 50_000, 20
@@ -79,7 +79,9 @@ def word_counts(texts: DataFrame, text_col: str, most: int = VOCABULARY, longest
     bare = F.regexp_replace(F.lower(col(text_col).cast("string")), "<[^>]*>", " ")
     words = texts.select(F.explode(F.regexp_extract_all(bare, F.lit(f"[a-z]{{2,{longest}}}"), F.lit(0))).alias("w"))
     counts = written(words.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
-    return {r["w"]: r["n"] for r in most_frequent(counts, most).collect()}  # at most ``most`` rows
+    found = {r["w"]: r["n"] for r in most_frequent(counts, most).collect()}  # at most ``most`` rows
+    dropped(counts)
+    return found
 
 
 class Segmenter:
@@ -151,6 +153,7 @@ def train(urls: DataFrame, counts: dict[str, int], most: int = TOKENS) -> NaiveB
     total = table.agg(F.sum("b"), F.sum("a")).first()
     rows = urls.where(F.col("ruled").isNotNull()).agg(F.sum(is_block), F.sum(1 - is_block)).first()
     top = most_frequent(table.withColumn("n", F.col("a") + F.col("b")), most).collect()  # at most ``most`` rows
+    dropped(table)
     return NaiveBayes({r["token"]: (r["b"], r["a"]) for r in top}, (total[0] or 0, total[1] or 0), (rows[0] or 0, rows[1] or 0))
 
 
