@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""Tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -8,19 +8,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only a local session may go without, and gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = "file://" + tempfile.mkdtemp(prefix="studyloom-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; only a local session may go without the setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="studyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/studyloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; nothing is created yet."""
+    return f"{shared_dir(spark)}/studyloom/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder."""
-    path = new_folder(df.sparkSession, name)
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` that nothing will read any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
