@@ -157,7 +157,7 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     items, tokens, index = prepared(docs, benchmark, id_col, text_col, **columns)
     bad = hits(items, tokens, index, window).select(F.col("key").alias("_key"))
     dropped(index)  # the hits are written
-    return docs.join(bad, F.xxhash64(col(id_col), col(text_col)) == F.col("_key"), "left_anti")
+    return docs.join(bad, F.xxhash64(col(id_col), col(text_col)) == bad["_key"], "left_anti")
 
 
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Each text becomes a set of hashed word shingles, and each different set one class with a MinHash signature of
 ``COORDINATES`` values.  Classes are posted under every (coordinate, value) pair.  A pair of classes at the similarity
-threshold agrees on at least ``MATCHES`` coordinates but for a chance of about one in a hundred thousand, so it must
-meet in the first ``COORDINATES - MATCHES + 1`` coordinates of either in any common order (the prefix).  The order is
+threshold agrees on at least :func:`matches_for` coordinates but for a chance of about one in a hundred thousand, so it must
+meet in the first ``COORDINATES - matches + 1`` coordinates of either in any common order (the prefix).  The order is
 by rising frequency: values that one class alone has use up prefix places and are never joined, and a class with more
 such values than a match allows is left out at once; frequent values fall behind the prefix.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +36,20 @@ from studyloom.llm.shared import col, dropped, written
 
 #: Words of a shingle and percent of similarity, unless a caller says otherwise.
 SHINGLE, PERCENT = 5, 80
-#: Signature length, and coordinates on which a pair must agree (for 80 percent, 4.7 standard deviations below the mean).
-COORDINATES, MATCHES = 64, 36
+#: Signature length, and how many standard deviations below its mean a pair's number of agreeing coordinates may lie.
+COORDINATES, DEVIATIONS = 64, 4.7
 #: Members beyond which a list that holds several components is merged by whole-set bounds.
 LONG_LIST = 64
 #: Bytes of text that are hashed side by side.
 BLOCK = 1 << 20
 
 
+def matches_for(percent: int) -> int:
+    """Coordinates on which a pair must agree: 36 of 64 for 80 percent."""
+    p = percent / 100
+    return max(1, int(COORDINATES * p - DEVIATIONS * math.sqrt(COORDINATES * p * (1 - p))))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer of 64 bits, in place."""
     x ^= x >> np.uint64(30)
@@ -311,10 +318,10 @@ def link(docs: DataFrame, signed_docs: DataFrame, words: int, percent: int, matc
     return components(edges.unionByName(confirmed(rest, sets_of(nodes_of(rest)), percent)))
 
 
-def _judged(docs: DataFrame, words: int, percent: int, matches: int, id_col: str, text_col: str) -> DataFrame:
+def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     own = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     marked = written(signed(own, words).withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), "signatures")
-    labels = link(own, marked, words, percent, matches)
+    labels = link(own, marked, words, percent, matches_for(percent))
     first = marked.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
     named = first.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -324,15 +331,15 @@ def _judged(docs: DataFrame, words: int, percent: int, matches: int, id_col: str
     return out.select("row_key", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) and kept for each row of ``docs``."""
-    return _judged(docs, words, percent, matches, id_col, text_col).drop("row_key")
+    return _judged(docs, words, percent, id_col, text_col).drop("row_key")
 
 
-def filter_documents(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def filter_documents(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, the one with the smallest id, every column as it was; rows that repeat it stay."""
-    bad = _judged(docs, words, percent, matches, id_col, text_col).where(~F.col("kept")).select(F.col("row_key").alias("_rejected")).distinct()
-    return docs.join(bad, F.xxhash64(col(id_col).cast("long"), col(text_col).cast("string")) == F.col("_rejected"), "left_anti")
+    bad = _judged(docs, words, percent, id_col, text_col).where(~F.col("kept")).select(F.col("row_key").alias("_rejected")).distinct()
+    return docs.join(bad, F.xxhash64(col(id_col).cast("long"), col(text_col).cast("string")) == bad["_rejected"], "left_anti")
 
 
 def op3_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, every column as it was; verdicts are joined by a hash of the four columns."""
     bad = _judged(docs, id_col, text_col, lang_col, source_col).where(~F.col("kept")).select(F.col("row_key").alias("_rejected")).distinct()
-    return docs.join(bad, F.xxhash64(col(id_col), col(text_col), col(lang_col), col(source_col)) == F.col("_rejected"), "left_anti")
+    return docs.join(bad, F.xxhash64(col(id_col), col(text_col), col(lang_col), col(source_col)) == bad["_rejected"], "left_anti")
 
 
 def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

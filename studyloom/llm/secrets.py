@@ -120,17 +120,18 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = with_verdicts(written(candidates(docs, id_col, text_col, owner_col, repo_col), "secret-candidates"))
     live = found.where(F.size("live") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.any_value("live").alias("_live"))
-    joined = docs.join(live, col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(col(text_col).cast("string")) == F.col("_key")), "left")
+    joined = docs.join(live, docs[f"`{id_col}`"].eqNullSafe(live["_id"]) & (F.xxhash64(docs[f"`{text_col}`"].cast("string")) == live["_key"]), "left")
+    text, spans = docs[f"`{text_col}`"], live["_live"]
     cut = F.aggregate(
-        F.col("_live"),
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(
             s["a"] >= acc["at"],
-            F.struct(s["b"].alias("at"), F.concat(acc["out"], F.substring(col(text_col), acc["at"] + 1, s["a"] - acc["at"]), F.lit("<secret>")).alias("out")),
+            F.struct(s["b"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit("<secret>")).alias("out")),
         ).otherwise(F.struct(F.greatest(acc["at"], s["b"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(col(text_col), acc["at"] + 1, F.lit(2147483647))),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2147483647))),
     )
-    return joined.select(*[F.when(F.col("_live").isNotNull(), cut).otherwise(col(c)).alias(c) if c == text_col else col(c) for c in docs.columns])
+    return joined.select(*[F.when(spans.isNotNull(), cut).otherwise(text).alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns])
 
 
 def op4_ownership_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

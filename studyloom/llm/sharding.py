@@ -60,7 +60,7 @@ def place(df: DataFrame, key_col: str = "doc_id", shards: Sequence[str] = SHARDS
     """Adds slot and shard."""
     table = df.sparkSession.createDataFrame([(k, shards[s]) for k, s in enumerate(lookup_table(shards, size))], "_slot int, shard string")
     kept = df.select(*[col(c) for c in df.columns if c.lower() not in ("slot", "shard")], slot_of(col(key_col), size).alias("slot"))
-    return kept.join(F.broadcast(table), F.col("slot") == F.col("_slot")).drop("_slot")  # as many rows as the parameter says
+    return kept.join(F.broadcast(table), kept["slot"] == table["_slot"]).drop(table["_slot"])  # as many rows as the parameter says
 
 
 def op9_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

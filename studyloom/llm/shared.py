@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.sources.storage import dropped, new_folder, written
+
+__all__ = ["ascii_lower", "barrier", "col", "dropped", "new_folder", "written"]
+
 #: Characters that end a word in the contracts that split on ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,45 +20,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="studyloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/studyloom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables made by :func:`written` that nothing will read any more."""
-    for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t.written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; whole-ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

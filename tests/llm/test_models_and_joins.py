@@ -85,7 +85,7 @@ def test_components_of_a_large_family(spark, monkeypatch, long_list):
 def test_component_edges(spark):
     text = " ".join(f"w{k}" for k in range(40))
     rows = [(5, text), (3, text.upper()), (3, text), (9, text + " more"), (1, None), (2, ""), (4, " \n"), (None, text), (6, "one"), (7, "ONE"), (8, "one two"), (3, "another text under that id"), (10, "q " * 60_000), (11, "Ähm é"), (12, "ähm é")]
-    df = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in rows], "doc_id long, text string, node int, label string, kept int")
+    df = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in rows], "doc_id long, text string, node int, label string, _rejected int")
     assert got_components(near_dedup.near_duplicates(df, words=2)) == brute_components(rows)
     left = near_dedup.filter_documents(df, words=2)
     assert left.columns == df.columns
@@ -255,7 +255,8 @@ def test_lookup_table():
 
 
 def test_placement(spark):
-    df = spark.createDataFrame([(1, "x", "old"), (1, "x", "old"), (None, "y", "old"), (2, None, None)], "doc_id long, slot string, shard string")
+    df = spark.createDataFrame([(1, "x", "old", 1), (1, "x", "old", 1), (None, "y", "old", 1), (2, None, None, 1)], "doc_id long, slot string, shard string, _slot int")
+    assert sharding.place(df).columns == ["doc_id", "_slot", "slot", "shard"]
     got = sharding.place(df).collect()
     assert len(got) == 4 and len({r["shard"] for r in got if r["doc_id"] == 1}) == 1
     table = sharding.lookup_table()

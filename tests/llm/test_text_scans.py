@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from studyloom.llm import decontamination, pii, quality, secrets
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SCHEMA = "doc_id long, text string, lang string, source string, kept int, spans string, key string, n_words int, owner string"
+SCHEMA = "doc_id long, text string, lang string, source string, kept int, spans string, key string, n_words int, owner string, _key int, _live int, _rejected int, _id int"
 
 
 def docs(spark, rows):
     """(id, text, lang, source), with other columns of clashing names."""
-    return spark.createDataFrame([(*r, 1, "s", "k", 2, "o") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, 1, "s", "k", 2, "o", 3, 4, 5, 6) for r in rows], SCHEMA)
 
 
 def sha(s):
