@@ -276,8 +276,6 @@ def test_sql(spark, sf, name):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
     want, df = con.sql(queries.oracle_sql()[name]), queries.queries()[name](spark, sf)
     order = sorted(df.columns)
-    if name == "op5_adaptive_quality":
-        order.remove("kept")  # checked on its own where sketches are exact
     at = [want.columns.index(c) for c in order]
     assert sorted(want.columns) == sorted(df.columns)
     assert sorted(str([r[c] for c in order]) for r in df.collect()) == sorted(str([r[k] for k in at]) for r in want.fetchall())
