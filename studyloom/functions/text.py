@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: The code points of white space, as first and last of each range.
 WHITE_SPACE = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 WS = "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in WHITE_SPACE) + "]+"
+#: A run of white space that is not a single blank, which would be replaced by itself.
+_ODD_WS = "[" + WS[1:-2].replace("\\u001c-\\u0020", "\\u001c-\\u001f") + "]" + WS[:-1] + "*| " + WS
 #: Fixed values of the question generator.
 TOPIC_WORDS, NO_TOPIC, SENTENCE_CHARS, SNIPPET_CHARS = 6, "this topic", 40, 240
 SOURCE_CHARS, EMBEDDING_CHARS, WEAK_CHARS, SCRIPT_CHARS = 1000, 2000, 200, 1500
@@ -18,43 +20,52 @@ SOURCE_CHARS, EMBEDDING_CHARS, WEAK_CHARS, SCRIPT_CHARS = 1000, 2000, 200, 1500
 
 def normalized(text: Column) -> Column:
     """White-space runs become one blank, ends are trimmed."""
-    return F.trim(F.regexp_replace(text, WS, " "))
+    return F.trim(_single_blanks(text))
+
+
+def _single_blanks(text: Column) -> Column:
+    return F.regexp_replace(text, _ODD_WS, " ")
 
 
 def light_clean(text: Column) -> Column:
     """White-space runs become a blank, then runs beyond ASCII do, which may leave double blanks inside; ends are trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, WS, " "), r"[^\x00-\x7F]+", " "))
+    return F.trim(F.regexp_replace(_single_blanks(text), r"[^\x00-\x7F]+", " "))
 
 
 def full_clean(text: Column) -> Column:
     """Also removes page separators, web addresses, mail addresses and all but letters, digits and common marks."""
-    out = F.regexp_replace(text, WS, " ")
+    out = _single_blanks(text)
     for pattern in (r"--- PAGE \p{Nd}+ ---", "http[^ ]+|www[^ ]+", "[^ ]+@[^ ]+", r"""[^a-zA-Z0-9 .,!?'"\-:]"""):
         out = F.regexp_replace(out, pattern, "")
-    return F.trim(F.regexp_replace(out, " +", " "))
+    return F.trim(F.regexp_replace(out, " {2,}", " "))
 
 
-def words(text: Column) -> Column:
-    """Non-empty words between white space."""
-    return F.filter(F.split(text, WS), lambda w: w != "")
+def words(text: Column, cleaned: bool = False) -> Column:
+    """Non-empty words between white space; a ``cleaned`` text holds none but blanks."""
+    return F.filter(F.split(text, " " if cleaned else WS), lambda w: w != "")
 
 
 def topic(text: Column) -> Column:
     """The first six runs of ASCII letters and digits, or a stand-in."""
-    found = F.slice(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), 1, TOPIC_WORDS)
+    head = F.regexp_extract(text, f"^(?:[^A-Za-z0-9]*+[A-Za-z0-9]++){{1,{TOPIC_WORDS}}}+", 0)
+    found = F.regexp_extract_all(head, F.lit("[A-Za-z0-9]+"), F.lit(0))
     return F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(F.lit(NO_TOPIC))
 
 
-def sentences(text: Column) -> Column:
-    """Up to three different sentences of 40 characters or more, case aside, first spelling first; only three are ever used."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])" + WS), normalized), lambda s: F.char_length(s) >= SENTENCE_CHARS)
+def sentences(text: Column, joined: bool = False) -> Column:
+    """Up to three different sentences of 40 characters or more, case aside, first spelling first; only three are ever used.
+
+    A ``joined`` text, as chunks are, is words with one blank between.
+    """
+    parts = F.split(text, r" (?<=[.!?] )") if joined else F.transform(F.split(text, r"(?<=[.!?])" + WS), normalized)
+    parts = F.filter(parts, lambda s: F.char_length(s) >= SENTENCE_CHARS)
     seen = lambda acc, s: F.exists(acc, lambda y: F.lower(y) == F.lower(s))
     return F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when((F.size(acc) >= 3) | seen(acc, s), acc).otherwise(F.array_append(acc, s)))
 
 
-def answers(text: Column) -> Column:
+def answers(text: Column, joined: bool = False) -> Column:
     """The sentences, or else the first 240 characters of the normalized text as the only one; none for blank text."""
-    found, short = sentences(text), F.trim(F.substring(normalized(text), 1, SNIPPET_CHARS))
+    found, short = sentences(text, joined), F.trim(F.substring(text if joined else normalized(text), 1, SNIPPET_CHARS))
     return F.when(F.size(found) > 0, found).when(short != "", F.array(short)).otherwise(F.array().cast("array<string>"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.functions.formats import trimmed, valid_color, valid_name
-from studyloom.sources.storage import written
+from studyloom.sources.storage import dropped, written
 
 
 def by_id(df: DataFrame, value, id_col: str = "id") -> DataFrame:
@@ -37,7 +37,9 @@ def with_new_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, i
     The numbered ranges are written, as a second evaluation could cut them elsewhere.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    held = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "new-ids")
+    rows = written(df, "rows-to-number")  # finding the ranges takes a pass of its own
+    held = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "new-ids")
+    dropped(rows)
     own = held.withColumns({"_p": F.shiftright("_m", 33), "_own": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = own.groupBy("_p").agg(F.count("*").alias("_c"))
     before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))  # one row a range

@@ -27,11 +27,14 @@ def _items(held_answers: str, held_topic: str) -> Column:
     return F.array(*rows)
 
 
-def fallback_qa(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """Three rows for each chunk that isn't blank: question, answer, difficulty, topic and source_chunk in place of the text."""
+def fallback_qa(chunks: DataFrame, text_col: str = "text", joined: bool = False) -> DataFrame:
+    """Three rows for each chunk that isn't blank: question, answer, difficulty, topic and source_chunk in place of the text.
+
+    ``joined`` says that texts are words with one blank between, as the chunk operator makes them.
+    """
     others = [c for c in chunks.columns if c not in (text_col, "question", "answer", "difficulty", "topic", "source_chunk")]
     own = F.col(text_col)
-    held = chunks.where(own.isNotNull()).select(*others, source_chunk(own).alias("source_chunk"), F.inline(F.array(F.struct(answers(own).alias("_a"), topic(own).alias("_t")))))
+    held = chunks.where(own.isNotNull()).select(*others, source_chunk(own).alias("source_chunk"), F.inline(F.array(F.struct(answers(own, joined).alias("_a"), topic(own).alias("_t")))))
     return held.where(F.size("_a") > 0).select(*others, "source_chunk", F.inline(_items("_a", "_t")))
 
 

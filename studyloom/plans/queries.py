@@ -33,11 +33,11 @@ def _cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunk(_cleaned(spark, d))
+    return chunk(_cleaned(spark, d), cleaned=True)
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return qa.fallback_qa(_chunks(spark, d).drop("title", "word_count"))
+    return qa.fallback_qa(_chunks(spark, d).drop("title", "word_count"), joined=True)
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +273,7 @@ def generate_with_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 def export_markdown(spark: SparkSession, d: str) -> DataFrame:
     own = first_chunks(_chunks(spark, d), 1)
-    pairs = qa.fallback_qa(own.select("doc_id", "text")).where("difficulty = 'easy'")
+    pairs = qa.fallback_qa(own.select("doc_id", "text"), joined=True).where("difficulty = 'easy'")
     return sinks.markdown(crud.with_new_ids(pairs, ["doc_id"], id_col="number")).withColumn("number", F.col("number").cast("long"))
 
 
