@@ -28,7 +28,7 @@ from studyloom.llm.shared import col, written
 #: Tokens in a sequence, and the id that ends a document.
 MAX_TOKENS, END_ID = 2048, 0
 #: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 #: Pieces for each salt of the ranking, about; a length with a third of all pieces has a third of that in a group.
 RANK_ROWS = 10_000
 
