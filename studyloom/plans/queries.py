@@ -17,7 +17,7 @@ from studyloom.operators import analytics, cards, crud, qa, srs, vectors
 from studyloom.operators.chunking import chunk, first_chunks
 from studyloom.plans import flows
 from studyloom.sources import files, sinks
-from studyloom.sources.storage import new_folder
+from studyloom.sources.storage import new_folder, spread
 from studyloom.streaming import reviews
 
 #: The moment at which cards are due.
@@ -28,8 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text", "n_chars"))
+
+
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "source", text.light_clean(F.col("text")).alias("text"))
+    return _texts(spark, d).select("doc_id", "source", text.light_clean(F.col("text")).alias("text"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +68,7 @@ def clean_light(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_full(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.full_clean(F.col("text")).alias("text"))
+    return _texts(spark, d).select("doc_id", text.full_clean(F.col("text")).alias("text"))
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +76,7 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    sizes = table(spark, d, "documents").select("doc_id", F.char_length("text").alias("raw_chars"), F.char_length(text.light_clean(F.col("text"))).alias("cleaned_chars"))
+    sizes = _texts(spark, d).select("doc_id", F.char_length("text").alias("raw_chars"), F.char_length(text.light_clean(F.col("text"))).alias("cleaned_chars"))
     return sizes.join(analytics.chunk_stats(_chunks(spark, d), ["doc_id"]), "doc_id")
 
 
@@ -104,7 +108,7 @@ def preview_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_metadata(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text", F.when(F.col("n_chars") < 50, "too short").alias("error"))
+    own = _texts(spark, d).select(F.col("doc_id").alias("path"), "text", F.when(F.col("n_chars") < 50, "too short").alias("error"))
     return flows.batch(own, "2024-01-15T00:00:00")[0]
 
 

@@ -42,3 +42,9 @@ def dropped(*tables: DataFrame) -> None:
         context = t.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(t.written_to)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it has fewer partitions than cores, as a small file has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
