@@ -50,6 +50,13 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
     return first.select(F.col("doc_id").alias("id"), F.col("source").alias("instance_id"), F.col("title").alias("question"), text.topic(F.col("text")).alias("answer"))
 
 
+def _numbered_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of all chunks with a number of their own, in the order in which they are generated."""
+    levels = F.array(*[F.lit(level) for level, *_ in qa.TEMPLATES])
+    own = _pairs(spark, d).select("doc_id", "source", "chunk_id", F.array_position(levels, F.col("difficulty")).alias("level"), "question", "answer", "difficulty", "topic")
+    return crud.with_new_ids(own, ["doc_id", "chunk_id", "level"], id_col="number")
+
+
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("card_id"), "ts", "event_id", F.col("event_type").isin("purchase", "click").alias("correct"))
 
@@ -131,6 +138,13 @@ def flashcards_new(spark: SparkSession, d: str) -> DataFrame:
     return cards.new_cards(pairs, have)
 
 
+def flashcards_new_all(spark: SparkSession, d: str) -> DataFrame:
+    """Cards from all pairs of all chunks; documents of good quality have theirs."""
+    pairs = _numbered_pairs(spark, d).select("doc_id", F.col("number").cast("long").alias("id"), F.col("source").alias("instance_id"), "question", "answer")
+    have = pairs.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    return cards.new_cards(pairs, have.select("instance_id", "question").distinct())
+
+
 def distinct_documents(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("instance_id"), F.md5("text").alias("file_path"))
     return cards.distinct_paths(own)
@@ -146,6 +160,10 @@ def unique_questions(spark: SparkSession, d: str) -> DataFrame:
     return cards.unique_questions(_titles(spark, d), ["instance_id"])
 
 
+def unique_questions_all(spark: SparkSession, d: str) -> DataFrame:
+    return cards.unique_questions(_pairs(spark, d).withColumnRenamed("source", "instance_id"), ["instance_id"])
+
+
 def review_state(spark: SparkSession, d: str) -> DataFrame:
     return srs.review_state(_reviews(spark, d))
 
@@ -310,3 +328,11 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
+
+
+#: Queries over all pairs of all chunks.  The SQL of their namesakes without _all is fixed to the first chunk.
+WHOLE: tuple[Callable[[SparkSession, str], DataFrame], ...] = (flashcards_new_all, unique_questions_all)
+
+
+def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in WHOLE}

@@ -1,0 +1,42 @@
+"""Queries over all pairs of all chunks, against SQL without a filter."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from studyloom.plans.oracles import _PAIRS
+
+_NUMBERED = f"{_PAIRS}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, chunk_id, CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS number FROM pairs)"
+SQL = {
+    "flashcards_new_all": f"""WITH {_NUMBERED}, have AS (SELECT DISTINCT source, question FROM numbered WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+first AS (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY source, question ORDER BY number) = 1)
+SELECT f.source AS instance_id, f.number AS id, f.question, f.answer, 2.5::DOUBLE AS ease_factor, 1::BIGINT AS interval, 0::INT AS repetitions FROM first f WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.source = f.source AND h.question = f.question)""",
+    "unique_questions_all": f"WITH {_PAIRS} SELECT source AS instance_id, count(*) AS questions, count(DISTINCT question) AS unique_questions FROM pairs GROUP BY source",
+}
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for p in Path(sf).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_whole(spark, sf, duck, name):
+    df, want = entry.queries()[name](spark, sf), duck.sql(SQL[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    got = sorted(tuple(map(str, r)) for r in df.select(*want.columns).collect())
+    assert got == sorted(tuple(map(str, r)) for r in want.fetchall())
+
+
+def test_questions_of_all_chunks(spark, sf):
+    """Every pair is counted, those of later chunks too."""
+    rows = entry.queries()["unique_questions_all"](spark, sf).collect()
+    pairs = entry.queries()["fallback_qa"](spark, sf)
+    assert sum(r["questions"] for r in rows) == pairs.count() > pairs.where("chunk_id = 1").count()
