@@ -285,12 +285,19 @@ def extract_json(spark: SparkSession, d: str) -> DataFrame:
     return own.select("event_id", "i.question", "i.answer", "i.difficulty", "i.topic")
 
 
-def generate_with_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Model outputs for first chunks: short ones have none, so the generator answers."""
-    first = first_chunks(_chunks(spark, d), 1).drop("title")
+def _generated(chunks: DataFrame) -> DataFrame:
+    """Model outputs for chunks: short ones have none, so the generator answers."""
     item = F.to_json(F.struct(F.lit("What is it?").alias("question"), F.substring("text", 1, 20).alias("answer"), F.lit("easy").alias("difficulty"), F.lit("model").alias("topic")))
     output = F.when(F.col("word_count") >= 100, F.concat(F.lit("["), item, F.lit("]")))
-    return qa.from_responses(first.withColumn("output", output).drop("word_count", "source")).select("doc_id", "question", "answer", "difficulty", "topic", "rejected")
+    return qa.from_responses(chunks.withColumn("output", output).drop("title", "word_count", "source"))
+
+
+def generate_with_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return _generated(first_chunks(_chunks(spark, d), 1)).select("doc_id", "question", "answer", "difficulty", "topic", "rejected")
+
+
+def generate_with_fallback_all(spark: SparkSession, d: str) -> DataFrame:
+    return _generated(_chunks(spark, d)).select("doc_id", "chunk_id", "question", "answer", "difficulty", "topic", "rejected")
 
 
 def export_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -331,7 +338,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: Queries over all pairs of all chunks.  The SQL of their namesakes without _all is fixed to the first chunk.
-WHOLE: tuple[Callable[[SparkSession, str], DataFrame], ...] = (flashcards_new_all, unique_questions_all)
+WHOLE: tuple[Callable[[SparkSession, str], DataFrame], ...] = (flashcards_new_all, unique_questions_all, generate_with_fallback_all)
 
 
 def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,6 +16,8 @@ SQL = {
 first AS (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY source, question ORDER BY number) = 1)
 SELECT f.source AS instance_id, f.number AS id, f.question, f.answer, 2.5::DOUBLE AS ease_factor, 1::BIGINT AS interval, 0::INT AS repetitions FROM first f WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.source = f.source AND h.question = f.question)""",
     "unique_questions_all": f"WITH {_PAIRS} SELECT source AS instance_id, count(*) AS questions, count(DISTINCT question) AS unique_questions FROM pairs GROUP BY source",
+    "generate_with_fallback_all": f"""WITH {_PAIRS} SELECT doc_id, chunk_id, 'What is it?' AS question, substring(text, 1, 20) AS answer, 'easy' AS difficulty, 'model' AS topic, false AS rejected FROM chunks WHERE word_count >= 100
+UNION ALL SELECT doc_id, chunk_id, p.question, p.answer, p.difficulty, p.topic, false FROM pairs p JOIN chunks c USING (doc_id, chunk_id) WHERE c.word_count < 100""",
 }
 
 
