@@ -306,6 +306,10 @@ def export_markdown(spark: SparkSession, d: str) -> DataFrame:
     return sinks.markdown(crud.with_new_ids(pairs, ["doc_id"], id_col="number")).withColumn("number", F.col("number").cast("long"))
 
 
+def export_markdown_all(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.markdown(_numbered_pairs(spark, d)).withColumn("number", F.col("number").cast("long"))
+
+
 def export_csv_rows(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select(*sinks.CSV_COLUMNS)
 
@@ -338,7 +342,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: Queries over all pairs of all chunks.  The SQL of their namesakes without _all is fixed to the first chunk.
-WHOLE: tuple[Callable[[SparkSession, str], DataFrame], ...] = (flashcards_new_all, unique_questions_all, generate_with_fallback_all)
+WHOLE: tuple[Callable[[SparkSession, str], DataFrame], ...] = (flashcards_new_all, unique_questions_all, generate_with_fallback_all, export_markdown_all)
 
 
 def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,6 +18,7 @@ SELECT f.source AS instance_id, f.number AS id, f.question, f.answer, 2.5::DOUBL
     "unique_questions_all": f"WITH {_PAIRS} SELECT source AS instance_id, count(*) AS questions, count(DISTINCT question) AS unique_questions FROM pairs GROUP BY source",
     "generate_with_fallback_all": f"""WITH {_PAIRS} SELECT doc_id, chunk_id, 'What is it?' AS question, substring(text, 1, 20) AS answer, 'easy' AS difficulty, 'model' AS topic, false AS rejected FROM chunks WHERE word_count >= 100
 UNION ALL SELECT doc_id, chunk_id, p.question, p.answer, p.difficulty, p.topic, false FROM pairs p JOIN chunks c USING (doc_id, chunk_id) WHERE c.word_count < 100""",
+    "export_markdown_all": f"""WITH {_NUMBERED} SELECT number, '## ' || number || '. ' || question || chr(10) || chr(10) || '**Answer:** ' || answer || chr(10) || chr(10) || '**Difficulty:** ' || difficulty || ' | **Topic:** ' || topic || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS section FROM numbered""",
 }
 
 
