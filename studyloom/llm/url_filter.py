@@ -4,10 +4,11 @@ Host names run words together.  A unigram model, counted over the whole corpus,
 into its most probable words; multinomial naive Bayes then scores the words of host and path.  It learns from the urls
 that a rule decides, all of them, and judges the others.
 
-Both models have a fixed size: the ``VOCABULARY`` most frequent words and the ``TOKENS`` most frequent tokens, whose
-counts are summed on the map side over all rows; nothing else reaches the driver or is broadcast.  Rules are
-configuration, a few hundred at most, and become one expression.  A host that a third of the rows share is segmented
-once for each worker and needs no shuffle.
+Both models are whole: the total counts every word, and a word's count is kept if the word stands anywhere in a host or
+path, as no other can be asked for; every token counts.  Counts are summed on the map side over all rows.  The words
+that the urls hold and their tokens reach the driver and every worker, so they grow with the different words of the
+urls.  Rules are configuration, a few hundred at most, and become one expression.  A host that a third of the rows share
+is segmented once for each worker and needs no shuffle.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and is allowed; null ids are kept; repeated
 rows each get their result; with no row that a rule decides, all others are allowed; an empty table gives an empty
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from studyloom.llm.shared import ascii_lower, col, dropped, written
 
-#: Words of the unigram model, tokens of the classifier, and letters of the longest word.
-VOCABULARY, TOKENS, LONGEST = 50_000, 50_000, 20
+#: Letters of the longest word.
+LONGEST = 20
 #: Segmentations that a worker remembers.
 REMEMBERED = 100_000
 #: The registered query's rules: verdict, host, path.
@@ -74,21 +75,30 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
-def word_counts(texts: DataFrame, text_col: str, most: int = VOCABULARY, longest: int = LONGEST) -> dict[str, int]:
-    """The ``most`` frequent words of letters a to z over all rows, markup left out; words tied beyond ``most`` are all left out."""
+def possible_words(urls: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """w: every different stretch of 2 to ``longest`` letters in the hosts and paths of ``urls``."""
+    each = F.concat(*[F.regexp_extract_all(c, F.lit("[a-z]{2,}"), F.lit(0)) for c in (F.col("host"), F.lower("path"))])
+    runs = urls.select(F.explode(each).alias("run")).distinct()
+    ends = runs.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("run") - 1), lambda at: F.substring("run", at, F.lit(longest)))).alias("end")).distinct()
+    return ends.select(F.explode(F.transform(F.sequence(F.lit(2), F.char_length("end")), lambda n: F.substring("end", F.lit(1), n))).alias("w")).distinct()
+
+
+def word_counts(texts: DataFrame, text_col: str, urls: DataFrame, longest: int = LONGEST) -> tuple[dict[str, int], int]:
+    """Counts over all rows of the words of letters a to z that stand in a host or path, and the total of all words; markup left out."""
     bare = F.regexp_replace(F.lower(col(text_col).cast("string")), "<[^>]*>", " ")
     words = texts.select(F.explode(F.regexp_extract_all(bare, F.lit(f"[a-z]{{2,{longest}}}"), F.lit(0))).alias("w"))
     counts = written(words.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
-    found = {r["w"]: r["n"] for r in most_frequent(counts, most).collect()}  # at most ``most`` rows
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = {r["w"]: r["n"] for r in counts.join(possible_words(urls, longest), "w", "left_semi").collect()}
     dropped(counts)
-    return found
+    return found, total
 
 
 class Segmenter:
     """The most probable split of letters into words under a unigram model; unknown words cost more the longer they are."""
 
-    def __init__(self, counts: dict[str, int], longest: int = LONGEST) -> None:
-        total = float(sum(counts.values()) or 1)
+    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int = LONGEST) -> None:
+        total = float((sum(counts.values()) if total is None else total) or 1)
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unknown = [math.log(total) + k * math.log(10) for k in range(longest + 1)]
         self.longest = longest
@@ -115,11 +125,11 @@ class Segmenter:
         return out
 
 
-def token_table(urls: DataFrame, segmenter_counts: dict[str, int]) -> DataFrame:
+def token_table(urls: DataFrame, counts: dict[str, int], total: int) -> DataFrame:
     """A row for each token of each url that a rule decides: token, ruled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(segmenter_counts)
+        segmenter = Segmenter(counts, total)
         for batch in batches:
             tokens, verdicts = [], []
             for host, path, ruled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -145,25 +155,24 @@ class NaiveBayes:
         return self.prior + sum(self.odds.get(t, 0.0) for t in tokens) if self.ready else 0.0
 
 
-def train(urls: DataFrame, counts: dict[str, int], most: int = TOKENS) -> NaiveBayes:
-    """From all rows of ``urls`` with ruled."""
+def train(urls: DataFrame, counts: dict[str, int], total: int) -> NaiveBayes:
+    """From all rows of ``urls`` with ruled, every token."""
     is_block = (F.col("ruled") == "block").cast("long")
-    table = token_table(urls, counts).groupBy("token").agg(F.sum(is_block).alias("b"), F.sum(1 - is_block).alias("a"))
+    table = token_table(urls, counts, total).groupBy("token").agg(F.sum(is_block).alias("b"), F.sum(1 - is_block).alias("a"))
     table = written(table, "url-tokens")
-    total = table.agg(F.sum("b"), F.sum("a")).first()
     rows = urls.where(F.col("ruled").isNotNull()).agg(F.sum(is_block), F.sum(1 - is_block)).first()
-    top = most_frequent(table.withColumn("n", F.col("a") + F.col("b")), most).collect()  # at most ``most`` rows
+    found = {r["token"]: (r["b"], r["a"]) for r in table.collect()}
     dropped(table)
-    return NaiveBayes({r["token"]: (r["b"], r["a"]) for r in top}, (total[0] or 0, total[1] or 0), (rows[0] or 0, rows[1] or 0))
+    return NaiveBayes(found, (sum(b for b, _ in found.values()), sum(a for _, a in found.values())), (rows[0] or 0, rows[1] or 0))
 
 
-def judge(urls: DataFrame, counts: dict[str, int], model: NaiveBayes) -> DataFrame:
+def judge(urls: DataFrame, counts: dict[str, int], total: int, model: NaiveBayes) -> DataFrame:
     """page_id, host, path, rule, verdict, words (the segmented host) and score for rows of :func:`with_rules`."""
     schema = "page_id long, host string, path string, rule string, verdict string, words string, score double"
     kinds = [pa.int64(), *[pa.string()] * 5, pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(counts)
+        segmenter = Segmenter(counts, total)
         for batch in batches:
             page, host, path, rule, ruled = (c.to_pylist() for c in batch.columns)
             words, scores, verdicts = [], [], []
@@ -180,8 +189,8 @@ def judge(urls: DataFrame, counts: dict[str, int], model: NaiveBayes) -> DataFra
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """Every page's verdict; words are counted over the pages' own texts."""
     urls = with_rules(split_urls(pages, id_col, url_col), rules)
-    counts = word_counts(pages, text_col)
-    return judge(urls, counts, train(urls, counts))
+    counts, total = word_counts(pages, text_col, urls)
+    return judge(urls, counts, total, train(urls, counts, total))
 
 
 def op7_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,17 @@ def test_unseen_hosts_follow_their_words(spark):
     assert [got[k] for k in range(120, 160)] == ["block"] * 20 + ["allow"] * 20
 
 
+def test_rare_words_split_hosts(spark):
+    """A word counts however many others are more frequent; the total is over all words, also those in no url."""
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    common = " ".join([name(k) for k in range(60_000)] * 2)
+    df = spark.createDataFrame([(1, "http://zyxwvutsrqponm.info/zyxwvut", common + " zyxwvut srqponm")], "page_id long, url string, html string")
+    counts, total = url_filter.word_counts(df, "html", url_filter.split_urls(df))
+    assert total == 120_002 and counts["zyxwvut"] == counts["srqponm"] == 1
+    assert all(w in "zyxwvutsrqponm info" for w in counts)
+    assert url_filter.filter_urls(df).first()["words"] == "zyxwvut srqponm info"
+
+
 def test_most_frequent(spark):
     counts = spark.createDataFrame([("a", 5), ("b", 5), ("c", 3), ("d", 3), ("e", 1)], "w string, n long")
     for most, want in ((5, 5), (4, 4), (3, 2), (1, 0)):
