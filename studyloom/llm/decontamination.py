@@ -112,14 +112,22 @@ def phrase_matches(index: DataFrame, tokens: DataFrame, window: int = WINDOW) ->
 def proximity_matches(index: DataFrame, tokens: DataFrame, window: int = WINDOW, slop: int = 5) -> DataFrame:
     """ikey, start, key: windows of which each term stands, in any order, within ``window + slop`` words of the document.
 
-    From the rarest term's postings; the other terms' postings are met within that reach.
+    From the rarest term's postings; those without the second-rarest term within that reach go, then the other terms'
+    postings in the documents that are left are met.
     """
     frequency = written(index.groupBy("tid").agg(F.count("*").alias("n")), "term-frequency")
-    wins = windows_of(tokens, frequency, window).select("ikey", "start", "length", F.col("ranked")[0]["tid"].alias("rare"), F.array_distinct("ranked.tid").alias("tids"))
+    second = F.get("ranked", F.least(F.lit(1), F.size("ranked") - 1))
+    wins = written(windows_of(tokens, frequency, window).select("ikey", "start", "length", F.col("ranked")[0]["tid"].alias("rare"), second["tid"].alias("rare2"), F.array_distinct("ranked.tid").alias("tids")), "near-windows")
+    rare = written(wins.select(F.col("rare").alias("tid")).union(wins.select("rare2")).distinct(), "rare-terms")
+    lists = index.join(bounded(rare, rare.count()), "tid", "left_semi")
     reach = F.col("length") + slop
-    seeds = wins.join(index, F.col("rare") == F.col("tid")).select("ikey", "start", "length", "tids", "key", F.col("pos").alias("center"))
+    found = lists.join(bounded(wins, wins.count()), F.col("rare") == F.col("tid")).select("ikey", "start", "length", "rare2", "tids", "key", F.col("pos").alias("center"))
+    other = lists.select(F.col("tid").alias("_t"), F.col("key").alias("_k"), F.col("pos").alias("_p"))
+    seeds = written(found.join(other, (F.col("key") == F.col("_k")) & (F.col("rare2") == F.col("_t")) & (F.abs(F.col("_p") - F.col("center")) < reach), "left_semi").drop("rare2"), "near-seeds")
+    keys = written(seeds.select("key").distinct(), "near-keys")
+    held = index.join(bounded(keys, keys.count()), "key", "left_semi")
     asked = seeds.select("*", F.explode("tids").alias("want"))
-    near = asked.join(index.select("tid", F.col("key").alias("_k"), "pos"), (F.col("key") == F.col("_k")) & (F.col("want") == F.col("tid")) & (F.abs(F.col("pos") - F.col("center")) < reach))
+    near = asked.join(held.select("tid", F.col("key").alias("_k"), "pos"), (F.col("key") == F.col("_k")) & (F.col("want") == F.col("tid")) & (F.abs(F.col("pos") - F.col("center")) < reach))
     seen = near.groupBy("ikey", "start", "length", "key", "center").agg(F.size(F.any_value("tids")).alias("need"), F.collect_set(F.struct("pos", "tid")).alias("seen"))
     fits = F.exists("seen", lambda s: F.size(F.array_distinct(F.transform(F.filter("seen", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + F.col("length") + slop)), lambda x: x["tid"]))) == F.col("need"))
     return seen.where(fits).select("ikey", "start", "key").distinct()
@@ -143,13 +151,26 @@ def hits(items: DataFrame, tokens: DataFrame, index: DataFrame, window: int = WI
     return n_hit.join(named, "key").select("key", "n_hit", F.size("names").cast("long").alias("n_items"), F.array_join("names", ",").alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items for each row of ``docs``."""
+def near_items(items: DataFrame, tokens: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
+    """key and n_near_items, the items of which a window's terms stand close together in any order, for documents with one."""
+    found = proximity_matches(index, tokens, window).select("ikey", "key").distinct().join(items.select("ikey", "item"), "ikey")
+    return found.select("key", "item").distinct().groupBy("key").agg(F.count("*").alias("n_near_items"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", near: bool = False, **columns: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items for each row of ``docs``; with ``near`` also n_near_items.
+
+    Proximity matches are counted only; contaminated follows exact windows.
+    """
     items, tokens, index = prepared(docs, benchmark, id_col, text_col, **columns)
     known = lengths(index).join(hits(items, tokens, index, window), "key", "left").withColumnRenamed("key", "_key")
     own = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(id_col), col(text_col)).alias("key"))
     zero, names = F.lit(0).cast("long"), F.coalesce("items", F.lit(""))
-    return own.join(known, F.col("key") == F.col("_key"), "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(names, 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), names.alias("items"))
+    added = []
+    if near:
+        known = known.join(near_items(items, tokens, index, window).withColumnRenamed("key", "_near"), F.col("_key") == F.col("_near"), "left")
+        added = [F.coalesce("n_near_items", zero).alias("n_near_items")]
+    return own.join(known, F.col("key") == F.col("_key"), "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(names, 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), names.alias("items"), *added)
 
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
@@ -162,3 +183,8 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
 
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")
+
+
+def op6_phrases_and_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6_positional_index, with n_near_items from the same index."""
+    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near=True).drop("items")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from studyloom.llm.decontamination import op6_positional_index
+from studyloom.llm.decontamination import op6_phrases_and_proximity, op6_positional_index
 from studyloom.llm.language_id import op8_byte_gru
 from studyloom.llm.near_dedup import op3_signature_join
 from studyloom.llm.oracles import oracle_sql
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ownership_frequency": op4_ownership_frequency,
         "op5_adaptive_quality": op5_adaptive_quality,
         "op6_positional_index": op6_positional_index,
+        "op6_phrases_and_proximity": op6_phrases_and_proximity,
         "op7_host_words": op7_host_words,
         "op8_byte_gru": op8_byte_gru,
         "op9_lookup_sharding": op9_lookup_sharding,

@@ -178,6 +178,31 @@ def test_proximity(spark):
     assert whole.where("term = 'alpha'").count() == 3 and set(whole.columns) == {"term", "key", "pos"}
 
 
+def test_proximity_of_all_documents(spark, sf):
+    """The registered query's near items, by brute force; and a passage with inserted and swapped words."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    said = lambda t: word.findall((t or "").translate(LOW))
+
+    def near(text, items):
+        w, out = said(text), set()
+        for i, t in items:
+            b = said(t)
+            size = min(10, len(b))
+            wins = [set(b[k : k + size]) for k in range(len(b) - size + 1)] if b else []
+            if any(x <= have and any(x <= set(w[p : p + size + 5]) for p in range(len(w))) for have in [set(w)] for x in wins):
+                out.add(i)
+        return len(out)
+
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    rows = decontamination.op6_phrases_and_proximity(spark, sf).collect()
+    assert {r["doc_id"]: r["n_near_items"] for r in rows} == {d: near(t, items) for d, t, *_ in table(spark, sf)}
+    assert all(r["n_near_items"] >= r["n_items"] for r in rows)
+    w = said(items[0][1])
+    moved = " ".join([w[1], w[0], "zzz", *w[2:9][::-1], "zzz", *w[9:12]])
+    got = decontamination.contamination(docs(spark, [(1, moved, "en", "s"), (2, items[0][1], "en", "s"), (3, None, "en", "s")]), spark.createDataFrame(items, "item_id long, text string"), near=True).collect()
+    assert sorted((r["doc_id"], r["n_items"], r["n_near_items"]) for r in got) == [(1, 0, near(moved, items)), (2, 1, 1), (3, 0, 0)] and near(moved, items) == 1
+
+
 # --- personal data
 
 
