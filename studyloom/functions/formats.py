@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from studyloom.functions.text import normalized_ends
 
 #: Fixed value: hex or HSL colours.
-COLOR = r"^#[0-9A-Fa-f]{6}$|^hsl\([0-9]+,\s*[0-9]+%,\s*[0-9]+%\)$"
+COLOR = r"^#[0-9A-Fa-f]{6}$|^hsl\(\d+,\s*\d+%,\s*\d+%\)$"
 
 
 def round_half_up(x: Column) -> Column:
@@ -33,12 +33,13 @@ def valid_name(name: Column) -> Column:
 
 
 def valid_color(color: Column) -> Column:
-    return F.coalesce(color.rlike(COLOR), F.lit(True))
+    # the engine's $ also stands before a final line break, which no colour has
+    return F.coalesce(color.rlike(COLOR) & F.substring(color, -1, 1).rlike("[0-9A-Fa-f)]"), F.lit(True))
 
 
 def safe_file_name(name: Column) -> Column:
     """The last path part, with everything but letters, digits, dot, underscore and hyphen replaced."""
-    last = F.regexp_extract(name, r"([^/\\]*)$", 1)
+    last = F.substring_index(F.translate(name, "\\", "/"), "/", -1)
     return F.regexp_replace(F.regexp_replace(last, r"[^A-Za-z0-9._-]", "_"), r"^\.+", "_")
 
 

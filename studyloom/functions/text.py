@@ -33,9 +33,12 @@ def light_clean(text: Column) -> Column:
 
 
 def full_clean(text: Column) -> Column:
-    """Also removes page separators, web addresses, mail addresses and all but letters, digits and common marks."""
+    """Also removes page separators, web addresses, mail addresses and all but letters, digits and common marks.
+
+    A mail address takes the whole of its word, so it is looked for where words start only, which keeps long words linear.
+    """
     out = _single_blanks(text)
-    for pattern in (r"--- PAGE \p{Nd}+ ---", "http[^ ]+|www[^ ]+", "[^ ]+@[^ ]+", r"""[^a-zA-Z0-9 .,!?'"\-:]"""):
+    for pattern in (r"--- PAGE \p{Nd}+ ---", "http[^ ]+|www[^ ]+", "(?<![^ ])[^ ]+@[^ ]+", r"""[^a-zA-Z0-9 .,!?'"\-:]"""):
         out = F.regexp_replace(out, pattern, "")
     return F.trim(F.regexp_replace(out, " {2,}", " "))
 
@@ -84,4 +87,4 @@ def strong_chunk(text: Column) -> Column:
 
 def normalized_ends(text: Column) -> Column:
     """White space at both ends removed."""
-    return F.regexp_replace(text, f"^{WS}|{WS}$", "")
+    return F.btrim(text, F.lit("".join(chr(c) for a, b in WHITE_SPACE for c in range(a, b + 1))))

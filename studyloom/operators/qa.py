@@ -40,7 +40,8 @@ def fallback_qa(chunks: DataFrame, text_col: str = "text", joined: bool = False)
 
 def parse_items(output: Column) -> Column:
     """The items between the first ``[`` and the last ``]``, null where there are none or they can't be read."""
-    found = F.from_json(F.regexp_extract(output, r"(?s)\[.*\]", 0), f"array<{ITEM}>")
+    first, behind = F.instr(output, "["), F.char_length(F.substring_index(output, "]", -1))
+    found = F.from_json(F.when(first > 0, F.substring(output, first, F.char_length(output) - behind - first + 1)), f"array<{ITEM}>")
     return F.when(F.size(found) > 0, found)
 
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -105,3 +107,27 @@ def test_against_plain_python(spark, texts):
                 kept.append(s)
         assert got[k]["s"] == kept[:3]
         assert got[k]["topic"] == (" ".join(re.findall("[A-Za-z0-9]+", t)[:6]) or "this topic")
+
+
+def test_long_texts_are_linear(spark):
+    """A megabyte that invites backtracking: one word, an inner blank run, at-signs, brackets."""
+    size = 1_000_000
+    df = spark.createDataFrame([("x" * size,), ("a" + " " * size + "b",), ("a@" * (size // 2),), ("[" * size,)], "t string")
+    text.full_clean(F.col("t"))
+    began = time.perf_counter()
+    for f in (text.full_clean, text.light_clean, text.normalized_ends, parse_items):
+        df.select(f(F.col("t")).alias("o")).selectExpr("count(o)").collect()
+    assert time.perf_counter() - began < 20
+    assert [r[0] for r in df.select(F.length(text.full_clean(F.col("t")))).collect()] == [size, 3, 0, 0]
+
+
+def test_mail_words(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab@ .") for _ in range(rng.randrange(14))) for _ in range(500)]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(text.full_clean(F.col("t"))).collect()]
+    assert got == [re.sub(" +", " ", re.sub("@", "", re.sub("[^ ]+@[^ ]+", "", re.sub(" +", " ", t).strip(" ")))).strip(" ") for t in texts]
+
+
+def test_colours_end_where_they_end(spark):
+    df = spark.createDataFrame([("#ffFF00",), ("#ffff00\n",), ("hsl(1, 2%,3%)",), ("hsl(1,2%,3%)\r\n",), ("#ffff0",), (None,)], "c string")
+    assert [r[0] for r in df.select(formats.valid_color(F.col("c"))).collect()] == [True, False, True, False, False, True]
