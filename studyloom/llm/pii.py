@@ -8,8 +8,14 @@ non-overlapping search for these patterns returns, failing matches dropped:
   email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``; ip: four dotted numbers, each at most 255; card: digits
   with single blanks or hyphens between, 16 to 19, passing Luhn; phone ``\\+[0-9][ ().0-9-]+[0-9]``, 8 to 15 digits.
 
-Two kinds are added: ``account`` (an identifier cue such as IBAN or passport, then a value with six digits or more; an
-IBAN must pass its check) and ``login`` (user information inside a scheme's address).
+Four kinds are added.  ``account``: an identifier cue such as IBAN or passport, then groups of capitals and digits, the
+later ones with a digit each, six digits or more; an IBAN ends where its country's length says, or else with the longest
+whole groups that pass, and must pass its check.  ``login``: user information inside a scheme's address.  ``url``: the
+whole address around a scheme, whose host has a dot or is localhost, without closing marks.  ``postal``: a street word
+with its name and house number (``221B Baker Street, Apt 4``, ``Hauptstraße 12``, ``12 rue de la Paix``, ``Calle Mayor 5``).
+
+Every parser reads on from its anchor without going back, or looks at ``LINE`` characters at most, so a text of any kind
+takes time in proportion to its length.
 
 Defined cases: null and empty texts have no span; null ids are kept; repeated rows each get their result; an empty
 table gives an empty result; other columns are ignored.  Offsets are code points, ends exclusive.
@@ -27,18 +33,37 @@ from pyspark.sql import DataFrame, SparkSession
 from studyloom.llm.shared import col
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("account", "login")
+ADDED_KINDS = ("account", "login", "url", "postal")
 #: Words that announce an identifier.
 CUES = ("iban", "passport", "account number", "account no", "customer id", "social security", "ssn", "tax id", "driver license", "member id")
+#: Words of a street, each with the side of its house number.
+STREETS = {"Street": "left", "Avenue": "left", "Road": "left", "Lane": "left", "Boulevard": "left", "Drive": "left", "straße": "right", "strasse": "right", "Straße": "right", "Strasse": "right", "rue": "before", "Rue": "before", "Calle": "behind", "calle": "behind"}
+#: Characters of an identifier, and of an address on either side of its street word.
+IDENTIFIER, LINE = 34, 80
+#: Lengths of IBANs.
+IBAN_LENGTHS = dict(x.split(":") for x in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SE:24 SI:19 SK:24 SM:27 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20".split())
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-.")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = frozenset("0123456789")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ACCOUNT = re.compile(r"[ \t]*(?:(?:is|no|number|nr)\b\.?)?[ \t]*[:=#]?[ \t]*([A-Z]{0,2}[0-9][A-Z0-9]*(?:[ -][A-Z0-9]+)*)")
-_LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+(?::[^\s/@?#]*)?@")
+#: What may stand between a cue and its value; no part gives back what it took.
+_BETWEEN = re.compile(r"[ \t]*+(?:(?:is|no|number|nr)\b\.?+)?+[ \t]*+[:=#]?+[ \t]*+")
+_GROUP = re.compile(r"[A-Za-z0-9]++")
+_LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]++(?::[^\s/@?#]*+)?+@")
+_ADDRESS = re.compile(r"[^\s<>\"'`{}|\\^]*+")
+_AUTHORITY = re.compile(r"[^\s<>\"'`{}|\\^/?#]*+")
+_HOST = re.compile(r"(?:[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|localhost)(?::[0-9]++)?")
+_CLOSING = ".,;:!?)]*"
+_NAMED_LEFT = re.compile(r"(?<![A-Za-z0-9])[0-9]{1,6}[A-Za-z]?(?: [A-Z][\w'-]*){1,4} \Z")
+_UNIT = re.compile(r",? (?:Apt|Suite|Unit|Floor)\.? ?[0-9A-Z]{1,6}(?![A-Za-z0-9])")
+_NUMBER_RIGHT = re.compile(r" [0-9]{1,5}[a-z]?(?![A-Za-z0-9])")
+_NUMBER_BEHIND = re.compile(r",? [0-9]{1,5}(?![A-Za-z0-9])")
+_NUMBER_LEFT = re.compile(r"(?<![A-Za-z0-9])[0-9]{1,5}(?: bis| ter)?,? \Z")
+_NAME_RIGHT = re.compile(r"(?: (?:de|du|des|del|la|le|les|los|las))*(?: (?:[dl]['’])?[A-ZÀ-Þ][\w'-]*){1,4}")
 
 
 def luhn(digits: str) -> bool:
@@ -51,7 +76,82 @@ def luhn(digits: str) -> bool:
 
 def iban(value: str) -> bool:
     v = re.sub("[ -]", "", value)
-    return 15 <= len(v) <= 34 and v[:2].isalpha() and v[2:4].isdigit() and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    return 15 <= len(v) <= 34 and v.isascii() and v.isalnum() and v[:2].isalpha() and v[2:4].isdigit() and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def groups_at(text: str, at: int) -> list[tuple[int, int]]:
+    """Runs of ASCII letters and digits from ``at`` on with one blank or hyphen between, ``IDENTIFIER`` characters of them at most."""
+    out, size = [], 0
+    while m := _GROUP.match(text, at, at + IDENTIFIER + 1):
+        size += m.end() - at
+        if size > IDENTIFIER:
+            break
+        out.append(m.span())
+        at = m.end() + 1
+        if text[m.end() : at] not in (" ", "-"):
+            break
+    return out
+
+
+def account_at(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """The identifier that follows a cue which ends at ``at``."""
+    start = _BETWEEN.match(text, at).end()
+    if start == at:
+        return None  # the cue is the beginning of a longer word
+    if cue == "iban" and not (text[start : start + 2].isalpha() and text[start + 2 : start + 4].isdigit()):
+        return None
+    groups = groups_at(text, start)
+    if cue == "iban":
+        ends = [end for _, end in groups if iban(text[start:end])]
+        wanted = int(IBAN_LENGTHS.get(text[start : start + 2], 0))
+        ends = [end for end in ends if not wanted or sum(b - a for a, b in groups if b <= end) == wanted]
+        return (start, ends[-1]) if ends else None
+    end = start
+    for k, (a, b) in enumerate(groups):
+        own = text[a:b]
+        letters = len(own) - len(own.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        if own.upper() != own or own.isalpha() or (letters > 2 if k == 0 else b - a < 2):
+            break
+        end = b
+    return (start, end) if sum(c in _DIGITS for c in text[start:end]) >= 6 else None
+
+
+def url_at(text: str, at: int, low: int) -> tuple[int, int] | None:
+    """The address whose ``://`` stands at ``at``; its scheme begins at ``low`` or later."""
+    start = at
+    while start > low and text[start - 1] in _SCHEME:
+        start -= 1
+    while start < at and not (text[start].isalpha() and text[start].isascii()):
+        start += 1
+    authority = _AUTHORITY.match(text, at + 3)  # ends before the next scheme's slashes
+    host = authority[0].rpartition("@")[2]
+    if start == at or not _HOST.fullmatch(host.rstrip(_CLOSING)):
+        return None
+    return start, at + 3 + len(_ADDRESS.match(text, at + 3)[0].rstrip(_CLOSING))
+
+
+def postal_at(text: str, at: int, end: int, low: int) -> tuple[int, int] | None:
+    """The street address around the street word from ``at`` to ``end``, beginning at ``low`` or later."""
+    side, low, high = STREETS[text[at:end]], max(low, at - LINE), end + LINE
+    if side == "right":
+        while at > low and text[at - 1].isalpha():
+            at -= 1
+        number = _NUMBER_RIGHT.match(text, end, high)
+        return (at, number.end()) if number and text[at].isupper() and text[at:end].lower() not in STREETS else None
+    if text[end : end + 1].isalnum() or at and text[at - 1].isalnum():
+        return None
+    if side == "left":
+        named = _NAMED_LEFT.search(text, low, at)
+        unit = _UNIT.match(text, end, high)
+        return (named.start(), unit.end() if unit else end) if named else None
+    name = _NAME_RIGHT.match(text, end, high)
+    if not name:
+        return None
+    if side == "before":
+        number = _NUMBER_LEFT.search(text, low, at)
+        return (number.start(), name.end()) if number else None
+    number = _NUMBER_BEHIND.match(text, name.end(), high)
+    return (at, number.end()) if number else None
 
 
 def automaton():
@@ -63,6 +163,8 @@ def automaton():
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
             a.add_word(form, ("cue", len(form)))
+    for word in STREETS:
+        a.add_word(word, ("street", len(word)))
     a.make_automaton()
     return a
 
@@ -70,7 +172,7 @@ def automaton():
 def find(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, each kind's in order and without overlap."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE_KINDS, *ADDED_KINDS)}
-    mail_end = dotted_end = grouped_end = phone_end = account_end = login_end = 0
+    mail_end = dotted_end = grouped_end = phone_end = account_end = login_end = url_end = postal_end = 0
     for last, (kind, size) in anchors.iter(text):
         at = last - size + 1
         if kind == "digit":
@@ -106,11 +208,16 @@ def find(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
             if at >= login_end and (m := _LOGIN.match(text, last + 1)):
                 login_end = m.end()
                 out["login"].append((last + 1, m.end() - 1))
-        elif at >= account_end and not (at and text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)):
-            value = m[1]
-            if iban(value) if text[at : last + 1].lower() == "iban" else sum(c in _DIGITS for c in value) >= 6:
-                account_end = m.end(1)
-                out["account"].append(m.span(1))
+            if at >= url_end and (own := url_at(text, at, url_end)):
+                url_end = own[1]
+                out["url"].append(own)
+        elif kind == "street":
+            if at >= postal_end and (own := postal_at(text, at, last + 1, postal_end)):
+                postal_end = own[1]
+                out["postal"].append(own)
+        elif at >= account_end and not (at and text[at - 1].isalnum()) and (own := account_at(text, last + 1, text[at : last + 1].lower())):
+            account_end = own[1]
+            out["account"].append(own)
     return out
 
 

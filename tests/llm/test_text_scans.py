@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -227,6 +228,85 @@ def test_pii_on_documents(spark, sf):
     assert got == {d: brute_pii(t) for d, t, *_ in table(spark, sf)}
 
 
+def brute_added(t):
+    """account, url and postal spans by plain patterns, for short texts only."""
+    out = {"account": [], "url": [], "postal": []}
+    cues = "|".join(sorted({f for c in pii.CUES for f in (c, c.upper(), c.capitalize(), c.title())}, key=len, reverse=True))
+    end = 0
+    for m in re.finditer(rf"(?=({cues}))", t):
+        at = m.start()
+        if at < end or at and t[at - 1].isalnum():
+            continue
+        gap = re.match(r"[ \t]*(?:(?:is|no|number|nr)\b\.?)?[ \t]*[:=#]?[ \t]*", t[m.end(1) :])[0]
+        start = m.end(1) + len(gap)
+        runs = [[a + start for a in g.span()] for g in re.finditer("[A-Za-z0-9]+", t[start:])]
+        ends = []
+        for k, (a, b) in enumerate(runs):
+            if k == 0 and a != start or k and (a != runs[k - 1][1] + 1 or t[a - 1] not in " -"):
+                break
+            ends.append(b)
+        ends = [b for b in ends if len(re.sub("[ -]", "", t[start:b])) <= 34] if gap else []
+        if m[1].lower() == "iban":
+            good = [b for b in ends if pii.iban(t[start:b]) and pii.IBAN_LENGTHS.get(t[start : start + 2], str(len(re.sub("[ -]", "", t[start:b])))) == str(len(re.sub("[ -]", "", t[start:b])))]
+        else:
+            good = [b for b in ends if re.fullmatch("[A-Z]{0,2}[0-9][A-Z0-9]*([ -](?=[A-Z]*[0-9])[A-Z0-9]{2,})*", t[start:b])]
+            good = good[-1:] if good and sum(c in "0123456789" for c in t[start : good[-1]]) >= 6 else []
+        if good:
+            end = good[-1]
+            out["account"].append((start, end))
+    body = r"[^\s<>\"'`{}|\\^]"
+    for m in re.finditer(rf"[A-Za-z][A-Za-z0-9+.-]*://(?=((?:[^\s<>\"'`{{}}|\\^/?#]*@)?(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|localhost)(?::[0-9]+)?[.,;:!?)\]*]*(?=[/?#]|\Z|(?!{body}))))({body}*)", t):
+        out["url"].append((m.start(), m.start(2) + len(m[2].rstrip(".,;:!?)]*"))))
+    named = r"(?<![A-Za-z0-9])[0-9]{1,6}[A-Za-z]?(?: [A-Z][\w'-]*){1,4}? (?:Street|Road)(?![^\W_])(?:,? (?:Apt|Suite|Unit|Floor)\.? ?[0-9A-Z]{1,6}(?![A-Za-z0-9]))?"
+    out["postal"] = [m.span() for m in re.finditer(named, t)]
+    return out
+
+
+def test_pii_added_kinds():
+    """Spans of the added kinds against plain patterns on random short texts."""
+    rng, anchors = random.Random(16), pii.automaton()
+    accounts = ["iban", "IBAN", "ssn", "passport", "account no", "Tax Id", " ", ":", "#", "is", "no", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "123", "12-34", "X1", "ABC", "AND", "4567", "-", "x", ".", "é"]
+    urls = ["http", "://", "ftp://", "a.b", "localhost", ":80", "/", "?q=1", "#f", "@", "u:p", ".", ",", ")", " ", "'", "é", "-"]
+    streets = ["12", "7B", " ", " ", "12 Baker", " Main", " Street", " Road", ", Apt 4", " Unit 12C", "x", "1234567", ".", "é"]
+    for kinds, bits in ((("account",), accounts), (("url",), urls), (("postal",), streets)):
+        seen = 0
+        for _ in range(6000):
+            t = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+            found, want = pii.find(t, anchors), brute_added(t)
+            for k in kinds:
+                seen += len(want[k])
+                assert found[k] == want[k], (t, k)
+        assert seen > 30, kinds
+
+
+def test_pii_boundaries():
+    anchors = pii.automaton()
+    said = lambda t: {k: [t[a:b] for a, b in v] for k, v in pii.find(t, anchors).items() if v}
+    assert said("IBAN DE89 3704 0044 0532 0130 00 THANKS") == {"account": ["DE89 3704 0044 0532 0130 00"]}
+    assert said("account number 12345678 AND MORE WORDS") == {"account": ["12345678"]}
+    assert said("see (https://example.com/a?x=1).") == {"url": ["https://example.com/a?x=1"]}
+    assert said("at 221B Baker Street, Apt 4, London") == {"postal": ["221B Baker Street, Apt 4"]}
+    assert said("in Hauptstraße 12, Berlin") == {"postal": ["Hauptstraße 12"]}
+    assert said("au 12 rue de la Paix, Paris") == {"postal": ["12 rue de la Paix"]} and said("en Calle Mayor 5.") == {"postal": ["Calle Mayor 5"]}
+    assert said("The Street 5, a road, main road 7, iban, ssn 12345") == {}
+
+
+def test_pii_long_texts():
+    """A megabyte of whatever might make a parser go back, each within seconds."""
+    anchors, n = pii.automaton(), 1_000_000
+    texts = [c + " " * n + "x" for c in pii.CUES] + [p * (n // len(p)) for p in ("iban ", "://", "a://b.c/", "x://a:", "1 Baker ", "Street ", "1 A Street", "straße", "1 rue A", "+1", "1.", "account no 1 2 3 4 5 6 7 8 9 ", "@", "a@", "1 ")]
+    for t in [*texts, "a" * n + "@b.co", "account no " + "1 " * n, "+1 " + "(" * n, "x://" + "a" * n]:
+        began = time.perf_counter()
+        pii.find(t, anchors)
+        assert time.perf_counter() - began < 5, t[:30]
+
+
+def test_pii_of_a_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: tuple(r)[1:6] for r in pii.op10_anchor_expansion(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {r["doc_id"]: brute_pii(r["text"]) for r in docs.collect()}
+
+
 def test_pii_random():
     rng, anchors = random.Random(6), pii.automaton()
     bits = ["@", ".", "a", "b-c", "+", "1", "255", "256", "0001", " ", "-", "(", ")", "4111 1111 1111 1111", "+49 30 1234567", "x@y.com", "1.2.3.4", "\n", "é", "😀", "%", "٣"]
