@@ -35,16 +35,17 @@ def _kind(k: int, kind: str, pattern: str, group: int, least: int) -> str:
 FROM (SELECT doc_id, source, g, ms, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, source, regexp_split_to_array(coalesce(text, ''), '{p}') AS g, regexp_extract_all(coalesce(text, ''), '{p}') AS ms FROM documents)) WHERE length({value}) >= {least}"""
 
 
-_SAY = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k){filter}, '')"
 OP4 = f"""
 WITH c AS ({' UNION ALL '.join(_kind(k, kind, pattern, group, least) for k, (kind, pattern, group, least, _) in enumerate(secrets.KINDS))}),
-f AS (SELECT v, count(DISTINCT source) AS owners FROM c GROUP BY v),
-s AS (SELECT doc_id, k, kind, a, a + length(m) AS b, owners >= {secrets.EXAMPLE_OWNERS} AS example,
-  owners < {secrets.EXAMPLE_OWNERS} AND len(list_distinct(string_split(v, ''))) >= {secrets.LIVE_CHARACTERS} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{secrets.PLACEHOLDER}') AS live FROM c JOIN f USING (v))
-SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
-  sha256({_SAY.format(filter=" FILTER (WHERE k < 3)")}) AS base_sha256, {_SAY.format(filter="")} AS spans,
-  count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE example) AS n_example, {_SAY.format(filter=" FILTER (WHERE live)")} AS live_spans
-FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
+f AS (SELECT v, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT coalesce(source, '') || chr(1) || coalesce(doc_id::VARCHAR, '')) AS repos FROM c GROUP BY v),
+s AS (SELECT doc_id, k, kind, a, a + length(m) AS b, a + length(m) - length(v) AS va, owners, repos, owners >= {secrets.EXAMPLE_OWNERS} OR repos >= {secrets.EXAMPLE_REPOS} AS example,
+  NOT (owners >= {secrets.EXAMPLE_OWNERS} OR repos >= {secrets.EXAMPLE_REPOS}) AND len(list_distinct(string_split(v, ''))) >= {secrets.LIVE_CHARACTERS} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{secrets.PLACEHOLDER}') AS live FROM c JOIN f USING (v)),
+every AS (SELECT doc_id, a, k, b, kind FROM s UNION ALL SELECT DISTINCT doc_id, va, {len(secrets.KINDS)}, b, 'live' FROM s WHERE live UNION ALL SELECT DISTINCT doc_id, va, {len(secrets.KINDS) + 1}, b, 'example' FROM s WHERE example),
+said AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM every GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS base,
+  count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE example) AS n_example, string_agg(va || ':' || owners || ':' || repos, ',' ORDER BY a, k) AS ownership FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(ownership, '') AS ownership FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN said USING (doc_id)"""
 
 _MEASURES = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words", "word_length": "word_chars"}
 

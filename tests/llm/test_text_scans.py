@@ -61,14 +61,53 @@ def test_secret_edges(spark):
 def test_ownership(spark):
     shared, own = "password=e3b3ed3cc8548923d6", "password=1f2e3d4c5b6a798877"
     rows = [(k, f"x {shared} y", "en", f"src{k}") for k in range(4)] + [(9, f"é {own} {shared}", "en", "src1"), (9, f"é {own} {shared}", "en", "src1"), (10, "password=changeme123", "en", "src1")]
-    got = {r["doc_id"]: (r["n_live"], r["n_example"], r["live_spans"]) for r in secrets.scan(docs(spark, rows)).collect()}
-    assert got[0] == (0, 1, "") and got[9] == (1, 1, "assign:2:29") and got[10] == (0, 0, "")
+    rows += [(100 + k, "token=a1b2c3d4e5f6", "en", "hot") for k in range(20)] + [(200 + k, "token=f6e5d4c3b2a1", "en", "hot") for k in range(19)]
+    got = {r["doc_id"]: r for r in secrets.scan(docs(spark, rows)).collect()}
+    said = lambda d: (got[d]["n_live"], got[d]["n_example"], got[d]["spans"], got[d]["ownership"])
+    assert said(0) == (0, 1, "assign:2:29,example:11:29", "11:4:5")
+    assert said(9) == (1, 1, "assign:2:29,live:11:29,assign:30:57,example:39:57", "11:1:1,39:4:5")
+    assert said(10) == (0, 0, "assign:0:20", "9:1:1")
+    assert said(100) == (0, 1, "assign:0:18,example:6:18", "6:1:20") and said(200) == (1, 0, "assign:0:18,live:6:18", "6:1:19")
     red = {r["doc_id"]: r["text"] for r in secrets.redact_documents(docs(spark, rows)).collect()}
-    assert red[9] == f"é <secret> {shared}" and red[0] == f"x {shared} y" and red[10] == "password=changeme123"
+    assert red[9] == f"é password=<secret> {shared}" and red[0] == f"x {shared} y" and red[10] == "password=changeme123" and red[200] == "token=<secret>"
     back = secrets.redact_documents(docs(spark, rows))
     assert back.columns == docs(spark, rows).columns and back.count() == len(rows)
 
 
+def test_redaction_against_plain_code(spark):
+    """Values that touch, nest and overlap, over many stretches, and rows with nulls."""
+    rng = random.Random(12)
+    value = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([24, 30, 40])))
+    texts = ["".join(rng.choice(["token=", "é😀 ", value(), "x/", " ", "AKIA" + value().upper(), "w" * 3000]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)] + [(900, None, None, None), (901, "", "en", None)]
+
+    def cut(t):
+        spans = [m.span(1) for m in re.finditer(secrets.KINDS[0][1], t) if len(m[1]) >= 6] + [m.span() for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [m.span() for m in re.finditer("[0-9a-f]{24,}", t)]
+        gone = set()
+        starts = set()
+        end = 0
+        for a, b in sorted(x for x in spans if len(set(t[x[0] : x[1]])) >= 6 and re.search("[0-9]", t[x[0] : x[1]]) and re.search("[A-Za-z]", t[x[0] : x[1]]) and not re.search(secrets.PLACEHOLDER, t[x[0] : x[1]])):
+            if a >= end:
+                starts.add(a)
+            gone.update(range(a, b))
+            end = max(end, b)
+        return "".join("<secret>" * (k in starts) + ("" if k in gone else c) for k, c in enumerate(t))
+
+    got = {r["doc_id"]: r["text"] for r in secrets.redact_documents(docs(spark, rows)).collect()}
+    assert got == {d: None if t is None else cut(t) for d, t, *_ in rows}
+
+
+def test_secrets_of_long_texts(spark):
+    """A megabyte of cues without a value, of values, and of blanks behind a cue."""
+    rows = [(1, "token" * 200_000), (2, "token=abc123 " * 20_000), (3, "password" + " " * 1_000_000), (4, "eyJ" * 300_000), (5, "a" * 1_000_000), (6, "token= " * 140_000)]
+    df = docs(spark, [(d, t, "en", "s") for d, t in rows])
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    assert {d: (r["n_assign"], r["n_hex"]) for d, r in got.items()} == {1: (0, 0), 2: (20_000, 0), 3: (0, 0), 4: (0, 0), 5: (0, 1), 6: (70_000, 0)}
+    assert {r["doc_id"]: len(r["text"]) for r in secrets.redact_documents(df).select("doc_id", "text").collect()}[2] == len("token=<secret> ") * 20_000
+    assert time.perf_counter() - began < 60
+
+
 # --- quality
 
 
