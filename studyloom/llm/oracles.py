@@ -47,36 +47,40 @@ n AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(ownership, '') AS ownership FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN said USING (doc_id)"""
 
-_MEASURES = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words", "word_length": "word_chars"}
+def _rate(m: str) -> str:
+    counted, of, _ = quality.MEASURES[m]
+    return f"({counted} * {quality.MILLION} // greatest({of}, 1))"
 
 
-def _fences(m: str) -> str:
-    spread = f"({quality.RANGES} * (q3.{m} - q1.{m}) + {quality.SLACK[m]})"
-    low = f" AND {m} >= q1.{m} - {spread}" if m in quality.BOTH_SIDES else ""
-    return f"{m} <= q3.{m} + {spread}{low}"
+def _quartiles(keys: str, name: str) -> str:
+    pick = f"{keys}, " if keys else ""
+    return f"""{name} AS (SELECT {pick}measure, any_value(total) AS n, min(bucket) FILTER (WHERE 4 * upto >= total) AS q1, min(bucket) FILTER (WHERE 4 * upto >= 3 * total) AS q3
+  FROM (SELECT *, sum(n) OVER (PARTITION BY {pick}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {pick}measure) AS total FROM (SELECT {pick}measure, bucket, count(*) AS n FROM b GROUP BY ALL)) GROUP BY {pick}measure)"""
 
 
-def _quantiles(keys: str, name: str) -> str:
-    pick = f"{keys}, " if keys else ""
-    group = f" GROUP BY {keys}" if keys else ""
-    both = ", ".join(f"{{{', '.join(f'{m}: quantile_disc({m}, {q})' for m in _MEASURES)}}} AS q{k}" for k, q in ((1, 0.25), (3, 0.75)))
-    return f"{name} AS (SELECT {pick}count(*) AS n, {both} FROM m WHERE NOT base_failed{group})"
+def _shrunk(k: int) -> str:
+    wider = f"((l.n * l.q{k} + {quality.SHRINK} * a.q{k}) / (l.n + {quality.SHRINK})::DOUBLE)"
+    return f"((o.n * o.q{k} + {quality.SHRINK} * {wider}) / (o.n + {quality.SHRINK})::DOUBLE)"
 
 
-# the sketches are exact while a group has fewer texts than their size
+_SLACK = "CASE measure " + " ".join(f"WHEN '{m}' THEN {slack}" for m, (_, _, slack) in quality.MEASURES.items()) + " END"
+_OUTSIDE = " OR ".join(f"bool_or(measure = '{m}' AND (v > q3 + spread{' OR v < q1 - spread' if m in quality.BOTH_SIDES else ''}))" for m in quality.MEASURES)
 OP5 = rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS x FROM w WHERE len(w) >= 8),
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS c FROM rep, range(0, 8) r(k) GROUP BY doc_id),
 n AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c, 0)::BIGINT AS n_repeat_words
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines, coalesce(c, 0)::BIGINT AS n_repeat_words
   FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACE}')) AS ls FROM w) LEFT JOIN cov USING (doc_id)),
-m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {', '.join(f'{c}::DOUBLE / greatest(n_words, 1) AS {m}' for m, c in _MEASURES.items())} FROM n),
-{_quantiles('lang, source', 'own')}, {_quantiles('lang', 'ofl')}, {_quantiles('', 'whole')},
-j AS (SELECT m.*, CASE WHEN own.n >= {quality.LEAST_GROUP} THEN own.q1 WHEN ofl.n >= {quality.LEAST_GROUP} THEN ofl.q1 ELSE whole.q1 END AS q1, CASE WHEN own.n >= {quality.LEAST_GROUP} THEN own.q3 WHEN ofl.n >= {quality.LEAST_GROUP} THEN ofl.q3 ELSE whole.q3 END AS q3
-  FROM m LEFT JOIN own ON own.lang IS NOT DISTINCT FROM m.lang AND own.source IS NOT DISTINCT FROM m.source LEFT JOIN ofl ON ofl.lang IS NOT DISTINCT FROM m.lang CROSS JOIN whole)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({' AND '.join(_fences(m) for m in _MEASURES)}, true) AS kept FROM j"""
+m AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM n),
+e AS (SELECT doc_id, lang, source, unnest({list(quality.MEASURES)!r}) AS measure, unnest([{', '.join(map(_rate, quality.MEASURES))}]) AS v FROM m WHERE NOT base_failed),
+b AS (SELECT *, v - v % (2 ** greatest(length(bin(v)) - {quality.BITS}, 0))::BIGINT AS bucket FROM e),
+{_quartiles('lang, source', 'own')}, {_quartiles('lang', 'ofl')}, {_quartiles('', 'whole')},
+f AS (SELECT lang, source, measure, q1, q3, {quality.RANGES} * (q3 - q1) + {_SLACK} AS spread
+  FROM (SELECT o.lang, o.source, o.measure, {_shrunk(1)} AS q1, {_shrunk(3)} AS q3 FROM own o JOIN ofl l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whole a ON a.measure = o.measure)),
+bad AS (SELECT doc_id FROM e JOIN f ON e.lang IS NOT DISTINCT FROM f.lang AND e.source IS NOT DISTINCT FROM f.source AND e.measure = f.measure GROUP BY doc_id HAVING {_OUTSIDE.replace('measure', 'f.measure')})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m"""
 
 _BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP6 = rf"""

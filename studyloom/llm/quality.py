@@ -1,13 +1,17 @@
 """Quality rules with adaptive thresholds.
 
-Each text gets counts; texts that pass the fixed base rules feed KLL quantile sketches, one for each language, source and
-measure.  Sketches merge, so a language's sketch is the merger of its sources', and a group with too few texts borrows
-its language's thresholds, or those of all texts.  A threshold is a fence: the upper quartile plus a multiple of the
-quartile range plus a slack, so it follows the group's own spread and cuts no fixed share of clean text.  The joined
-filter then rejects what lies outside a fence.
-
-DataFrame functions only.  One pass over the texts writes the counts; sketches are aggregated on the map side, so a
-source with a third of all rows costs no more than another; thresholds are few rows and joined by their measured size.
+Each text gets counts; texts that pass the fixed base rules feed quantile sketches, one for each language, source and
+measure.  A sketch is a log-linear histogram: a rate in millionths falls into the bucket of its ``BITS`` leading bits, so a
+quantile is exact to one part in 128.  Counts of buckets add up, so sketches merge in any order with the same result, a
+language's sketch is the sum of its sources', and a run repeats to the last verdict.  A quantile of a group is drawn
+towards its language's, and that towards all texts', with the weight of ``SHRINK`` texts, so a small group borrows nearly
+all and a large one nothing, without a size at which verdicts jump.  A threshold is a fence: the upper quartile plus a
+multiple of the quartile range plus a slack, so it follows the group's own spread and cuts no fixed share of clean text.
+The joined filter then rejects what lies outside a fence.
+
+DataFrame functions only.  One pass over the texts writes the counts; buckets are counted on the map side, so a source
+with a third of all rows costs no more than another; fences are a row for each group and joined by their checked size.
+The filter writes each row beside its counts and reads it back, so texts are never exchanged.
 
 Defined cases: null and empty texts have no words and fail; null languages and sources form groups of their own;
 repeated rows are judged each for itself; an empty table gives an empty result; other columns are ignored, or kept by
@@ -16,34 +20,42 @@ repeated rows are judged each for itself; an empty table gives an empty result;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from studyloom.llm.shared import SPACE_CLASS, barrier, col, written
 
 #: Words in a repeated window; least words; percent of words in repeated windows from which a text fails.
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
-#: Sketch size; texts below which a group borrows; quartile ranges in a fence; slack of each measure.
-SKETCH_K, LEAST_GROUP, RANGES = 2048, 200, 3.0
-SLACK = {"symbol_rate": 0.1, "dup_line_rate": 0.35, "repeat_rate": 0.1, "word_length": 1.0}
+#: Leading bits of a bucket; texts that a group's language weighs; quartile ranges in a fence; groups up to which fences are broadcast.
+BITS, SHRINK, RANGES, BROADCAST_GROUPS = 8, 50, 3, 100_000
+MILLION = 1_000_000
+#: Each measure: what is counted, of what, and the slack of its fence in millionths.
+MEASURES = {
+    "symbol_rate": ("n_symbols", "n_words", 100_000),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 350_000),
+    "repeat_rate": ("n_repeat_words", "n_words", 200_000),
+    "word_length": ("word_chars", "n_words", 1_000_000),
+}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Measures with a lower fence too.
 BOTH_SIDES = ("word_length",)
 
 
-def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) to ``docs`` as _n_words and so on."""
-    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+def with_counts(df: DataFrame, text: Column) -> DataFrame:
+    """Adds _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words and _n_lines (long) for a text (null: empty)."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
     bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = barrier(docs, _words=words, _lines=lines)
+    df = barrier(df, _words=words, _lines=lines)
     df = barrier(
         df,
         _n_words=F.size("_words").cast("long"),
         _word_chars=F.char_length(F.array_join("_words", "")).cast("long"),
         _n_symbols=F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         _n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        _n_lines=F.size("_lines").cast("long"),
         _hashes=F.transform("_words", lambda w: F.xxhash64(w)),
     ).drop("_words", "_lines")
     last = F.size("_hashes") - WINDOW
@@ -62,64 +74,90 @@ def base_failed(words: Column, repeats: Column) -> Column:
     return (words < LEAST_WORDS) | (100 * repeats > REPEAT_PERCENT * words)
 
 
-def measures(df: DataFrame) -> DataFrame:
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")  # a text without words fails by the base rules
-    return df.withColumns({"symbol_rate": F.col("n_symbols") / n, "dup_line_rate": F.col("n_dup_lines") / n, "repeat_rate": F.col("n_repeat_words") / n, "word_length": F.col("word_chars") / n})
-
-
-def thresholds(counted: DataFrame, least_group: int = LEAST_GROUP, k: int = SKETCH_K) -> DataFrame:
-    """lang, source, and for each measure its fences, from texts that pass the base rules (rows of ``counted``)."""
-    clean = measures(counted.where(~F.col("base_failed")))
-    groups = clean.groupBy("lang", "source").agg(F.count("*").alias("_n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in SLACK])
-    groups = written(groups, "quality-sketches")
-    merged = [F.sum("_n").alias("_n"), *[F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in SLACK]]
-    langs = groups.groupBy("lang").agg(*merged).select("lang", F.struct("_n", *SLACK).alias("_lang"))
-    whole = groups.agg(*merged).select(F.struct("_n", *SLACK).alias("_all"))
-    known = counted.select("lang", "source").distinct().alias("k")  # also groups of which every text fails
-    g, by_lang = groups.select("lang", "source", F.struct("_n", *SLACK).alias("_own")).alias("g"), langs.alias("l")
-    joined = known.join(g, F.col("k.lang").eqNullSafe(F.col("g.lang")) & F.col("k.source").eqNullSafe(F.col("g.source")), "left").join(by_lang, F.col("k.lang").eqNullSafe(F.col("l.lang")), "left").join(F.broadcast(whole))  # one row
-    enough = lambda s: F.col(f"{s}._n") >= least_group
-    pick = F.when(enough("_own"), F.col("_own")).when(enough("_lang"), F.col("_lang")).otherwise(F.col("_all"))
-    picked = joined.select(F.col("k.lang").alias("lang"), F.col("k.source").alias("source"), pick.alias("_s"))
-    out = []
-    for m, slack in SLACK.items():
-        q = lambda r, m=m: F.kll_sketch_get_quantile_double(F.col("_s")[m], F.lit(r))
-        spread = RANGES * (q(0.75) - q(0.25)) + slack
-        out.append((q(0.75) + spread).alias(f"{m}_max"))
-        if m in BOTH_SIDES:
-            out.append((q(0.25) - spread).alias(f"{m}_min"))
-    return picked.where(F.col("_s._n") > 0).select("lang", "source", *out)
+def rate(measure: str) -> Column:
+    """A measure in whole millionths; 0 of 0 is 0."""
+    counted, of, _ = MEASURES[measure]
+    return F.floor(F.col(counted) * MILLION / F.greatest(F.col(of), F.lit(1))).cast("long")
+
+
+def bucket(value: Column) -> Column:
+    """The least value with the same ``BITS`` leading bits, for values from 0 on."""
+    width = F.pow(F.lit(2.0), F.greatest(F.char_length(F.bin(value)) - BITS, F.lit(0))).cast("long")
+    return value - value % width
+
+
+def sketches(counted: DataFrame) -> DataFrame:
+    """lang, source, measure, bucket and n from texts that pass the base rules (rows of ``counted``)."""
+    buckets = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(rate(m)).alias("bucket")) for m in MEASURES])
+    each = counted.where(~F.col("base_failed")).select("lang", "source", F.inline(buckets))
+    return each.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
+
+
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group of keys and measure: n, q1 and q3, the first buckets that a quarter and three quarters of n reach."""
+    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    # some thousand buckets at most in a window, whatever the rows
+    group = Window.partitionBy(*keys, "measure")
+    upto = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "n": F.sum("n").over(group)})
+    first = lambda quarters: F.min(F.when(4 * F.col("upto") >= quarters * F.col("n"), F.col("bucket")))
+    return upto.groupBy(*keys, "measure").agg(F.max("n").alias("n"), first(1).alias("q1"), first(3).alias("q3"))
+
+
+def shrunk(own: Column, n: Column, wider: Column) -> Column:
+    """A quantile of n texts, drawn towards that of a wider group."""
+    return (n * own + SHRINK * wider) / (n + SHRINK)
+
+
+def thresholds(counted: DataFrame) -> DataFrame:
+    """A written table of lang, source, and for each measure its fences, for every group with a text that passes the base rules."""
+    sketch = written(sketches(counted), "quality-sketches")
+    named = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
+    own, langs, whole = named(quartiles(sketch, ["lang", "source"]), "o"), named(quartiles(sketch, ["lang"]), "l"), named(quartiles(sketch, []), "w")
+    joined = own.join(langs, F.col("o_lang").eqNullSafe(F.col("l_lang")) & (F.col("o_measure") == F.col("l_measure")))
+    joined = joined.join(F.broadcast(whole), F.col("o_measure") == F.col("w_measure"))  # a row for each measure
+    q = {k: shrunk(F.col(f"o_q{k}"), F.col("o_n"), shrunk(F.col(f"l_q{k}"), F.col("l_n"), F.col(f"w_q{k}"))) for k in (1, 3)}
+    slack = F.element_at(F.create_map(*[F.lit(x) for m, (_, _, size) in MEASURES.items() for x in (m, size)]), F.col("o_measure"))
+    blended = joined.select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), F.col("o_measure").alias("measure"), q[1].alias("q1"), q[3].alias("q3"), slack.alias("slack"))
+    spread = RANGES * (F.col("q3") - F.col("q1")) + F.col("slack")
+    of = lambda m, c: F.max(F.when(F.col("measure") == m, c))
+    fences = blended.groupBy("lang", "source").agg(*[of(m, F.col("q3") + spread).alias(f"{m}_max") for m in MEASURES], *[of(m, F.col("q1") - spread).alias(f"{m}_min") for m in BOTH_SIDES])
+    return written(fences, "quality-fences")
 
 
 def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds kept to rows with the counts, base_failed, lang and source."""
+    """Adds kept to rows with the counts, base_failed, lang and source; ``limits`` is a written table."""
     fences = limits.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[c for c in limits.columns if c not in ("lang", "source")])
-    joined = measures(counted).join(fences, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    if limits.count() <= BROADCAST_GROUPS:
+        fences = F.broadcast(fences)
+    joined = counted.join(fences, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     outside = F.lit(False)
-    for m in SLACK:
-        outside = outside | F.coalesce(F.col(m) > F.col(f"{m}_max"), F.lit(False))
+    for m in MEASURES:
+        outside = outside | F.coalesce(rate(m) > F.col(f"{m}_max"), F.lit(False))
         if m in BOTH_SIDES:
-            outside = outside | F.coalesce(F.col(m) < F.col(f"{m}_min"), F.lit(False))
+            outside = outside | F.coalesce(rate(m) < F.col(f"{m}_min"), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & ~outside)
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(lang_col).alias("lang"), col(source_col).alias("source"))
-    own = own.withColumn("row_key", F.xxhash64("doc_id", "text", "lang", "source"))
-    counts = with_counts(own).select("row_key", "doc_id", "lang", "source", *[F.col(f"_{c}").alias(c) for c in COUNTS])
-    counted = written(counts.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))), "quality-counts")
+def _judged(docs: DataFrame, carried: list[Column], text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """The carried columns, lang, source, the counts, base_failed and kept of each row."""
+    row = F.struct(*[col(c) for c in dict.fromkeys([text_col, lang_col, source_col])])
+    own = docs.select(*carried, row.alias("_in"))
+    names = [c for c in own.columns if c != "_in"]
+    counted = with_counts(own, F.col("_in")[text_col])
+    counted = counted.select(*names, F.col("_in")[lang_col].cast("string").alias("lang"), F.col("_in")[source_col].cast("string").alias("source"), *[F.col(f"_{c}").alias(c) for c in (*COUNTS, "n_lines")])
+    counted = written(counted.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))), "quality-counts")
     return judge(counted, thresholds(counted))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the counts, base_failed and kept for each row of ``docs``."""
-    return _judged(docs, id_col, text_col, lang_col, source_col).select("doc_id", *COUNTS, "base_failed", "kept")
+    return _judged(docs, [col(id_col).alias("doc_id")], text_col, lang_col, source_col).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, every column as it was; verdicts are joined by a hash of the four columns."""
-    bad = _judged(docs, id_col, text_col, lang_col, source_col).where(~F.col("kept")).select(F.col("row_key").alias("_rejected")).distinct()
-    return docs.join(bad, F.xxhash64(col(id_col), col(text_col), col(lang_col), col(source_col)) == bad["_rejected"], "left_anti")
+def filter_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that are kept, every column as it was."""
+    whole = F.struct(*[col(c) for c in docs.columns]).alias("_row")
+    return _judged(docs, [whole], text_col, lang_col, source_col).where("kept").select("_row.*")
 
 
 def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
