@@ -6,7 +6,8 @@ dictionary is trained on records taken at even steps through the whole archive,
 
 Tasks write archives straight into the shared folder under names that no other attempt uses, and report them as rows;
 Spark commits the rows of successful attempts only.  That list is the manifest, and readers open nothing else, so a
-lost executor or a second attempt leaves no record missing or twice.  Memory is bounded by ``ARCHIVE_BYTES``.
+lost executor or a second attempt leaves no record missing or twice.  Memory is bounded by ``ARCHIVE_BYTES`` and one
+record.  Readers are dealt by the bytes that the manifest states.
 
 Defined cases: a null payload is empty; a null or unusable url becomes ``urn:page:<id>``; a null id is written without
 an id field and read back as null; of repeated rows with the largest id each is a response; an empty table gives an
@@ -33,6 +34,8 @@ DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes after which a task begins another archive, a dictionary's bytes, the bytes it is trained on, and the compression level.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 32 << 20, 64 << 10, 4 << 20, 3
+#: Stored bytes that a reading task takes, about.
+READ_BYTES = 64 << 20
 #: Equal payloads shorter than this are all responses.
 REVISIT_BYTES = 1000
 
@@ -206,7 +209,18 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                         to.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, schema)
+    return dealt(manifest).mapInArrow(run, schema)
+
+
+def dealt(manifest: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """The paths of a written manifest, dealt over as many tasks as their bytes need, and over all cores at least while there are archives for them.
+
+    The number is stated, so small partitions are not put together again: what a row stands for is far larger than the row.
+    """
+    size = manifest.agg(F.count("*").alias("archives"), F.sum("stored_bytes").alias("stored")).first()
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(size["archives"], max(cores, -(-(size["stored"] or 0) // read_bytes))))
+    return manifest.select("path").repartition(tasks)
 
 
 def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,27 @@ def test_round_trip(spark):
     assert round_trip(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_reading_is_dealt(spark):
+    """Reading tasks follow the bytes stored, and the cores while bytes are few."""
+    manifest = lambda n, size: spark.createDataFrame([(f"a{k}", 1, size, size) for k in range(n)], "path string, records long, raw_bytes long, stored_bytes long").coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    for n, size, want in ((100, warc.READ_BYTES, 100), (1000, warc.READ_BYTES // 10, 100), (10, 1, cores), (2, 1, 2), (0, 1, 1)):
+        got = warc.dealt(manifest(n, size))
+        counts = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert got.rdd.getNumPartitions() == want and sum(r["count"] for r in counts) == n
+        assert not counts or max(r["count"] for r in counts) <= 4 * -(-n // want)  # four input parts are dealt in turn each
+
+
+def test_payloads_above_an_archive(spark):
+    """Payloads larger than an archive are records like others."""
+    rng = random.Random(9)
+    big = "".join(rng.choice("abcdefgh <>/") for _ in range(300_000))
+    rows = [(1, "http://a/", big), (2, "http://b/", big), (3, "http://c/", big[::-1] * 3), (4, "http://d/", "small")]
+    got = round_trip(pages(spark, rows), archive_bytes=100_000).collect()
+    assert sorted([tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got], key=str) == expected(rows)
+    assert {r["page_id"]: bytes(r["payload"]) for r in got if r["payload"] is not None}[3] == (big[::-1] * 3).encode()
+
+
 def test_archive_format():
     records = [warc.build_record(k, f"http://h/{k}", f"<html><body>page {k} says hello to the world {k * 7}</body></html>".encode() * 5, "00" * 20, None, "2024-01-01T00:00:00Z") for k in range(400)]
     data = warc.pack_archive(records)
