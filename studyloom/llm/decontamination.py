@@ -1,17 +1,18 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index stores a posting (term, document, position) for each token of the training texts; a query set's vocabulary can
-be pushed into the build, so that only terms a test item holds are stored.  Files stay split by document and are sorted
-by term, so building needs no shuffle and a look-up of rare terms skips most of the file.
+The index stores a posting (term, document, position) for each token of the training texts, every term among them, and
+one behind the last word that keeps the document's length.  Files stay split by document and are sorted by term, so
+building needs no shuffle.  An index that has been built serves any test set.
 
-Matching starts at the rarest terms.  Each test window names its rarest term; those few postings, moved back by the
-term's offset in the item, give candidate alignments (item, document, shift).  The second-rarest term's list is
-intersected at the same shift, which leaves little but true matches; then all the window's other lists are intersected
-at once.  Work follows the rare lists, not the frequent ones; postings of a frequent term or passage spread over the
-documents that hold it, and no list is gathered in one task.
+Matching starts at the rarest terms.  Each test window names its rarest term and its second-rarest; the few lists of such
+terms are taken from the index once.  Every different pair of terms at a distance is intersected there, once however many
+windows name it, by moving one list by the offset of the other.  What is left are candidate alignments (item, document,
+shift), and only the documents that hold one are looked up again, for the window's other terms.  Proximity matches go the
+same way, with a reach in place of an offset.  Work follows the rare lists, not the frequent ones; postings of a frequent
+term or passage spread over the documents that hold it, and no list is gathered in one task.
 
-DataFrame functions only.  The vocabulary and the chosen terms are broadcast only up to ``BROADCAST_TERMS`` rows, which
-is checked; beyond, they are joined by shuffle.
+DataFrame functions only.  What is broadcast has rows of fixed size, hashes and offsets, and is broadcast only up to
+``BROADCAST_ROWS`` of them, which is checked; beyond, it is joined by shuffle.
 
 A document is told apart by a 64-bit hash of its id and text, so rows that repeat an id with another text keep their
 own hits.  Defined cases: null and empty texts have no words; empty items match nothing; items shorter than a window
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from studyloom.llm.shared import ascii_lower, barrier, col, dropped, written
 
-#: Words in a window, and the rows up to which a term list is broadcast.
-WINDOW, BROADCAST_TERMS = 10, 100_000
+#: Words in a window, further words within which a window's terms count as near, and rows of fixed size up to which a table is broadcast.
+WINDOW, SLOP, BROADCAST_ROWS = 10, 5, 1_000_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -36,9 +37,9 @@ def words_of(text: Column) -> Column:
     return F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), _GAP)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, a small written table, with a broadcast hint if ``rows`` is within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a written table with rows of fixed size, with a broadcast hint if they are within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -47,30 +48,30 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return own.distinct().select(F.xxhash64("item", "words").alias("ikey"), "item", "words")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: DataFrame | None = None, terms: int = 0) -> DataFrame:
-    """The written index: term (or, with a ``vocabulary`` of term and tid, tid), key, pos.  ``terms``: its rows.
-
-    A vocabulary made by :func:`vocabulary_of` also keeps one length posting for each document (:func:`lengths`).
-    """
-    own = barrier(docs.select(F.xxhash64(col(id_col), col(text_col)).alias("key"), col(text_col).alias("_text")), _w=words_of(F.col("_text"))).drop("_text")
-    if vocabulary is None:
-        return written(own.select("key", F.posexplode("_w").alias("pos", "term")).where(F.col("term") != "").select("term", "key", "pos").sortWithinPartitions("term"), "index")
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written index: tid (the term's hash), key, pos; behind the last word of each document stands a posting whose tid, 0 to 2, counts the empty words at its ends."""
+    own = barrier(docs.select(key_of(id_col, text_col).alias("key"), col(text_col).alias("_text")), _w=words_of(F.col("_text"))).drop("_text")
     empty = (F.col("_w")[0] == "").cast("int") + ((F.size("_w") > 1) & (F.element_at("_w", -1) == "")).cast("int")
-    posted = own.select("key", F.posexplode(F.concat("_w", F.array(F.concat(F.lit("\0"), empty.cast("string"))))).alias("pos", "term"))
-    return written(posted.join(bounded(vocabulary, terms), "term").select("tid", "key", "pos").sortWithinPartitions("tid"), "index")
+    posted = own.select("key", F.posexplode(F.concat("_w", F.array(F.concat(F.lit("\0"), empty.cast("string"))))).alias("pos", "term")).where(F.col("term") != "")
+    tid = F.when(F.col("term") < "\x01", F.substring("term", 2, 1).cast("long")).otherwise(F.xxhash64("term"))
+    return written(posted.select(tid.alias("tid"), "key", "pos").sortWithinPartitions("tid"), "index")
 
 
-def vocabulary_of(tokens: DataFrame) -> DataFrame:
-    """term and tid: the different terms, and one for a document's length for each number of empty words at its ends."""
-    lengths_ = tokens.sparkSession.createDataFrame([(f"\0{k}", k) for k in range(3)], "term string, tid long")
-    return written(tokens.select("term").distinct().withColumn("tid", F.xxhash64("term")).unionByName(lengths_), "vocabulary")
+def key_of(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(col(id_col), col(text_col))
 
 
 def lengths(index: DataFrame) -> DataFrame:
-    """key and n_words of every document; the length posting stands behind the last word, its tid empty words counted in."""
+    """key and n_words of every document."""
     return index.where(F.col("tid").isin(0, 1, 2)).groupBy("key").agg(F.max(F.col("pos") - F.col("tid")).cast("long").alias("n_words"))
 
 
+def tokens_of(items: DataFrame) -> DataFrame:
+    """ikey, item_words, at, tid: a row for each word of each item."""
+    tokens = items.select("ikey", F.size("words").alias("item_words"), F.posexplode("words").alias("at", "term"))
+    return tokens.select("ikey", "item_words", "at", F.xxhash64("term").alias("tid"))
+
+
 def windows_of(tokens: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
     """ikey, start, length and ranked, the window's (n, at, tid) from the rarest; windows with an unknown term can't match and are left out.
 
@@ -83,108 +84,115 @@ def windows_of(tokens: DataFrame, frequency: DataFrame, window: int) -> DataFram
     return each.groupBy("ikey", "start", "length").agg(F.min("n").alias("_least"), F.sort_array(F.collect_list(F.struct("n", "at", "tid"))).alias("ranked")).where(F.col("_least") > 0).drop("_least")
 
 
-def phrase_matches(index: DataFrame, tokens: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A written table of ikey, key, shift and wins: the windows of an item that stand in a document at one shift (document minus item position)."""
-    frequency = written(index.groupBy("tid").agg(F.count("*").alias("n")), "term-frequency")
-    wins = written(windows_of(tokens, frequency, window), "windows")
+def look_up(index: DataFrame, tokens: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: the test set's terms, its windows with their rarest term and the second (tid, at, tid2, at2), and the postings of all such terms."""
+    terms = written(tokens.select("tid").distinct(), "terms")
+    frequency = written(index.join(bounded(terms), "tid", "left_semi").groupBy("tid").agg(F.count("*").alias("n")), "term-frequency")
     first, second = F.col("ranked")[0], F.get("ranked", F.least(F.lit(1), F.size("ranked") - 1))
-    # one posting list serves all windows of an item that share the rarest term at the same place, and the second
-    seeds = wins.groupBy("ikey", first["tid"].alias("tid"), first["at"].alias("at"), second["tid"].alias("tid2"), second["at"].alias("at2")).agg(F.collect_list(F.struct("start", "length")).alias("wins"))
-    seeds = written(seeds, "seeds")
-    rare = written(seeds.select("tid").union(seeds.select(F.col("tid2").alias("tid"))).distinct(), "rare-terms")
-    lists = index.join(bounded(rare, rare.count()), "tid", "left_semi")
-    found = lists.join(bounded(seeds, seeds.count()), "tid").select("ikey", "key", (F.col("pos") - F.col("at")).alias("shift"), "tid2", (F.col("pos") - F.col("at") + F.col("at2")).alias("pos2"), "wins")
+    wins = windows_of(tokens, frequency, window).select("ikey", "start", "length", first["tid"].alias("tid"), first["at"].alias("at"), second["tid"].alias("tid2"), second["at"].alias("at2"), F.array_distinct("ranked.tid").alias("tids"))
+    wins = written(wins, "windows")
+    rare = written(wins.select("tid").union(wins.select("tid2")).distinct(), "rare-terms")
+    lists = written(index.join(bounded(rare), "tid", "left_semi"), "rare-lists")
+    dropped(frequency, rare)
+    return terms, wins, lists
+
+
+def _paired(lists: DataFrame, pairs: DataFrame, met: Column) -> DataFrame:
+    """Postings of a pair's tid (columns of ``pairs``, key, pos) with one of its tid2, _p, in the same document that ``met`` accepts."""
+    pairs = written(pairs.distinct(), "term-pairs")
+    found = lists.join(bounded(pairs), "tid")
     other = lists.select(F.col("tid").alias("_t"), F.col("key").alias("_k"), F.col("pos").alias("_p"))
-    both = found.join(other, (F.col("key") == F.col("_k")) & (F.col("tid2") == F.col("_t")) & (F.col("pos2") == F.col("_p")), "left_semi")
-    aligned = both.groupBy("ikey", "key", "shift").agg(F.array_distinct(F.flatten(F.collect_list("wins"))).alias("wins"))
-    aligned = written(aligned, "alignments")
+    return found.join(other, (F.col("key") == F.col("_k")) & (F.col("tid2") == F.col("_t")) & met, "left_semi")
+
+
+def alignments(wins: DataFrame, lists: DataFrame) -> DataFrame:
+    """A written table of ikey, key, shift (document minus item position) and wins (start, length), where the two rarest terms stand at the window's distance."""
+    gap = (F.col("at2") - F.col("at")).alias("gap")
+    found = _paired(lists, wins.select("tid", "tid2", gap), F.col("_p") == F.col("pos") + F.col("gap"))
+    # one posting serves all windows of an item that share the pair at the same place
+    seeds = wins.groupBy("ikey", "tid", "at", "tid2", "at2").agg(F.collect_list(F.struct("start", "length")).alias("wins")).withColumn("gap", gap)
+    aligned = found.join(seeds, ["tid", "tid2", "gap"]).select("ikey", "key", (F.col("pos") - F.col("at")).alias("shift"), "wins")
+    return written(aligned.groupBy("ikey", "key", "shift").agg(F.array_distinct(F.flatten(F.collect_list("wins"))).alias("wins")), "alignments")
+
+
+def near_seeds(wins: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
+    """A written table of ikey, start, length, tids, key and center (the rarest term's position) where the second-rarest stands within reach."""
+    found = _paired(lists, wins.select("tid", "tid2", "length"), F.abs(F.col("_p") - F.col("pos")) < F.col("length") + slop)
+    same = wins.select("ikey", "start", "tids", *[F.col(c).alias(f"_{c}") for c in ("tid", "tid2", "length")])
+    joined = found.join(same, (F.col("tid") == F.col("_tid")) & (F.col("tid2") == F.col("_tid2")) & (F.col("length") == F.col("_length")))
+    return written(joined.select("ikey", "start", "length", "tids", "key", F.col("pos").alias("center")), "near-seeds")
+
+
+def postings_in(index: DataFrame, terms: DataFrame, documents: DataFrame) -> DataFrame:
+    """_t, _k, _p: a written table of the postings of ``terms`` in ``documents`` (key)."""
+    keys = written(documents.select("key").distinct(), "candidate-documents")
+    found = written(index.join(bounded(keys), "key", "left_semi").join(bounded(terms), "tid", "left_semi").select(F.col("tid").alias("_t"), F.col("key").alias("_k"), F.col("pos").alias("_p")), "candidate-postings")
+    dropped(keys)
+    return found
+
+
+def phrase_matches(aligned: DataFrame, postings: DataFrame, tokens: DataFrame) -> DataFrame:
+    """A written table of ikey, key, shift and wins: the windows of an item all of whose terms stand in a document at one shift."""
     places = F.array_distinct(F.flatten(F.transform("wins", lambda w: F.sequence(w["start"], w["start"] + w["length"] - 1))))
     asked = aligned.select("ikey", "key", "shift", F.explode(places).alias("at")).join(tokens.select("ikey", "at", "tid"), ["ikey", "at"])
-    asked = asked.select("ikey", "key", "shift", "at", "tid", (F.col("shift") + F.col("at")).alias("pos"))
-    met = asked.join(index.select(F.col("tid").alias("_t"), F.col("key").alias("_k"), F.col("pos").alias("_p")), (F.col("key") == F.col("_k")) & (F.col("pos") == F.col("_p")) & (F.col("tid") == F.col("_t")), "left_semi")
-    there = met.groupBy("ikey", "key", "shift").agg(F.collect_set("at").alias("there"))
+    met = asked.join(postings, (F.col("key") == F.col("_k")) & (F.col("shift") + F.col("at") == F.col("_p")) & (F.col("tid") == F.col("_t")), "left_semi")
+    there = met.groupBy("ikey", "key", "shift").agg(F.collect_set("at").alias("there"))  # an item's places at most
     ok = F.filter("wins", lambda w: F.size(F.array_intersect(F.sequence(w["start"], w["start"] + w["length"] - 1), "there")) == w["length"])
-    matches = written(aligned.join(there, ["ikey", "key", "shift"]).select("ikey", "key", "shift", ok.alias("wins")).where(F.size("wins") > 0), "phrase-matches")
-    dropped(frequency, wins, seeds, rare, aligned)
-    return matches
+    return written(aligned.join(there, ["ikey", "key", "shift"]).select("ikey", "key", "shift", ok.alias("wins")).where(F.size("wins") > 0), "phrase-matches")
 
 
-def proximity_matches(index: DataFrame, tokens: DataFrame, window: int = WINDOW, slop: int = 5) -> DataFrame:
-    """ikey, start, key: windows of which each term stands, in any order, within ``window + slop`` words of the document.
-
-    From the rarest term's postings; those without the second-rarest term within that reach go, then the other terms'
-    postings in the documents that are left are met.
-    """
-    frequency = written(index.groupBy("tid").agg(F.count("*").alias("n")), "term-frequency")
-    second = F.get("ranked", F.least(F.lit(1), F.size("ranked") - 1))
-    wins = written(windows_of(tokens, frequency, window).select("ikey", "start", "length", F.col("ranked")[0]["tid"].alias("rare"), second["tid"].alias("rare2"), F.array_distinct("ranked.tid").alias("tids")), "near-windows")
-    rare = written(wins.select(F.col("rare").alias("tid")).union(wins.select("rare2")).distinct(), "rare-terms")
-    lists = index.join(bounded(rare, rare.count()), "tid", "left_semi")
+def proximity_matches(seeds: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
+    """ikey, start, key: windows of which each term stands, in any order, within ``length + slop`` words of the document."""
     reach = F.col("length") + slop
-    found = lists.join(bounded(wins, wins.count()), F.col("rare") == F.col("tid")).select("ikey", "start", "length", "rare2", "tids", "key", F.col("pos").alias("center"))
-    other = lists.select(F.col("tid").alias("_t"), F.col("key").alias("_k"), F.col("pos").alias("_p"))
-    seeds = written(found.join(other, (F.col("key") == F.col("_k")) & (F.col("rare2") == F.col("_t")) & (F.abs(F.col("_p") - F.col("center")) < reach), "left_semi").drop("rare2"), "near-seeds")
-    keys = written(seeds.select("key").distinct(), "near-keys")
-    held = index.join(bounded(keys, keys.count()), "key", "left_semi")
     asked = seeds.select("*", F.explode("tids").alias("want"))
-    near = asked.join(held.select("tid", F.col("key").alias("_k"), "pos"), (F.col("key") == F.col("_k")) & (F.col("want") == F.col("tid")) & (F.abs(F.col("pos") - F.col("center")) < reach))
-    seen = near.groupBy("ikey", "start", "length", "key", "center").agg(F.size(F.any_value("tids")).alias("need"), F.collect_set(F.struct("pos", "tid")).alias("seen"))
+    near = asked.join(postings, (F.col("key") == F.col("_k")) & (F.col("want") == F.col("_t")) & (F.abs(F.col("_p") - F.col("center")) < reach))
+    seen = near.groupBy("ikey", "start", "length", "key", "center").agg(F.size(F.any_value("tids")).alias("need"), F.collect_set(F.struct(F.col("_p").alias("pos"), F.col("_t").alias("tid"))).alias("seen"))  # two reaches at most
     fits = F.exists("seen", lambda s: F.size(F.array_distinct(F.transform(F.filter("seen", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + F.col("length") + slop)), lambda x: x["tid"]))) == F.col("need"))
     return seen.where(fits).select("ikey", "start", "key").distinct()
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(items, tokens, index) for a test set: items as of :func:`items_of`, tokens with ikey, item_words, at, tid."""
-    items = written(items_of(benchmark, item_col, item_text_col), "items")
-    tokens = items.select("ikey", F.size("words").alias("item_words"), F.posexplode("words").alias("at", "term"))
-    vocabulary = vocabulary_of(tokens)
-    tokens = tokens.select("ikey", "item_words", "at", F.xxhash64("term").alias("tid"))
-    return items, tokens, build_index(docs, id_col, text_col, vocabulary, vocabulary.count())
-
-
-def hits(items: DataFrame, tokens: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, n_hit, n_items, items (sorted ids, comma-joined) for documents with a match."""
-    found = phrase_matches(index, tokens, window)
+def hits(items: DataFrame, found: DataFrame) -> DataFrame:
+    """key, n_hit, n_items, items (sorted ids, comma-joined) for documents with a phrase match."""
     words = found.select("key", F.explode("wins").alias("w"), "shift").select("key", F.explode(F.sequence(F.col("shift") + F.col("w.start"), F.col("shift") + F.col("w.start") + F.col("w.length") - 1)).alias("pos"))
     n_hit = words.distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     named = found.select("ikey", "key").distinct().join(items.select("ikey", "item"), "ikey").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("names"))
     return n_hit.join(named, "key").select("key", "n_hit", F.size("names").cast("long").alias("n_items"), F.array_join("names", ",").alias("items"))
 
 
-def near_items(items: DataFrame, tokens: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key and n_near_items, the items of which a window's terms stand close together in any order, for documents with one."""
-    found = proximity_matches(index, tokens, window).select("ikey", "key").distinct().join(items.select("ikey", "item"), "ikey")
-    return found.select("key", "item").distinct().groupBy("key").agg(F.count("*").alias("n_near_items"))
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and n_near_items for each row of ``docs``.
 
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", near: bool = False, **columns: str) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items for each row of ``docs``; with ``near`` also n_near_items.
-
-    Proximity matches are counted only; contaminated follows exact windows.
+    n_near_items counts the items of which a window's terms stand close together in any order, exact ones among them;
+    contaminated follows exact windows.
     """
-    items, tokens, index = prepared(docs, benchmark, id_col, text_col, **columns)
-    known = lengths(index).join(hits(items, tokens, index, window), "key", "left").withColumnRenamed("key", "_key")
-    own = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(id_col), col(text_col)).alias("key"))
+    items = written(items_of(benchmark, item_col, item_text_col), "items")
+    tokens, index = tokens_of(items), build_index(docs, id_col, text_col)
+    terms, wins, lists = look_up(index, tokens, window)
+    aligned, seeds = alignments(wins, lists), near_seeds(wins, lists, slop)
+    postings = postings_in(index, terms, aligned.select("key").union(seeds.select("key")))
+    found = phrase_matches(aligned, postings, tokens)
+    near = proximity_matches(seeds, postings, slop).select("ikey", "key").distinct().join(items.select("ikey", "item"), "ikey")
+    near = near.select("key", "item").distinct().groupBy(F.col("key").alias("_near")).agg(F.count("*").alias("n_near_items"))
+    known = lengths(index).join(hits(items, found), "key", "left").withColumnRenamed("key", "_key").join(near, F.col("_key") == F.col("_near"), "left")
+    known = written(known, "document-hits")
+    dropped(index, wins, lists, aligned, seeds, postings, found, terms, items)
+    own = docs.select(col(id_col).alias("doc_id"), key_of(id_col, text_col).alias("key"))
     zero, names = F.lit(0).cast("long"), F.coalesce("items", F.lit(""))
-    added = []
-    if near:
-        known = known.join(near_items(items, tokens, index, window).withColumnRenamed("key", "_near"), F.col("_key") == F.col("_near"), "left")
-        added = [F.coalesce("n_near_items", zero).alias("n_near_items")]
-    return own.join(known, F.col("key") == F.col("_key"), "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(names, 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), names.alias("items"), *added)
+    return own.join(known, F.col("key") == F.col("_key"), "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(names, 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), names.alias("items"), F.coalesce("n_near_items", zero).alias("n_near_items"))
 
 
-def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """The rows of ``docs`` without a match, every column as it was."""
-    items, tokens, index = prepared(docs, benchmark, id_col, text_col, **columns)
-    bad = hits(items, tokens, index, window).select(F.col("key").alias("_key"))
-    dropped(index)  # the hits are written
-    return docs.join(bad, F.xxhash64(col(id_col), col(text_col)) == bad["_key"], "left_anti")
+def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a phrase match, every column as it was; of a match only the key is joined, by broadcast within the bound."""
+    items = written(items_of(benchmark, item_col, item_text_col), "items")
+    tokens, index = tokens_of(items), build_index(docs, id_col, text_col)
+    terms, wins, lists = look_up(index, tokens, window)
+    aligned = alignments(wins, lists)
+    postings = postings_in(index, terms, aligned)
+    found = phrase_matches(aligned, postings, tokens)
+    bad = written(found.select(F.col("key").alias("_key")).distinct(), "contaminated")
+    dropped(index, wins, lists, aligned, postings, found, terms, items)
+    return docs.join(bounded(bad), key_of(id_col, text_col) == bad["_key"], "left_anti")
 
 
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")
-
-
-def op6_phrases_and_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op6_positional_index, with n_near_items from the same index."""
-    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near=True).drop("items")

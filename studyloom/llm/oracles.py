@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from studyloom.llm import quality, secrets, sharding
+from studyloom.llm import decontamination, quality, secrets, sharding
 from studyloom.llm.shared import LOWER, UPPER
 
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -90,9 +90,16 @@ d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_BENCH_WORD}') AS w FROM docum
 dw AS (SELECT doc_id, l, unnest(range(1, len(w) - l + 2)) AS i, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i+l-1], ' '))) AS x FROM d, (SELECT DISTINCT l FROM bw) WHERE len(w) >= l),
 hit AS (SELECT doc_id, item_id, i, bw.l FROM dw JOIN bw USING (l, x)),
 h AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, range(0, 10) r(k) WHERE k < l GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)"""
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id),
+wt AS (SELECT DISTINCT item_id, i, l, unnest(w[i:i+l-1]) AS t FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM (SELECT *, least({decontamination.WINDOW}, len(w)) AS l FROM b WHERE len(w) > 0))),
+need AS (SELECT item_id, i, l, count(*) AS need FROM wt GROUP BY ALL),
+dp AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS pos FROM d),
+cand AS (SELECT doc_id, item_id, i, l, need FROM (SELECT DISTINCT doc_id, t FROM dp) JOIN wt USING (t) JOIN need USING (item_id, i, l) GROUP BY ALL HAVING count(*) = need),
+p AS (SELECT cand.*, t, pos FROM cand JOIN wt USING (item_id, i, l) JOIN dp USING (doc_id, t)),
+near AS (SELECT DISTINCT doc_id, item_id FROM (SELECT x.doc_id, x.item_id, x.i, x.pos, x.need FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.item_id IS NOT DISTINCT FROM y.item_id AND x.i = y.i AND y.pos >= x.pos AND y.pos < x.pos + x.l + {decontamination.SLOP} GROUP BY ALL HAVING count(DISTINCT y.t) = x.need)),
+nn AS (SELECT doc_id, count(*) AS n_near FROM near GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nn USING (doc_id)"""
 
 _M, _N = sharding.TABLE_SIZE, len(sharding.SHARDS)
 

@@ -192,7 +192,7 @@ def test_hits_on_documents(spark, sf):
 
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_hits_on_small_words(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontamination, "BROADCAST_TERMS", limit)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
     rng = random.Random(limit)
     say = lambda n: " ".join(rng.choice(["a", "B", "c", "é", "É", "7"]) for _ in range(n))
     items = [(k, say(rng.randrange(5))) for k in range(4)] + [(10 + k, say(12)) for k in range(3)] + [(20, None), (None, "null item words"), (21, ""), (10, "another text under ten")]
@@ -210,12 +210,21 @@ def test_hits_on_small_words(spark, monkeypatch, limit):
 def test_proximity(spark):
     item = "alpha beta gamma delta"
     rows = [(1, "x alpha y gamma beta z delta"), (2, "alpha beta " + "q " * 20 + "gamma delta"), (3, "alpha beta gamma")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    _, tokens, index = decontamination.prepared(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    keys = {r["key"] for r in decontamination.proximity_matches(index, tokens, slop=4).collect()}
-    assert keys == {r["key"] for r in df.where("doc_id = 1").select(F.xxhash64("doc_id", "text").alias("key")).collect()}
-    whole = decontamination.build_index(df)
-    assert whole.where("term = 'alpha'").count() == 3 and set(whole.columns) == {"term", "key", "pos"}
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"]: r["n_near_items"] for r in decontamination.contamination(df, bench, slop=4).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_index_holds_every_token(spark, sf):
+    """All terms of all texts, with their positions, and each text's length."""
+    df = spark.createDataFrame([(1, "...b A, a"), (2, None), (3, ""), (4, "c!")], "doc_id long, text string")
+    index = decontamination.build_index(df)
+    keys = {r["key"]: r["doc_id"] for r in df.select("doc_id", decontamination.key_of("doc_id", "text").alias("key")).collect()}
+    hashes = {r["h"]: r["t"] for r in spark.createDataFrame([(t,) for t in "abc"], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    assert sorted((keys[r["key"]], r["pos"], hashes[r["tid"]]) for r in index.where("tid not in (0, 1, 2)").collect()) == [(1, 1, "b"), (1, 2, "a"), (1, 3, "a"), (4, 0, "c")]
+    assert {keys[r["key"]]: r["n_words"] for r in decontamination.lengths(index).collect()} == {1: 3, 2: 0, 3: 0, 4: 1}
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    assert decontamination.build_index(whole).count() == sum(1 + len(word.findall((t or "").translate(LOW))) for _, t, *_ in table(spark, sf))
 
 
 def test_proximity_of_all_documents(spark, sf):
@@ -234,12 +243,12 @@ def test_proximity_of_all_documents(spark, sf):
         return len(out)
 
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-    rows = decontamination.op6_phrases_and_proximity(spark, sf).collect()
+    rows = decontamination.op6_positional_index(spark, sf).collect()
     assert {r["doc_id"]: r["n_near_items"] for r in rows} == {d: near(t, items) for d, t, *_ in table(spark, sf)}
     assert all(r["n_near_items"] >= r["n_items"] for r in rows)
     w = said(items[0][1])
     moved = " ".join([w[1], w[0], "zzz", *w[2:9][::-1], "zzz", *w[9:12]])
-    got = decontamination.contamination(docs(spark, [(1, moved, "en", "s"), (2, items[0][1], "en", "s"), (3, None, "en", "s")]), spark.createDataFrame(items, "item_id long, text string"), near=True).collect()
+    got = decontamination.contamination(docs(spark, [(1, moved, "en", "s"), (2, items[0][1], "en", "s"), (3, None, "en", "s")]), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["n_items"], r["n_near_items"]) for r in got) == [(1, 0, near(moved, items)), (2, 1, 1), (3, 0, 0)] and near(moved, items) == 1
 
 
