@@ -12,7 +12,7 @@ same way, with a reach in place of an offset.  Work follows the rare lists, not
 term or passage spread over the documents that hold it, and no list is gathered in one task.
 
 DataFrame functions only.  What is broadcast has rows of fixed size, hashes and offsets, and is broadcast only up to
-``BROADCAST_ROWS`` of them, which is checked; beyond, it is joined by shuffle.
+``shared.BROADCAST_ROWS`` of them, which is checked; beyond, it is joined by shuffle.
 
 A document is told apart by a 64-bit hash of its id and text, so rows that repeat an id with another text keep their
 own hits.  Defined cases: null and empty texts have no words; empty items match nothing; items shorter than a window
@@ -25,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import ascii_lower, barrier, col, dropped, written
+from studyloom.llm.shared import ascii_lower, barrier, bounded, col, dropped, written
 
-#: Words in a window, further words within which a window's terms count as near, and rows of fixed size up to which a table is broadcast.
-WINDOW, SLOP, BROADCAST_ROWS = 10, 5, 1_000_000
+#: Words in a window, and further words within which a window's terms count as near.
+WINDOW, SLOP = 10, 5
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -37,11 +37,6 @@ def words_of(text: Column) -> Column:
     return F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), _GAP)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, a written table with rows of fixed size, with a broadcast hint if they are within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """ikey, item (the id as string) and words, a row for each different item with a word."""
     own = benchmark.select(F.coalesce(col(id_col).cast("string"), F.lit("null")).alias("item"), F.filter(words_of(col(text_col)), lambda w: w != "").alias("words")).where(F.size("words") > 0)

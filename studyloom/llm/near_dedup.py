@@ -14,10 +14,12 @@ is lost; in long lists, where nearly all agree on many coordinates, whole-set bo
 (:func:`long_list_pairs`).  Pairs that collide on enough coordinates are confirmed on the full sets; the links' connected components are
 found by label propagation with pointer jumping, on written tables.
 
-Class ids and shingles are 64-bit hashes.  Defined cases: null and empty texts, and rows without an id, are linked with
+Classes and rows are told apart by 128 bits, shingles by 64; classes are numbered once their table is written.  Full sets are
+hashed once, for the classes that meet another in a list.  Texts are hashed ``PIECE`` bytes at a time, so a long one
+takes memory for its words only.  Defined cases: null and empty texts, and rows without an id, are linked with
 nothing; texts shorter than a shingle are one shingle; equal texts are one class; rows that repeat an id with another
-text are classes of their own under that id; an empty table gives an empty result; other columns are ignored, or kept
-by ``filter_documents``.
+text are classes of their own under that id; rows that repeat id and text are judged alike, and ``filter_documents`` leaves
+one of them; an empty table gives an empty result; other columns are ignored, or kept by ``filter_documents``.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import col, dropped, written
+from studyloom.llm.shared import bounded, col, dropped, row_key, without, written
 
 #: Words of a shingle and percent of similarity, unless a caller says otherwise.
 SHINGLE, PERCENT = 5, 80
@@ -40,8 +42,9 @@ SHINGLE, PERCENT = 5, 80
 COORDINATES, DEVIATIONS = 64, 4.7
 #: Members beyond which a list that holds several components is merged by whole-set bounds.
 LONG_LIST = 64
-#: Bytes of text that are hashed side by side.
-BLOCK = 1 << 20
+#: Bytes of text that are taken together, and of these the bytes that are hashed side by side.
+BLOCK, PIECE = 1 << 20, 1 << 20
+_BASE = 0x9E3779B97F4A7C15
 
 
 def matches_for(percent: int) -> int:
@@ -73,36 +76,61 @@ def _tables(coordinates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @functools.cache
 def _powers(n: int, inverse: bool = False) -> np.ndarray:
-    """Powers of an odd base, or of its inverse, modulo 2**64."""
-    base = 0x9E3779B97F4A7C15
-    out = np.full(n, np.uint64(pow(base, -1, 1 << 64) if inverse else base))
+    """The first n powers of an odd base, or of its inverse, modulo 2**64."""
+    out = np.full(n, np.uint64(pow(_BASE, -1, 1 << 64) if inverse else _BASE))
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its runs of ``words`` words, A to Z lower-cased; all its words if it has fewer.
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of some bytes, and where it starts.
 
-    A word's hash is a polynomial over random byte values, taken from running sums over all texts at once.
+    A word's hash is a polynomial over random byte values, taken from running sums over ``PIECE`` bytes at a time; a word
+    that goes on in the next piece is the sum of its parts, the later ones times the base to the length before.
     """
     byte, _, _ = _tables(COORDINATES)
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    values = byte[data]
-    length = 1 << max(20, int(len(data)).bit_length())
-    powers, inverse = _powers(length), _powers(length, inverse=True)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values * powers[: len(data)], out=sums[1:])
-    inside = np.concatenate([[False], values != 0])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    hashes = _mix((sums[ends] - sums[starts]) * inverse[starts])
+    powers, inverse = _powers(PIECE + 1), _powers(PIECE + 1, inverse=True)
+    raws, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    open_at, open_raw, open_size = -1, 0, 0
+    for at in range(0, len(data), PIECE):
+        values = byte[data[at : at + PIECE]]
+        n = len(values)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * powers[:n], out=sums[1:])
+        inside = np.concatenate([[False], values != 0, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, last = edges[::2], edges[1::2]
+        raw, begin = (sums[last] - sums[first]) * inverse[first], first + at
+        if open_at >= 0:
+            if len(first) and first[0] == 0:
+                raw[0] = np.uint64((open_raw + int(raw[0]) * pow(_BASE, open_size, 1 << 64)) % (1 << 64))
+                begin[0] = open_at
+            else:
+                raws.append(np.array([open_raw], np.uint64))
+                starts.append(np.array([open_at], np.int64))
+            open_at = -1
+        if len(last) and last[-1] == n and at + n < len(data):
+            open_at, open_raw, open_size = int(begin[-1]), int(raw[-1]), at + n - int(begin[-1])
+            raw, begin = raw[:-1], begin[:-1]
+        raws.append(raw)
+        starts.append(begin)
+    if open_at >= 0:
+        raws.append(np.array([open_raw], np.uint64))
+        starts.append(np.array([open_at], np.int64))
+    return _mix(np.concatenate(raws)), np.concatenate(starts)
+
+
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of ``words`` words, A to Z lower-cased; all its words if it has fewer."""
+    hashes, starts = word_hashes(np.frombuffer(b"\n".join([*texts, b""]), np.uint8))
     sizes = np.array([len(t) + 1 for t in texts])
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     n = len(hashes)
     runs = np.zeros(max(0, n - words + 1), np.uint64)
     factor = np.uint64(0xD6E8FEB86659FD93)
     for k in range(words):
-        runs = runs * factor + hashes[k : k + len(runs)]
+        runs *= factor
+        runs += hashes[k : k + len(runs)]
     runs = _mix(runs)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -126,8 +154,10 @@ def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.nda
     return out
 
 
-def class_id(own: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_id(own: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two numbers."""
+    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
@@ -145,34 +175,36 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """row_key, doc_id, n_shingles, node (the class) and sig; node and sig are null for an empty set.  ``docs``: doc_id, text, row_key."""
+    """_k1, _k2, doc_id, n_shingles, h1 and h2 (the class) and sig; the last three are null for an empty set.  ``docs``: doc_id, text, _k1, _k2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, texts in _blocks(batch):
-                keys, at = batch.column(2)[at : at + len(ids)], at + len(ids)
+                own = slice(at, at := at + len(ids))
                 sets = shingle_sets(texts, words)
                 some = [s for s in sets if len(s)]
                 rows = iter(signatures(some).tolist() if some else [])
                 sigs = [next(rows) if len(s) else None for s in sets]
-                nodes = [class_id(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["row_key", "doc_id", "n_shingles", "node", "sig"])
+                classes = [class_id(s) if len(s) else (None, None) for s in sets]
+                columns = [batch.column(2)[own], batch.column(3)[own], pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([c[k] for c in classes], pa.int64()) for k in (0, 1)], pa.array(sigs, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_k1", "_k2", "doc_id", "n_shingles", "h1", "h2", "sig"])
 
-    return docs.select("doc_id", "text", "row_key").mapInArrow(run, "row_key long, doc_id long, n_shingles long, node long, sig array<int>")
+    return docs.select("doc_id", "text", "_k1", "_k2").mapInArrow(run, "_k1 long, _k2 long, doc_id long, n_shingles long, h1 long, h2 long, sig array<int>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node and members, the whole set.  ``docs``: doc_id, text."""
+    """h1, h2 and members, the whole set.  ``docs``: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _blocks(batch):
                 sets = shingle_sets(texts, words)
                 members = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), members], names=["node", "members"])
+                classes = [class_id(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([*[pa.array([c[k] for c in classes], pa.int64()) for k in (0, 1)], members], names=["h1", "h2", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, members array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, members array<bigint>")
 
 
 def similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -285,61 +317,75 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, signed_docs: DataFrame, words: int, percent: int, matches: int) -> DataFrame:
-    """node and label for every class that is linked with another.  ``docs``: doc_id, text; ``signed_docs``: a written table."""
-    classes = signed_docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
-    classes = written(classes, "classes")
+def link(docs: DataFrame, classes: DataFrame, words: int, percent: int, matches: int) -> DataFrame:
+    """node and label for every class that is linked with another.  ``docs``: doc_id, text; ``classes``: a written table."""
     lists = written(coordinate_lists(classes, matches), "coordinate-lists")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        need = classes.join(nodes.distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-        found = full_sets(docs.join(need.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi"), words)
-        # a repeated id can bring texts of other classes
-        return written(found.join(need.select("_node"), F.col("node") == F.col("_node"), "left_semi").dropDuplicates(["node"]), "full-sets")
-
-    def nodes_of(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    # whole sets of the classes that meet another, each hashed once, from the document with the least id
+    need = written(classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "doc_id", F.col("h1").alias("_1"), F.col("h2").alias("_2")), "listed-classes")
+    ids = written(need.select(F.col("doc_id").alias("_id")).distinct(), "listed-ids")
+    found = full_sets(docs.join(bounded(ids), F.col("doc_id") == F.col("_id"), "left_semi"), words)
+    # a repeated id can bring texts of other classes, and a repeated row its class again
+    found = found.join(need.drop("doc_id"), (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2"))).select("node", "members")
+    sets = written(found.dropDuplicates(["node"]), "full-sets")
 
     tried = written(colliding(pivot_pairs(lists, percent), classes, matches), "pivot-pairs")
-    edges = written(confirmed(tried, sets_of(nodes_of(tried)), percent), "pivot-links")
+    edges = written(confirmed(tried, sets, percent), "pivot-links")
     labels = components(edges).select("node", "label")
     mixed = written(labelled(lists, labels), "mixed-lists")
     short, long = mixed.where(F.col("size") <= LONG_LIST), mixed.where(F.col("size") > LONG_LIST)
     pairs = colliding(cross_pairs(short.withColumn("f", F.col("n")), percent).join(tried, ["a", "b"], "left_anti"), classes, matches)
     if not long.isEmpty():
-        sets = sets_of(long.select("node"))
-        more = written(confirmed(minor_pairs(long, percent), sets, percent), "minor-links")
+        own = written(sets.join(long.select("node").distinct(), "node", "left_semi"), "long-list-sets")
+        more = written(confirmed(minor_pairs(long, percent), own, percent), "minor-links")
         edges = edges.unionByName(more)
         labels = components(edges).select("node", "label")
-        pairs = pairs.union(long_list_pairs(labelled(long.select("key", "node", "n"), labels), labels, sets, percent)).distinct()  # that have passed a stricter test
+        pairs = pairs.union(long_list_pairs(labelled(long.select("key", "node", "n"), labels), labels, own, percent)).distinct()  # that have passed a stricter test
     rest = written(pairs.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    if rest.isEmpty():
-        return labels
-    return components(edges.unionByName(confirmed(rest, sets_of(nodes_of(rest)), percent)))
+    if not rest.isEmpty():
+        labels = components(edges.unionByName(confirmed(rest, sets, percent)))
+    dropped(lists, need, ids, sets, tried, mixed, rest)
+    return labels
 
 
 def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    own = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    marked = written(signed(own, words).withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), "signatures")
-    labels = link(own, marked, words, percent, matches_for(percent))
-    first = marked.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
-    named = first.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    """_k1, _k2, doc_id, n_shingles, component_id and kept of each row."""
+    own = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    own = own.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text")))
+    identified = F.col("doc_id").isNotNull()
+    marked = signed(own, words)
+    marked = written(marked.withColumns({c: F.when(identified, F.col(c)) for c in ("h1", "h2")}), "signatures")
+    classes = marked.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    labels = link(own, classes, words, percent, matches_for(percent))
+    named = classes.select("node", "doc_id", F.col("h1").alias("_1"), F.col("h2").alias("_2")).join(labels, "node", "left").select("_1", "_2", F.col("doc_id").alias("first"), F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    known = named.join(least, "label").select(F.col("node").alias("_node"), "component_id")
-    out = marked.drop("sig").join(known, F.col("node") == F.col("_node"), "left")
+    known = named.join(least, "label").select("_1", "_2", "component_id")
+    out = marked.drop("sig").join(known, (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("row_key", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("_k1", "_k2", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) and kept for each row of ``docs``."""
-    return _judged(docs, words, percent, id_col, text_col).drop("row_key")
+    return _judged(docs, words, percent, id_col, text_col).drop("_k1", "_k2")
 
 
 def filter_documents(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id, every column as it was; rows that repeat it stay."""
-    bad = _judged(docs, words, percent, id_col, text_col).where(~F.col("kept")).select(F.col("row_key").alias("_rejected")).distinct()
-    return docs.join(bad, F.xxhash64(col(id_col).cast("long"), col(text_col).cast("string")) == bad["_rejected"], "left_anti")
+    """One document of each group, the one with the smallest id, every column as it was; of rows that repeat its id and text one stays.
+
+    Rows without an id or a text all stay.  Only keys of rows that go, or come again, are joined with the texts.
+    """
+    key = (col(id_col).cast("long"), col(text_col).cast("string"))
+    judged = _judged(docs, words, percent, id_col, text_col)
+    same = judged.groupBy("_k1", "_k2").agg(F.any_value("kept").alias("kept"), F.count("*").alias("n"), F.max(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).alias("linked"))
+    same = written(same.where(~F.col("kept") | (F.col("linked") & (F.col("n") > 1))), "rejected")
+    out = without(docs, same, *key)
+    again = written(same.where("kept").select("_k1", "_k2"), "repeated")
+    if again.isEmpty():
+        return out
+    k1, k2 = row_key(*key)
+    whole = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_row"), k1, k2)
+    return out.unionByName(whole.join(bounded(again), ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.first("_row").alias("_row")).select("_row.*"))
 
 
 def op3_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from studyloom.sources.storage import dropped, new_folder, written
 
-__all__ = ["ascii_lower", "barrier", "col", "dropped", "new_folder", "written"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "barrier", "bounded", "col", "dropped", "new_folder", "row_key", "without", "written"]
 
 #: Characters that end a word in the contracts that split on ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Rows of fixed size, hashes and numbers, up to which a table is broadcast: some tens of megabytes.
+BROADCAST_ROWS = 1_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -33,3 +35,19 @@ def barrier(df: DataFrame, **exprs: Column) -> DataFrame:
     """
     made = F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))
     return df.select("*", F.inline(made))
+
+
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, a written table with rows of fixed size, with a broadcast hint if they are within the bound."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """_k1 and _k2: 128 bits that tell rows apart by these columns."""
+    return [F.xxhash64(F.lit(k), *columns).alias(f"_k{k}") for k in (1, 2)]
+
+
+def without(docs: DataFrame, rejected: DataFrame, *columns: Column) -> DataFrame:
+    """The rows of ``docs``, whole, whose key over ``columns`` is not in a written table of _k1 and _k2; its size decides how it is joined."""
+    gone, (k1, k2) = bounded(rejected), row_key(*columns)
+    return docs.join(gone, (k1 == gone["_k1"]) & (k2 == gone["_k2"]), "left_anti")

@@ -89,7 +89,9 @@ def test_component_edges(spark):
     assert got_components(near_dedup.near_duplicates(df, words=2)) == brute_components(rows)
     left = near_dedup.filter_documents(df, words=2)
     assert left.columns == df.columns
+    # of (3, text) twice, once in capitals, both rows have one class but texts of their own; rows that repeat both are one
     assert Counter(str(r["doc_id"]) for r in left.collect()) == Counter(d for d, *_, kept in brute_components(rows) if kept)
+    assert Counter(str(r["doc_id"]) for r in near_dedup.filter_documents(df.unionAll(df), words=2).where("doc_id is not null").collect()) == Counter({d: n * (2 if d in ("1", "2", "4") else 1) for d, n in Counter(d for d, *_, kept in brute_components(rows) if kept and d != "None").items()})
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -101,6 +103,16 @@ def test_word_hashes_do_not_depend_on_neighbours():
     assert np.array_equal(together[0], together[3]) and set(together[1]) <= set(together[0]) and len(together[2]) == 0
 
 
+def test_word_hashes_of_long_texts(monkeypatch):
+    """Hashes don't depend on how a text is cut into pieces, also through words longer than a piece."""
+    rng = random.Random(2)
+    texts = [("".join(rng.choice(["a", "bc ", "  ", "D" * 50, "\n", "é"]) for _ in range(rng.randrange(300)))).encode() for _ in range(40)]
+    want = near_dedup.shingle_sets(texts, 2)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(near_dedup, "PIECE", piece)
+        assert all(np.array_equal(a, b) for a, b in zip(near_dedup.shingle_sets(texts, 2), want, strict=True))
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 4000).astype(np.uint64)

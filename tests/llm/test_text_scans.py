@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from studyloom.llm import decontamination, pii, quality, secrets
+from studyloom.llm import decontamination, pii, quality, secrets, shared
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, kept int, spans string, key string, n_words int, owner string, _key int, _live int, _rejected int, _id int"
@@ -192,7 +192,7 @@ def test_hits_on_documents(spark, sf):
 
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_hits_on_small_words(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", limit)
     rng = random.Random(limit)
     say = lambda n: " ".join(rng.choice(["a", "B", "c", "é", "É", "7"]) for _ in range(n))
     items = [(k, say(rng.randrange(5))) for k in range(4)] + [(10 + k, say(12)) for k in range(3)] + [(20, None), (None, "null item words"), (21, ""), (10, "another text under ten")]
