@@ -27,8 +27,8 @@ from studyloom.llm.shared import col, written
 
 #: Tokens in a sequence, and the id that ends a document.
 MAX_TOKENS, END_ID = 2048, 0
-#: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+#: Words that a worker remembers before it starts anew, and bytes of ids that it hands over at once, or one text's.
+CACHE_WORDS, BATCH_BYTES = 400_000, 8 << 20
 #: Pieces for each salt of the ranking, about; a length with a third of all pieces has a third of that in a group.
 RANK_ROWS = 10_000
 
@@ -124,24 +124,36 @@ def default_tokenizer() -> str:
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, and with ``with_ids`` the ids themselves."""
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, and with ``with_ids`` the ids themselves, an array of numbers."""
     path = tokenizer or default_tokenizer()
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokenizer_of_worker(path), np.array([end_id], dtype="<u4").tobytes()
+
+        def made(rows: list[tuple], held: list[bytes]) -> pa.RecordBatch:
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            if with_ids:
+                at = np.cumsum([0, *[r[3] for r in rows]])
+                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(held), "<i4"))))
+            return pa.RecordBatch.from_arrays(columns, names=[*names, *["ids"] * with_ids])
+
         for batch in batches:
-            out: list[list] = [[] for _ in range(5 + with_ids)]
+            rows, held, size = [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     own = ids[at : at + 4 * max_tokens]
-                    row = (doc, piece, at // 4, len(own) // 4, zlib.crc32(own), own)
-                    for to, x in zip(out, row, strict=False):
-                        to.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=False)], names=names[: len(out)])
+                    rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own)))
+                    if with_ids:
+                        held.append(own)
+                        size += len(own)
+                if size >= BATCH_BYTES:
+                    yield made(rows, held)
+                    rows, held, size = [], [], 0
+            if rows:
+                yield made(rows, held)
 
     return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 

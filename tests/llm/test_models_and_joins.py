@@ -329,6 +329,7 @@ def test_pipeline(spark, sf):
     for r in fourth.limit(20).collect():
         ids = np.array([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 0], "<u4")
         own = sorted((p["start"], p["length"], p["ids_crc32"]) for p in rows if p["doc_id"] == r["doc_id"])
+        assert [x for p in sorted(rows, key=lambda p: p["start"]) if p["doc_id"] == r["doc_id"] for x in p["ids"]] == ids.tolist()
         assert own == [(a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for a in range(0, len(ids), 2048)]
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:

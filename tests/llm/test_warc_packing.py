@@ -166,6 +166,15 @@ def test_packing(spark, sf, tokenizer):
     assert used <= least * 1.02 + 1
 
 
+def test_packing_of_a_larger_table(spark, tokenizer):
+    """All documents of sf0.01, with their ids, which are what the checksum says."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack_documents(docs, with_ids=True).collect()
+    used, least = check_packed(rows, [tuple(r) for r in docs.select("doc_id", "text").collect()], tokenizer)
+    assert used <= least * 1.01 + 1
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in rows)
+
+
 def test_packing_edges(spark, tokenizer):
     texts = [(1, None), (2, ""), (3, "word " * 3000), (4, "one two"), (5, "Ä" * 100)]
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in texts], "doc_id long, text string, length int, sequence_id int")
@@ -175,7 +184,7 @@ def test_packing_edges(spark, tokenizer):
     rows = packing.pack_documents(repeated, max_tokens=16).collect()
     assert len(rows) == 51 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 51
     held = packing.pack_documents(docs.where("doc_id = 4"), with_ids=True).first()
-    assert np.frombuffer(held["ids"], "<u4").tolist() == [*tokenizer.encode("one two", add_special_tokens=False).ids, 0]
+    assert held["ids"] == [*tokenizer.encode("one two", add_special_tokens=False).ids, 0]
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 0, 0, 99)], "doc_id long, piece int, start long, length long"), 16)
 
