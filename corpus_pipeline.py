@@ -33,8 +33,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
-    return packing.pack_documents(docs)
+    """Token pieces, ids and all, with their sequence and offset: sorted by these two, the ids of a sequence are ready to train on."""
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES = [
