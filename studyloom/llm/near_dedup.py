@@ -294,9 +294,15 @@ def colliding(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     return both.where(agree >= matches).select("a", "b")
 
 
+def sets_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of some nodes; within the bound the nodes go to the sets, which are not exchanged then."""
+    return sets.join(bounded(written(nodes.select("node").distinct(), "nodes")), "node", "left_semi")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar."""
-    one = lambda k: sets.select(F.col("node").alias(k), F.col("members").alias(f"set_{k}"))
+    """The pairs, a written table, whose full sets are similar."""
+    some = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), sets)
+    one = lambda k: some.select(F.col("node").alias(k), F.col("members").alias(f"set_{k}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", F.size("set_a").alias("x"), F.size("set_b").alias("y"), F.size(F.array_intersect("set_a", "set_b")).alias("i"))
     return both.where(100 * F.col("i").cast("long") >= percent * (F.col("x") + F.col("y") - F.col("i"))).select("a", "b")
 
@@ -324,9 +330,11 @@ def link(docs: DataFrame, classes: DataFrame, words: int, percent: int, matches:
     need = written(classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "doc_id", F.col("h1").alias("_1"), F.col("h2").alias("_2")), "listed-classes")
     ids = written(need.select(F.col("doc_id").alias("_id")).distinct(), "listed-ids")
     found = full_sets(docs.join(bounded(ids), F.col("doc_id") == F.col("_id"), "left_semi"), words)
-    # a repeated id can bring texts of other classes, and a repeated row its class again
-    found = found.join(need.drop("doc_id"), (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2"))).select("node", "members")
-    sets = written(found.dropDuplicates(["node"]), "full-sets")
+    # a repeated id can bring texts of other classes
+    found = found.join(bounded(need).drop("doc_id"), (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2"))).select("node", "members")
+    sets = written(found, "full-sets")
+    if not sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # a repeated row brings its class again
+        sets = written(sets.dropDuplicates(["node"]), "full-sets")
 
     tried = written(colliding(pivot_pairs(lists, percent), classes, matches), "pivot-pairs")
     edges = written(confirmed(tried, sets, percent), "pivot-links")
@@ -335,8 +343,8 @@ def link(docs: DataFrame, classes: DataFrame, words: int, percent: int, matches:
     short, long = mixed.where(F.col("size") <= LONG_LIST), mixed.where(F.col("size") > LONG_LIST)
     pairs = colliding(cross_pairs(short.withColumn("f", F.col("n")), percent).join(tried, ["a", "b"], "left_anti"), classes, matches)
     if not long.isEmpty():
-        own = written(sets.join(long.select("node").distinct(), "node", "left_semi"), "long-list-sets")
-        more = written(confirmed(minor_pairs(long, percent), own, percent), "minor-links")
+        own = written(sets_of(long, sets), "long-list-sets")
+        more = written(confirmed(written(minor_pairs(long, percent), "minor-pairs"), own, percent), "minor-links")
         edges = edges.unionByName(more)
         labels = components(edges).select("node", "label")
         pairs = pairs.union(long_list_pairs(labelled(long.select("key", "node", "n"), labels), labels, own, percent)).distinct()  # that have passed a stricter test
