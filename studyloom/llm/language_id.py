@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import col
+from studyloom.llm.shared import col, freed
 
 #: Bytes of a stretch, cells of each direction, stretches that run side by side.
 STRETCH, HIDDEN, BATCH = 64, 8, 4096
@@ -243,7 +243,7 @@ def predict(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text
             flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(freed(run), "doc_id long, lang_pred string, score double")
 
 
 def op8_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:

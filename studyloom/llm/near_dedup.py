@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import bounded, col, dropped, row_key, without, written
+from studyloom.llm.shared import bounded, col, dropped, freed, row_key, without, written
 
 #: Words of a shingle and percent of similarity, unless a caller says otherwise.
 SHINGLE, PERCENT = 5, 80
@@ -190,7 +190,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 columns = [batch.column(2)[own], batch.column(3)[own], pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([c[k] for c in classes], pa.int64()) for k in (0, 1)], pa.array(sigs, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["_k1", "_k2", "doc_id", "n_shingles", "h1", "h2", "sig"])
 
-    return docs.select("doc_id", "text", "_k1", "_k2").mapInArrow(run, "_k1 long, _k2 long, doc_id long, n_shingles long, h1 long, h2 long, sig array<int>")
+    return docs.select("doc_id", "text", "_k1", "_k2").mapInArrow(freed(run), "_k1 long, _k2 long, doc_id long, n_shingles long, h1 long, h2 long, sig array<int>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -204,7 +204,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                 classes = [class_id(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([*[pa.array([c[k] for c in classes], pa.int64()) for k in (0, 1)], members], names=["h1", "h2", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, members array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "h1 long, h2 long, members array<bigint>")
 
 
 def similar_sizes(a: Column, b: Column, percent: int) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import col, written
+from studyloom.llm.shared import col, freed, written
 
 #: Tokens in a sequence, and the id that ends a document.
 MAX_TOKENS, END_ID = 2048, 0
@@ -155,7 +155,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, max_tokens: i
             if rows:
                 yield made(rows, held)
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(freed(run), schema)
 
 
 def fullest_bin(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:

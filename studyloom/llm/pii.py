@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm.shared import col
+from studyloom.llm.shared import col, freed
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("account", "login", "url", "postal")
@@ -242,7 +242,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(freed(run), schema)
 
 
 def redact(text: str, found: dict[str, list[tuple[int, int]]]) -> str:

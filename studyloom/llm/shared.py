@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.sources.storage import dropped, new_folder, written
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "barrier", "bounded", "col", "dropped", "new_folder", "row_key", "without", "written"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "barrier", "bounded", "col", "dropped", "freed", "new_folder", "row_key", "without", "written"]
 
 #: Characters that end a word in the contracts that split on ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -51,3 +54,13 @@ def without(docs: DataFrame, rejected: DataFrame, *columns: Column) -> DataFrame
     """The rows of ``docs``, whole, whose key over ``columns`` is not in a written table of _k1 and _k2; its size decides how it is joined."""
     gone, (k1, k2) = bounded(rejected), row_key(*columns)
     return docs.join(gone, (k1 == gone["_k1"]) & (k2 == gone["_k2"]), "left_anti")
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; when it ends, the worker, which stays for other tasks, gives unused memory back."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return held

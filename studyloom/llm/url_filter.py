@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import ascii_lower, col, dropped, written
+from studyloom.llm.shared import ascii_lower, col, dropped, freed, written
 
 #: Letters of the longest word.
 LONGEST = 20
@@ -138,7 +138,7 @@ def token_table(urls: DataFrame, counts: dict[str, int], total: int) -> DataFram
                 verdicts += [ruled] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(verdicts, pa.string())], names=["token", "ruled"])
 
-    return urls.where(F.col("ruled").isNotNull()).select("host", "path", "ruled").mapInArrow(run, "token string, ruled string")
+    return urls.where(F.col("ruled").isNotNull()).select("host", "path", "ruled").mapInArrow(freed(run), "token string, ruled string")
 
 
 class NaiveBayes:
@@ -183,7 +183,7 @@ def judge(urls: DataFrame, counts: dict[str, int], total: int, model: NaiveBayes
                 verdicts.append(v or ("block" if (h or p) and scores[-1] > 0 else "allow"))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((page, host, path, rule, verdicts, words, scores), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return urls.select("page_id", "host", "path", "rule", "ruled").mapInArrow(run, schema)
+    return urls.select("page_id", "host", "path", "rule", "ruled").mapInArrow(freed(run), schema)
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import col, new_folder, written
+from studyloom.llm.shared import col, freed, new_folder, written
 
 #: Fixed values of the archive format.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -175,7 +175,7 @@ def write_archives(records: DataFrame, folder: str | None = None, date: str = "2
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["path", "records", "raw_bytes", "stored_bytes"])
 
-    rows = records.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "path string, records long, raw_bytes long, stored_bytes long")
+    rows = records.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(freed(run), "path string, records long, raw_bytes long, stored_bytes long")
     return written(rows.withColumn("path", F.concat(F.lit(folder + "/"), "path")), "warc-manifest")
 
 
@@ -209,7 +209,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                         to.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
-    return dealt(manifest).mapInArrow(run, schema)
+    return dealt(manifest).mapInArrow(freed(run), schema)
 
 
 def dealt(manifest: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
