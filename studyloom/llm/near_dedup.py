@@ -43,7 +43,7 @@ COORDINATES, DEVIATIONS = 64, 4.7
 #: Members beyond which a list that holds several components is merged by whole-set bounds.
 LONG_LIST = 64
 #: Bytes of text that are taken together, and of these the bytes that are hashed side by side.
-BLOCK, PIECE = 1 << 20, 1 << 20
+BLOCK, PIECE = 1 << 20, 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -301,7 +301,7 @@ def sets_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs, a written table, whose full sets are similar."""
-    some = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), sets)
+    some = sets_of(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()), sets)
     one = lambda k: some.select(F.col("node").alias(k), F.col("members").alias(f"set_{k}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", F.size("set_a").alias("x"), F.size("set_b").alias("y"), F.size(F.array_intersect("set_a", "set_b")).alias("i"))
     return both.where(100 * F.col("i").cast("long") >= percent * (F.col("x") + F.col("y") - F.col("i"))).select("a", "b")
