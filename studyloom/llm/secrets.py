@@ -19,6 +19,8 @@ ignored, or kept by ``redact_documents``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,17 +72,19 @@ def _spans(kind: str, k: int, pattern: str, group: int, least: int) -> Column:
     return F.filter(F.transform(f"m_{kind}", made), lambda s: s.isNotNull())
 
 
+def _may_match(text: Column) -> dict[str, Column]:
+    """For each kind, a cheap test that every text with a match passes."""
+    return {kind: F.contains(text, F.lit("AKIA")) if test is None else text.rlike(test) for kind, _, _, _, test in KINDS}
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, rows: bool = False) -> DataFrame:
-    """doc_id, owner, repo and spans, the candidates of each row by start and then kind; with ``rows`` also _row, the whole row, and _text."""
+    """doc_id, owner, repo and spans, the candidates of each row by start and then kind; with ``rows`` also _row, the whole row."""
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     whole = [F.struct(*[col(c) for c in docs.columns]).alias("_row")] if rows else []
     df = docs.select(col(id_col).alias("doc_id"), col(owner_col).cast("string").alias("owner"), col(repo_col or id_col).cast("string").alias("repo"), text.alias("_text"), *whole)
-    kept = ["doc_id", "owner", "repo", *(["_row", "_text"] if rows else [])]
-    none, made = F.array().cast("array<string>"), {}
-    for kind, pattern, _, _, test in KINDS:
-        some = F.contains("_text", F.lit("AKIA")) if test is None else F.col("_text").rlike(test)
-        made[f"m_{kind}"] = F.when(some, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(none)
-    df = barrier(df, **made)
+    kept = ["doc_id", "owner", "repo", *(["_row"] if rows else [])]
+    none, may = F.array().cast("array<string>"), _may_match(F.col("_text"))
+    df = barrier(df, **{f"m_{kind}": F.when(may[kind], F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(none) for kind, pattern, *_ in KINDS})
     gaps = lambda kind, pattern: F.when(F.size(f"m_{kind}") > 0, F.split("_text", pattern)).otherwise(none)
     df = barrier(df, **{f"g_{kind}": gaps(kind, pattern) for kind, pattern, *_ in KINDS})
     # a gap and the match behind it
@@ -144,10 +148,13 @@ def scan(docs: DataFrame, **columns: str) -> DataFrame:
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """The rows of ``docs``, every column as it was, but each live-looking credential in the text replaced by ``<secret>``.
 
-    Widely copied examples stay.  Rows are written with their candidates; only those that have one are joined.
+    Widely copied examples stay.  Rows that may hold a candidate, by the cheap tests, are written with what they hold; only
+    those that hold one are joined, and all others are passed on as they are read.
     """
-    found = written(candidates(docs, id_col, text_col, owner_col, repo_col, rows=True), "secret-candidates")
-    some = with_verdicts(found.select("spans", "owner", "repo", "_row", "_text"))
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    possible = functools.reduce(lambda a, b: a | b, _may_match(text).values())
+    found = written(candidates(docs.where(possible), id_col, text_col, owner_col, repo_col, rows=True), "secret-candidates")
+    some = with_verdicts(found).withColumn("_text", F.coalesce(F.col("_row")[text_col].cast("string"), F.lit("")))
     live = F.transform(F.filter("judged", lambda s: s["live"]), lambda s: F.struct(s["v"], s["b"]))
     some = barrier(some, _live=F.sort_array(live))
     some = barrier(some, _ends=F.transform("_live", lambda s: s["b"]), _stretches=F.when(F.size("_live") > 0, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))))
@@ -161,7 +168,7 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cut = F.concat(F.array_join(kept, ""), part(end, F.char_length("_text")))
     changed = F.when(F.size("_live") > 0, cut).otherwise(F.col("_row")[text_col].cast("string"))
     out = some.select(F.struct(*[changed.alias(c) if c.lower() == text_col.lower() else F.col("_row")[c].alias(c) for c in docs.columns]).alias("_row"))
-    return out.unionByName(found.where(F.size("spans") == 0).select("_row")).select("_row.*")
+    return out.unionByName(found.where(F.size("spans") == 0).select("_row")).select("_row.*").unionByName(docs.where(~possible))
 
 
 def op4_ownership_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
