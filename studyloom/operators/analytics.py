@@ -37,10 +37,14 @@ def count_by(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def by_topic(qa_pairs: DataFrame, with_questions: bool = False) -> DataFrame:
+def by_topic(qa_pairs: DataFrame) -> DataFrame:
     """Questions for each topic.  Rows of a table always carry the key, so a null topic stays null."""
-    held = [F.sort_array(F.collect_list("question")).alias("questions")] if with_questions else []
-    return qa_pairs.groupBy("topic").agg(F.count("*").alias("n"), *held)
+    return count_by(qa_pairs, "topic")
+
+
+def topic_questions(qa_pairs: DataFrame) -> DataFrame:
+    """topic, question and n: the different questions of each topic, a row each, as a common topic has too many for one row."""
+    return qa_pairs.groupBy("topic", "question").agg(F.count("*").alias("n"))
 
 
 def topic_accuracy(answers: DataFrame, topic: str = "topic", correct: str = "correct") -> DataFrame:
@@ -48,9 +52,10 @@ def topic_accuracy(answers: DataFrame, topic: str = "topic", correct: str = "cor
     return answers.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("total_questions"), (100 * F.avg(F.col(correct).cast("double"))).alias("accuracy"))
 
 
-def mean_accuracy(topics: DataFrame) -> DataFrame:
-    """One row: the rounded mean of the topics' accuracy (null if there is none), their questions and number."""
-    return topics.agg(round_half_up(F.avg("accuracy")).alias("mean_accuracy"), F.coalesce(F.sum("total_questions"), F.lit(0)).cast("long").alias("total_questions"), F.count("*").alias("topics"))
+def mean_accuracy(topics: DataFrame, weak: DataFrame) -> DataFrame:
+    """One row: the rounded mean of the topics' accuracy (null if there is none), their questions and number, and how many areas are weak."""
+    areas = weak.agg(F.count("*").alias("weak_areas"))
+    return topics.agg(round_half_up(F.avg("accuracy")).alias("mean_accuracy"), F.coalesce(F.sum("total_questions"), F.lit(0)).cast("long").alias("total_questions"), F.count("*").alias("topics")).join(areas)  # a row each
 
 
 def best_topic(topics: DataFrame) -> DataFrame:

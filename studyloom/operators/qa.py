@@ -53,16 +53,17 @@ def accepted(item: Column) -> Column:
 def from_responses(responses: DataFrame, text_col: str = "text", output_col: str = "output", fallback: bool = True) -> DataFrame:
     """Questions parsed from a model's output; with ``fallback``, chunks without a usable output get the generator's.
 
-    Adds rejected, true for items that a table could not hold.
+    Adds place, the item's place in its list, and rejected, true for items that a table could not hold.
     """
     parsed = responses.withColumn("_items", parse_items(F.col(output_col)))
-    others = [c for c in responses.columns if c not in (text_col, output_col, "question", "answer", "difficulty", "topic", "source_chunk")]
-    good = parsed.where(F.col("_items").isNotNull()).select(*others, source_chunk(F.col(text_col)).alias("source_chunk"), F.explode("_items").alias("_i"))
-    good = good.select(*others, "source_chunk", "_i.question", "_i.answer", "_i.difficulty", "_i.topic", (~accepted(F.col("_i"))).alias("rejected"))
+    others = [c for c in responses.columns if c not in (text_col, output_col, "question", "answer", "difficulty", "topic", "source_chunk", "place")]
+    good = parsed.where(F.col("_items").isNotNull()).select(*others, source_chunk(F.col(text_col)).alias("source_chunk"), F.posexplode("_items").alias("place", "_i"))
+    good = good.select(*others, "source_chunk", "_i.question", "_i.answer", "_i.difficulty", "_i.topic", "place", (~accepted(F.col("_i"))).alias("rejected"))
     if not fallback:
         return good
     rest = fallback_qa(parsed.where(F.col("_items").isNull()).select(*others, text_col), text_col)
-    return good.unionByName(rest.withColumn("rejected", F.lit(False)))
+    levels = F.array(*[F.lit(level) for level, *_ in TEMPLATES])
+    return good.unionByName(rest.withColumns({"place": F.array_position(levels, F.col("difficulty")).cast("int") - 1, "rejected": F.lit(False)}))
 
 
 def ask(chunks: DataFrame, client: Callable[[str], str | None], text_col: str = "text", output_col: str = "output") -> DataFrame:
@@ -86,14 +87,15 @@ def generate(chunks: DataFrame, client: Callable[[str], str | None] | None = Non
     """Questions by ``client``, or by the generator alone without one."""
     if client is None:
         return fallback_qa(chunks, text_col)
-    return from_responses(ask(chunks, client, text_col), text_col, fallback=fallback).where(~F.col("rejected")).drop("rejected")
+    return from_responses(ask(chunks, client, text_col), text_col, fallback=fallback).where(~F.col("rejected")).drop("rejected", "place")
 
 
-def compare_models(chunks: DataFrame, clients: Sequence[tuple[str, Callable[[str], str | None]]], text_col: str = "text") -> DataFrame:
-    """model, n_questions and sample (the first question), each client over the same chunks."""
+def compare_models(chunks: DataFrame, clients: Sequence[tuple[str, Callable[[str], str | None]]], order: Sequence[str], text_col: str = "text") -> DataFrame:
+    """model, n_questions and sample (the first question, by the chunks' ``order`` and the place in the list), each client over the same chunks."""
     out = None
     for name, client in clients:
-        own = generate(chunks, client, text_col, fallback=False).groupBy().agg(F.count("*").alias("n_questions"), F.min("question").alias("sample")).select(F.lit(name).alias("model"), "n_questions", "sample")
+        made = from_responses(ask(chunks, client, text_col), text_col, fallback=False).where(~F.col("rejected"))
+        own = made.groupBy().agg(F.count("*").alias("n_questions"), F.min_by("question", F.struct(*order, "place")).alias("sample")).select(F.lit(name).alias("model"), "n_questions", "sample")
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -20,21 +20,33 @@ def questions(files: DataFrame, key: list[str], client: Callable[[str], str | No
     return generate(chunk(own), client)
 
 
-def upload(files: DataFrame, cards: DataFrame, now: Column, first_pair_id: int = 1, client: Callable[[str], str | None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(qa_pairs, new flashcards, stats) for files of id, instance_id and text; stats has message and warning for each file."""
+#: What an upload says.
+NO_TEXT = "No text could be extracted from the file"
+DONE = "Document processed successfully. Generated %d Q&A pairs and %d flashcards."
+NO_PAIRS = "Document uploaded, but no Q&A pairs were generated. Check that Ollama is running and the configured model is available."
+
+
+def upload(files: DataFrame, cards: DataFrame, now: Column | None = None, first_pair_id: int = 1, client: Callable[[str], str | None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(qa_pairs, new flashcards, stats) for files of id, instance_id and text.
+
+    stats has the numbers of pairs, chunks and new flashcards, a message and a warning for each file; of equal questions
+    the first file's makes the card.
+    """
     made = questions(files.select("id", "instance_id", "text"), ["id", "instance_id"], client)
     pairs = with_new_ids(made.withColumnRenamed("id", "document_id"), ["document_id", "chunk_id", "difficulty"], first_pair_id)
     pairs = pairs.select("id", "instance_id", "document_id", "chunk_id", "question", "answer", "difficulty", "topic", "source_chunk")
     fresh = new_cards(pairs, cards, now)
+    first = pairs.groupBy("instance_id", "question").agg(F.min(F.struct("id", "document_id"))["document_id"].alias("document_id"))
+    made_cards = first.join(cards.select("instance_id", "question"), ["instance_id", "question"], "left_anti").groupBy(F.col("document_id").alias("_d")).agg(F.count("*").alias("flashcards"))
     counts = pairs.groupBy("document_id").agg(F.count("*").alias("qa_pairs"), F.countDistinct("chunk_id").alias("chunks"))
     zero = F.lit(0).cast("long")
-    blank = normalized(F.col("text")) == ""
-    stats = files.select("id", blank.alias("blank")).join(counts, F.col("id") == F.col("document_id"), "left").select(
+    blank = F.coalesce(normalized(F.col("text")) == "", F.lit(True))
+    number = lambda c: F.coalesce(c, zero)
+    stats = files.select("id", blank.alias("blank")).join(counts, F.col("id") == F.col("document_id"), "left").join(made_cards, F.col("id") == F.col("_d"), "left").select(
         "id",
-        F.coalesce("qa_pairs", zero).alias("qa_pairs"),
-        F.coalesce("chunks", zero).alias("chunks"),
-        F.when(F.col("blank"), "No text could be extracted from the file").otherwise(F.format_string("Document processed successfully. Generated %d Q&A pairs.", F.coalesce("qa_pairs", zero))).alias("message"),
-        F.when(~F.col("blank") & F.col("qa_pairs").isNull(), "Document uploaded, but no Q&A pairs were generated.").alias("warning"),
+        *[number(c).alias(c) for c in ("qa_pairs", "flashcards", "chunks")],
+        F.when(F.col("blank"), NO_TEXT).otherwise(F.format_string(DONE, number("qa_pairs"), number("flashcards"))).alias("message"),
+        F.when(~F.col("blank") & F.col("qa_pairs").isNull(), NO_PAIRS).alias("warning"),
     )
     return pairs, fresh, stats
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from studyloom.functions.text import WHITE_SPACE
 from studyloom.operators.qa import TEMPLATES
+from studyloom.plans.flows import DONE, NO_PAIRS, NO_TEXT
 
 _WS = "[" + "".join(f"\\x{{{a:04x}}}-\\x{{{b:04x}}}" for a, b in WHITE_SPACE) + "]+"
 _LIGHT = rf"trim(regexp_replace(regexp_replace(text, '{_WS}', ' ', 'g'), '[^\x00-\x7F]+', ' ', 'g'))"
@@ -23,9 +24,8 @@ chunks AS (SELECT doc_id, source, (st // 400 + 1)::INT AS chunk_id, array_to_str
 
 _CHUNKS = _chunks(_LIGHT)
 
-_PAIRS = (
-    _CHUNKS
-    + r""",
+_PAIR_STEPS = (
+    r""",
 topics AS (SELECT *, regexp_extract_all(text, '[A-Za-z0-9]+') AS tw FROM chunks),
 topics2 AS (SELECT *, CASE WHEN len(tw) > 0 THEN array_to_string(tw[1:6], ' ') ELSE 'this topic' END AS topic FROM topics),
 sents AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 40) AS s0 FROM topics2),
@@ -38,12 +38,14 @@ templates(k, difficulty, pre, post) AS (VALUES """
 pairs AS (SELECT doc_id, source, chunk_id, substring(text, 1, 1000) AS source_chunk, pre || topic || post AS question, s[least(k + 1, len(s))] AS answer, difficulty, topic FROM answered, templates)"""
 )
 
-_TITLES = (
-    _CHUNKS
-    + """,
-titles AS (SELECT doc_id AS id, source AS instance_id, title AS question, CASE WHEN len(tw) > 0 THEN array_to_string(tw[1:6], ' ') ELSE 'this topic' END AS answer
-  FROM (SELECT *, regexp_extract_all(text, '[A-Za-z0-9]+') AS tw FROM chunks WHERE chunk_id = 1))"""
-)
+_PAIRS, _FULL_PAIRS = _CHUNKS + _PAIR_STEPS, _chunks(_FULL) + _PAIR_STEPS
+_NUMBERED = f"{_PAIRS}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, chunk_id, CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS number FROM pairs)"
+_NEW = f"""{_NUMBERED}, have AS (SELECT DISTINCT source, question FROM numbered WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+first AS (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY source, question ORDER BY number) = 1),
+fresh AS (SELECT * FROM first f WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.source = f.source AND h.question = f.question))"""
+_UNASKED = "d AS (SELECT doc_id AS id, source || '/' || lang AS instance_id, md5(text) AS file_path FROM documents), need AS (SELECT instance_id, file_path, min(id) AS id FROM d WHERE instance_id NOT IN (SELECT instance_id FROM d WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)) GROUP BY ALL)"
+_ASKED = f"{_CHUNKS}, asked AS (SELECT doc_id, chunk_id, text, substring(text, 1, n) || '?' AS question, substring(text, n + 1, 30) AS answer, 'easy' AS difficulty, 'model' AS topic, n FROM chunks, (VALUES (20), (10)) v(n) WHERE length(text) >= 400 AND length(text) % 5 <> 0)"
+_DONE = "'" + DONE.replace("%d", "' || coalesce(q, 0) || '", 1).replace("%d", "' || coalesce(c.n, 0) || '", 1) + "'"
 
 _STATE = """
 RECURSIVE steps(k, i, e) AS (SELECT 0, 1::BIGINT, 2.5::DOUBLE UNION ALL SELECT k + 1, trunc(i * e)::BIGINT, e + 0.1::DOUBLE FROM steps WHERE k < 13),
@@ -65,7 +67,7 @@ SQL: dict[str, str] = {
     "fallback_qa": f"WITH {_PAIRS} SELECT doc_id, chunk_id, source_chunk, question, answer, difficulty, topic FROM pairs",
     "qa_by_difficulty": f"WITH {_PAIRS} SELECT difficulty, count(*) AS n FROM pairs GROUP BY difficulty",
     "qa_by_topic": f"WITH {_PAIRS} SELECT topic, count(*) AS n FROM pairs GROUP BY topic",
-    "topic_questions": f"WITH {_PAIRS} SELECT topic, count(*) AS n, string_agg(question, '|' ORDER BY question) AS questions FROM pairs GROUP BY topic",
+    "topic_questions": f"WITH {_PAIRS} SELECT topic, question, count(*) AS n FROM pairs GROUP BY ALL",
     "hard_questions": f"WITH {_PAIRS} SELECT doc_id, chunk_id, question FROM pairs WHERE difficulty = 'hard'",
     "preview_pairs": f"WITH {_PAIRS} SELECT doc_id, chunk_id, upper(difficulty) AS label, question FROM pairs ORDER BY doc_id, chunk_id, difficulty LIMIT 5",
     "batch_metadata": f"""WITH {_chunks(_FULL)}, n AS (SELECT doc_id, count(*) AS c FROM chunks GROUP BY doc_id)
@@ -74,12 +76,15 @@ SELECT d.doc_id AS path, CASE WHEN n_chars < 50 THEN 'too short' END AS error, C
     "upload_stats": f"WITH {_PAIRS} SELECT doc_id, count(*) AS qa_pairs, count(DISTINCT chunk_id) AS chunks FROM pairs GROUP BY doc_id",
     "weak_chunks": f"WITH {_CHUNKS} SELECT doc_id, chunk_id, substring(text, 1, 1500) AS text, md5(text) AS text_md5 FROM chunks WHERE length(trim(text)) >= 200",
     "embedding_inputs": f"WITH {_CHUNKS} SELECT doc_id, chunk_id, substring(text, 1, 2000) AS input FROM chunks WHERE chunk_id <= 5",
-    "flashcards_new": f"""WITH {_TITLES}, have AS (SELECT DISTINCT instance_id, question FROM titles WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-first AS (SELECT * FROM titles QUALIFY row_number() OVER (PARTITION BY instance_id, question ORDER BY id) = 1)
-SELECT f.instance_id, f.id, f.question, f.answer, 2.5::DOUBLE AS ease_factor, 1::BIGINT AS interval, 0::INT AS repetitions FROM first f WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.instance_id = f.instance_id AND h.question = f.question)""",
+    "flashcards_new": f"WITH {_NEW} SELECT source AS instance_id, number AS id, question, answer, 2.5::DOUBLE AS ease_factor, 1::BIGINT AS interval, 0::INT AS repetitions FROM fresh",
+    "upload_flow": f"""WITH {_NEW}, c AS (SELECT doc_id, count(*) AS n FROM fresh GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS q, count(DISTINCT chunk_id) AS k FROM pairs GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(trim(regexp_replace(text, '{_WS}', ' ', 'g')), '') = '' AS blank FROM documents)
+SELECT doc_id AS id, coalesce(q, 0) AS qa_pairs, coalesce(c.n, 0) AS flashcards, coalesce(k, 0) AS chunks, CASE WHEN blank THEN '{NO_TEXT}' ELSE {_DONE} END AS message, CASE WHEN NOT blank AND q IS NULL THEN '{NO_PAIRS}' END AS warning
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "distinct_documents": "SELECT source AS instance_id, md5(text) AS file_path, min(doc_id) AS id FROM documents GROUP BY ALL",
-    "bootstrap_documents": "WITH d AS (SELECT doc_id AS id, source || '/' || lang AS instance_id, md5(text) AS file_path FROM documents) SELECT instance_id, file_path, min(id) AS id FROM d WHERE instance_id NOT IN (SELECT instance_id FROM d WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)) GROUP BY ALL",
-    "unique_questions": f"WITH {_TITLES} SELECT instance_id, count(*) AS questions, count(DISTINCT md5(question)) AS unique_questions FROM titles GROUP BY instance_id",
+    "bootstrap_documents": f"WITH {_UNASKED} SELECT instance_id, file_path, id FROM need",
+    "bootstrap_questions": f"WITH {_PAIRS}, {_UNASKED} SELECT instance_id, id, chunk_id, question, answer, difficulty, topic FROM need JOIN pairs ON doc_id = id",
+    "unique_questions": f"WITH {_PAIRS} SELECT source AS instance_id, count(*) AS questions, count(DISTINCT md5(question)) AS unique_questions FROM pairs GROUP BY source",
     "review_state": f"WITH {_STATE} {_STATE_COLUMNS}",
     "review_stream": f"WITH {_STATE} {_STATE_COLUMNS}",
     "due_cards": f"WITH {_STATE} SELECT card_id, next_review FROM state WHERE next_review <= {_AS_OF}",
@@ -91,23 +96,37 @@ SELECT names.id, coalesce(n.c, 0) AS document_count, coalesce(due.c, 0) AS flash
     "instance_documents": "SELECT doc_id, lang, n_chars FROM documents WHERE source = 'src0'",
     "instance_patch": "WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_custkey AS id, CASE WHEN n > 10 THEN 'customer ' || c_custkey ELSE c_name END AS c_name, c_nationkey, c_acctbal, CASE WHEN n > 15 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer LEFT JOIN n ON o_custkey = c_custkey",
     "instance_delete": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    "instance_cascade": """WITH gone AS (SELECT c_custkey AS g FROM customer WHERE c_acctbal < 0),
+a AS (SELECT 'instances' AS kept_in, c_custkey AS id, c_custkey AS instance_id FROM customer UNION ALL SELECT 'documents', o_orderkey, o_custkey FROM orders
+  UNION ALL SELECT 'qa_pairs', 10 * l_orderkey + l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'flashcards', event_id, user_id FROM events)
+SELECT * FROM a WHERE instance_id NOT IN (SELECT g FROM gone)""",
     "numbered_documents": "SELECT source, doc_id, row_number() OVER (ORDER BY source, doc_id) AS id FROM documents",
     "validated_inputs": "SELECT p_partkey, p_name AS name, '#' || substring(md5(p_brand), 1, 6 + (p_size % 2)::INT) AS color, p_size % 2 = 0 AS valid FROM part",
     "vector_topk": """WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS x FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
 SELECT query_id, vec_id, round(x, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY x, vec_id)::INT AS rank FROM d QUALIFY rank <= 5""",
     "topic_accuracy": f"WITH {_TOPICS} SELECT topic, total_questions, round(accuracy, 6) AS accuracy FROM topics",
-    "avg_accuracy": f"WITH {_TOPICS} SELECT floor(avg(accuracy) + 0.5)::BIGINT AS mean_accuracy, sum(total_questions)::BIGINT AS total_questions, count(*) AS topics FROM topics",
+    "avg_accuracy": f"WITH {_TOPICS}, weak AS (SELECT topic FROM answers WHERE toxic = 1 GROUP BY topic HAVING count(*) >= 2) SELECT floor(avg(accuracy) + 0.5)::BIGINT AS mean_accuracy, sum(total_questions)::BIGINT AS total_questions, count(*) AS topics, (SELECT count(*) FROM weak) AS weak_areas FROM topics",
     "best_topic": f"WITH {_TOPICS} SELECT topic AS best_topic, round(accuracy, 6) AS accuracy FROM topics ORDER BY round(accuracy, 6) DESC, topic LIMIT 1",
     "weak_topics": f"WITH {_TOPICS} SELECT topic, total_questions, round(accuracy, 6) AS accuracy FROM topics WHERE topic IN (SELECT topic FROM answers WHERE toxic = 1 GROUP BY topic HAVING count(*) >= 2)",
     "test_score": f"WITH {_ANSWERS} SELECT topic, count(*) FILTER (WHERE chosen = 1) AS score, count(*) AS total, count(*) FILTER (WHERE chosen IS NULL) AS skipped, floor(100.0 * count(*) FILTER (WHERE chosen = 1) / count(*) + 0.5)::BIGINT AS percent FROM answers GROUP BY topic",
     "accuracy_series": "SELECT strftime(ts, '%Y-%m-%d') AS date, round(100 * avg((event_type IN ('purchase', 'click'))::INT::DOUBLE), 6) AS accuracy FROM events GROUP BY 1",
     "progress": "SELECT conv_id, turn, row_number() OVER w::INT AS position, count(*) OVER (PARTITION BY conv_id) AS of, floor(100.0 * row_number() OVER w / count(*) OVER (PARTITION BY conv_id) + 0.5)::BIGINT AS percent FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)".replace("row_number() OVER w::INT", "(row_number() OVER w)::INT"),
-    "batch_summary": f"WITH {_CHUNKS}, n AS (SELECT doc_id, count(*) AS c FROM chunks GROUP BY doc_id), r AS (SELECT n_chars < 100 AS bad, c FROM documents LEFT JOIN n USING (doc_id)) SELECT count(*) AS total_files, count(*) FILTER (WHERE NOT bad) AS successful, count(*) FILTER (WHERE bad) AS failed, coalesce(sum(3 * c) FILTER (WHERE NOT bad), 0)::BIGINT AS total_qa, coalesce(sum(c) FILTER (WHERE NOT bad), 0)::BIGINT AS total_chunks FROM r",
+    "batch_summary": f"WITH {_FULL_PAIRS}, c AS (SELECT doc_id, count(*) AS c FROM chunks GROUP BY doc_id), q AS (SELECT doc_id, count(*) AS q FROM pairs GROUP BY doc_id), r AS (SELECT n_chars < 100 AS bad, c, q FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN q USING (doc_id)) SELECT count(*) AS total_files, count(*) FILTER (WHERE NOT bad) AS successful, count(*) FILTER (WHERE bad) AS failed, coalesce(sum(q) FILTER (WHERE NOT bad), 0)::BIGINT AS total_qa, coalesce(sum(c) FILTER (WHERE NOT bad), 0)::BIGINT AS total_chunks FROM r",
     "extract_json": "SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS question, CASE WHEN event_type <> 'error' THEN props END AS answer, CASE WHEN event_type <> 'error' THEN CASE WHEN value > 50 THEN 'hard' ELSE 'easy' END END AS difficulty, CASE WHEN event_type <> 'error' THEN user_id::VARCHAR END AS topic FROM events",
-    "generate_with_fallback": f"WITH {_PAIRS} SELECT doc_id, 'What is it?' AS question, substring(text, 1, 20) AS answer, 'easy' AS difficulty, 'model' AS topic, false AS rejected FROM chunks WHERE chunk_id = 1 AND word_count >= 100 UNION ALL SELECT p.doc_id, p.question, p.answer, p.difficulty, p.topic, false FROM pairs p JOIN chunks c ON c.doc_id = p.doc_id AND c.chunk_id = 1 WHERE p.chunk_id = 1 AND c.word_count < 100",
-    "export_markdown": f"WITH {_PAIRS}, n AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS number FROM pairs WHERE chunk_id = 1 AND difficulty = 'easy') SELECT number, '## ' || number || '. ' || question || chr(10) || chr(10) || '**Answer:** ' || answer || chr(10) || chr(10) || '**Difficulty:** ' || difficulty || ' | **Topic:** ' || topic || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS section FROM n",
+    "generate_with_fallback": f"""WITH {_PAIRS} SELECT doc_id, chunk_id, 'What is it?' AS question, substring(text, 1, 20) AS answer, 'easy' AS difficulty, 'model' AS topic, false AS rejected FROM chunks WHERE word_count >= 100
+UNION ALL SELECT doc_id, chunk_id, p.question, p.answer, p.difficulty, p.topic, false FROM pairs p JOIN chunks c USING (doc_id, chunk_id) WHERE c.word_count < 100""",
+    "ask_model": f"WITH {_ASKED} SELECT doc_id, chunk_id, question, answer, difficulty, topic FROM asked",
+    "compare_models": f"WITH {_ASKED} " + " UNION ALL ".join(f"SELECT '{name}' AS model, count(*) AS n_questions, (SELECT question FROM asked WHERE length(text) >= {least} ORDER BY doc_id, chunk_id, n DESC LIMIT 1) AS sample FROM asked WHERE length(text) >= {least}" for name, least in (("all", 0), ("long", 2000))),
+    "export_markdown": f"WITH {_NUMBERED} SELECT number, '## ' || number || '. ' || question || chr(10) || chr(10) || '**Answer:** ' || answer || chr(10) || chr(10) || '**Difficulty:** ' || difficulty || ' | **Topic:** ' || topic || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS section FROM numbered",
     "export_csv_rows": f"WITH {_PAIRS} SELECT question, answer, difficulty, topic FROM pairs",
+    "export_json": f"""WITH {_FULL_PAIRS}, c AS (SELECT doc_id, count(*) AS c, sum(word_count)::BIGINT AS w FROM chunks GROUP BY doc_id), q AS (SELECT doc_id, count(*) AS q FROM pairs GROUP BY doc_id)
+SELECT doc_id AS path, coalesce(c, 0) AS chunk_count, 'llama3:8b' AS model, coalesce(c, 0)::INT AS chunks, coalesce(w, 0) AS words, coalesce(q, 0)::INT AS pairs FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN q USING (doc_id)""",
     "display_formats": "SELECT doc_id, printf('%.1f KB', round(strlen(text) / 1024.0, 1)) AS size, ((n_chars % 6000) // 60)::VARCHAR || ':' || lpad((n_chars % 60)::VARCHAR, 2, '0') AS timer, upper(lang) AS label, source || '__1.txt' AS file_name FROM documents",
     "extract_text": "SELECT doc_id, md5(text) AS text_md5, NULL::VARCHAR AS error FROM documents",
     "join_pages": "SELECT conv_id, string_agg(chr(10) || chr(10) || '--- PAGE ' || (turn + 1) || ' ---' || chr(10) || chr(10) || coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "parse_files": """SELECT doc_id, 'by kind' AS how, md5(CASE WHEN doc_id % 4 < 2 THEN text ELSE '' END) AS text_md5, doc_id % 4 >= 2 AS failed FROM documents
+UNION ALL SELECT doc_id, 'strict', md5(CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END), doc_id % 3 = 0 FROM documents WHERE doc_id % 4 IN (0, 3)""",
+    "read_files": "SELECT regexp_replace(n_name, '[^A-Za-z0-9._-]', '_', 'g') || '.txt' AS file, strlen(n_name || chr(10) || n_regionkey)::BIGINT AS n_bytes, n_name || chr(10) || n_regionkey AS text, NULL::VARCHAR AS error FROM nation",
+    "stored_uploads": "SELECT source AS instance_id, lang || '_' || (doc_id % 7) || '.txt' AS file_name, arg_max(md5(text), doc_id) AS content_md5 FROM documents GROUP BY ALL",
+    "stored_cards": "SELECT 'instances' AS kept_in, c_custkey AS id, c_name AS name, c_custkey AS instance_id FROM customer UNION ALL SELECT 'documents', o_orderkey, 'u/' || (o_custkey % 20), o_custkey % 20 FROM orders",
 }

@@ -7,8 +7,12 @@ correct where they are a purchase or a click; labels are scored answers; embeddi
 from __future__ import annotations
 
 import datetime
+import functools
+import json
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +20,8 @@ from studyloom.functions import formats, text
 from studyloom.operators import analytics, cards, crud, qa, srs, vectors
 from studyloom.operators.chunking import chunk, first_chunks
 from studyloom.plans import flows
-from studyloom.sources import files, sinks
-from studyloom.sources.storage import new_folder, spread
+from studyloom.sources import files, sinks, tables
+from studyloom.sources.storage import new_folder, spread, written
 from studyloom.streaming import reviews
 
 #: The moment at which cards are due.
@@ -44,12 +48,6 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return qa.fallback_qa(_chunks(spark, d).drop("title", "word_count"), joined=True)
 
 
-def _titles(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's first chunk as a pair: its title asks, its topic answers."""
-    first = first_chunks(_chunks(spark, d), 1)
-    return first.select(F.col("doc_id").alias("id"), F.col("source").alias("instance_id"), F.col("title").alias("question"), text.topic(F.col("text")).alias("answer"))
-
-
 def _numbered_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of all chunks with a number of their own, in the order in which they are generated."""
     levels = F.array(*[F.lit(level) for level, *_ in qa.TEMPLATES])
@@ -100,8 +98,7 @@ def qa_by_topic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_questions(spark: SparkSession, d: str) -> DataFrame:
-    own = analytics.by_topic(_pairs(spark, d), with_questions=True)
-    return own.select("topic", "n", F.array_join("questions", "|").alias("questions"))
+    return analytics.topic_questions(_pairs(spark, d))
 
 
 def hard_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -132,35 +129,48 @@ def embedding_inputs(spark: SparkSession, d: str) -> DataFrame:
     return first_chunks(_chunks(spark, d), 5).select("doc_id", "chunk_id", text.embedding_input(F.col("text")).alias("input"))
 
 
-def flashcards_new(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _titles(spark, d)
-    have = pairs.join(table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return cards.new_cards(pairs, have)
+def _good(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels").where("quality = 1").select("doc_id")
 
 
-def flashcards_new_all(spark: SparkSession, d: str) -> DataFrame:
+def flashcards_new(spark: SparkSession, d: str) -> DataFrame:
     """Cards from all pairs of all chunks; documents of good quality have theirs."""
     pairs = _numbered_pairs(spark, d).select("doc_id", F.col("number").cast("long").alias("id"), F.col("source").alias("instance_id"), "question", "answer")
-    have = pairs.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    have = pairs.join(_good(spark, d), "doc_id", "left_semi")
     return cards.new_cards(pairs, have.select("instance_id", "question").distinct())
 
 
+def upload_flow(spark: SparkSession, d: str) -> DataFrame:
+    """What each upload reports, where instances have the cards of their documents of good quality."""
+    have = _pairs(spark, d).join(_good(spark, d), "doc_id", "left_semi").select(F.col("source").alias("instance_id"), "question").distinct()
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("instance_id"), "text"))
+    return flows.upload(docs, have)[2]
+
+
 def distinct_documents(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("instance_id"), F.md5("text").alias("file_path"))
     return cards.distinct_paths(own)
 
 
+def _unasked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of instances (source and language), and the pairs of some of them."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang").alias("instance_id"), F.md5("text").alias("file_path"), "text")
+    return docs, docs.join(table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
+
+
 def bootstrap_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang").alias("instance_id"), F.md5("text").alias("file_path"))
-    have = docs.join(table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return cards.without_pairs(docs, have)
+    docs, have = _unasked(spark, d)
+    return cards.without_pairs(docs.drop("text"), have)
 
 
-def unique_questions(spark: SparkSession, d: str) -> DataFrame:
-    return cards.unique_questions(_titles(spark, d), ["instance_id"])
+def bootstrap_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions generated for instances that have none."""
+    docs, have = _unasked(spark, d)
+    texts = docs.groupBy("file_path").agg(F.any_value("text").alias("text"))  # equal paths hold equal texts
+    return flows.bootstrap(docs.drop("text"), texts, have).select("instance_id", "id", "chunk_id", "question", "answer", "difficulty", "topic")
 
 
-def unique_questions_all(spark: SparkSession, d: str) -> DataFrame:
+def unique_questions(spark: SparkSession, d: str) -> DataFrame:
     return cards.unique_questions(_pairs(spark, d).withColumnRenamed("source", "instance_id"), ["instance_id"])
 
 
@@ -222,6 +232,17 @@ def instance_delete(spark: SparkSession, d: str) -> DataFrame:
     return crud.without(table(spark, d, "orders"), people, "o_custkey").select("o_orderkey", "o_custkey")
 
 
+def instance_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the four tables when instances (customers with a negative balance) are deleted with all that is theirs."""
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("instance_id"), "c_acctbal")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("instance_id"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber").join(orders, "id").select((10 * F.col("id") + F.col("l_linenumber")).alias("id"), "instance_id")
+    reviewed = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("instance_id"))
+    left = crud.cascade_delete(people.where("c_acctbal < 0").select("id"), people.drop("c_acctbal"), orders, lines, reviewed)
+    out = [t.select(F.lit(name).alias("kept_in"), "id", "instance_id") for name, t in zip(("instances", "documents", "qa_pairs", "flashcards"), left, strict=True)]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def numbered_documents(spark: SparkSession, d: str) -> DataFrame:
     return crud.with_new_ids(table(spark, d, "documents").select("source", "doc_id"), ["source", "doc_id"])
 
@@ -243,7 +264,7 @@ def topic_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def avg_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.mean_accuracy(_topics(spark, d))
+    return analytics.mean_accuracy(_topics(spark, d), weak_topics(spark, d))
 
 
 def best_topic(spark: SparkSession, d: str) -> DataFrame:
@@ -271,10 +292,9 @@ def progress(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_summary(spark: SparkSession, d: str) -> DataFrame:
-    chunks = analytics.chunk_stats(_chunks(spark, d), ["doc_id"])
-    own = table(spark, d, "documents").join(chunks, "doc_id", "left")
-    rows = own.select(F.when(F.col("n_chars") < 100, "too short").alias("error"), F.col("n_chunks").alias("chunk_count"), (3 * F.col("n_chunks")).alias("qa_count"))
-    return analytics.batch_summary(rows)
+    """The summary of a batch over all documents, cleaned fully, questions generated; short ones have failed."""
+    own = _texts(spark, d).select(F.col("doc_id").alias("path"), "text", F.when(F.col("n_chars") < 100, "too short").alias("error"))
+    return analytics.batch_summary(flows.batch(own, "2024-01-15T00:00:00")[0])
 
 
 def extract_json(spark: SparkSession, d: str) -> DataFrame:
@@ -293,25 +313,102 @@ def _generated(chunks: DataFrame) -> DataFrame:
 
 
 def generate_with_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return _generated(first_chunks(_chunks(spark, d), 1)).select("doc_id", "question", "answer", "difficulty", "topic", "rejected")
+    return _generated(_chunks(spark, d)).select("doc_id", "chunk_id", "question", "answer", "difficulty", "topic", "rejected")
 
 
-def generate_with_fallback_all(spark: SparkSession, d: str) -> DataFrame:
-    return _generated(_chunks(spark, d)).select("doc_id", "chunk_id", "question", "answer", "difficulty", "topic", "rejected")
+def _client(text: str) -> str | None:
+    """A stand-in for a model: two items for long texts, an empty list for some, nothing for short ones."""
+    if len(text) < 400:
+        return None
+    items = [{"question": f"{text[:n]}?", "answer": text[n : n + 30], "difficulty": "easy", "topic": "model"} for n in (20, 10)]
+    return "Here: " + json.dumps(items if len(text) % 5 else []) + " done"
 
 
-def export_markdown(spark: SparkSession, d: str) -> DataFrame:
-    own = first_chunks(_chunks(spark, d), 1)
-    pairs = qa.fallback_qa(own.select("doc_id", "text"), joined=True).where("difficulty = 'easy'")
-    return sinks.markdown(crud.with_new_ids(pairs, ["doc_id"], id_col="number")).withColumn("number", F.col("number").cast("long"))
+def ask_model(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of a model client over all chunks, without the generator behind it."""
+    return qa.generate(_chunks(spark, d), _client, fallback=False).select("doc_id", "chunk_id", "question", "answer", "difficulty", "topic")
+
+
+def compare_models(spark: SparkSession, d: str) -> DataFrame:
+    """Two clients over all chunks; the second answers longer texts only."""
+    clients = (("all", _client), ("long", lambda text: _client(text) if len(text) >= 2000 else None))
+    return qa.compare_models(_chunks(spark, d).select("doc_id", "chunk_id", "text"), clients, ["doc_id", "chunk_id"])
 
 
-def export_markdown_all(spark: SparkSession, d: str) -> DataFrame:
+def export_markdown(spark: SparkSession, d: str) -> DataFrame:
     return sinks.markdown(_numbered_pairs(spark, d)).withColumn("number", F.col("number").cast("long"))
 
 
 def export_csv_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select(*sinks.CSV_COLUMNS)
+    """All pairs, written as CSV and read back."""
+    path = new_folder(spark, "csv")
+    sinks.save_csv(_pairs(spark, d), path)
+    return spark.read.schema(", ".join(f"{c} string" for c in sinks.CSV_COLUMNS)).option("header", True).option("escape", '"').csv(path)
+
+
+def export_json(spark: SparkSession, d: str) -> DataFrame:
+    """Results of a batch over all documents, a JSON document each, written and read back."""
+    own = _texts(spark, d).select(F.col("doc_id").alias("path"), "text", F.lit(None).cast("string").alias("error"))
+    metadata, chunks, pairs = flows.batch(own, "2024-01-15T00:00:00")
+    path = new_folder(spark, "json")
+    sinks.save_json(sinks.results_json(metadata.drop("error"), chunks, pairs, "path"), path)
+    back = spark.read.schema("path long, json string").json(path)
+    item = "struct<metadata:struct<chunk_count:long,model:string>,chunks:array<struct<chunk_id:int,word_count:int>>,qa_pairs:array<struct<question:string,difficulty:string>>>"
+    read = back.select("path", F.from_json("json", item).alias("r"))
+    words = F.aggregate("r.chunks", F.lit(0).cast("long"), lambda a, c: a + c["word_count"])
+    return read.select("path", "r.metadata.chunk_count", "r.metadata.model", F.size("r.chunks").alias("chunks"), words.alias("words"), F.size("r.qa_pairs").alias("pairs"))
+
+
+def parse_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a file: text, Word, a broken Word file, an unknown kind; read by kind, and strictly as an upload is."""
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([files.docx_bytes(t) if k == "docx" else t.encode() if k != "broken.docx" else b"PK" for t, k in zip(texts, kinds, strict=True)])
+
+    form = F.element_at(F.array(*[F.lit(k) for k in ("txt", "docx", "broken.docx", "bin")]), F.pmod("doc_id", F.lit(4)).cast("int") + 1)
+    own = _texts(spark, d).select("doc_id", F.concat(F.lit("a/b."), form).alias("path"), packed("text", form).alias("content"))
+    said = lambda df, how: df.select("doc_id", F.lit(how).alias("how"), F.md5("text").alias("text_md5"), F.col("error").isNotNull().alias("failed"))
+    strict = own.where("path like '%.bin' or path like '%.txt'").withColumn("content", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat("content", F.unhex(F.lit("FF")))).otherwise(F.col("content")))
+    kind = files.suffix_of(F.col("path"))
+    return said(files.extracted(own, kind), "by kind").unionByName(said(files.extracted(strict, kind, strict=True), "strict"))
+
+
+def read_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation as a text file of a folder, written, and read with a pattern; a folder that is missing has no file."""
+    path = new_folder(spark, "files")
+    own = table(spark, d, "nation").select(F.concat_ws("\n", "n_name", F.col("n_regionkey").cast("string")).alias("value"), F.concat("n_name", F.lit(".txt")).alias("file"))
+    files.save_texts(own, path)
+    found = files.read_folder(spark, path, "*.txt").unionByName(files.read_folder(spark, path, "*.pdf")).unionByName(files.read_folder(spark, path + "-missing"))
+    return found.select(F.regexp_replace(F.substring_index("path", "/", -1), "%20", " ").alias("file"), "n_bytes", "text", "error")
+
+
+def stored_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Every document uploaded to its source under a name that others share; the newest of each name is what is stored."""
+    path = new_folder(spark, "uploads")
+    own = table(spark, d, "documents").select(F.col("source").alias("instance_id"), F.concat(F.lit("../"), "lang", F.lit(" "), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit(".txt")).alias("file_name"), F.encode("text", "UTF-8").alias("content"), F.col("doc_id").alias("version"))
+    files.save_uploads(own, path)
+    return files.stored_files(spark, path).select("instance_id", "file_name", F.md5("content").alias("content_md5"))
+
+
+def stored_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as instances and orders as their documents: tables created, filled twice, read back and dropped."""
+    name = f"studyloom_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{new_folder(spark, 'database')}'")
+    try:
+        tables.create_tables(spark, name)
+        tables.create_tables(spark, name)  # what is there stays
+        when = F.lit(AS_OF).cast("timestamp_ntz")
+        people = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("description"), F.lit("#ffffff").alias("color"), when.alias("created_at"), when.alias("updated_at"), F.lit(None).cast("double").alias("last_score"))
+        docs = table(spark, d, "orders").select(F.lit("x.txt").alias("file_name"), F.col("o_orderkey").alias("id"), F.concat(F.lit("u/"), F.pmod("o_custkey", F.lit(20)).cast("string")).alias("file_path"), F.pmod("o_custkey", F.lit(20)).alias("instance_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"))
+        for half in (0, 1):
+            tables.append(people.where(F.pmod("id", F.lit(2)) == half), "instances", name)
+            tables.append(docs.where(F.pmod("id", F.lit(2)) == half), "documents", name)
+        got = spark.table(f"{name}.instances").select(F.lit("instances").alias("kept_in"), "id", "name", F.col("id").alias("instance_id"))
+        return written(got.unionByName(spark.table(f"{name}.documents").select(F.lit("documents").alias("kept_in"), "id", F.col("file_path").alias("name"), "instance_id")), "stored-cards")
+    finally:
+        tables.drop_tables(spark, name)
+        spark.sql(f"DROP DATABASE {name} CASCADE")
 
 
 def display_formats(spark: SparkSession, d: str) -> DataFrame:
@@ -330,20 +427,13 @@ def join_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    clean_light, clean_full, chunk_documents, chunk_stats, fallback_qa, qa_by_difficulty, qa_by_topic, topic_questions, hard_questions, preview_pairs, batch_metadata, upload_stats, weak_chunks, embedding_inputs, flashcards_new,
-    distinct_documents, bootstrap_documents, unique_questions, review_state, due_cards, review_stream, instance_summary, instance_page, instance_lookup,
-    instance_documents, instance_patch, instance_delete, numbered_documents, validated_inputs, vector_topk, topic_accuracy, avg_accuracy, best_topic, weak_topics,
-    test_score, accuracy_series, progress, batch_summary, extract_json, generate_with_fallback, export_markdown, export_csv_rows, display_formats, extract_text, join_pages,
+    clean_light, clean_full, chunk_documents, chunk_stats, fallback_qa, qa_by_difficulty, qa_by_topic, topic_questions, hard_questions, preview_pairs, batch_metadata, upload_stats, weak_chunks, embedding_inputs, flashcards_new, upload_flow,
+    distinct_documents, bootstrap_documents, bootstrap_questions, unique_questions, review_state, due_cards, review_stream, instance_summary, instance_page, instance_lookup,
+    instance_documents, instance_patch, instance_delete, instance_cascade, numbered_documents, validated_inputs, vector_topk, topic_accuracy, avg_accuracy, best_topic, weak_topics,
+    test_score, accuracy_series, progress, batch_summary, extract_json, generate_with_fallback, ask_model, compare_models, export_markdown, export_csv_rows, export_json, display_formats, extract_text, join_pages,
+    parse_files, read_files, stored_uploads, stored_cards,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
-
-
-#: Queries over all pairs of all chunks.  The SQL of their namesakes without _all is fixed to the first chunk.
-WHOLE: tuple[Callable[[SparkSession, str], DataFrame], ...] = (flashcards_new_all, unique_questions_all, generate_with_fallback_all, export_markdown_all)
-
-
-def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in WHOLE}

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only a local session may go without, and gets one of its own."""
@@ -33,15 +38,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return out
 
 
+@contextlib.contextmanager
+def made_tables() -> Iterator[list[str]]:
+    """The paths of all tables that are written within."""
+    paths: list[str] = []
+    token = _MADE.set(paths)
+    try:
+        yield paths
+    finally:
+        _MADE.reset(token)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables by path; those that are gone already don't matter."""
+    context = spark.sparkContext
+    for p in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by :func:`written` that nothing will read any more."""
     for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t.written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        removed(t.sparkSession, [t.written_to])
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -14,12 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from studyloom.operators.srs import EASE, INTERVAL, REPETITIONS, step
+from studyloom.operators.srs import EASE, INTERVAL, REPETITIONS, STREAK, step
 
 OUTPUT = "card_id long, repetitions int, interval long, ease_factor double, last_reviewed timestamp_ntz, next_review timestamp_ntz"
 _STATE = "repetitions int, interval long, ease double, at timestamp_ntz, due timestamp_ntz"
 
 
+def since_reset(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The last wrong answer of all frames and what follows it, in order, as far as a streak can matter.
+
+    Of what has been read only answers since the last wrong one so far are held.
+    """
+    held, order = None, ["ts", "event_id"]
+    for frame in frames:
+        held = (frame[[*order, "correct"]] if held is None else pd.concat([held, frame[[*order, "correct"]]])).sort_values(order)
+        wrong = (~held["correct"].astype(bool)).to_numpy().nonzero()[0]
+        held = held.iloc[wrong[-1] if len(wrong) else 0 :]
+    return held.iloc[: STREAK + 2]
+
+
 class ReviewProcessor(StatefulProcessor):
     """A card's repetitions, interval, ease and dates."""
 
@@ -27,7 +40,7 @@ class ReviewProcessor(StatefulProcessor):
         self.state = handle.getValueState("card", _STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        events = since_reset(rows)
         now = self.state.get() if self.state.exists() else (REPETITIONS, INTERVAL, EASE, None, None)
         r, i, e, at, due = now
         for ts, ok in zip(events["ts"], events["correct"], strict=True):

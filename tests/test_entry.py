@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,20 @@ def test_stream_in_batches(spark, tmp_path):
     names = ["repetitions", "interval", "ease_factor", "last_reviewed", "next_review"]
     last = spark.read.parquet(out).groupBy("card_id").agg(F.max_by(F.struct(*names), "at").alias("s")).select("card_id", "s.*")
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, srs.review_state(whole).collect()))
+
+
+def test_questions_of_all_chunks(spark, sf):
+    """Every pair is counted, those of later chunks too."""
+    rows = entry.queries()["unique_questions"](spark, sf).collect()
+    pairs = entry.queries()["fallback_qa"](spark, sf)
+    assert sum(r["questions"] for r in rows) == pairs.count() > pairs.where("chunk_id = 1").count()
+
+
+def test_stream_holds_answers_since_the_last_wrong_one():
+    rng = random.Random(4)
+    for _ in range(300):
+        frames = [pd.DataFrame({"ts": [rng.randrange(40) for _ in range(n)], "event_id": rng.sample(range(1000), n), "correct": [rng.random() < 0.9 for _ in range(n)]}) for n in (rng.randrange(1, 30) for _ in range(rng.randrange(1, 4)))]
+        whole = pd.concat(frames).sort_values(["ts", "event_id"])
+        at = (~whole["correct"]).to_numpy().nonzero()[0]
+        want = whole.iloc[at[-1] if len(at) else 0 :].iloc[: srs.STREAK + 2]
+        assert reviews.since_reset(iter(frames)).to_numpy().tolist() == want.to_numpy().tolist()

@@ -68,7 +68,7 @@ def test_top_k(spark):
     many = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(50)], "vec_id long, embedding array<float>")
     asked = many.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     whole = sorted(map(tuple, vectors.top_k(many, asked, k=3).collect()))
-    assert whole == sorted(map(tuple, vectors.top_k(many, asked, k=3, block=7).collect())) and len(whole) == 150
+    assert whole == sorted(map(tuple, vectors.top_k(many.repartition(3), asked.repartition(2), k=3).collect())) and len(whole) == 150
 
 
 def test_scores(spark):
@@ -78,9 +78,9 @@ def test_scores(spark):
     assert analytics.test_score(none, ["t"]).first()["percent"] == 0
     topics = analytics.topic_accuracy(spark.createDataFrame([("b", True), ("a", True), ("c", False)], "topic string, correct boolean"))
     assert analytics.best_topic(topics).first()["best_topic"] == "a"
-    assert tuple(analytics.mean_accuracy(topics).first()) == (67, 3, 3)
+    assert tuple(analytics.mean_accuracy(topics, topics.limit(1)).first()) == (67, 3, 3, 1)
     empty = topics.limit(0)
-    assert analytics.best_topic(empty).first()["best_topic"] == "—" and tuple(analytics.mean_accuracy(empty).first()) == (None, 0, 0)
+    assert analytics.best_topic(empty).first()["best_topic"] == "—" and tuple(analytics.mean_accuracy(empty, empty).first()) == (None, 0, 0, 0)
     files = spark.createDataFrame([(None, 2, 6), ("bad", None, None)], "error string, chunk_count long, qa_count long")
     assert tuple(analytics.batch_summary(files).first()) == (2, 1, 1, 6, 2)
 
@@ -120,7 +120,7 @@ def test_clients(spark):
 
     rows = qa.generate(chunks, client).collect()
     assert sorted((r["doc_id"], r["question"][:2]) for r in rows) == [(1, "Q?"), (2, "Wh"), (2, "Wh"), (2, "Ho")] or len(rows) == 4
-    compared = {r["model"]: r["n_questions"] for r in qa.compare_models(chunks, [("a", client), ("b", lambda t: None)]).collect()}
+    compared = {r["model"]: r["n_questions"] for r in qa.compare_models(chunks, [("a", client), ("b", lambda t: None)], ["doc_id"]).collect()}
     assert compared == {"a": 1, "b": 0}
     vectors_ = qa.embed(chunks.where("text is not null"), lambda texts: [[float(len(t))] for t in texts]).orderBy("doc_id").collect()
     assert [r["embedding"] for r in vectors_] == [[10.0], [11.0]]

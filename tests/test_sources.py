@@ -5,6 +5,7 @@ import json
 import zipfile
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from studyloom.operators.chunking import chunk
@@ -113,3 +114,29 @@ def test_flows(spark):
     texts = spark.createDataFrame([("/p", "text one"), ("/q", "text two")], "file_path string, text string")
     have = spark.createDataFrame([(6,)], "instance_id long")
     assert {(r["instance_id"], r["id"]) for r in flows.bootstrap(docs, texts, have).collect()} == {(5, 1)}
+
+
+def test_pdf_page_tree():
+    """Pages come in the order of the tree, through inner nodes and lists of their own, whatever their order in the file."""
+    page = lambda n, text: f"{n} 0 obj << /Type /Page /Contents {n + 10} 0 R >> endobj\n{n + 10} 0 obj << >> stream\nBT ({text}) Tj ET\nendstream endobj\n".encode()
+    data = b"%PDF-1.4\n" + page(3, "third") + page(4, "first") + page(5, "second") + b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [7 0 R 3 0 R] >> endobj 7 0 obj << /Type /Pages /Kids 8 0 R >> endobj 8 0 obj [4 0 R 5 0 R 2 0 R] endobj"
+    assert [p.strip() for p in files.pdf_pages(data)] == ["first", "second", "third"]
+
+
+def test_pdf_object_streams():
+    bodies = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [4 0 R 3 0 R] >>", 3: b"<< /Type /Page /Contents 6 0 R >>", 4: b"<< /Type /Page /Contents [5 0 R] >>"}
+    starts, body = [], b""
+    for n, x in bodies.items():
+        starts.append(f"{n} {len(body)}")
+        body += x + b" "
+    head = " ".join(starts).encode() + b" "
+    packed = zlib.compress(head + body)
+    show = lambda n, text: f"{n} 0 obj << /Filter /FlateDecode >> stream\n".encode() + zlib.compress(f"BT ({text}) Tj ET".encode()) + b"\nendstream endobj\n"
+    data = b"%PDF-1.5\n" + show(5, "one") + show(6, "two") + f"9 0 obj << /Type /ObjStm /N {len(bodies)} /First {len(head)} /Filter /FlateDecode >> stream\n".encode() + packed + b"\nendstream endobj"
+    assert [p.strip() for p in files.pdf_pages(data)] == ["one", "two"]
+
+
+@pytest.mark.parametrize("data", [b"", b"no", b"%PDF-1.4 nothing", b"%PDF-1.4 1 0 obj << /Type /Page >> endobj trailer << /Encrypt 3 0 R >>"])
+def test_pdf_without_pages_is_an_error(data):
+    with pytest.raises(ValueError):
+        files.pdf_pages(data)
