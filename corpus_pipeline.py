@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from studyloom.llm import decontamination, near_dedup, packing, quality, secrets
-from studyloom.llm.shared import written
+from studyloom.sources.storage import made_tables, removed, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage has written on its way goes when its result is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with made_tables() as tables:
+            docs = written(stage(spark, docs, sf_dir), name)
+        removed(spark, [*last, *(t for t in tables if t != docs.written_to)])
+        last = [docs.written_to]
     return STAGES[-1][1](spark, docs, sf_dir)
