@@ -6,7 +6,9 @@ states labels every byte.  A document's probabilities are the mean over all its
 ``STRETCH`` bytes, each from a zero state, so that thousands of them run side by side at any text length.
 
 Training takes a bounded, documented sample: about ``SAMPLE_DOCS`` documents of each language, those whose id has a
-hash below the share that this number is of the language, and ``SAMPLE_WINDOWS`` stretches of each.  Everything else reads whole texts.
+hash below the share that this number is of the language, and ``SAMPLE_WINDOWS`` stretches of each.  Beyond a hundred
+languages each has fewer, so that all together are about ``SAMPLE_TOTAL``; of more languages than that the most frequent
+are learned.  Everything else reads whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; null ids hash as the empty string; rows
 without a language train nothing; with no row to learn from, all is ``und``; repeated rows each get their result; an
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import col, freed
+from studyloom.llm.shared import col, freed, written
 
 #: Bytes of a stretch, cells of each direction, stretches that run side by side.
 STRETCH, HIDDEN, BATCH = 64, 8, 4096
-#: The training sample, and the languages that a model may know.
-SAMPLE_DOCS, SAMPLE_WINDOWS, MOST_LANGS = 500, 2, 200
+#: The training sample: documents of each language, of all together, and stretches of each document.
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_WINDOWS = 500, 50_000, 2
 #: Passes over the sample, stretches in a step, step size.
 EPOCHS, STEP_ROWS, RATE = 6, 128, 0.02
 UNKNOWN = "und"
@@ -198,17 +200,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     text = col(text_col).cast("string")
     own = docs.select(F.coalesce(col(id_col).cast("string"), F.lit("")).alias("key"), col(lang_col).cast("string").alias("lang"), text.alias("text"))
     own = own.where(F.col("lang").isNotNull() & (F.char_length(F.trim("text")) > 0))
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
-    if len(sizes) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    if not sizes:
+    sizes = written(own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_TOTAL), "language-sizes")
+    known = sizes.count()
+    if not known:
         return None
     # ids whose hash lies below their language's share: no task gathers a language, whatever part of the rows it has
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["n"]))])
-    some = own.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    share = sizes.select(F.col("lang").alias("_lang"), (F.lit(float(max(1, min(sample_docs, SAMPLE_TOTAL // known)))) / F.col("n")).alias("share"))
+    some = own.join(F.broadcast(share), F.col("lang") == F.col("_lang"))  # SAMPLE_TOTAL rows at most
+    some = some.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     cuts = F.array(*[F.substring("text", F.pmod(F.xxhash64("key", F.lit(k)), F.greatest(F.char_length("text") - STRETCH, F.lit(1))).cast("int") + 1, F.lit(STRETCH)) for k in range(SAMPLE_WINDOWS)])
     rows = some.groupBy("key", "lang").agg(F.min(cuts).alias("cuts")).collect()  # about sample_docs ids of each language
     langs = sorted({r["lang"] for r in rows})
+    if not langs:
+        return None
     # each stretch also in capitals, so that capitals alone don't mislead
     pairs = sorted((r["lang"], r["key"], x.encode()[:STRETCH]) for r in rows for c in r["cuts"] if c for x in (c, c.upper()))
     model = ByteGRU(langs)

@@ -1,41 +1,41 @@
 """URL filters: list rules first, then a naive Bayes verdict over words that a Viterbi search finds in host and path.
 
-Host names run words together.  A unigram model, counted over the whole corpus, lets a Viterbi search split each label
-into its most probable words; multinomial naive Bayes then scores the words of host and path.  It learns from the urls
-that a rule decides, all of them, and judges the others.
+Host names run words together.  A unigram model, counted over the whole corpus, lets a Viterbi search split each run of
+letters into its most probable words; multinomial naive Bayes then scores the words of host and path.  It learns from the
+urls that a rule decides, all of them, and judges the others.
 
-Both models are whole: the total counts every word, and a word's count is kept if the word stands anywhere in a host or
-path, as no other can be asked for; every token counts.  Counts are summed on the map side over all rows.  The words
-that the urls hold and their tokens reach the driver and every worker, so they grow with the different words of the
-urls.  Rules are configuration, a few hundred at most, and become one expression.  A host that a third of the rows share
-is segmented once for each worker and needs no shuffle.
+Both models are whole, every word and every token counts, and both stay tables: nothing that grows with the urls reaches
+the driver or is held by a worker.  Each different run of letters is split once, by a row that carries the counts of the
+words that it holds.  Token counts are sums over different runs, a run's score is the sum of its tokens' log odds, and a
+url's score the sum of its runs', in whole billionths, so that no order of summing changes a verdict.  Scores of runs are
+rows of fixed size and broadcast within the bound; beyond, they are joined by shuffle, where the skew join splits a run
+that a third of the urls share.  Rules are configuration, a few hundred at most, and become one expression.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and is allowed; null ids are kept; repeated
-rows each get their result; with no row that a rule decides, all others are allowed; an empty table gives an empty
-result; columns besides the named ones are ignored.
+rows each get their result; with no row that a rule blocks, or none that it allows, all others are allowed; an empty table
+gives an empty result; columns besides the named ones are ignored.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import ascii_lower, col, dropped, freed, written
+from studyloom.llm.shared import ascii_lower, bounded, col, dropped, freed, row_key, written
 
 #: Letters of the longest word.
 LONGEST = 20
-#: Segmentations that a worker remembers.
-REMEMBERED = 100_000
+#: Parts of one in which log odds are summed.
+BILLION = 1_000_000_000
 #: The registered query's rules: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-_RUNS = re.compile("[a-z]+|[0-9]+|[^\x00-\x7f]+")
+#: What tokens are made of: letters, digits, which count as one kind, and what lies beyond ASCII.
+_RUNS = r"[a-z]+|[0-9]+|[^\x00-\x7F]+"
 
 
 def host_of(url: Column) -> Column:
@@ -63,134 +63,107 @@ def with_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -
     return urls.withColumns({"rule": rule, "ruled": ruled})
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of a written table with n at least so great that no more than ``most`` rows have it.
+def runs_of(urls: DataFrame) -> DataFrame:
+    """rid, ruled, mark (h: or p:) and run: a row for each run of each url of ``urls`` (rid, host, path, ruled)."""
+    both = F.array(F.struct(F.lit("h:").alias("mark"), F.col("host").alias("part")), F.struct(F.lit("p:").alias("mark"), F.lower("path").alias("part")))
+    parts = urls.select("rid", "ruled", F.inline(both))
+    return parts.select("rid", "ruled", "mark", F.explode(F.regexp_extract_all("part", F.lit(_RUNS), F.lit(0))).alias("run"))
 
-    The least count is found from how many rows have each count, a short table, so no task and not the driver ever holds
-    candidates of all partitions.
-    """
-    by_n = counts.groupBy("n").agg(F.count("*").alias("rows"))
-    up_to = by_n.select("n", F.sum("rows").over(Window.orderBy(F.desc("n"))).alias("up_to"))
-    least = up_to.where(F.col("up_to") <= most).agg(F.min("n")).first()[0]
-    return counts.where(F.lit(False) if least is None else F.col("n") >= least)
 
-
-def possible_words(urls: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """w: every different stretch of 2 to ``longest`` letters in the hosts and paths of ``urls``."""
-    each = F.concat(*[F.regexp_extract_all(c, F.lit("[a-z]{2,}"), F.lit(0)) for c in (F.col("host"), F.lower("path"))])
-    runs = urls.select(F.explode(each).alias("run")).distinct()
-    ends = runs.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("run") - 1), lambda at: F.substring("run", at, F.lit(longest)))).alias("end")).distinct()
-    return ends.select(F.explode(F.transform(F.sequence(F.lit(2), F.char_length("end")), lambda n: F.substring("end", F.lit(1), n))).alias("w")).distinct()
-
-
-def word_counts(texts: DataFrame, text_col: str, urls: DataFrame, longest: int = LONGEST) -> tuple[dict[str, int], int]:
-    """Counts over all rows of the words of letters a to z that stand in a host or path, and the total of all words; markup left out."""
+def word_counts(texts: DataFrame, text_col: str, longest: int = LONGEST) -> DataFrame:
+    """A written table of w and n: counts over all rows of all words of letters a to z; markup left out."""
     bare = F.regexp_replace(F.lower(col(text_col).cast("string")), "<[^>]*>", " ")
     words = texts.select(F.explode(F.regexp_extract_all(bare, F.lit(f"[a-z]{{2,{longest}}}"), F.lit(0))).alias("w"))
-    counts = written(words.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = {r["w"]: r["n"] for r in counts.join(possible_words(urls, longest), "w", "left_semi").collect()}
-    dropped(counts)
-    return found, total
+    return written(words.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
 
 
-class Segmenter:
-    """The most probable split of letters into words under a unigram model; unknown words cost more the longer they are."""
+def words_within(runs: DataFrame, counts: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """run and known, the words with counts that stand in it, for each run of letters of ``runs`` (run, each once)."""
+    ends = runs.select("run", F.explode(F.sequence(F.lit(1), F.char_length("run"))).alias("at")).select("run", F.substring("run", F.col("at"), F.lit(longest)).alias("end"))
+    words = ends.where(F.char_length("end") > 1).select("run", F.explode(F.transform(F.sequence(F.lit(2), F.char_length("end")), lambda n: F.substring("end", F.lit(1), n))).alias("w")).distinct()
+    known = words.join(counts, "w").groupBy(F.col("run").alias("_run")).agg(F.collect_list(F.struct("w", "n")).alias("known"))  # a run's own stretches at most
+    return runs.join(known, F.col("run") == F.col("_run"), "left").select("run", F.coalesce("known", F.array().cast("array<struct<w:string,n:bigint>>")).alias("known"))
+
 
-    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int = LONGEST) -> None:
-        total = float((sum(counts.values()) if total is None else total) or 1)
-        self.cost = {w: -math.log(n / total) for w, n in counts.items()}
-        self.unknown = [math.log(total) + k * math.log(10) for k in range(longest + 1)]
-        self.longest = longest
-        self.words = functools.lru_cache(REMEMBERED)(self._words)
-
-    def _words(self, letters: str) -> tuple[str, ...]:
-        best, back = [0.0], [0]
-        for end in range(1, len(letters) + 1):
-            cost, start = min((best[k] + self.cost.get(letters[k:end], self.unknown[end - k]), k) for k in range(max(0, end - self.longest), end))
-            best.append(cost)
-            back.append(start)
-        out, end = [], len(letters)
-        while end:
-            out.append(letters[back[end] : end])
-            end = back[end]
-        return tuple(reversed(out))
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """h: and p: tokens; digits count as one kind."""
-        out = []
-        for mark, part in (("h:", host), ("p:", path.lower())):
-            for run in _RUNS.findall(part):
-                out += [mark + "0"] if run[0].isdigit() else [mark + w for w in self.words(run)] if run.isascii() else [mark + run]
-        return out
-
-
-def token_table(urls: DataFrame, counts: dict[str, int], total: int) -> DataFrame:
-    """A row for each token of each url that a rule decides: token, ruled."""
+def split_letters(letters: str, counts: dict[str, int], total: int, longest: int = LONGEST) -> list[str]:
+    """The most probable split of letters into words under a unigram model; unknown words cost more the longer they are."""
+    every = math.log(total or 1)
+    cost = {w: every - math.log(n) for w, n in counts.items()}
+    unknown = [every + k * math.log(10) for k in range(longest + 1)]
+    best, back = [0.0], [0]
+    for end in range(1, len(letters) + 1):
+        found, start = min((best[k] + cost.get(letters[k:end], unknown[end - k]), k) for k in range(max(0, end - longest), end))
+        best.append(found)
+        back.append(start)
+    out, end = [], len(letters)
+    while end:
+        out.append(letters[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def segmented(within: DataFrame, total: int) -> DataFrame:
+    """run and words, in order, for rows of :func:`words_within`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(counts, total)
         for batch in batches:
-            tokens, verdicts = [], []
-            for host, path, ruled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = segmenter.tokens(host, path)
-                tokens += found
-                verdicts += [ruled] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(verdicts, pa.string())], names=["token", "ruled"])
+            runs = batch.column(0).to_pylist()
+            words = [split_letters(r, {x["w"]: x["n"] for x in known.as_py()}, total) for r, known in zip(runs, batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["run", "words"])
 
-    return urls.where(F.col("ruled").isNotNull()).select("host", "path", "ruled").mapInArrow(freed(run), "token string, ruled string")
+    return within.select("run", "known").mapInArrow(freed(run), "run string, words array<string>")
 
 
-class NaiveBayes:
-    """Multinomial, Laplace-smoothed; log odds of block against allow."""
+def tokens_of(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """A written table of mark, run, b, a and token for a written table of mark, run, b and a: a row for each word of each run."""
+    letters = F.col("run").rlike("^[a-z]")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    split = segmented(words_within(runs.where(letters).select("run").distinct(), counts), total)
+    named = runs.where(letters).join(split, "run").select("mark", "run", "b", "a", F.explode("words").alias("word"))
+    others = runs.where(~letters).select("mark", "run", "b", "a", F.when(F.col("run").rlike("^[0-9]"), "0").otherwise(F.col("run")).alias("word"))
+    return written(named.unionByName(others).select("mark", "run", "b", "a", F.concat("mark", "word").alias("token")), "url-tokens")
 
-    def __init__(self, counts: dict[str, tuple[int, int]], totals: tuple[int, int], rows: tuple[int, int]) -> None:
-        kinds = len(counts) + 1
-        block, allow = (t + kinds for t in totals)
-        self.ready = min(rows) > 0
-        self.odds = {w: math.log((b + 1) / block) - math.log((a + 1) / allow) for w, (b, a) in counts.items()}
-        self.prior = math.log(rows[0] / rows[1]) if self.ready else 0.0
 
-    def score(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.odds.get(t, 0.0) for t in tokens) if self.ready else 0.0
+def in_billionths(x: Column) -> Column:
+    return F.round(x * BILLION).cast("long")
 
 
-def train(urls: DataFrame, counts: dict[str, int], total: int) -> NaiveBayes:
-    """From all rows of ``urls`` with ruled, every token."""
-    is_block = (F.col("ruled") == "block").cast("long")
-    table = token_table(urls, counts, total).groupBy("token").agg(F.sum(is_block).alias("b"), F.sum(1 - is_block).alias("a"))
-    table = written(table, "url-tokens")
-    rows = urls.where(F.col("ruled").isNotNull()).agg(F.sum(is_block), F.sum(1 - is_block)).first()
-    found = {r["token"]: (r["b"], r["a"]) for r in table.collect()}
-    dropped(table)
-    return NaiveBayes(found, (sum(b for b, _ in found.values()), sum(a for _, a in found.values())), (rows[0] or 0, rows[1] or 0))
+def log_odds(tokens: DataFrame) -> DataFrame:
+    """token and odds, block against allow, Laplace-smoothed, in billionths, from rows with b and a, the occurrences in blocked and allowed urls."""
+    table = written(tokens.groupBy("token").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).where("a + b > 0"), "token-counts")
+    sums = table.agg(F.count("*").alias("kinds"), F.sum("b").alias("b"), F.sum("a").alias("a")).first()
+    block, allow = ((x or 0) + sums["kinds"] + 1 for x in (sums["b"], sums["a"]))
+    return table.select(F.col("token").alias("_token"), in_billionths(F.log((F.col("b") + 1) / block) - F.log((F.col("a") + 1) / allow)).alias("odds"))
 
 
-def judge(urls: DataFrame, counts: dict[str, int], total: int, model: NaiveBayes) -> DataFrame:
-    """page_id, host, path, rule, verdict, words (the segmented host) and score for rows of :func:`with_rules`."""
-    schema = "page_id long, host string, path string, rule string, verdict string, words string, score double"
-    kinds = [pa.int64(), *[pa.string()] * 5, pa.float64()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(counts, total)
-        for batch in batches:
-            page, host, path, rule, ruled = (c.to_pylist() for c in batch.columns)
-            words, scores, verdicts = [], [], []
-            for h, p, v in zip(host, path, ruled, strict=True):
-                tokens = segmenter.tokens(h, p)
-                words.append(" ".join(t[2:] for t in tokens if t[0] == "h"))
-                scores.append(model.score(tokens))
-                verdicts.append(v or ("block" if (h or p) and scores[-1] > 0 else "allow"))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((page, host, path, rule, verdicts, words, scores), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
-
-    return urls.select("page_id", "host", "path", "rule", "ruled").mapInArrow(freed(run), schema)
+def url_scores(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """A written table of rid and score, the log odds of block in billionths without the prior, for urls that have a run."""
+    each, blocked = runs_of(urls), F.col("ruled") == "block"
+    runs = written(each.groupBy("mark", "run").agg(F.count_if(blocked).alias("b"), F.count_if(F.col("ruled") == "allow").alias("a")), "url-runs")
+    tokens = tokens_of(runs, counts)
+    odds = log_odds(tokens)
+    key = row_key(F.col("mark"), F.col("run"))
+    scored = tokens.join(odds, F.col("token") == F.col("_token"), "left").groupBy("mark", "run").agg(F.sum(F.coalesce("odds", F.lit(0))).alias("score"))
+    scored = written(scored.select(*key, "score"), "run-scores")
+    scores = each.select("rid", *key).join(bounded(scored), ["_k1", "_k2"]).groupBy("rid").agg(F.sum("score").alias("score"))
+    scores = written(scores, "url-scores")
+    dropped(runs, tokens, scored)
+    return scores
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
-    """Every page's verdict; words are counted over the pages' own texts."""
-    urls = with_rules(split_urls(pages, id_col, url_col), rules)
-    counts, total = word_counts(pages, text_col, urls)
-    return judge(urls, counts, total, train(urls, counts, total))
+    """page_id, host, path, rule, verdict and score (log odds of block) of every page; words are counted over the pages' own texts."""
+    urls = written(with_rules(split_urls(pages, id_col, url_col), rules).withColumn("rid", F.monotonically_increasing_id()), "urls")
+    counts = word_counts(pages, text_col)
+    scores = url_scores(urls, counts).withColumnRenamed("rid", "_rid")
+    dropped(counts)
+    rows = urls.agg(F.count_if(F.col("ruled") == "block").alias("b"), F.count_if(F.col("ruled") == "allow").alias("a")).first()
+    ready = min(rows) > 0
+    prior = round(math.log(rows["b"] / rows["a"]) * BILLION) if ready else 0
+    score = F.coalesce("score", F.lit(0)) + F.lit(prior) if ready else F.lit(0)
+    judged = urls.join(scores, F.col("rid") == F.col("_rid"), "left").withColumn("score", score.cast("long"))
+    learned = F.when(((F.col("host") != "") | (F.col("path") != "")) & (F.col("score") > 0), "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), (F.col("score") / BILLION).alias("score"))
 
 
 def op7_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:

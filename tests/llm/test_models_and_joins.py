@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from studyloom.llm import language_id, near_dedup, packing, queries, sharding, url_filter
+from studyloom.llm import language_id, near_dedup, packing, queries, sharding, shared, url_filter
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -159,13 +159,69 @@ def test_url_edges(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
-def test_segmentation_and_bayes():
-    s = url_filter.Segmenter({"learn": 50, "spark": 40, "fast": 30, "learns": 1, "park": 5, "casino": 20, "win": 20, "big": 25})
-    assert s.words("learnsparkfast") == ("learn", "spark", "fast") and s.words("qqqq") == ("qqqq",)
-    assert s.tokens("bigwin42.com", "/Spark-fast") == ["h:big", "h:win", "h:0", "h:com", "p:spark", "p:fast"]
-    model = url_filter.NaiveBayes({"h:casino": (9, 0), "h:learn": (0, 9)}, (9, 9), (5, 5))
-    assert model.score(["h:casino"]) > 0 > model.score(["h:learn"]) and model.score([]) == 0
-    assert url_filter.NaiveBayes({}, (0, 0), (0, 3)).score(["x"]) == 0.0
+def test_segmentation(spark):
+    counts = {"learn": 50, "spark": 40, "fast": 30, "learns": 1, "park": 5, "casino": 20, "win": 20, "big": 25}
+    assert url_filter.split_letters("learnsparkfast", counts, 191) == ["learn", "spark", "fast"] and url_filter.split_letters("qqqq", counts, 191) == ["qqqq"]
+    table = spark.createDataFrame(list(counts.items()), "w string, n long")
+    runs = spark.createDataFrame([("h:", r, 0, 0) for r in ("bigwin", "42", "com", "üß", "x")] + [("p:", "sparkfast", 0, 0)], "mark string, run string, b long, a long")
+    got = sorted((r["run"], r["token"]) for r in url_filter.tokens_of(runs, table).collect())
+    assert got == [("42", "h:0"), ("bigwin", "h:big"), ("bigwin", "h:win"), ("com", "h:com"), ("sparkfast", "p:fast"), ("sparkfast", "p:spark"), ("x", "h:x"), ("üß", "h:üß")]
+
+
+def brute_verdicts(rows):
+    """Verdict of each page by plain code: all words counted, each part split by trying all splits from the right, all tokens counted."""
+    words = Counter(w for _, _, html in rows for w in re.findall("[a-z]{2,20}", re.sub("<[^>]*>", " ", (html or "").lower())))
+    total, held = sum(words.values()), {}
+
+    def split(letters):
+        if letters not in held:
+            best = [(0.0, ())]
+            for end in range(1, len(letters) + 1):
+                options = []
+                for k in range(max(0, end - 20), end):
+                    w = letters[k:end]
+                    price = np.log(total) - np.log(words[w]) if words[w] else np.log(total) + len(w) * np.log(10)
+                    options.append((best[k][0] + price, k, w))
+                price, k, w = min(options)
+                best.append((price, (*best[k][1], w)))
+            held[letters] = best[-1][1]
+        return held[letters]
+
+    def tokens(host, path):
+        out = []
+        for mark, part in (("h:", host), ("p:", path.lower())):
+            for run in re.findall("[a-z]+|[0-9]+|[^\x00-\x7f]+", part):
+                out += [mark + "0"] if run[0].isdigit() and run.isascii() else [mark + w for w in split(run)] if run.isascii() else [mark + run]
+        return out
+
+    judged = [(page, *brute_rule(url)) for page, url, _ in rows]
+    told = [(tokens(h, p), v) for _, h, p, _, v in judged if v]
+    block, allow = (Counter(t for own, v in told if v == which for t in own) for which in ("block", "allow"))
+    kinds = len(set(block) | set(allow)) + 1
+    prior = np.log(sum(v == "block" for _, v in told) / sum(v == "allow" for _, v in told))
+    odds = lambda t: np.log((block[t] + 1) / (block.total() + kinds)) - np.log((allow[t] + 1) / (allow.total() + kinds)) if t in block or t in allow else 0.0
+    scores = {page: prior + sum(map(odds, tokens(h, p))) for page, h, p, _, _ in judged}
+    return {page: (v or ("block" if (h or p) and scores[page] > 0 else "allow"), scores[page]) for page, h, p, _, v in judged}
+
+
+def test_verdicts_by_plain_code(spark):
+    """All pages of sf0.01, those without a rule too."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    got = {r["page_id"]: r for r in url_filter.op7_host_words(spark, "/root/testdata/sf0.01").collect()}
+    want = brute_verdicts(rows)
+    assert len(got) == len(want) and all(got[p]["verdict"] == v and abs(got[p]["score"] - x) < 1e-6 for p, (v, x) in want.items())
+    assert {v for p, (v, _) in want.items() if got[p]["rule"] is None} == {"block", "allow"}
+
+
+def test_long_and_repeated_urls(spark, monkeypatch):
+    """Very long runs and texts, and rows that come again; the same by broadcast and by shuffle."""
+    long = "http://www.casino.info/" + "winbig" * 2000 + "/" + "7" * 50_000
+    rows = [(1, "http://casino.net/winbig", "casino win big " * 20_000), (2, "http://b.org/fr/learn", "learn " * 100), (3, long, None), (3, long, None), (4, "http://learn.info/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = sorted(map(tuple, url_filter.filter_urls(df).collect()))
+    assert [r[4] for r in first] == ["block", "allow", "block", "block", "allow"]
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, url_filter.filter_urls(df).collect())) == first
 
 
 def test_unseen_hosts_follow_their_words(spark):
@@ -183,17 +239,11 @@ def test_rare_words_split_hosts(spark):
     """A word counts however many others are more frequent; the total is over all words, also those in no url."""
     name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
     common = " ".join([name(k) for k in range(60_000)] * 2)
-    df = spark.createDataFrame([(1, "http://zyxwvutsrqponm.info/zyxwvut", common + " zyxwvut srqponm")], "page_id long, url string, html string")
-    counts, total = url_filter.word_counts(df, "html", url_filter.split_urls(df))
-    assert total == 120_002 and counts["zyxwvut"] == counts["srqponm"] == 1
-    assert all(w in "zyxwvutsrqponm info" for w in counts)
-    assert url_filter.filter_urls(df).first()["words"] == "zyxwvut srqponm info"
-
-
-def test_most_frequent(spark):
-    counts = spark.createDataFrame([("a", 5), ("b", 5), ("c", 3), ("d", 3), ("e", 1)], "w string, n long")
-    for most, want in ((5, 5), (4, 4), (3, 2), (1, 0)):
-        assert url_filter.most_frequent(counts, most).count() == want
+    df = spark.createDataFrame([(common + " zyxwvut srqponm",)], "html string")
+    counts = url_filter.word_counts(df, "html")
+    assert counts.agg(F.sum("n")).first()[0] == 120_002 and counts.where("w in ('zyxwvut', 'srqponm')").count() == 2
+    runs = spark.createDataFrame([("zyxwvutsrqponm",)], "run string")
+    assert url_filter.segmented(url_filter.words_within(runs, counts), 120_002).first()["words"] == ["zyxwvut", "srqponm"]
 
 
 # --- language
@@ -250,6 +300,16 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language_id.predict(df, None).collect()} == {"und"}
 
 
+def test_many_languages(spark, monkeypatch):
+    """Beyond a hundred languages each has a smaller sample, and none is an error."""
+    monkeypatch.setattr(language_id, "SAMPLE_TOTAL", 600)
+    rows = [(k, f"wort{k % 250} text{k % 250} " * 5, f"l{k % 250:03}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, epochs=1)
+    assert 100 < len(model.langs) <= 250
+    assert {r["lang_pred"] for r in language_id.predict(df, model).collect()} <= set(model.langs)
+
+
 # --- sharding
 
 
