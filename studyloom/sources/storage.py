@@ -31,11 +31,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/studyloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, *more: DataFrame) -> DataFrame:
+    """``df``, and ``more`` of its kind behind it, as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    for part in more:
+        part.write.mode("append").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     if (made := _MADE.get()) is not None:
