@@ -29,6 +29,8 @@ from studyloom.llm.shared import ascii_lower, barrier, bounded, col, dropped, wr
 
 #: Words in a window, and further words within which a window's terms count as near.
 WINDOW, SLOP = 10, 5
+#: Passes in which an index is built, each for a part of the terms.
+PASSES = 2
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -43,13 +45,17 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return own.distinct().select(F.xxhash64("item", "words").alias("ikey"), "item", "words")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written index: tid (the term's hash), key, pos; behind the last word of each document stands a posting whose tid, 0 to 2, counts the empty words at its ends."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> DataFrame:
+    """The written index: tid (the term's hash), key, pos, in files of a part of the terms each, sorted by term.
+
+    A task sorts the postings of one part of the terms at a time, which bounds its memory; the texts are read ``passes`` times.  Behind the last word of each document stands a posting whose tid, 0 to 2, counts the empty words at its ends."""
     own = barrier(docs.select(key_of(id_col, text_col).alias("key"), col(text_col).alias("_text")), _w=words_of(F.col("_text"))).drop("_text")
     empty = (F.col("_w")[0] == "").cast("int") + ((F.size("_w") > 1) & (F.element_at("_w", -1) == "")).cast("int")
     posted = own.select("key", F.posexplode(F.concat("_w", F.array(F.concat(F.lit("\0"), empty.cast("string"))))).alias("pos", "term")).where(F.col("term") != "")
     tid = F.when(F.col("term") < "\x01", F.substring("term", 2, 1).cast("long")).otherwise(F.xxhash64("term"))
-    return written(posted.select(tid.alias("tid"), "key", "pos").sortWithinPartitions("tid"), "index")
+    postings = posted.select(tid.alias("tid"), "key", "pos")
+    first, *more = [postings.where(F.pmod("tid", F.lit(passes)) == k).sortWithinPartitions("tid") for k in range(passes)]
+    return written(first, "index", *more)
 
 
 def key_of(id_col: str, text_col: str) -> Column:
