@@ -5,14 +5,22 @@ White space is the Unicode set of 29 code points, written out because the engine
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The code points of white space, as first and last of each range.
 WHITE_SPACE = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 WS = "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in WHITE_SPACE) + "]+"
+#: Rules out visible ASCII by one test of a character, where a class takes one for each of its ranges.
+_RARE = "(?![!-~])"
 #: A run of white space that is not a single blank, which would be replaced by itself.
-_ODD_WS = "[" + WS[1:-2].replace("\\u001c-\\u0020", "\\u001c-\\u001f") + "]" + WS[:-1] + "*| " + WS
+_ODD_WS = f"{_RARE}(?: {_RARE}" + WS + "|[" + WS[1:-2].replace("\\u001c-\\u0020", "\\u001c-\\u001f") + "]" + WS[:-1] + "*)"
+#: The characters that full cleaning keeps.
+KEPT = "abcdefghijklmnopqrstuvwxyz" "ABCDEFGHIJKLMNOPQRSTUVWXYZ" "0123456789" " .,!?'\"-:"
+#: All others, as ranges: the engine tests a negated class of several ranges twelve times slower.
+_OTHERS = "[" + "".join(f"\\x{{{a + 1:x}}}-\\x{{{b - 1:x}}}" for a, b in itertools.pairwise([-1, *sorted(map(ord, KEPT)), 0x110000]) if b - a > 1) + "]"
 #: Fixed values of the question generator.
 TOPIC_WORDS, NO_TOPIC, SENTENCE_CHARS, SNIPPET_CHARS = 6, "this topic", 40, 240
 SOURCE_CHARS, EMBEDDING_CHARS, WEAK_CHARS, SCRIPT_CHARS = 1000, 2000, 200, 1500
@@ -38,7 +46,7 @@ def full_clean(text: Column) -> Column:
     A mail address takes the whole of its word, so it is looked for where words start only, which keeps long words linear.
     """
     out = _single_blanks(text)
-    for pattern in (r"--- PAGE \p{Nd}+ ---", "http[^ ]+|www[^ ]+", "(?<![^ ])[^ ]+@[^ ]+", r"""[^a-zA-Z0-9 .,!?'"\-:]"""):
+    for pattern in (r"--- PAGE \p{Nd}+ ---", "http[^ ]+|www[^ ]+", "(?<![^ ])[^ ]+@[^ ]+", _OTHERS):
         out = F.regexp_replace(out, pattern, "")
     return F.trim(F.regexp_replace(out, " {2,}", " "))
 
@@ -66,9 +74,18 @@ def sentences(text: Column, joined: bool = False) -> Column:
     return F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when((F.size(acc) >= 3) | seen(acc, s), acc).otherwise(F.array_append(acc, s)))
 
 
+def snippet(text: Column, joined: bool = False) -> Column:
+    """The first 240 characters of the normalized text."""
+    return F.trim(F.substring(text if joined else normalized(text), 1, SNIPPET_CHARS))
+
+
 def answers(text: Column, joined: bool = False) -> Column:
-    """The sentences, or else the first 240 characters of the normalized text as the only one; none for blank text."""
-    found, short = sentences(text, joined), F.trim(F.substring(text if joined else normalized(text), 1, SNIPPET_CHARS))
+    """The sentences, or else the snippet as the only one; none for blank text."""
+    return answers_from(sentences(text, joined), snippet(text, joined))
+
+
+def answers_from(found: Column, short: Column) -> Column:
+    """:func:`answers` of a text's sentences and snippet, each used more than once here."""
     return F.when(F.size(found) > 0, found).when(short != "", F.array(short)).otherwise(F.array().cast("array<string>"))
 
 

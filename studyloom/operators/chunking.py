@@ -21,8 +21,8 @@ def chunk(df: DataFrame, text_col: str = "text", size: int = SIZE, overlap: int
         raise ValueError("0 <= overlap < size is needed")
     own = F.col(text_col)
     others = [c for c in df.columns if c not in (text_col, "chunk_id", "title", "word_count")]
-    # the generator keeps the split from being repeated for each chunk
-    held = df.where(own.isNotNull()).select(*others, F.explode(F.array(words(own, cleaned))).alias("_w")).where(F.size("_w") > 0)
+    # the generator keeps the split from being repeated for each chunk; a test of the text itself would clean it once more
+    held = df.select(*others, F.explode(F.array(words(own, cleaned))).alias("_w")).where(F.size("_w") > 0)
     each = held.select(*others, "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - 1, F.lit(size - overlap))).alias("_at"))
     part = each.select(*others, (F.floor(F.col("_at") / (size - overlap)) + 1).cast("int").alias("chunk_id"), F.slice("_w", F.col("_at") + 1, size).alias("_p"))
     return part.select(*others, "chunk_id", F.array_join("_p", " ").alias(text_col), F.array_join(F.slice("_p", 1, TITLE_WORDS), " ").alias("title"), F.size("_p").alias("word_count"))

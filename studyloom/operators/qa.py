@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.functions.text import answers, source_chunk, topic
+from studyloom.functions.text import answers_from, sentences, snippet, source_chunk, topic
 
 #: Difficulty and question around the topic.
 TEMPLATES = (
@@ -34,7 +34,9 @@ def fallback_qa(chunks: DataFrame, text_col: str = "text", joined: bool = False)
     """
     others = [c for c in chunks.columns if c not in (text_col, "question", "answer", "difficulty", "topic", "source_chunk")]
     own = F.col(text_col)
-    held = chunks.where(own.isNotNull()).select(*others, source_chunk(own).alias("source_chunk"), F.inline(F.array(F.struct(answers(own, joined).alias("_a"), topic(own).alias("_t")))))
+    # the generators keep what they hold from being computed again by each use of it
+    held = chunks.select(*others, source_chunk(own).alias("source_chunk"), F.inline(F.array(F.struct(sentences(own, joined).alias("_s"), snippet(own, joined).alias("_x"), topic(own).alias("_t")))))
+    held = held.select(*others, "source_chunk", "_t", F.explode(F.array(answers_from(F.col("_s"), F.col("_x")))).alias("_a"))
     return held.where(F.size("_a") > 0).select(*others, "source_chunk", F.inline(_items("_a", "_t")))
 
 
