@@ -17,10 +17,17 @@ WS = "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in WHITE_SPACE) + "]+"
 _RARE = "(?![!-~])"
 #: A run of white space that is not a single blank, which would be replaced by itself.
 _ODD_WS = f"{_RARE}(?: {_RARE}" + WS + "|[" + WS[1:-2].replace("\\u001c-\\u0020", "\\u001c-\\u001f") + "]" + WS[:-1] + "*)"
-#: The characters that full cleaning keeps.
+
+
+def _outside(kept: str) -> str:
+    """A class of all other characters, as ranges: the engine tests a negated class several times slower."""
+    points = [-1, *sorted(map(ord, kept)), 0x110000]
+    return "[" + "".join(f"\\x{{{a + 1:x}}}-\\x{{{b - 1:x}}}" for a, b in itertools.pairwise(points) if b - a > 1) + "]"
+
+
+#: The characters that light and full cleaning keep.
+ASCII = "".join(map(chr, range(0x80)))
 KEPT = "abcdefghijklmnopqrstuvwxyz" "ABCDEFGHIJKLMNOPQRSTUVWXYZ" "0123456789" " .,!?'\"-:"
-#: All others, as ranges: the engine tests a negated class of several ranges twelve times slower.
-_OTHERS = "[" + "".join(f"\\x{{{a + 1:x}}}-\\x{{{b - 1:x}}}" for a, b in itertools.pairwise([-1, *sorted(map(ord, KEPT)), 0x110000]) if b - a > 1) + "]"
 #: Fixed values of the question generator.
 TOPIC_WORDS, NO_TOPIC, SENTENCE_CHARS, SNIPPET_CHARS = 6, "this topic", 40, 240
 SOURCE_CHARS, EMBEDDING_CHARS, WEAK_CHARS, SCRIPT_CHARS = 1000, 2000, 200, 1500
@@ -37,7 +44,7 @@ def _single_blanks(text: Column) -> Column:
 
 def light_clean(text: Column) -> Column:
     """White-space runs become a blank, then runs beyond ASCII do, which may leave double blanks inside; ends are trimmed."""
-    return F.trim(F.regexp_replace(_single_blanks(text), r"[^\x00-\x7F]+", " "))
+    return F.trim(F.regexp_replace(_single_blanks(text), _outside(ASCII) + "+", " "))
 
 
 def full_clean(text: Column) -> Column:
@@ -46,7 +53,7 @@ def full_clean(text: Column) -> Column:
     A mail address takes the whole of its word, so it is looked for where words start only, which keeps long words linear.
     """
     out = _single_blanks(text)
-    for pattern in (r"--- PAGE \p{Nd}+ ---", "http[^ ]+|www[^ ]+", "(?<![^ ])[^ ]+@[^ ]+", _OTHERS):
+    for pattern in (r"--- PAGE \p{Nd}+ ---", "http[^ ]+|www[^ ]+", "(?<![^ ])[^ ]+@[^ ]+", _outside(KEPT)):
         out = F.regexp_replace(out, pattern, "")
     return F.trim(F.regexp_replace(out, " {2,}", " "))
 
