@@ -57,7 +57,8 @@ def from_responses(responses: DataFrame, text_col: str = "text", output_col: str
 
     Adds place, the item's place in its list, and rejected, true for items that a table could not hold.
     """
-    parsed = responses.withColumn("_items", parse_items(F.col(output_col)))
+    # the generator keeps an output from being parsed again by each use of its items
+    parsed = responses.drop("_items").select("*", F.explode(F.array(parse_items(F.col(output_col)))).alias("_items"))
     others = [c for c in responses.columns if c not in (text_col, output_col, "question", "answer", "difficulty", "topic", "source_chunk", "place")]
     good = parsed.where(F.col("_items").isNotNull()).select(*others, source_chunk(F.col(text_col)).alias("source_chunk"), F.posexplode("_items").alias("place", "_i"))
     good = good.select(*others, "source_chunk", "_i.question", "_i.answer", "_i.difficulty", "_i.topic", "place", (~accepted(F.col("_i"))).alias("rejected"))
