@@ -131,3 +131,25 @@ def test_mail_words(spark):
 def test_colours_end_where_they_end(spark):
     df = spark.createDataFrame([("#ffFF00",), ("#ffff00\n",), ("hsl(1, 2%,3%)",), ("hsl(1,2%,3%)\r\n",), ("#ffff0",), (None,)], "c string")
     assert [r[0] for r in df.select(formats.valid_color(F.col("c"))).collect()] == [True, False, True, False, False, True]
+
+
+def test_cleaning_keeps_exactly_its_characters(spark):
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for kept in (text.ASCII, text.KEPT):
+        row = spark.createDataFrame([(every,)], "t string").select(F.regexp_replace("t", text._outside(kept), "").alias("x")).first()
+        assert row["x"] == "".join(sorted(kept))
+
+
+def test_white_space_beside_every_character(spark):
+    """Each white space, alone and doubled, between letters and beside the first characters beyond visible ASCII."""
+    spaces = [chr(c) for a, b in text.WHITE_SPACE for c in range(a, b + 1)]
+    rows = [f"{x}{s * n}{y}" for s in spaces for n in (1, 2) for x in "!~a\x7f\x21é" for y in "!~a\x7fé"]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string").select("i", text._single_blanks(F.col("t")).alias("x")).collect()
+    assert all(r["x"] == " ".join(filter(None, rows[r["i"]].split())) for r in got)
+
+
+def test_texts_are_cleaned_once(spark):
+    own = spark.createDataFrame([(1, "a  b")], "doc_id long, text string").select("doc_id", text.light_clean(F.col("text")).alias("text"))
+    plan = chunk(own, cleaned=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") == 1
+    assert chunk(own.withColumn("text", F.lit(None).cast("string")), cleaned=True).count() == 0
