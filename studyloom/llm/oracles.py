@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from studyloom.llm import decontamination, quality, secrets, sharding
+from studyloom.llm import decontamination, line_dedup, overlaps, quality, secrets, sharding
 from studyloom.llm.shared import LOWER, UPPER
 
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -120,5 +120,30 @@ slots AS (SELECT doc_id, source, coalesce(strlen(text), 0)::BIGINT AS bytes, ({_
 SELECT doc_id, source, bytes, slot, s[t[slot + 1] + 1] AS shard FROM slots, done, names"""
 
 
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k FROM l),
+common AS (SELECT k FROM k WHERE length(k) >= {line_dedup.MIN_LENGTH} GROUP BY k HAVING count(DISTINCT r) >= {line_dedup.MIN_DOCS})
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(c.k)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN common c ON c.k = k.k GROUP BY r, doc_id"""
+
+OP12 = f"""
+WITH crcs AS (SELECT list(list_reduce([i] || list_transform(range(8), lambda z: 0::BIGINT), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+c AS (SELECT client_id, ts, kind, lag(ts) OVER (PARTITION BY client_id ORDER BY ts) AS before FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) > {overlaps.GAP_US} THEN 1 ELSE 0 END) OVER (PARTITION BY client_id ORDER BY ts) AS k FROM c),
+e AS (SELECT client_id, k, min(ts) AS a, max(ts) AS b FROM n GROUP BY client_id, k),
+z AS (SELECT e.client_id, epoch_us(a)::VARCHAR AS first, epoch_us(a) // {overlaps.SLOT_US} AS s, CASE WHEN bool_or(kind = 'error') THEN {overlaps.OPEN} ELSE any_value(epoch_us(b)) // {overlaps.SLOT_US} END AS e
+  FROM e JOIN n ON n.client_id = e.client_id AND n.k = e.k AND n.ts = e.b GROUP BY e.client_id, e.k, a),
+x AS (SELECT client_id, s, e, xor(list_reduce([4294967295] || list_transform(string_split(first, ''), lambda b: ascii(b)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM z, crcs),
+shipped AS (SELECT sale_id, max(shipped_at) AS last_shipped FROM sale_lines GROUP BY sale_id),
+y AS (SELECT sale_id, client_id, epoch_us(sold_at) // {overlaps.SLOT_US} AS s, CASE WHEN status = 'open' THEN {overlaps.OPEN} ELSE epoch_us(greatest(sold_at, coalesce(last_shipped, sold_at))) // {overlaps.SLOT_US} END AS e
+  FROM sales LEFT JOIN shipped USING (sale_id) WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+p AS (SELECT sale_id, least(y.e, x.e) - greatest(y.s, x.s) + 1 AS shared, y.e = {overlaps.OPEN} AND x.e = {overlaps.OPEN} AS both_open, crc,
+  CASE sign(y.s - x.s) WHEN -1 THEN ['overlaps', 'finished_by', 'contains'] WHEN 0 THEN ['starts', 'equals', 'started_by'] ELSE ['during', 'finishes', 'overlapped_by'] END[sign(y.e - x.e)::INT + 2] AS relation
+  FROM y JOIN x ON x.client_id = y.client_id AND x.s <= y.e AND y.s <= x.e)
+SELECT sale_id, relation, count(*)::BIGINT AS n_pairs, sum(CASE WHEN NOT both_open THEN shared END)::BIGINT AS overlap_slots, sum(crc)::BIGINT AS sessions_crc FROM p GROUP BY sale_id, relation"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_dictionary": OP1, "op3_signature_join": OP3, "op4_ownership_frequency": OP4, "op5_adaptive_quality": OP5, "op6_positional_index": OP6, "op9_lookup_sharding": OP9}
+    return {"op1_warc_dictionary": OP1, "op3_signature_join": OP3, "op4_ownership_frequency": OP4, "op5_adaptive_quality": OP5, "op6_positional_index": OP6, "op9_lookup_sharding": OP9, "op11_levelled_runs": OP11, "op12_overlap_relations": OP12}
