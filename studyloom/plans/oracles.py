@@ -6,6 +6,9 @@ from studyloom.functions.text import WHITE_SPACE
 from studyloom.operators.qa import TEMPLATES
 from studyloom.plans.flows import DONE, NO_PAIRS, NO_TEXT
 
+#: Lines of a document on a page of its PDF file.
+PAGE_LINES = 30
+
 _WS = "[" + "".join(f"\\x{{{a:04x}}}-\\x{{{b:04x}}}" for a, b in WHITE_SPACE) + "]+"
 _LIGHT = rf"trim(regexp_replace(regexp_replace(text, '{_WS}', ' ', 'g'), '[^\x00-\x7F]+', ' ', 'g'))"
 _AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -76,6 +79,7 @@ SELECT d.doc_id AS path, CASE WHEN n_chars < 50 THEN 'too short' END AS error, C
     "upload_stats": f"WITH {_PAIRS} SELECT doc_id, count(*) AS qa_pairs, count(DISTINCT chunk_id) AS chunks FROM pairs GROUP BY doc_id",
     "weak_chunks": f"WITH {_CHUNKS} SELECT doc_id, chunk_id, substring(text, 1, 1500) AS text, md5(text) AS text_md5 FROM chunks WHERE length(trim(text)) >= 200",
     "embedding_inputs": f"WITH {_CHUNKS} SELECT doc_id, chunk_id, substring(text, 1, 2000) AS input FROM chunks WHERE chunk_id <= 5",
+    "embed_chunks": f"WITH {_CHUNKS} SELECT doc_id, chunk_id, least(length(text), 2000)::DOUBLE AS x1, (length(substring(text, 1, 2000)) - length(replace(substring(text, 1, 2000), ' ', '')))::DOUBLE AS x2 FROM chunks",
     "flashcards_new": f"WITH {_NEW} SELECT source AS instance_id, number AS id, question, answer, 2.5::DOUBLE AS ease_factor, 1::BIGINT AS interval, 0::INT AS repetitions FROM fresh",
     "upload_flow": f"""WITH {_NEW}, c AS (SELECT doc_id, count(*) AS n FROM fresh GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS q, count(DISTINCT chunk_id) AS k FROM pairs GROUP BY doc_id),
 d AS (SELECT doc_id, coalesce(trim(regexp_replace(text, '{_WS}', ' ', 'g')), '') = '' AS blank FROM documents)
@@ -125,7 +129,10 @@ SELECT doc_id AS path, coalesce(c, 0) AS chunk_count, 'llama3:8b' AS model, coal
     "extract_text": "SELECT doc_id, md5(text) AS text_md5, NULL::VARCHAR AS error FROM documents",
     "join_pages": "SELECT conv_id, string_agg(chr(10) || chr(10) || '--- PAGE ' || (turn + 1) || ' ---' || chr(10) || chr(10) || coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
     "parse_files": """SELECT doc_id, 'by kind' AS how, md5(CASE WHEN doc_id % 4 < 2 THEN text ELSE '' END) AS text_md5, doc_id % 4 >= 2 AS failed FROM documents
-UNION ALL SELECT doc_id, 'strict', md5(CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END), doc_id % 3 = 0 FROM documents WHERE doc_id % 4 IN (0, 3)""",
+UNION ALL SELECT doc_id, 'strict', md5(CASE WHEN doc_id % 3 = 0 OR doc_id % 4 = 1 THEN '' WHEN doc_id % 4 = 2 THEN 'PK' ELSE text END), doc_id % 3 = 0 OR doc_id % 4 = 1 FROM documents""",
+    "read_pdfs": f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents),
+p AS (SELECT doc_id, unnest(list_transform(range(0, len(w), {PAGE_LINES}), lambda k: chr(10) || chr(10) || '--- PAGE ' || (k // {PAGE_LINES} + 1) || ' ---' || chr(10) || chr(10) || array_to_string(w[k + 1:k + {PAGE_LINES}], chr(10)) || chr(10))) AS page, unnest(range(0, len(w), {PAGE_LINES})) AS k FROM l)
+SELECT doc_id, md5(string_agg(page, '' ORDER BY k)) AS text_md5, NULL::VARCHAR AS error FROM p GROUP BY doc_id""",
     "read_files": "SELECT regexp_replace(n_name, '[^A-Za-z0-9._-]', '_', 'g') || '.txt' AS file, strlen(n_name || chr(10) || n_regionkey)::BIGINT AS n_bytes, n_name || chr(10) || n_regionkey AS text, NULL::VARCHAR AS error FROM nation",
     "stored_uploads": "SELECT source AS instance_id, lang || '_' || (doc_id % 7) || '.txt' AS file_name, arg_max(md5(text), doc_id) AS content_md5 FROM documents GROUP BY ALL",
     "stored_cards": "SELECT 'instances' AS kept_in, c_custkey AS id, c_name AS name, c_custkey AS instance_id FROM customer UNION ALL SELECT 'documents', o_orderkey, 'u/' || (o_custkey % 20), o_custkey % 20 FROM orders",

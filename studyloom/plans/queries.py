@@ -20,7 +20,9 @@ from studyloom.functions import formats, text
 from studyloom.operators import analytics, cards, crud, qa, srs, vectors
 from studyloom.operators.chunking import chunk, first_chunks
 from studyloom.plans import flows
+from studyloom.plans.oracles import PAGE_LINES
 from studyloom.sources import files, sinks, tables
+from studyloom.sources.pdf import pdf_bytes
 from studyloom.sources.storage import new_folder, spread, written
 from studyloom.streaming import reviews
 
@@ -129,6 +131,12 @@ def embedding_inputs(spark: SparkSession, d: str) -> DataFrame:
     return first_chunks(_chunks(spark, d), 5).select("doc_id", "chunk_id", text.embedding_input(F.col("text")).alias("input"))
 
 
+def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all chunks from a client: here the numbers of characters and of blanks that reach it."""
+    made = qa.embed(_chunks(spark, d).select("doc_id", "chunk_id", "text"), lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts])
+    return made.select("doc_id", "chunk_id", *[F.element_at("embedding", k).cast("double").alias(f"x{k}") for k in (1, 2)])
+
+
 def _good(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").where("quality = 1").select("doc_id")
 
@@ -369,11 +377,28 @@ def parse_files(spark: SparkSession, d: str) -> DataFrame:
     form = F.element_at(F.array(*[F.lit(k) for k in ("txt", "docx", "broken.docx", "bin")]), F.pmod("doc_id", F.lit(4)).cast("int") + 1)
     own = _texts(spark, d).select("doc_id", F.concat(F.lit("a/b."), form).alias("path"), packed("text", form).alias("content"))
     said = lambda df, how: df.select("doc_id", F.lit(how).alias("how"), F.md5("text").alias("text_md5"), F.col("error").isNotNull().alias("failed"))
-    strict = own.where("path like '%.bin' or path like '%.txt'").withColumn("content", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat("content", F.unhex(F.lit("FF")))).otherwise(F.col("content")))
+    strict = own.withColumn("content", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat("content", F.unhex(F.lit("FF")))).otherwise(F.col("content")))
     kind = files.suffix_of(F.col("path"))
     return said(files.extracted(own, kind), "by kind").unionByName(said(files.extracted(strict, kind, strict=True), "strict"))
 
 
+def read_pdfs(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a PDF file, written and read back: one-byte fonts and tables of references where the text allows it and the id is even, else two-byte fonts and packed objects."""
+
+    @F.pandas_udf("binary")
+    def made(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(number: int, whole: str) -> bytes:
+            lines = whole.split("\n")
+            wide = number % 2 > 0 or whole != whole.encode("cp1252", "replace").decode("cp1252")
+            return pdf_bytes(["\n".join(lines[k : k + PAGE_LINES]) for k in range(0, len(lines), PAGE_LINES)], wide)
+
+        return pd.Series([one(n, t) for n, t in zip(ids, texts, strict=True)])
+
+    path = new_folder(spark, "pdfs")
+    files.save_files(_texts(spark, d).select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file"), made("doc_id", "text").alias("content")), path)
+    return files.read_folder(spark, path, "*.pdf").select(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long").alias("doc_id"), F.md5("text").alias("text_md5"), "error")
+
+
 def read_files(spark: SparkSession, d: str) -> DataFrame:
     """Every nation as a text file of a folder, written, and read with a pattern; a folder that is missing has no file."""
     path = new_folder(spark, "files")
@@ -427,11 +452,11 @@ def join_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    clean_light, clean_full, chunk_documents, chunk_stats, fallback_qa, qa_by_difficulty, qa_by_topic, topic_questions, hard_questions, preview_pairs, batch_metadata, upload_stats, weak_chunks, embedding_inputs, flashcards_new, upload_flow,
+    clean_light, clean_full, chunk_documents, chunk_stats, fallback_qa, qa_by_difficulty, qa_by_topic, topic_questions, hard_questions, preview_pairs, batch_metadata, upload_stats, weak_chunks, embedding_inputs, embed_chunks, flashcards_new, upload_flow,
     distinct_documents, bootstrap_documents, bootstrap_questions, unique_questions, review_state, due_cards, review_stream, instance_summary, instance_page, instance_lookup,
     instance_documents, instance_patch, instance_delete, instance_cascade, numbered_documents, validated_inputs, vector_topk, topic_accuracy, avg_accuracy, best_topic, weak_topics,
     test_score, accuracy_series, progress, batch_summary, extract_json, generate_with_fallback, ask_model, compare_models, export_markdown, export_csv_rows, export_json, display_formats, extract_text, join_pages,
-    parse_files, read_files, stored_uploads, stored_cards,
+    parse_files, read_pdfs, read_files, stored_uploads, stored_cards,
 )
 
 

@@ -7,9 +7,8 @@ its error, and the others go on.
 from __future__ import annotations
 
 import io
-import re
+import uuid
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.functions.formats import safe_file_name
+from studyloom.sources.pdf import pdf_pages
 
 #: Fixed value: what stands before each page.
 PAGE = "\n\n--- PAGE {} ---\n\n"
@@ -51,90 +51,6 @@ def docx_bytes(text: str) -> bytes:
     return out.getvalue()
 
 
-_OBJECT = re.compile(rb"(?<!\d)(\d{1,10})\s+\d{1,5}\s+obj\b(.*?)\bendobj", re.S)
-_REFERENCE = re.compile(rb"(?<!\d)(\d{1,10})\s+\d{1,5}\s+R\b")
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_SHOW = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[|\]|T\*|Td|TD|Tm|Tj|TJ|ET|'|\"", re.S)
-
-
-def _literal(token: bytes) -> str:
-    if token[:1] == b"<":
-        return bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode().ljust(2, "0")).decode("latin-1")
-    fixed = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-    return re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else fixed.get(m[1], m[1]), token[1:-1], flags=re.S).decode("latin-1")
-
-
-def _stream(body: bytes) -> bytes:
-    """An object's stream, decompressed."""
-    m = _STREAM.search(body)
-    if not m:
-        return b""
-    return zlib.decompressobj().decompress(m[1]) if b"FlateDecode" in body[: m.start()] else m[1]
-
-
-def _objects(data: bytes) -> dict[int, bytes]:
-    """Bodies by number: plain objects, the last of a number, and those packed in object streams."""
-    found = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
-    packed: dict[int, bytes] = {}
-    for body in found.values():
-        if re.search(rb"/Type\s*/ObjStm\b", body):
-            content, first = _stream(body), int(re.search(rb"/First\s+(\d+)", body)[1])
-            numbers = [int(x) for x in content[:first].split()]
-            starts = [*numbers[1::2], len(content) - first]
-            packed.update((n, content[first + a : first + b]) for n, a, b in zip(numbers[::2], starts, starts[1:], strict=False))
-    return packed | found
-
-
-def _references(body: bytes, name: bytes, objects: dict[int, bytes]) -> list[int]:
-    """The objects that an entry names, one or a list, also where the list is an object of its own."""
-    m = re.search(rb"/" + name + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-    refs = [int(x) for x in _REFERENCE.findall(m[1])] if m else []
-    if len(refs) == 1 and objects.get(refs[0], b"").lstrip().startswith(b"["):
-        refs = [int(x) for x in _REFERENCE.findall(objects[refs[0]])]
-    return refs
-
-
-def _page_bodies(objects: dict[int, bytes]) -> list[bytes]:
-    """Pages in the order of the page tree; in the order of the file where there is no tree."""
-    is_a = lambda body, kind: re.search(rb"/Type\s*/" + kind + rb"\b", body)
-    todo = [n for body in objects.values() if is_a(body, b"Catalog") for n in _references(body, b"Pages", objects)][-1:]
-    seen, out = set(), []
-    while todo:
-        n = todo.pop()
-        body = objects.get(n, b"")
-        if n in seen:
-            continue
-        seen.add(n)
-        if is_a(body, b"Page"):
-            out.append(body)
-        else:
-            todo += reversed(_references(body, b"Kids", objects))
-    return out or [body for body in objects.values() if is_a(body, b"Page")]
-
-
-def pdf_pages(data: bytes) -> list[str]:
-    """The text of each page of a PDF, in page order, objects plain or in object streams (Latin-1 fonts); an error for what can't be read."""
-    if not data.startswith(b"%PDF"):
-        raise ValueError("no PDF header")
-    if re.search(rb"/Encrypt\s+\d", data):
-        raise ValueError("encrypted")
-    objects = _objects(data)
-    bodies = _page_bodies(objects)
-    if not bodies:
-        raise ValueError("no page found")
-    pages = []
-    for body in bodies:
-        out = []
-        for ref in _references(body, b"Contents", objects):
-            for token in _SHOW.findall(_stream(objects.get(ref, b""))):
-                if token[:1] in (b"(", b"<"):
-                    out.append(_literal(token))
-                elif token in (b"T*", b"Td", b"TD", b"ET", b"'", b'"') and out and not out[-1].endswith("\n"):
-                    out.append("\n")
-        pages.append("".join(out))
-    return pages
-
-
 def pdf_text(data: bytes, pages: Callable[[bytes], list[str]] = pdf_pages) -> str:
     return "".join(PAGE.format(k) + text for k, text in enumerate(pages(data), 1))
 
@@ -183,8 +99,11 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.*", strict:
     return extracted(rows, suffix_of(F.col("path")), strict, pdf)
 
 
-def save_texts(texts: DataFrame, folder: str) -> None:
-    """Writes rows of file (a name) and value as one text file each, into a folder that executors share; tasks write, and a task that runs again writes the same."""
+def save_files(files: DataFrame, folder: str) -> None:
+    """Writes rows of file (a name) and content (bytes) as one file each, into a folder that executors share.
+
+    Tasks write; each file comes under its name only when it is whole, and a task that runs again writes the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -192,12 +111,19 @@ def save_texts(texts: DataFrame, folder: str) -> None:
         system, base = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
         system.create_dir(base, recursive=True)
         for batch in batches:
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with system.open_output_stream(f"{base}/{name}") as to:
-                    to.write((value or "").encode())
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = f"{base}/_{name}.{uuid.uuid4().hex}"  # readers leave such names out
+                with system.open_output_stream(part) as to:
+                    to.write(content or b"")
+                system.move(part, f"{base}/{name}")
             yield batch.select([0])
 
-    texts.select(safe_file_name(F.col("file")).alias("file"), "value").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+    files.select(safe_file_name(F.col("file")).alias("file"), "content").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+
+
+def save_texts(texts: DataFrame, folder: str) -> None:
+    """As :func:`save_files`, for rows of file and value, a text."""
+    save_files(texts.select("file", F.encode("value", "UTF-8").alias("content")), folder)
 
 
 def save_uploads(uploads: DataFrame, root: str) -> DataFrame:

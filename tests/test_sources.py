@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import zipfile
 import zlib
 
@@ -12,6 +13,7 @@ from studyloom.operators.chunking import chunk
 from studyloom.operators.qa import fallback_qa
 from studyloom.plans import flows
 from studyloom.sources import files, sinks, tables
+from studyloom.sources.pdf import pdf_bytes, to_unicode
 
 
 def docx(*paragraphs: str) -> bytes:
@@ -140,3 +142,49 @@ def test_pdf_object_streams():
 def test_pdf_without_pages_is_an_error(data):
     with pytest.raises(ValueError):
         files.pdf_pages(data)
+
+
+UNICODE = b"""/CIDInit /ProcSet findresource begin
+2 begincodespacerange <00> <7F> <8000> <FFFF> endcodespacerange
+1 beginbfchar <01> <00660069> endbfchar
+2 beginbfrange <20> <7E> <0020> <8001> <8003> [<D83DDE00> <4E00> <00E9>] endbfrange
+endcmap"""
+
+
+def test_to_unicode_tables():
+    """Codes of one and two bytes, ligatures, ranges, lists and characters beyond two bytes."""
+    sizes, found = to_unicode(UNICODE)
+    assert sizes == [(b"\x00", b"\x7f"), (b"\x80\x00", b"\xff\xff")]
+    assert found[b"\x01"] == "fi" and found[b"A"] == "A" and found[b"\x80\x01"] == "\U0001f600" and found[b"\x80\x03"] == "é"
+    stream = lambda n, data: b"%d 0 obj << /Length %d >> stream\n%s\nendstream endobj\n" % (n, len(data), data)
+    data = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [3 0 R] /Resources 9 0 R >> endobj 3 0 obj << /Type /Page /Contents [6 0 R 7 0 R] >> endobj 4 0 obj << /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >> endobj 9 0 obj << /Font << /A 4 0 R /B << /Subtype /Type1 /Encoding /WinAnsiEncoding >> >> >> endobj\n"
+    data += stream(5, UNICODE) + stream(6, b"BT /A 9 Tf <0141 8001 8002 9999> Tj 0 -9 Td [(A) -30 (B) -400 (C)] TJ ET") + stream(7, b"BT 1 0 0 1 9 9 Tm /B 9 Tf (\x80 \\050x\\051 (y)) Tj 1 0 0 1 20 9 Tm (z) Tj 1 0 0 1 9 0 Tm (w) Tj ET")
+    assert files.pdf_pages(data) == ["fiA\U0001f600\u4e00\ufffd\nAB C\n€ (x) (y)z\nw\n"]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_pdf_round_trip(wide):
+    rng = random.Random(wide)
+    for _ in range(30):
+        pages = ["".join(rng.choice("ab() \\\n<>[]%/é€" + "日\U0001f600" * wide) for _ in range(rng.randrange(60))) for _ in range(rng.randrange(1, 5))]
+        data = pdf_bytes(pages, wide)
+        assert files.pdf_pages(data) == [p + "\n" for p in pages]
+        broken = data.replace(b"startxref\n", b"startxref\n7")
+        assert files.pdf_pages(broken) == files.pdf_pages(data)  # found without the references
+
+
+def test_a_changed_pdf_shows_its_newest_objects():
+    data = pdf_bytes(["old", "kept"])
+    at, new = len(data) + 1, b"11 0 obj << >> stream\nBT /F1 9 Tf (new) Tj ET\nendstream endobj\n"
+    start = int(data.rsplit(b"startxref", 1)[1].split()[0])
+    data += b"\n" + new + b"xref\n11 1\n%010d 00000 n \ntrailer << /Size 14 /Root 1 0 R /Prev %d >>\nstartxref\n%d\n%%%%EOF" % (at, start, at + len(new))
+    assert files.pdf_pages(data) == ["new\n", "kept\n"]
+
+
+def test_broken_pdfs_are_errors_of_their_own(spark):
+    good = pdf_bytes(["fine"], True)
+    rng = random.Random(3)
+    rows = [(0, good)] + [(k, good[: rng.randrange(9, len(good))] if k % 2 else bytes(b if rng.random() > 0.02 else rng.randrange(256) for b in good)) for k in range(1, 60)]
+    got = files.extracted(spark.createDataFrame(rows, "id int, content binary"), F.lit("pdf")).collect()
+    assert len(got) == 60 and [r["text"] for r in got if r["id"] == 0] == ["\n\n--- PAGE 1 ---\n\nfine\n"]
+    assert all(r["error"] is None or r["text"] == "" for r in got)
