@@ -8,13 +8,14 @@ Matching starts at the rarest terms.  Each test window names its rarest term and
 terms are taken from the index once.  Every different pair of terms at a distance is intersected there, once however many
 windows name it, by moving one list by the offset of the other.  What is left are candidate alignments (item, document,
 shift), and only the documents that hold one are looked up again, for the window's other terms.  Proximity matches go the
-same way, with a reach in place of an offset.  Work follows the rare lists, not the frequent ones; postings of a frequent
+same way, with a reach in place of an offset: positions are dealt into blocks as long as the reach, and only neighbouring blocks
+meet, so that a long text with many postings of a term stays linear and can be spread.  Work follows the rare lists, not the frequent ones; postings of a frequent
 term or passage spread over the documents that hold it, and no list is gathered in one task.
 
 DataFrame functions only.  What is broadcast has rows of fixed size, hashes and offsets, and is broadcast only up to
 ``shared.BROADCAST_ROWS`` of them, which is checked; beyond, it is joined by shuffle.
 
-A document is told apart by a 64-bit hash of its id and text, so rows that repeat an id with another text keep their
+A document is told apart by 128 bits of hashes of its id and text, so rows that repeat an id with another text keep their
 own hits.  Defined cases: null and empty texts have no words; empty items match nothing; items shorter than a window
 are one window; equal items and repeated rows count once; a null item id reads ``null``; an empty table gives an empty
 result; other columns are ignored, or kept by ``filter_documents``.
@@ -25,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import ascii_lower, barrier, bounded, col, dropped, written
+from studyloom.llm.shared import ascii_lower, barrier, bounded, col, dropped, row_key, without, written
 
 #: Words in a window, and further words within which a window's terms count as near.
 WINDOW, SLOP = 10, 5
 #: Passes in which an index is built, each for a part of the terms.
-PASSES = 2
+PASSES = 3
+#: A document's key, and the same of another posting.
+KEY, OTHER = ["_k1", "_k2"], ["_o1", "_o2"]
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,25 +49,40 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> DataFrame:
-    """The written index: tid (the term's hash), key, pos, in files of a part of the terms each, sorted by term.
+    """The written index: tid (the term's hash), _k1, _k2, pos, in files of a part of the terms each, sorted by term.
 
     A task sorts the postings of one part of the terms at a time, which bounds its memory; the texts are read ``passes`` times.  Behind the last word of each document stands a posting whose tid, 0 to 2, counts the empty words at its ends."""
-    own = barrier(docs.select(key_of(id_col, text_col).alias("key"), col(text_col).alias("_text")), _w=words_of(F.col("_text"))).drop("_text")
+    own = barrier(docs.select(*row_key(col(id_col), col(text_col)), col(text_col).alias("_text")), _w=words_of(F.col("_text"))).drop("_text")
     empty = (F.col("_w")[0] == "").cast("int") + ((F.size("_w") > 1) & (F.element_at("_w", -1) == "")).cast("int")
-    posted = own.select("key", F.posexplode(F.concat("_w", F.array(F.concat(F.lit("\0"), empty.cast("string"))))).alias("pos", "term")).where(F.col("term") != "")
+    posted = own.select(*KEY, F.posexplode(F.concat("_w", F.array(F.concat(F.lit("\0"), empty.cast("string"))))).alias("pos", "term")).where(F.col("term") != "")
     tid = F.when(F.col("term") < "\x01", F.substring("term", 2, 1).cast("long")).otherwise(F.xxhash64("term"))
-    postings = posted.select(tid.alias("tid"), "key", "pos")
+    postings = posted.select(tid.alias("tid"), *KEY, "pos")
     first, *more = [postings.where(F.pmod("tid", F.lit(passes)) == k).sortWithinPartitions("tid") for k in range(passes)]
     return written(first, "index", *more)
 
 
-def key_of(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(col(id_col), col(text_col))
+def _other(postings: DataFrame) -> DataFrame:
+    """Postings as the other side of a join: _t, _o1, _o2, _p."""
+    return postings.select(F.col("tid").alias("_t"), *[F.col(k).alias(o) for k, o in zip(KEY, OTHER, strict=True)], F.col("pos").alias("_p"))
+
+
+def _same() -> Column:
+    return (F.col("_k1") == F.col("_o1")) & (F.col("_k2") == F.col("_o2"))
+
+
+def _around(pos: Column, size: Column | int) -> Column:
+    """The blocks of ``size`` positions that hold or neighbour a position."""
+    block = _block(pos, size)
+    return F.explode(F.array(block - 1, block, block + 1)).alias("_block")
+
+
+def _block(pos: Column, size: Column | int) -> Column:
+    return F.floor(pos / size).cast("int")
 
 
 def lengths(index: DataFrame) -> DataFrame:
-    """key and n_words of every document."""
-    return index.where(F.col("tid").isin(0, 1, 2)).groupBy("key").agg(F.max(F.col("pos") - F.col("tid")).cast("long").alias("n_words"))
+    """_k1, _k2 and n_words of every document."""
+    return index.where(F.col("tid").isin(0, 1, 2)).groupBy(*KEY).agg(F.max(F.col("pos") - F.col("tid")).cast("long").alias("n_words"))
 
 
 def tokens_of(items: DataFrame) -> DataFrame:
@@ -98,66 +116,67 @@ def look_up(index: DataFrame, tokens: DataFrame, window: int) -> tuple[DataFrame
     return terms, wins, lists
 
 
-def _paired(lists: DataFrame, pairs: DataFrame, met: Column) -> DataFrame:
-    """Postings of a pair's tid (columns of ``pairs``, key, pos) with one of its tid2, _p, in the same document that ``met`` accepts."""
-    pairs = written(pairs.distinct(), "term-pairs")
-    found = lists.join(bounded(pairs), "tid")
-    other = lists.select(F.col("tid").alias("_t"), F.col("key").alias("_k"), F.col("pos").alias("_p"))
-    return found.join(other, (F.col("key") == F.col("_k")) & (F.col("tid2") == F.col("_t")) & met, "left_semi")
+def _paired(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Postings of a pair's tid, with the pair's columns (a pair has tid and tid2)."""
+    return lists.join(bounded(written(pairs.distinct(), "term-pairs")), "tid")
 
 
 def alignments(wins: DataFrame, lists: DataFrame) -> DataFrame:
-    """A written table of ikey, key, shift (document minus item position) and wins (start, length), where the two rarest terms stand at the window's distance."""
+    """A written table of ikey, the key, shift (document minus item position) and wins (start, length), where the two rarest terms stand at the window's distance."""
     gap = (F.col("at2") - F.col("at")).alias("gap")
-    found = _paired(lists, wins.select("tid", "tid2", gap), F.col("_p") == F.col("pos") + F.col("gap"))
+    found = _paired(lists, wins.select("tid", "tid2", gap)).join(_other(lists), _same() & (F.col("tid2") == F.col("_t")) & (F.col("_p") == F.col("pos") + F.col("gap")), "left_semi")
     # one posting serves all windows of an item that share the pair at the same place
     seeds = wins.groupBy("ikey", "tid", "at", "tid2", "at2").agg(F.collect_list(F.struct("start", "length")).alias("wins")).withColumn("gap", gap)
-    aligned = found.join(seeds, ["tid", "tid2", "gap"]).select("ikey", "key", (F.col("pos") - F.col("at")).alias("shift"), "wins")
-    return written(aligned.groupBy("ikey", "key", "shift").agg(F.array_distinct(F.flatten(F.collect_list("wins"))).alias("wins")), "alignments")
+    aligned = found.join(seeds, ["tid", "tid2", "gap"]).select("ikey", *KEY, (F.col("pos") - F.col("at")).alias("shift"), "wins")
+    return written(aligned.groupBy("ikey", *KEY, "shift").agg(F.array_distinct(F.flatten(F.collect_list("wins"))).alias("wins")), "alignments")
 
 
 def near_seeds(wins: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
-    """A written table of ikey, start, length, tids, key and center (the rarest term's position) where the second-rarest stands within reach."""
-    found = _paired(lists, wins.select("tid", "tid2", "length"), F.abs(F.col("_p") - F.col("pos")) < F.col("length") + slop)
+    """A written table of ikey, start, length, tids, the key and center (the rarest term's position) where the second-rarest stands within reach."""
+    size = wins.agg(F.max("length")).first()[0] or 1
+    paired = _paired(lists, wins.select("tid", "tid2", "length")).withColumn("_own", _block(F.col("pos"), size + slop))
+    other = _other(lists).select("*", _around(F.col("_p"), size + slop))
+    found = paired.join(other, _same() & (F.col("tid2") == F.col("_t")) & (F.col("_own") == F.col("_block")) & (F.abs(F.col("_p") - F.col("pos")) < F.col("length") + slop), "left_semi")
     same = wins.select("ikey", "start", "tids", *[F.col(c).alias(f"_{c}") for c in ("tid", "tid2", "length")])
     joined = found.join(same, (F.col("tid") == F.col("_tid")) & (F.col("tid2") == F.col("_tid2")) & (F.col("length") == F.col("_length")))
-    return written(joined.select("ikey", "start", "length", "tids", "key", F.col("pos").alias("center")), "near-seeds")
+    return written(joined.select("ikey", "start", "length", "tids", *KEY, F.col("pos").alias("center")), "near-seeds")
 
 
 def postings_in(index: DataFrame, terms: DataFrame, documents: DataFrame) -> DataFrame:
-    """_t, _k, _p: a written table of the postings of ``terms`` in ``documents`` (key)."""
-    keys = written(documents.select("key").distinct(), "candidate-documents")
-    found = written(index.join(bounded(keys), "key", "left_semi").join(bounded(terms), "tid", "left_semi").select(F.col("tid").alias("_t"), F.col("key").alias("_k"), F.col("pos").alias("_p")), "candidate-postings")
+    """_t, _o1, _o2, _p: a written table of the postings of ``terms`` in ``documents`` (by key)."""
+    keys = written(documents.select(*KEY).distinct(), "candidate-documents")
+    found = written(_other(index.join(bounded(keys), KEY, "left_semi").join(bounded(terms), "tid", "left_semi")), "candidate-postings")
     dropped(keys)
     return found
 
 
 def phrase_matches(aligned: DataFrame, postings: DataFrame, tokens: DataFrame) -> DataFrame:
-    """A written table of ikey, key, shift and wins: the windows of an item all of whose terms stand in a document at one shift."""
+    """A written table of ikey, the key, shift and wins: the windows of an item all of whose terms stand in a document at one shift."""
     places = F.array_distinct(F.flatten(F.transform("wins", lambda w: F.sequence(w["start"], w["start"] + w["length"] - 1))))
-    asked = aligned.select("ikey", "key", "shift", F.explode(places).alias("at")).join(tokens.select("ikey", "at", "tid"), ["ikey", "at"])
-    met = asked.join(postings, (F.col("key") == F.col("_k")) & (F.col("shift") + F.col("at") == F.col("_p")) & (F.col("tid") == F.col("_t")), "left_semi")
-    there = met.groupBy("ikey", "key", "shift").agg(F.collect_set("at").alias("there"))  # an item's places at most
+    asked = aligned.select("ikey", *KEY, "shift", F.explode(places).alias("at")).join(tokens.select("ikey", "at", "tid"), ["ikey", "at"])
+    met = asked.join(postings, _same() & (F.col("shift") + F.col("at") == F.col("_p")) & (F.col("tid") == F.col("_t")), "left_semi")
+    there = met.groupBy("ikey", *KEY, "shift").agg(F.collect_set("at").alias("there"))  # an item's places at most
     ok = F.filter("wins", lambda w: F.size(F.array_intersect(F.sequence(w["start"], w["start"] + w["length"] - 1), "there")) == w["length"])
-    return written(aligned.join(there, ["ikey", "key", "shift"]).select("ikey", "key", "shift", ok.alias("wins")).where(F.size("wins") > 0), "phrase-matches")
+    return written(aligned.join(there, ["ikey", *KEY, "shift"]).select("ikey", *KEY, "shift", ok.alias("wins")).where(F.size("wins") > 0), "phrase-matches")
 
 
 def proximity_matches(seeds: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
-    """ikey, start, key: windows of which each term stands, in any order, within ``length + slop`` words of the document."""
+    """ikey, start and the key: windows of which each term stands, in any order, within ``length + slop`` words of the document."""
     reach = F.col("length") + slop
-    asked = seeds.select("*", F.explode("tids").alias("want"))
-    near = asked.join(postings, (F.col("key") == F.col("_k")) & (F.col("want") == F.col("_t")) & (F.abs(F.col("_p") - F.col("center")) < reach))
-    seen = near.groupBy("ikey", "start", "length", "key", "center").agg(F.size(F.any_value("tids")).alias("need"), F.collect_set(F.struct(F.col("_p").alias("pos"), F.col("_t").alias("tid"))).alias("seen"))  # two reaches at most
+    size = seeds.agg(F.max("length")).first()[0] or 1
+    asked = seeds.select("*", _around(F.col("center"), size + slop)).select("*", F.explode("tids").alias("want"))
+    near = asked.join(postings.withColumn("_own", _block(F.col("_p"), size + slop)), _same() & (F.col("want") == F.col("_t")) & (F.col("_own") == F.col("_block")) & (F.abs(F.col("_p") - F.col("center")) < reach))
+    seen = near.groupBy("ikey", "start", "length", *KEY, "center").agg(F.size(F.any_value("tids")).alias("need"), F.collect_set(F.struct(F.col("_p").alias("pos"), F.col("_t").alias("tid"))).alias("seen"))  # two reaches at most
     fits = F.exists("seen", lambda s: F.size(F.array_distinct(F.transform(F.filter("seen", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + F.col("length") + slop)), lambda x: x["tid"]))) == F.col("need"))
-    return seen.where(fits).select("ikey", "start", "key").distinct()
+    return seen.where(fits).select("ikey", "start", *KEY).distinct()
 
 
 def hits(items: DataFrame, found: DataFrame) -> DataFrame:
-    """key, n_hit, n_items, items (sorted ids, comma-joined) for documents with a phrase match."""
-    words = found.select("key", F.explode("wins").alias("w"), "shift").select("key", F.explode(F.sequence(F.col("shift") + F.col("w.start"), F.col("shift") + F.col("w.start") + F.col("w.length") - 1)).alias("pos"))
-    n_hit = words.distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
-    named = found.select("ikey", "key").distinct().join(items.select("ikey", "item"), "ikey").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("names"))
-    return n_hit.join(named, "key").select("key", "n_hit", F.size("names").cast("long").alias("n_items"), F.array_join("names", ",").alias("items"))
+    """The key, n_hit, n_items, items (sorted ids, comma-joined) for documents with a phrase match."""
+    words = found.select(*KEY, F.explode("wins").alias("w"), "shift").select(*KEY, F.explode(F.sequence(F.col("shift") + F.col("w.start"), F.col("shift") + F.col("w.start") + F.col("w.length") - 1)).alias("pos"))
+    n_hit = words.distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
+    named = found.select("ikey", *KEY).distinct().join(items.select("ikey", "item"), "ikey").groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("names"))
+    return n_hit.join(named, KEY).select(*KEY, "n_hit", F.size("names").cast("long").alias("n_items"), F.array_join("names", ",").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -170,16 +189,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     tokens, index = tokens_of(items), build_index(docs, id_col, text_col)
     terms, wins, lists = look_up(index, tokens, window)
     aligned, seeds = alignments(wins, lists), near_seeds(wins, lists, slop)
-    postings = postings_in(index, terms, aligned.select("key").union(seeds.select("key")))
+    postings = postings_in(index, terms, aligned.select(*KEY).union(seeds.select(*KEY)))
     found = phrase_matches(aligned, postings, tokens)
-    near = proximity_matches(seeds, postings, slop).select("ikey", "key").distinct().join(items.select("ikey", "item"), "ikey")
-    near = near.select("key", "item").distinct().groupBy(F.col("key").alias("_near")).agg(F.count("*").alias("n_near_items"))
-    known = lengths(index).join(hits(items, found), "key", "left").withColumnRenamed("key", "_key").join(near, F.col("_key") == F.col("_near"), "left")
+    near = proximity_matches(seeds, postings, slop).select("ikey", *KEY).distinct().join(items.select("ikey", "item"), "ikey")
+    near = near.select(*KEY, "item").distinct().groupBy(*KEY).agg(F.count("*").alias("n_near_items"))
+    known = lengths(index).join(hits(items, found), KEY, "left").join(near, KEY, "left")
     known = written(known, "document-hits")
     dropped(index, wins, lists, aligned, seeds, postings, found, terms, items)
-    own = docs.select(col(id_col).alias("doc_id"), key_of(id_col, text_col).alias("key"))
+    own = docs.select(col(id_col).alias("doc_id"), *row_key(col(id_col), col(text_col)))
     zero, names = F.lit(0).cast("long"), F.coalesce("items", F.lit(""))
-    return own.join(known, F.col("key") == F.col("_key"), "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(names, 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), names.alias("items"), F.coalesce("n_near_items", zero).alias("n_near_items"))
+    return own.join(known, KEY, "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(names, 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), names.alias("items"), F.coalesce("n_near_items", zero).alias("n_near_items"))
 
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -190,9 +209,9 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     aligned = alignments(wins, lists)
     postings = postings_in(index, terms, aligned)
     found = phrase_matches(aligned, postings, tokens)
-    bad = written(found.select(F.col("key").alias("_key")).distinct(), "contaminated")
+    bad = written(found.select(*KEY).distinct(), "contaminated")
     dropped(index, wins, lists, aligned, postings, found, terms, items)
-    return docs.join(bounded(bad), key_of(id_col, text_col) == bad["_key"], "left_anti")
+    return without(docs, bad, col(id_col), col(text_col))
 
 
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
