@@ -208,10 +208,21 @@ def placements(plan: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int,
     return rows
 
 
+def numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` as a written table with _row, fixed when it is written."""
+    return written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+
+
+def with_salt(pieces: DataFrame, salts: int) -> DataFrame:
+    """Adds _salt, the part of its length in which a piece is ranked."""
+    return pieces.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
+
+
 def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Adds sequence_id and offset to pieces with doc_id, piece, start and length (1 to ``max_tokens``).
 
-    ``pieces`` is read three times; give a written table.
+    ``pieces`` is a written table with _row, a number of its own for each row (:func:`numbered`): rows that are alike, or
+    share an id, are ranked in as many tasks as other ones.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
@@ -221,16 +232,16 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     schema = "length long, rank_from long, rank_to long, first_sequence long, uses long, base_offset long"
     places = spark.createDataFrame(rows, schema)
     salts = max(1, sum(histogram.values()) // RANK_ROWS)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = with_salt(pieces, salts)
     cells = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = cells.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start"))
+    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row"))
     ranked = salted.withColumn("_own", own.cast("long")).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
     # a few lengths for each of at most some thousand combinations, whatever the input
     placed = ranked.join(F.broadcast(places), "length").where((F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to")))
     nth = F.col("_rank") - F.col("rank_from")
     return placed.select(
-        *pieces.columns,
+        *[c for c in pieces.columns if c != "_row"],
         (F.col("first_sequence") + F.floor(nth / F.col("uses")).cast("long")).alias("sequence_id"),
         (F.col("base_offset") + F.pmod(nth, F.col("uses")) * F.col("length")).cast("long").alias("offset"),
     )
@@ -238,7 +249,7 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenizes, cuts what is longer than a sequence, and packs."""
-    return pack(written(tokenize_pieces(docs, tokenizer, max_tokens, end_id, id_col, text_col, with_ids), "pieces"), max_tokens)
+    return pack(numbered(tokenize_pieces(docs, tokenizer, max_tokens, end_id, id_col, text_col, with_ids)), max_tokens)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,13 +186,13 @@ def test_packing_edges(spark, tokenizer):
     held = packing.pack_documents(docs.where("doc_id = 4"), with_ids=True).first()
     assert held["ids"] == [*tokenizer.encode("one two", add_special_tokens=False).ids, 0]
     with pytest.raises(ValueError):
-        packing.pack(spark.createDataFrame([(1, 0, 0, 99)], "doc_id long, piece int, start long, length long"), 16)
+        packing.pack(packing.numbered(spark.createDataFrame([(1, 0, 0, 99)], "doc_id long, piece int, start long, length long")), 16)
 
 
 def test_ranks_over_many_salts(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 10)
     pieces = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") % 3 + 5).cast("long").alias("length"))
-    rows = packing.pack(pieces, 16).collect()
+    rows = packing.pack(packing.numbered(pieces), 16).collect()
     bins = {}
     for r in rows:
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -203,3 +203,14 @@ def test_ranks_over_many_salts(spark, monkeypatch):
             assert offset == at
             at += length
         assert at <= 16
+
+
+def test_equal_rows_are_ranked_in_many_tasks(spark, monkeypatch):
+    """A family of rows that are all alike, ids and all, spreads over the salts as other rows do."""
+    pieces = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(5).cast("long").alias("length"))
+    held = packing.numbered(pieces)
+    sizes = [r["n"] for r in packing.with_salt(held, 20).groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 20 and max(sizes) < 1500
+    monkeypatch.setattr(packing, "RANK_ROWS", 1000)
+    rows = packing.pack(held, 16).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 20_000 and len({r["sequence_id"] for r in rows}) == 6667
