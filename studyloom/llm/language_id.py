@@ -5,10 +5,10 @@ for each direction, two recurrent units of ``HIDDEN`` cells read the text from b
 states labels every byte.  A document's probabilities are the mean over all its bytes.  Texts are read in stretches of
 ``STRETCH`` bytes, each from a zero state, so that thousands of them run side by side at any text length.
 
-Training takes a bounded, documented sample: about ``SAMPLE_DOCS`` documents of each language, those whose id has a
-hash below the share that this number is of the language, and ``SAMPLE_WINDOWS`` stretches of each.  Beyond a hundred
-languages each has fewer, so that all together are about ``SAMPLE_TOTAL``; of more languages than that the most frequent
-are learned.  Everything else reads whole texts.
+Training takes a bounded, documented sample: about ``SAMPLE_DOCS`` documents of each language, those whose id and text
+have a hash below the share that this number is of the language, besides the one of the least hash, and
+``SAMPLE_WINDOWS`` stretches of each.  Beyond a hundred languages each has fewer, though one at least, so that all together
+are about ``SAMPLE_TOTAL``; of more languages than that the most frequent are learned.  Everything else reads whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; null ids hash as the empty string; rows
 without a language train nothing; with no row to learn from, all is ``und``; repeated rows each get their result; an
@@ -204,17 +204,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = sizes.count()
     if not known:
         return None
-    # ids whose hash lies below their language's share: no task gathers a language, whatever part of the rows it has
+    # rows whose hash lies below their language's share: no task gathers a language, whatever part of the rows it has
     share = sizes.select(F.col("lang").alias("_lang"), (F.lit(float(max(1, min(sample_docs, SAMPLE_TOTAL // known)))) / F.col("n")).alias("share"))
     some = own.join(F.broadcast(share), F.col("lang") == F.col("_lang"))  # SAMPLE_TOTAL rows at most
-    some = some.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     cuts = F.array(*[F.substring("text", F.pmod(F.xxhash64("key", F.lit(k)), F.greatest(F.char_length("text") - STRETCH, F.lit(1))).cast("int") + 1, F.lit(STRETCH)) for k in range(SAMPLE_WINDOWS)])
-    rows = some.groupBy("key", "lang").agg(F.min(cuts).alias("cuts")).collect()  # about sample_docs ids of each language
+    drawn = some.select("lang", "share", F.xxhash64("key", "text").alias("h"), cuts.alias("cuts"))
+    least = drawn.groupBy("lang").agg(F.min(F.struct("h", "cuts")).alias("r")).select("lang", "r.h", "r.cuts")
+    below = drawn.where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "h", "cuts")
+    rows = below.union(least).groupBy("h", "lang").agg(F.min("cuts").alias("cuts")).collect()  # about sample_docs rows of each language
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
     # each stretch also in capitals, so that capitals alone don't mislead
-    pairs = sorted((r["lang"], r["key"], x.encode()[:STRETCH]) for r in rows for c in r["cuts"] if c for x in (c, c.upper()))
+    pairs = sorted((r["lang"], r["h"], x.encode()[:STRETCH]) for r in rows for c in r["cuts"] if c for x in (c, c.upper()))
     model = ByteGRU(langs)
     model.fit([c for *_, c in pairs], [langs.index(x) for x, *_ in pairs], epochs)
     return model

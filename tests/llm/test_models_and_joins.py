@@ -301,12 +301,14 @@ def test_language_edges(spark):
 
 
 def test_many_languages(spark, monkeypatch):
-    """Beyond a hundred languages each has a smaller sample, and none is an error."""
+    """Beyond a hundred languages each has a smaller sample, and all are learned; so are languages whose rows share one id."""
     monkeypatch.setattr(language_id, "SAMPLE_TOTAL", 600)
     rows = [(k, f"wort{k % 250} text{k % 250} " * 5, f"l{k % 250:03}") for k in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(df, epochs=1)
-    assert 100 < len(model.langs) <= 250
+    assert len(model.langs) == 250
+    same = spark.createDataFrame([(None, f"{w}{k} " * 9, w) for w in ("eins", "two") for k in range(400)], "doc_id long, text string, lang string")
+    assert language_id.train(same, epochs=1, sample_docs=20).langs == ["eins", "two"]
     assert {r["lang_pred"] for r in language_id.predict(df, model).collect()} <= set(model.langs)
 
 
