@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.shared import col, freed, new_folder, written
+from studyloom.llm.shared import bounded, col, freed, new_folder, written
 
 #: Fixed values of the archive format.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -133,15 +133,20 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
     """page_id, url, html, payload_digest and refers_to, the id of the response that holds an equal payload.
 
-    Only digests cross the first shuffle, summed on the map side.  Digests that occur once are left out, and the rest
-    is joined in whichever way its measured size allows; a digest that a third of the pages share is split by the
-    skew join.
+    Only digests cross the first shuffle, summed on the map side.  Digests that occur once are left out and the rest is
+    written: up to ``shared.BROADCAST_ROWS`` of them go to the pages, whose html then stays where it was read.  Beyond,
+    pages of ``least`` bytes or more are exchanged, shorter ones and empty ones never; a digest that a third of the pages
+    share is split by the skew join.
     """
     html = F.coalesce(col(payload_col).cast("string"), F.lit(""))
     own = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"))
     best = own.where(F.octet_length("html") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("_best"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    best = best.withColumnRenamed("payload_digest", "_digest")
-    joined = own.join(best, (F.col("payload_digest") == F.col("_digest")) & (F.octet_length("html") >= least), "left")
+    best = bounded(repeated := written(best.withColumnRenamed("payload_digest", "_digest"), "repeated-digests"))
+    large, digest = F.octet_length("html") >= least, F.col("payload_digest") == F.col("_digest")
+    if best is repeated:  # too many to broadcast
+        joined = own.where(large).join(best, digest, "left").unionByName(own.where(~large), allowMissingColumns=True)
+    else:
+        joined = own.join(best, digest & large, "left")
     return joined.select("page_id", "url", "html", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("_best")), F.col("_best")).alias("refers_to"))
 
 

@@ -53,6 +53,24 @@ def test_round_trip(spark):
     assert round_trip(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_html_is_not_exchanged(spark, monkeypatch):
+    """Within the bound only digests cross the network; beyond, short pages stay out of the exchange.  Both give the same records."""
+    rows = [(k, "u", None if k % 3 == 0 else "<p>long</p>" * 200 if k % 3 == 1 else f"own {k}") for k in range(300)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = warc.with_revisits(pages(spark, rows))
+    assert "BroadcastHashJoin" in plan(made) and "Exchange hashpartitioning" not in plan(made)
+    got = sorted(map(tuple, made.collect()), key=str)
+    monkeypatch.setattr("studyloom.llm.shared.BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        far = warc.with_revisits(pages(spark, rows))
+        assert "Union" in plan(far) and sorted(map(tuple, far.collect()), key=str) == got
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {(r[0], r[4]) for r in expected(rows)}
+    assert {(r[0], r[4]) for r in got} == want
+
+
 def test_reading_is_dealt(spark):
     """Reading tasks follow the bytes stored, and the cores while bytes are few."""
     manifest = lambda n, size: spark.createDataFrame([(f"a{k}", 1, size, size) for k in range(n)], "path string, records long, raw_bytes long, stored_bytes long").coalesce(1)
