@@ -8,9 +8,10 @@ Matching starts at the rarest terms.  Each test window names its rarest term and
 terms are taken from the index once.  Every different pair of terms at a distance is intersected there, once however many
 windows name it, by moving one list by the offset of the other.  What is left are candidate alignments (item, document,
 shift), and only the documents that hold one are looked up again, for the window's other terms.  Proximity matches go the
-same way, with a reach in place of an offset: positions are dealt into blocks as long as the reach, and only neighbouring blocks
-meet, so that a long text with many postings of a term stays linear and can be spread.  Work follows the rare lists, not the frequent ones; postings of a frequent
-term or passage spread over the documents that hold it, and no list is gathered in one task.
+same way, with a reach in place of an offset: positions are dealt into blocks of some reaches, and only postings of one
+block, or near its ends, meet, so that a long text with many postings of a term stays linear and can be spread.  Work
+follows the rare lists, not the frequent ones; postings of a frequent term or passage spread over the documents that hold
+it, and no list is gathered in one task.
 
 DataFrame functions only.  What is broadcast has rows of fixed size, hashes and offsets, and is broadcast only up to
 ``shared.BROADCAST_ROWS`` of them, which is checked; beyond, it is joined by shuffle.
@@ -30,6 +31,8 @@ from studyloom.llm.shared import ascii_lower, barrier, bounded, col, dropped, ro
 
 #: Words in a window, and further words within which a window's terms count as near.
 WINDOW, SLOP = 10, 5
+#: Reaches in a block of positions: within one, postings meet.
+BLOCK = 8
 #: Passes in which an index is built, each for a part of the terms.
 PASSES = 3
 #: A document's key, and the same of another posting.
@@ -70,14 +73,13 @@ def _same() -> Column:
     return (F.col("_k1") == F.col("_o1")) & (F.col("_k2") == F.col("_o2"))
 
 
-def _around(pos: Column, size: Column | int) -> Column:
-    """The blocks of ``size`` positions that hold or neighbour a position."""
-    block = _block(pos, size)
-    return F.explode(F.array(block - 1, block, block + 1)).alias("_block")
+def _block(pos: Column, reach: int) -> Column:
+    return F.floor(pos / (BLOCK * reach)).cast("int")
 
 
-def _block(pos: Column, size: Column | int) -> Column:
-    return F.floor(pos / size).cast("int")
+def _within(pos: Column, reach: int) -> Column:
+    """The blocks that hold a position nearer than ``reach``: its own, and the next one if it is as near as that to an end."""
+    return F.explode(F.array_distinct(F.array(_block(pos - (reach - 1), reach), _block(pos + (reach - 1), reach)))).alias("_block")
 
 
 def lengths(index: DataFrame) -> DataFrame:
@@ -133,9 +135,9 @@ def alignments(wins: DataFrame, lists: DataFrame) -> DataFrame:
 
 def near_seeds(wins: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
     """A written table of ikey, start, length, tids, the key and center (the rarest term's position) where the second-rarest stands within reach."""
-    size = wins.agg(F.max("length")).first()[0] or 1
-    paired = _paired(lists, wins.select("tid", "tid2", "length")).withColumn("_own", _block(F.col("pos"), size + slop))
-    other = _other(lists).select("*", _around(F.col("_p"), size + slop))
+    reach = (wins.agg(F.max("length")).first()[0] or 1) + slop
+    paired = _paired(lists, wins.select("tid", "tid2", "length")).withColumn("_own", _block(F.col("pos"), reach))
+    other = _other(lists).select("*", _within(F.col("_p"), reach))
     found = paired.join(other, _same() & (F.col("tid2") == F.col("_t")) & (F.col("_own") == F.col("_block")) & (F.abs(F.col("_p") - F.col("pos")) < F.col("length") + slop), "left_semi")
     same = wins.select("ikey", "start", "tids", *[F.col(c).alias(f"_{c}") for c in ("tid", "tid2", "length")])
     joined = found.join(same, (F.col("tid") == F.col("_tid")) & (F.col("tid2") == F.col("_tid2")) & (F.col("length") == F.col("_length")))
@@ -163,9 +165,9 @@ def phrase_matches(aligned: DataFrame, postings: DataFrame, tokens: DataFrame) -
 def proximity_matches(seeds: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
     """ikey, start and the key: windows of which each term stands, in any order, within ``length + slop`` words of the document."""
     reach = F.col("length") + slop
-    size = seeds.agg(F.max("length")).first()[0] or 1
-    asked = seeds.select("*", _around(F.col("center"), size + slop)).select("*", F.explode("tids").alias("want"))
-    near = asked.join(postings.withColumn("_own", _block(F.col("_p"), size + slop)), _same() & (F.col("want") == F.col("_t")) & (F.col("_own") == F.col("_block")) & (F.abs(F.col("_p") - F.col("center")) < reach))
+    widest = (seeds.agg(F.max("length")).first()[0] or 1) + slop
+    asked = seeds.select("*", _within(F.col("center"), widest)).select("*", F.explode("tids").alias("want"))
+    near = asked.join(postings.withColumn("_own", _block(F.col("_p"), widest)), _same() & (F.col("want") == F.col("_t")) & (F.col("_own") == F.col("_block")) & (F.abs(F.col("_p") - F.col("center")) < reach))
     seen = near.groupBy("ikey", "start", "length", *KEY, "center").agg(F.size(F.any_value("tids")).alias("need"), F.collect_set(F.struct(F.col("_p").alias("pos"), F.col("_t").alias("tid"))).alias("seen"))  # two reaches at most
     fits = F.exists("seen", lambda s: F.size(F.array_distinct(F.transform(F.filter("seen", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + F.col("length") + slop)), lambda x: x["tid"]))) == F.col("need"))
     return seen.where(fits).select("ikey", "start", *KEY).distinct()
