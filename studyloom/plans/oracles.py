@@ -62,6 +62,9 @@ _ANSWERS = "answers AS (SELECT l.doc_id, d.source AS topic, d.lang, l.quality =
 _TOPICS = _ANSWERS + ", topics AS (SELECT topic, count(*) AS total_questions, 100 * avg(correct::INT::DOUBLE) AS accuracy FROM answers GROUP BY topic)"
 _STATE_COLUMNS = "SELECT card_id, repetitions, interval, ease_factor, last_reviewed, next_review FROM state"
 
+_NEAREST = """WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS x FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, round(x, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY x, vec_id)::INT AS rank FROM d QUALIFY rank <= 5"""
+
 SQL: dict[str, str] = {
     "clean_light": f"SELECT doc_id, {_LIGHT} AS text FROM documents",
     "clean_full": f"SELECT doc_id, {_FULL} AS text FROM documents",
@@ -91,6 +94,12 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "unique_questions": f"WITH {_PAIRS} SELECT source AS instance_id, count(*) AS questions, count(DISTINCT md5(question)) AS unique_questions FROM pairs GROUP BY source",
     "review_state": f"WITH {_STATE} {_STATE_COLUMNS}",
     "review_stream": f"WITH {_STATE} {_STATE_COLUMNS}",
+    "late_review_stream": f"WITH {_STATE} {_STATE_COLUMNS}",
+    "due_stream": f"""WITH {_STATE},
+each AS (SELECT card_id, ts, lead(ts) OVER (PARTITION BY card_id ORDER BY ts, event_id) AS after, count(*) FILTER (WHERE ok) OVER (PARTITION BY card_id, g ORDER BY ts, event_id) AS k FROM isl WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM ev)),
+due AS (SELECT card_id, ts AS last_reviewed, ts + to_days(st.i::INT) AS next_review, after FROM each JOIN steps st ON st.k = each.k)
+SELECT card_id, last_reviewed, next_review FROM due WHERE next_review <= coalesce(after, (SELECT date_trunc('millisecond', max(ts)) FROM ev))""",
+    "card_stream": f"WITH {_NEW} SELECT source AS instance_id, number AS id, question, answer, 2.5::DOUBLE AS ease_factor, 1::BIGINT AS interval, 0::INT AS repetitions FROM fresh",
     "due_cards": f"WITH {_STATE} SELECT card_id, next_review FROM state WHERE next_review <= {_AS_OF}",
     "instance_summary": f"""WITH {_STATE}, names AS (SELECT DISTINCT source AS id FROM documents), n AS (SELECT source AS id, count(*) AS c FROM documents GROUP BY source),
 due AS (SELECT 'src' || (card_id % 20) AS id, count(*) AS c FROM state WHERE next_review <= {_AS_OF} GROUP BY 1)
@@ -106,8 +115,8 @@ a AS (SELECT 'instances' AS kept_in, c_custkey AS id, c_custkey AS instance_id F
 SELECT * FROM a WHERE instance_id NOT IN (SELECT g FROM gone)""",
     "numbered_documents": "SELECT source, doc_id, row_number() OVER (ORDER BY source, doc_id) AS id FROM documents",
     "validated_inputs": "SELECT p_partkey, p_name AS name, '#' || substring(md5(p_brand), 1, 6 + (p_size % 2)::INT) AS color, p_size % 2 = 0 AS valid FROM part",
-    "vector_topk": """WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS x FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
-SELECT query_id, vec_id, round(x, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY x, vec_id)::INT AS rank FROM d QUALIFY rank <= 5""",
+    "vector_topk": _NEAREST,
+    "vector_topk_pivots": _NEAREST,
     "topic_accuracy": f"WITH {_TOPICS} SELECT topic, total_questions, round(accuracy, 6) AS accuracy FROM topics",
     "avg_accuracy": f"WITH {_TOPICS}, weak AS (SELECT topic FROM answers WHERE toxic = 1 GROUP BY topic HAVING count(*) >= 2) SELECT floor(avg(accuracy) + 0.5)::BIGINT AS mean_accuracy, sum(total_questions)::BIGINT AS total_questions, count(*) AS topics, (SELECT count(*) FROM weak) AS weak_areas FROM topics",
     "best_topic": f"WITH {_TOPICS} SELECT topic AS best_topic, round(accuracy, 6) AS accuracy FROM topics ORDER BY round(accuracy, 6) DESC, topic LIMIT 1",
@@ -135,5 +144,11 @@ p AS (SELECT doc_id, unnest(list_transform(range(0, len(w), {PAGE_LINES}), lambd
 SELECT doc_id, md5(string_agg(page, '' ORDER BY k)) AS text_md5, NULL::VARCHAR AS error FROM p GROUP BY doc_id""",
     "read_files": "SELECT regexp_replace(n_name, '[^A-Za-z0-9._-]', '_', 'g') || '.txt' AS file, strlen(n_name || chr(10) || n_regionkey)::BIGINT AS n_bytes, n_name || chr(10) || n_regionkey AS text, NULL::VARCHAR AS error FROM nation",
     "stored_uploads": "SELECT source AS instance_id, lang || '_' || (doc_id % 7) || '.txt' AS file_name, arg_max(md5(text), doc_id) AS content_md5 FROM documents GROUP BY ALL",
+    "stored_changes": """WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), gone AS (SELECT c_custkey AS g FROM customer WHERE c_acctbal < 0),
+a AS (SELECT 'instances' AS kept_in, c_custkey AS id, c_custkey AS instance_id, concat_ws('/', CASE WHEN n > 10 THEN 'customer ' || c_custkey ELSE c_name END, CASE WHEN n > 15 THEN NULL ELSE c_mktsegment END) AS label FROM customer LEFT JOIN n ON o_custkey = c_custkey
+  UNION ALL SELECT 'documents', o_orderkey, o_custkey, 'o_orderkey ' || o_orderkey FROM orders WHERE o_orderstatus <> 'F'
+  UNION ALL SELECT 'qa_pairs', 10 * l_orderkey + l_linenumber, o_custkey, 'l_partkey ' || l_partkey || '/l_suppkey ' || l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'flashcards', event_id, user_id, event_type FROM events)
+SELECT * FROM a WHERE instance_id NOT IN (SELECT g FROM gone)""",
+    "order_pages": "SELECT o_orderkey, o_custkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS page, (row_number() OVER (ORDER BY o_orderkey) - 1) % 100 AS place FROM orders",
     "stored_cards": "SELECT 'instances' AS kept_in, c_custkey AS id, c_name AS name, c_custkey AS instance_id FROM customer UNION ALL SELECT 'documents', o_orderkey, 'u/' || (o_custkey % 20), o_custkey % 20 FROM orders",
 }

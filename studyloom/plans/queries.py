@@ -15,16 +15,19 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from studyloom.functions import formats, text
-from studyloom.operators import analytics, cards, crud, qa, srs, vectors
+from studyloom.operators import analytics, cards, crud, paging, qa, srs, vector_index, vectors
 from studyloom.operators.chunking import chunk, first_chunks
 from studyloom.plans import flows
 from studyloom.plans.oracles import PAGE_LINES
 from studyloom.sources import files, sinks, tables
 from studyloom.sources.pdf import pdf_bytes
 from studyloom.sources.storage import new_folder, spread, written
+from studyloom.streaming import cards as card_streams
 from studyloom.streaming import reviews
+from studyloom.streaming.sinks import newest, run_available
 
 #: The moment at which cards are due.
 AS_OF = datetime.datetime(2024, 1, 31)
@@ -190,22 +193,50 @@ def due_cards(spark: SparkSession, d: str) -> DataFrame:
     return cards.due(review_state(spark, d), AS_OF).select("card_id", "next_review")
 
 
+def _event_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet") -> DataFrame:
+    source = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    return source.select(F.col("user_id").alias("card_id"), "ts", "event_id", F.col("event_type").isin("purchase", "click").alias("correct"))
+
+
 def review_stream(spark: SparkSession, d: str) -> DataFrame:
     """The stream run over the events at hand; the last update of each card is its state."""
-    reviews.configure(spark)
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(d)
-    own = source.select(F.col("user_id").alias("card_id"), "ts", "event_id", F.col("event_type").isin("purchase", "click").alias("correct"))
     out, mark = new_folder(spark, "review-stream"), new_folder(spark, "review-stream-checkpoint")
-
-    def keep(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    query = reviews.review_stream(own).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True).start()
-    query.awaitTermination()
-    done = spark.read.parquet(out)
-    columns = ["repetitions", "interval", "ease_factor", "last_reviewed", "next_review"]
-    return done.groupBy("card_id").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("card_id", *[f"s.{c}" for c in columns])
+    with reviews.state_store(spark):
+        run_available(reviews.review_stream(_event_stream(spark, d, table(spark, d, "events").schema, "*events.parquet")), out, mark)
+    return newest(spark, out, ["card_id"])
+
+
+def late_review_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events in batches that come in reverse order of time, each a run of its own on one checkpoint, to streams that may wait that long."""
+    source, out, mark = (new_folder(spark, f"late-reviews{x}") for x in ("", "-out", "-checkpoint"))
+    events = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    at = events.agg(F.percentile_approx(F.unix_seconds(F.col("ts").cast("timestamp")), [1 / 3, 2 / 3])).first()[0]
+    third = sum(((F.unix_seconds(F.col("ts").cast("timestamp")) >= x).cast("int") for x in at), F.lit(0))
+    with reviews.state_store(spark):
+        for k in (2, 0, 1):
+            events.where(third == k).write.mode("append").parquet(source)
+            run_available(reviews.ordered_review_stream(_event_stream(spark, source, events.schema), "3650 days"), out, mark)
+    return newest(spark, out, ["card_id"])
+
+
+def due_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Every moment at which a card fell due before the events at hand ended."""
+    out, mark = new_folder(spark, "due-stream"), new_folder(spark, "due-stream-checkpoint")
+    with reviews.state_store(spark):
+        run_available(reviews.due_stream(_event_stream(spark, d, table(spark, d, "events").schema, "*events.parquet"), "0 seconds"), out, mark, "append")
+    return spark.read.schema(reviews.DUE).parquet(out).drop("batch")
+
+
+def card_stream(spark: SparkSession, d: str) -> DataFrame:
+    """As flashcards_new, from pairs that come in four batches, in order; documents of good quality have their cards."""
+    source, out, mark = (new_folder(spark, f"card-stream{x}") for x in ("", "-out", "-checkpoint"))
+    pairs = written(_numbered_pairs(spark, d).select("doc_id", F.col("number").cast("long").alias("id"), F.col("source").alias("instance_id"), "question", "answer"), "numbered-pairs")
+    have, n = pairs.join(_good(spark, d), "doc_id", "left_semi"), pairs.count()
+    with reviews.state_store(spark):
+        for k in range(4):
+            pairs.where(F.floor((F.col("id") - 1) * 4 / F.lit(max(n, 1))) == k).write.mode("append").parquet(source)
+            run_available(card_streams.card_stream(spark.readStream.schema(pairs.schema).parquet(source), have), out, mark)
+    return newest(spark, out, ["instance_id", "question_md5"]).drop("question_md5")
 
 
 def instance_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -267,6 +298,13 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.top_k(store, asked).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+def vector_topk_pivots(spark: SparkSession, d: str) -> DataFrame:
+    """As vector_topk, by pivots and bounds."""
+    store = table(spark, d, "embeddings")
+    asked = store.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector_index.pivot_top_k(store, asked).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 def topic_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return _topics(spark, d).withColumn("accuracy", F.round("accuracy", 6))
 
@@ -436,6 +474,48 @@ def stored_cards(spark: SparkSession, d: str) -> DataFrame:
         spark.sql(f"DROP DATABASE {name} CASCADE")
 
 
+def _shop(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The four tables: customers, their orders, the orders' lines as pairs, and events as cards."""
+    when, none = F.lit(AS_OF).cast("timestamp_ntz"), F.lit(None)
+    text = lambda c: F.concat(F.lit(f"{c} "), F.col(c).cast("string"))
+    orders = table(spark, d, "orders")
+    lines = table(spark, d, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("instance_id")), "l_orderkey")
+    return {
+        "instances": table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("description"), F.lit("#ffffff").alias("color"), when.alias("created_at"), when.alias("updated_at"), none.cast("double").alias("last_score")),
+        "documents": orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("instance_id"), F.lit("x.txt").alias("file_name"), text("o_orderkey").alias("file_path"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at")),
+        "qa_pairs": lines.select((10 * F.col("l_orderkey") + F.col("l_linenumber")).alias("id"), "instance_id", text("l_partkey").alias("question"), text("l_suppkey").alias("answer"), F.lit("easy").alias("difficulty"), none.cast("string").alias("topic"), none.cast("string").alias("source_chunk"), none.cast("timestamp").alias("created_at")),
+        "flashcards": table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("instance_id"), F.col("event_type").alias("question"), F.col("props").alias("answer"), F.lit(2.5).alias("ease_factor"), F.lit(1).cast("long").alias("interval"), F.lit(0).alias("repetitions"), when.alias("next_review"), none.cast("timestamp_ntz").alias("last_reviewed"), when.alias("created_at")),
+    }
+
+
+def stored_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The four tables filled, each insert tried twice; instances patched, some deleted with all that is theirs, some documents deleted; read back."""
+    name = f"studyloom_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{new_folder(spark, 'database')}'")
+    try:
+        tables.create_tables(spark, name)
+        for what, rows in _shop(spark, d).items():
+            for _ in range(2):
+                tables.append_once(rows, what, f"first {what}", name)
+        spent = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+        patches = spent.where("n > 10").select("id", F.concat(F.lit("customer "), F.col("id").cast("string")).alias("name"), F.lit(True).alias("set_name"), F.lit(None).cast("string").alias("description"), (F.col("n") > 15).alias("set_description"))
+        tables.patch(spark, "instances", patches, {"name": "set_name", "description": "set_description"}, name)
+        tables.delete_instances(spark, table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id")), name)
+        tables.delete(spark, "documents", table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")), name)
+        label = {"instances": F.concat_ws("/", "name", "description"), "documents": F.col("file_path"), "qa_pairs": F.concat_ws("/", "question", "answer"), "flashcards": F.col("question")}
+        left = [tables.read(spark, what, name).select(F.lit(what).alias("kept_in"), "id", F.col("id" if what == "instances" else "instance_id").alias("instance_id"), label[what].alias("label")) for what in tables.SCHEMAS]
+        return written(functools.reduce(DataFrame.unionByName, left), "stored-changes")
+    finally:
+        tables.drop_tables(spark, name)
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def order_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page of the orders, from an index of key ranges: each row's page and its place there."""
+    index = paging.page_index(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return paging.positions(index).select("o_orderkey", "o_custkey", F.floor(F.col("position") / 100).cast("long").alias("page"), F.pmod("position", F.lit(100)).cast("long").alias("place"))
+
+
 def display_formats(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents")
     return own.select("doc_id", formats.size_kb(F.octet_length("text")).alias("size"), formats.minutes_seconds(F.pmod("n_chars", F.lit(6000))).alias("timer"), formats.difficulty_label(F.col("lang")).alias("label"), formats.safe_file_name(F.concat(F.lit("a/b/"), F.col("source"), F.lit(" #1.txt"))).alias("file_name"))
@@ -453,10 +533,10 @@ def join_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     clean_light, clean_full, chunk_documents, chunk_stats, fallback_qa, qa_by_difficulty, qa_by_topic, topic_questions, hard_questions, preview_pairs, batch_metadata, upload_stats, weak_chunks, embedding_inputs, embed_chunks, flashcards_new, upload_flow,
-    distinct_documents, bootstrap_documents, bootstrap_questions, unique_questions, review_state, due_cards, review_stream, instance_summary, instance_page, instance_lookup,
-    instance_documents, instance_patch, instance_delete, instance_cascade, numbered_documents, validated_inputs, vector_topk, topic_accuracy, avg_accuracy, best_topic, weak_topics,
+    distinct_documents, bootstrap_documents, bootstrap_questions, unique_questions, review_state, due_cards, review_stream, late_review_stream, due_stream, card_stream, instance_summary, instance_page, instance_lookup,
+    instance_documents, instance_patch, instance_delete, instance_cascade, numbered_documents, validated_inputs, vector_topk, vector_topk_pivots, topic_accuracy, avg_accuracy, best_topic, weak_topics,
     test_score, accuracy_series, progress, batch_summary, extract_json, generate_with_fallback, ask_model, compare_models, export_markdown, export_csv_rows, export_json, display_formats, extract_text, join_pages,
-    parse_files, read_pdfs, read_files, stored_uploads, stored_cards,
+    parse_files, read_pdfs, read_files, stored_uploads, stored_cards, stored_changes, order_pages,
 )
 
 

@@ -12,9 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from studyloom.operators import srs
+from studyloom.operators import cards, srs
 from studyloom.plans import oracles, queries
+from studyloom.streaming import cards as card_streams
 from studyloom.streaming import reviews
+from studyloom.streaming.sinks import newest, run_available
 
 
 def norm(v):
@@ -89,3 +91,68 @@ def test_stream_holds_answers_since_the_last_wrong_one():
         at = (~whole["correct"]).to_numpy().nonzero()[0]
         want = whole.iloc[at[-1] if len(at) else 0 :].iloc[: srs.STREAK + 2]
         assert reviews.since_reset(iter(frames)).to_numpy().tolist() == want.to_numpy().tolist()
+
+
+STATE = ["repetitions", "interval", "ease_factor", "last_reviewed", "next_review"]
+REVIEWS = "card_id long, ts timestamp_ntz, event_id long, correct boolean"
+
+
+def reviews_of(rng, n, days=60):
+    t0 = dt.datetime(2024, 1, 1)
+    return [(rng.randrange(6), t0 + dt.timedelta(minutes=rng.randrange(days * 1440), microseconds=rng.randrange(10) * 1000), k, rng.random() < 0.8) for k in range(n)]
+
+
+def streamed(spark, tmp_path, batches, make, mode):
+    """The rows of a stream whose batches come in separate runs on one checkpoint."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    with reviews.state_store(spark):
+        for rows in batches:
+            spark.createDataFrame(rows, REVIEWS).coalesce(1).write.mode("append").parquet(source)
+            run_available(make(spark.readStream.schema(REVIEWS).parquet(source)), out, str(tmp_path / "mark"), mode)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_late_reviews_in_any_order(spark, tmp_path, seed):
+    """Batches shuffled over time end in the batch fold's rows, as do those that come within the lateness while the watermark moves."""
+    rng = random.Random(seed)
+    events = reviews_of(rng, 150)
+    want = sorted(map(tuple, srs.review_state(spark.createDataFrame(events, REVIEWS)).collect()))
+    shuffled = rng.sample(events, len(events))
+    out = streamed(spark, tmp_path / "a", [shuffled[k::4] for k in range(4)], lambda s: reviews.ordered_review_stream(s, "100 days"), "update")
+    assert sorted(map(tuple, newest(spark, out, ["card_id"]).select("card_id", *STATE).collect())) == want
+    nearly = sorted(events, key=lambda e: e[1] + dt.timedelta(days=rng.uniform(0, 3)))  # up to three days late
+    out = streamed(spark, tmp_path / "b", [nearly[k : k + 40] for k in range(0, 150, 40)], lambda s: reviews.ordered_review_stream(s, "3 days"), "update")
+    assert sorted(map(tuple, newest(spark, out, ["card_id"]).select("card_id", *STATE).collect())) == want
+
+
+def test_due_cards_of_every_day_replayed(spark, tmp_path):
+    """After any day, the cards told due and not reviewed since are those that are due by the batch query."""
+    rng = random.Random(7)
+    events = sorted(reviews_of(rng, 60, 20), key=lambda e: e[1])
+    shuffled = [rng.sample(events[k : k + 20], 20) for k in range(0, 60, 20)]
+    out = streamed(spark, tmp_path, shuffled, lambda s: reviews.due_stream(s, "0 seconds"), "append")
+    told = [tuple(r) for r in spark.read.schema(reviews.DUE).parquet(out).drop("batch").collect()]
+    assert len(told) == len(set(told))
+    whole = spark.createDataFrame(events, REVIEWS)
+    for day in (1, 3, 8, 13, 19):
+        as_of = min(dt.datetime(2024, 1, 1) + dt.timedelta(days=day), events[-1][1])
+        state = srs.review_state(whole.where(F.col("ts") <= F.lit(as_of)))
+        want = {tuple(r) for r in cards.due(state, as_of).select("card_id", "next_review").collect()}
+        assert {(c, due) for c, at, due in told if due <= as_of and not any(e[0] == c and at < e[1] <= as_of for e in events)} == want
+
+
+def test_cards_in_any_cut(spark, tmp_path):
+    """Pairs in one batch or many make the cards of the batch query; the first of equal questions wins."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, None]), k, f"q{rng.randrange(30)}", f"a{k}") for k in range(200)]
+    schema = "instance_id long, id long, question string, answer string"
+    have = spark.createDataFrame([(1, "q3"), (2, "q4"), (None, "q5")], "instance_id long, question string")
+    want = sorted(map(str, cards.new_cards(spark.createDataFrame([r for r in rows if r[0] is not None], schema), have).collect()))
+    for n in (1, 5):
+        source, out = str(tmp_path / f"in{n}"), str(tmp_path / f"out{n}")
+        for k in range(n):
+            spark.createDataFrame(rows[k * 200 // n : (k + 1) * 200 // n], schema).write.mode("append").parquet(source)
+            run_available(card_streams.card_stream(spark.readStream.schema(schema).parquet(source), have), out, str(tmp_path / f"mark{n}"))
+        got = newest(spark, out, ["instance_id", "question_md5"]).where("instance_id is not null").drop("question_md5")
+        assert sorted(map(str, got.select("instance_id", "id", "question", "answer", "ease_factor", "interval", "repetitions").collect())) == want
