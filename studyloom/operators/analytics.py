@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,17 @@ def topic_questions(qa_pairs: DataFrame) -> DataFrame:
     return qa_pairs.groupBy("topic", "question").agg(F.count("*").alias("n"))
 
 
+#: The totals that :func:`question_totals` gives, from the finest.
+SETS = (("instance_id", "topic", "difficulty"), ("instance_id", "difficulty"), ("instance_id",), ("difficulty",), ())
+
+
+def question_totals(qa_pairs: DataFrame, sets: Sequence[Sequence[str]] = SETS) -> DataFrame:
+    """n for each group of each of ``sets`` in one pass; level is the grouping id, which tells a total from a null key."""
+    keys = list(dict.fromkeys(c for own in sets for c in own))
+    out = qa_pairs.groupingSets([[F.col(c) for c in own] for own in sets], *[F.col(c) for c in keys])
+    return out.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"))
+
+
 def topic_accuracy(answers: DataFrame, topic: str = "topic", correct: str = "correct") -> DataFrame:
     """topic, total_questions and accuracy in percent."""
     return answers.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("total_questions"), (100 * F.avg(F.col(correct).cast("double"))).alias("accuracy"))

@@ -40,13 +40,42 @@ def fallback_qa(chunks: DataFrame, text_col: str = "text", joined: bool = False)
     return held.where(F.size("_a") > 0).select(*others, "source_chunk", F.inline(_items("_a", "_t")))
 
 
+def bracketed(output: Column) -> Column:
+    """What stands between the first ``[`` and the last ``]``, both included; null where there is none."""
+    return F.nullif(F.regexp_extract(output, r"(?s)\[.*\]", 0), F.lit(""))
+
+
 def parse_items(output: Column) -> Column:
     """The items between the first ``[`` and the last ``]``, null where there are none or they can't be read."""
-    first, behind = F.instr(output, "["), F.char_length(F.substring_index(output, "]", -1))
-    found = F.from_json(F.when(first > 0, F.substring(output, first, F.char_length(output) - behind - first + 1)), f"array<{ITEM}>")
+    found = F.from_json(bracketed(output), f"array<{ITEM}>")
     return F.when(F.size(found) > 0, found)
 
 
+def template_place() -> Column:
+    """The place of a generated question among its chunk's, by difficulty."""
+    levels = F.array(*[F.lit(level) for level, *_ in TEMPLATES])
+    return F.array_position(levels, F.col("difficulty")).cast("int") - 1
+
+
+#: What an output can be: it has a list of items, a list of something else or none at all, no JSON, or no brackets.
+SHAPES = ("items", "wrong shape", "malformed", "absent")
+
+
+def with_shape(responses: DataFrame, output_col: str = "output") -> DataFrame:
+    """Adds shape and n_items: an output read once as a variant, so that what is no JSON is told apart from JSON of another form.
+
+    Items are objects of which every one has question, answer and difficulty as texts; an empty list is of a wrong shape.
+    """
+    parsed = responses.select("*", F.inline(F.array(F.struct(bracketed(F.col(output_col)).alias("_b"))))).select("*", F.explode(F.array(F.try_parse_json("_b"))).alias("_v"))
+    items = F.try_variant_get("_v", "$", "array<variant>")
+    field = lambda i, name: F.try_variant_get(i, f"$.{name}", "variant")
+    text = lambda i, name: F.coalesce(F.schema_of_variant(field(i, name)) == "STRING", F.lit(False))
+    good = (F.size(items) > 0) & F.forall(items, lambda i: text(i, "question") & text(i, "answer") & text(i, "difficulty"))
+    shape = F.when(F.col("_b").isNull(), SHAPES[3]).when(F.col("_v").isNull(), SHAPES[2]).when(F.coalesce(good, F.lit(False)), SHAPES[0]).otherwise(SHAPES[1])
+    own = parsed.select(*responses.columns, shape.alias("shape"), F.size(items).alias("_n"))
+    return own.select(*responses.columns, "shape", F.when(F.col("shape") == SHAPES[0], F.col("_n")).otherwise(0).alias("n_items"))
+
+
 def accepted(item: Column) -> Column:
     """An item that a table can hold: an object with question, answer and difficulty."""
     return item.isNotNull() & item["question"].isNotNull() & item["answer"].isNotNull() & item["difficulty"].isNotNull()
@@ -65,8 +94,7 @@ def from_responses(responses: DataFrame, text_col: str = "text", output_col: str
     if not fallback:
         return good
     rest = fallback_qa(parsed.where(F.col("_items").isNull()).select(*others, text_col), text_col)
-    levels = F.array(*[F.lit(level) for level, *_ in TEMPLATES])
-    return good.unionByName(rest.withColumns({"place": F.array_position(levels, F.col("difficulty")).cast("int") - 1, "rejected": F.lit(False)}))
+    return good.unionByName(rest.withColumns({"place": template_place(), "rejected": F.lit(False)}))
 
 
 def ask(chunks: DataFrame, client: Callable[[str], str | None], text_col: str = "text", output_col: str = "output") -> DataFrame:
@@ -86,11 +114,13 @@ def ask(chunks: DataFrame, client: Callable[[str], str | None], text_col: str =
     return chunks.withColumn(output_col, call(text_col))
 
 
-def generate(chunks: DataFrame, client: Callable[[str], str | None] | None = None, text_col: str = "text", fallback: bool = True) -> DataFrame:
-    """Questions by ``client``, or by the generator alone without one."""
+def generate(chunks: DataFrame, client: Callable[[str], str | None] | None = None, text_col: str = "text", fallback: bool = True, placed: bool = False) -> DataFrame:
+    """Questions by ``client``, or by the generator alone without one; ``placed`` adds place, a question's place in its chunk's list."""
     if client is None:
-        return fallback_qa(chunks, text_col)
-    return from_responses(ask(chunks, client, text_col), text_col, fallback=fallback).where(~F.col("rejected")).drop("rejected", "place")
+        own = fallback_qa(chunks, text_col)
+        return own.withColumn("place", template_place()) if placed else own
+    made = from_responses(ask(chunks, client, text_col), text_col, fallback=fallback).where(~F.col("rejected")).drop("rejected")
+    return made if placed else made.drop("place")
 
 
 def compare_models(chunks: DataFrame, clients: Sequence[tuple[str, Callable[[str], str | None]]], order: Sequence[str], text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from studyloom.functions.text import full_clean, light_clean, normalized
@@ -12,12 +12,13 @@ from studyloom.operators.cards import new_cards, without_pairs
 from studyloom.operators.chunking import chunk
 from studyloom.operators.crud import with_new_ids
 from studyloom.operators.qa import generate
+from studyloom.sources.storage import dropped, written
 
 
-def questions(files: DataFrame, key: list[str], client: Callable[[str], str | None] | None = None, text_col: str = "text") -> DataFrame:
-    """Files of extracted text: clean lightly, cut into chunks, generate; blank files give nothing."""
+def questions(files: DataFrame, key: list[str], client: Callable[[str], str | None] | None = None, text_col: str = "text", placed: bool = False) -> DataFrame:
+    """Files of extracted text: clean lightly, cut into chunks, generate; blank files give nothing.  ``placed``: as in :func:`qa.generate`."""
     own = files.where(normalized(F.col(text_col)) != "").select(*key, light_clean(F.col(text_col)).alias("text"))
-    return generate(chunk(own), client)
+    return generate(chunk(own), client, placed=placed)
 
 
 #: What an upload says.
@@ -30,10 +31,10 @@ def upload(files: DataFrame, cards: DataFrame, now: Column | None = None, first_
     """(qa_pairs, new flashcards, stats) for files of id, instance_id and text.
 
     stats has the numbers of pairs, chunks and new flashcards, a message and a warning for each file; of equal questions
-    the first file's makes the card.
+    the first makes the card, by file, chunk and place in the chunk's list.
     """
-    made = questions(files.select("id", "instance_id", "text"), ["id", "instance_id"], client)
-    pairs = with_new_ids(made.withColumnRenamed("id", "document_id"), ["document_id", "chunk_id", "difficulty"], first_pair_id)
+    made = questions(files.select("id", "instance_id", "text"), ["id", "instance_id"], client, placed=True)
+    pairs = with_new_ids(made.withColumnRenamed("id", "document_id"), ["document_id", "chunk_id", "place"], first_pair_id)
     pairs = pairs.select("id", "instance_id", "document_id", "chunk_id", "question", "answer", "difficulty", "topic", "source_chunk")
     fresh = new_cards(pairs, cards, now)
     first = pairs.groupBy("instance_id", "question").agg(F.min(F.struct("id", "document_id"))["document_id"].alias("document_id"))
@@ -57,15 +58,43 @@ def bootstrap(documents: DataFrame, texts: DataFrame, qa_pairs: DataFrame, clien
     return questions(need.join(texts, "file_path"), ["instance_id", "id"], client)
 
 
+#: Columns of a file's metadata.
+META = ("path", "error", "file_size_chars", "cleaned_size_chars")
+
+
+def batch_chunks(files: DataFrame) -> DataFrame:
+    """META and the chunks of files (path, text and error), a row each, or one row with a null chunk_id; a text is cleaned once."""
+    blank = F.coalesce(normalized(F.col("text")) == "", F.lit(True))
+    failed = F.coalesce("error", F.when(blank, F.lit("Failed to extract text")))
+    own = files.select("path", "text", F.explode(F.array(failed)).alias("error"))
+    ok = F.col("error").isNull()
+    own = own.select("path", "error", F.when(ok, F.char_length("text")).alias("file_size_chars"), F.explode(F.array(F.when(ok, full_clean(F.col("text"))))).alias("text"))
+    return chunk(own.withColumn("cleaned_size_chars", F.char_length("text")), outer=True)
+
+
 def batch(files: DataFrame, generated_at: str, model: str = "llama3:8b", client: Callable[[str], str | None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(metadata, chunks, qa_pairs) for files of path, text and error, cleaned fully; failed files have metadata with an error only."""
-    good = files.where(F.col("error").isNull() & (normalized(F.col("text")) != ""))
-    clean = good.select("path", F.char_length("text").alias("file_size_chars"), full_clean(F.col("text")).alias("text"))
-    chunks = chunk(clean.select("path", "text"))
-    pairs = generate(chunks.withColumnRenamed("title", "chunk_title"), client, fallback=client is None)
-    counted = chunks.groupBy("path").agg(F.count("*").alias("chunk_count")).join(pairs.groupBy("path").agg(F.count("*").alias("qa_count")), "path", "left")
+    """(metadata, chunks, qa_pairs) for files of path, text and error, cleaned fully; failed files have metadata with an error only.
+
+    Chunks and pairs are written as they are made, so texts are read once, whichever of the three are used; metadata counts
+    what was written.
+    """
+    held = written(batch_chunks(files), "batch-chunks")
+    chunks = held.where(F.col("chunk_id").isNotNull()).drop(*META[1:])
+    pairs = written(generate(chunks.withColumnRenamed("title", "chunk_title"), client, fallback=client is None), "batch-pairs")
+    counted = pairs.groupBy("path").agg(F.count("*").alias("qa_count"))
+    meta = held.groupBy(*META).agg(F.count("chunk_id").alias("chunk_count")).join(counted, "path", "left")
     zero = F.lit(0).cast("long")
-    sizes = clean.select("path", "file_size_chars", F.char_length("text").alias("cleaned_size_chars"))
-    failed = F.coalesce("error", F.when(normalized(F.col("text")) == "", F.lit("Failed to extract text")))
-    meta = files.select("path", failed.alias("error")).join(sizes, "path", "left").join(counted, "path", "left")
-    return meta.select("path", "error", "file_size_chars", "cleaned_size_chars", F.coalesce("chunk_count", zero).alias("chunk_count"), F.coalesce("qa_count", zero).alias("qa_count"), F.lit(model).alias("model"), F.lit(generated_at).alias("generated_at")), chunks, pairs
+    return meta.select(*META, "chunk_count", F.coalesce("qa_count", zero).alias("qa_count"), F.lit(model).alias("model"), F.lit(generated_at).alias("generated_at")), chunks, pairs
+
+
+def batch_totals(files: DataFrame, client: Callable[[str], str | None] | None = None) -> dict[str, int]:
+    """What :func:`analytics.batch_summary` counts, by observing rows while chunks and pairs are written; nothing is read for the counts."""
+    ok, first = F.col("error").isNull(), F.coalesce("chunk_id", F.lit(1)) == 1
+    seen, made = Observation("batch chunks"), Observation("batch pairs")
+    counts = [F.count_if(first).alias("total_files"), F.count_if(first & ok).alias("successful"), F.count_if(first & ~ok).alias("failed"), F.count("chunk_id").alias("total_chunks")]
+    held = written(batch_chunks(files).observe(seen, *counts), "batch-chunks")
+    chunks = held.where(F.col("chunk_id").isNotNull()).drop(*META[1:])
+    pairs = written(generate(chunks, client, fallback=client is None).observe(made, F.count("*").alias("total_qa")), "batch-pairs")
+    totals = seen.get | made.get
+    dropped(held, pairs)
+    return totals

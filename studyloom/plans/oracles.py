@@ -125,12 +125,20 @@ SELECT * FROM a WHERE instance_id NOT IN (SELECT g FROM gone)""",
     "accuracy_series": "SELECT strftime(ts, '%Y-%m-%d') AS date, round(100 * avg((event_type IN ('purchase', 'click'))::INT::DOUBLE), 6) AS accuracy FROM events GROUP BY 1",
     "progress": "SELECT conv_id, turn, row_number() OVER w::INT AS position, count(*) OVER (PARTITION BY conv_id) AS of, floor(100.0 * row_number() OVER w / count(*) OVER (PARTITION BY conv_id) + 0.5)::BIGINT AS percent FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)".replace("row_number() OVER w::INT", "(row_number() OVER w)::INT"),
     "batch_summary": f"WITH {_FULL_PAIRS}, c AS (SELECT doc_id, count(*) AS c FROM chunks GROUP BY doc_id), q AS (SELECT doc_id, count(*) AS q FROM pairs GROUP BY doc_id), r AS (SELECT n_chars < 100 AS bad, c, q FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN q USING (doc_id)) SELECT count(*) AS total_files, count(*) FILTER (WHERE NOT bad) AS successful, count(*) FILTER (WHERE bad) AS failed, coalesce(sum(q) FILTER (WHERE NOT bad), 0)::BIGINT AS total_qa, coalesce(sum(c) FILTER (WHERE NOT bad), 0)::BIGINT AS total_chunks FROM r",
+    "batch_totals": f"WITH {_FULL_PAIRS}, c AS (SELECT doc_id, count(*) AS c FROM chunks GROUP BY doc_id), q AS (SELECT doc_id, count(*) AS q FROM pairs GROUP BY doc_id), r AS (SELECT n_chars < 100 AS bad, c, q FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN q USING (doc_id)) SELECT count(*) AS total_files, count(*) FILTER (WHERE NOT bad) AS successful, count(*) FILTER (WHERE bad) AS failed, coalesce(sum(q) FILTER (WHERE NOT bad), 0)::BIGINT AS total_qa, coalesce(sum(c) FILTER (WHERE NOT bad), 0)::BIGINT AS total_chunks FROM r",
+    "output_shapes": "SELECT event_id, CASE event_type WHEN 'view' THEN 'items' WHEN 'click' THEN 'wrong shape' WHEN 'signup' THEN 'wrong shape' WHEN 'purchase' THEN 'malformed' ELSE 'absent' END AS shape, CASE WHEN event_type = 'view' THEN 2 ELSE 0 END::INT AS n_items FROM events",
+    "question_totals": f"WITH {_PAIRS} SELECT source AS instance_id, topic, difficulty, grouping(source, topic, difficulty)::BIGINT AS level, count(*) AS n FROM pairs GROUP BY GROUPING SETS ((source, topic, difficulty), (source, difficulty), (source), (difficulty), ())",
+    "upload_with_client": f"""WITH {_PAIRS}, mixed AS (SELECT doc_id, source, chunk_id, place, substring(text, 1, n) || '?' AS question, CASE WHEN place = 2 THEN 'again' ELSE substring(text, n + 1, 30) END AS answer FROM chunks, (VALUES (0, 20), (1, 10), (2, 20), (3, 5)) v(place, n) WHERE length(text) >= 400
+UNION ALL SELECT doc_id, source, chunk_id, CASE difficulty WHEN 'easy' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, p.question, p.answer FROM pairs p JOIN (SELECT doc_id, chunk_id FROM chunks WHERE length(text) < 400) c USING (doc_id, chunk_id)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, chunk_id, place) AS id FROM mixed)
+SELECT source AS instance_id, id, question, answer FROM numbered QUALIFY row_number() OVER (PARTITION BY source, question ORDER BY id) = 1""",
     "extract_json": "SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS question, CASE WHEN event_type <> 'error' THEN props END AS answer, CASE WHEN event_type <> 'error' THEN CASE WHEN value > 50 THEN 'hard' ELSE 'easy' END END AS difficulty, CASE WHEN event_type <> 'error' THEN user_id::VARCHAR END AS topic FROM events",
     "generate_with_fallback": f"""WITH {_PAIRS} SELECT doc_id, chunk_id, 'What is it?' AS question, substring(text, 1, 20) AS answer, 'easy' AS difficulty, 'model' AS topic, false AS rejected FROM chunks WHERE word_count >= 100
 UNION ALL SELECT doc_id, chunk_id, p.question, p.answer, p.difficulty, p.topic, false FROM pairs p JOIN chunks c USING (doc_id, chunk_id) WHERE c.word_count < 100""",
     "ask_model": f"WITH {_ASKED} SELECT doc_id, chunk_id, question, answer, difficulty, topic FROM asked",
     "compare_models": f"WITH {_ASKED} " + " UNION ALL ".join(f"SELECT '{name}' AS model, count(*) AS n_questions, (SELECT question FROM asked WHERE length(text) >= {least} ORDER BY doc_id, chunk_id, n DESC LIMIT 1) AS sample FROM asked WHERE length(text) >= {least}" for name, least in (("all", 0), ("long", 2000))),
     "export_markdown": f"WITH {_NUMBERED} SELECT number, '## ' || number || '. ' || question || chr(10) || chr(10) || '**Answer:** ' || answer || chr(10) || chr(10) || '**Difficulty:** ' || difficulty || ' | **Topic:** ' || topic || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS section FROM numbered",
+    "export_markdown_file": f"WITH {_NUMBERED}, t AS (SELECT unnest(string_split(x, chr(10))) AS line FROM (SELECT regexp_replace('## ' || number || '. ' || question || chr(10) || chr(10) || '**Answer:** ' || answer || chr(10) || chr(10) || '**Difficulty:** ' || difficulty || ' | **Topic:** ' || topic || chr(10) || chr(10) || '---' || chr(10) || chr(10), chr(10) || '$', '') AS x FROM numbered UNION ALL SELECT '# Generated Q&A Pairs' || chr(10))) SELECT line, count(*) AS n FROM t GROUP BY line",
     "export_csv_rows": f"WITH {_PAIRS} SELECT question, answer, difficulty, topic FROM pairs",
     "export_json": f"""WITH {_FULL_PAIRS}, c AS (SELECT doc_id, count(*) AS c, sum(word_count)::BIGINT AS w FROM chunks GROUP BY doc_id), q AS (SELECT doc_id, count(*) AS q FROM pairs GROUP BY doc_id)
 SELECT doc_id AS path, coalesce(c, 0) AS chunk_count, 'llama3:8b' AS model, coalesce(c, 0)::INT AS chunks, coalesce(w, 0) AS words, coalesce(q, 0)::INT AS pairs FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN q USING (doc_id)""",
@@ -143,6 +151,7 @@ UNION ALL SELECT doc_id, 'strict', md5(CASE WHEN doc_id % 3 = 0 OR doc_id % 4 =
 p AS (SELECT doc_id, unnest(list_transform(range(0, len(w), {PAGE_LINES}), lambda k: chr(10) || chr(10) || '--- PAGE ' || (k // {PAGE_LINES} + 1) || ' ---' || chr(10) || chr(10) || array_to_string(w[k + 1:k + {PAGE_LINES}], chr(10)) || chr(10))) AS page, unnest(range(0, len(w), {PAGE_LINES})) AS k FROM l)
 SELECT doc_id, md5(string_agg(page, '' ORDER BY k)) AS text_md5, NULL::VARCHAR AS error FROM p GROUP BY doc_id""",
     "read_files": "SELECT regexp_replace(n_name, '[^A-Za-z0-9._-]', '_', 'g') || '.txt' AS file, strlen(n_name || chr(10) || n_regionkey)::BIGINT AS n_bytes, n_name || chr(10) || n_regionkey AS text, NULL::VARCHAR AS error FROM nation",
+    "followed_files": "SELECT regexp_replace(n_name, '[^A-Za-z0-9._-]', '_', 'g') || CASE WHEN n_nationkey % 5 = 0 THEN '.bin' ELSE '.txt' END AS file, strlen(n_name || chr(10) || n_regionkey)::BIGINT AS n_bytes, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name || chr(10) || n_regionkey END AS text, CASE WHEN n_nationkey % 5 = 0 THEN 'unsupported format: bin' END AS error FROM nation",
     "stored_uploads": "SELECT source AS instance_id, lang || '_' || (doc_id % 7) || '.txt' AS file_name, arg_max(md5(text), doc_id) AS content_md5 FROM documents GROUP BY ALL",
     "stored_changes": """WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), gone AS (SELECT c_custkey AS g FROM customer WHERE c_acctbal < 0),
 a AS (SELECT 'instances' AS kept_in, c_custkey AS id, c_custkey AS instance_id, concat_ws('/', CASE WHEN n > 10 THEN 'customer ' || c_custkey ELSE c_name END, CASE WHEN n > 15 THEN NULL ELSE c_mktsegment END) AS label FROM customer LEFT JOIN n ON o_custkey = c_custkey

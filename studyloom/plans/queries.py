@@ -86,8 +86,9 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    sizes = _texts(spark, d).select("doc_id", F.char_length("text").alias("raw_chars"), F.char_length(text.light_clean(F.col("text"))).alias("cleaned_chars"))
-    return sizes.join(analytics.chunk_stats(_chunks(spark, d), ["doc_id"]), "doc_id")
+    """Sizes of each text and its chunks, cleaned once and counted where it is cut."""
+    own = _texts(spark, d).select("doc_id", F.char_length("text").alias("raw_chars"), F.explode(F.array(text.light_clean(F.col("text")))).alias("text"))
+    return analytics.chunk_stats(chunk(own.withColumn("cleaned_chars", F.char_length("text")), cleaned=True), ["doc_id", "raw_chars", "cleaned_chars"])
 
 
 def fallback_qa(spark: SparkSession, d: str) -> DataFrame:
@@ -158,6 +159,33 @@ def upload_flow(spark: SparkSession, d: str) -> DataFrame:
     return flows.upload(docs, have)[2]
 
 
+def _mixed_client(text: str) -> str | None:
+    """A stand-in for a model: for long texts, items of mixed difficulties of which one repeats a question with another answer."""
+    if len(text) < 400:
+        return None
+    items = ((20, text[20:50], "medium"), (10, text[10:40], "easy"), (20, "again", "hard"), (5, text[5:35], "easy"))
+    return json.dumps([{"question": f"{text[:n]}?", "answer": answer, "difficulty": level, "topic": "model"} for n, answer, level in items])
+
+
+def upload_with_client(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of uploads whose questions a client makes, in the order in which it gives them; the first of equal ones wins."""
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("instance_id"), "text"))
+    none = spark.createDataFrame([], "instance_id string, question string")
+    return flows.upload(docs, none, client=_mixed_client)[1].select("instance_id", F.col("id").cast("long").alias("id"), "question", "answer")
+
+
+def question_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Questions by instance, topic and difficulty and their totals, in one pass."""
+    return analytics.question_totals(_pairs(spark, d).withColumnRenamed("source", "instance_id"))
+
+
+def batch_totals(spark: SparkSession, d: str) -> DataFrame:
+    """As batch_summary, observed while the batch is written."""
+    own = _texts(spark, d).select(F.col("doc_id").alias("path"), "text", F.when(F.col("n_chars") < 100, "too short").alias("error"))
+    found = flows.batch_totals(own)
+    return spark.createDataFrame([found], ", ".join(f"{k} long" for k in found))
+
+
 def distinct_documents(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("instance_id"), F.md5("text").alias("file_path"))
     return cards.distinct_paths(own)
@@ -347,10 +375,19 @@ def extract_json(spark: SparkSession, d: str) -> DataFrame:
     """Model outputs made of event properties, read back as items."""
     item = F.to_json(F.struct(F.col("event_type").alias("question"), F.col("props").alias("answer"), F.when(F.col("value") > 50, "hard").otherwise("easy").alias("difficulty"), F.col("user_id").cast("string").alias("topic")))
     output = F.when(F.col("event_type") == "error", F.lit("no list ] here [")).otherwise(F.concat(F.lit("Here you are:\n["), item, F.lit("]\nDone.")))
-    own = table(spark, d, "events").select("event_id", F.explode_outer(qa.parse_items(output)).alias("i"))
+    held = table(spark, d, "events").select("event_id", F.explode(F.array(output)).alias("output"))  # made once for its uses
+    own = held.select("event_id", F.explode_outer(qa.parse_items(F.col("output"))).alias("i"))
     return own.select("event_id", "i.question", "i.answer", "i.difficulty", "i.topic")
 
 
+def output_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Each event's output as what it is: items, JSON of another shape, no JSON, or nothing in brackets."""
+    item = F.to_json(F.struct(F.col("event_type").alias("question"), F.col("props").alias("answer"), F.lit("easy").alias("difficulty")))
+    made = {"view": F.concat(F.lit("So: ["), item, F.lit(", "), item, F.lit("] end")), "click": F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit(", {}]")), "signup": F.lit("[]"), "purchase": F.concat(F.lit("["), item, F.lit(",]"))}
+    output = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in made.items()], F.lit("no list ] here ["))
+    return qa.with_shape(table(spark, d, "events").select("event_id", output.alias("output"))).select("event_id", "shape", "n_items")
+
+
 def _generated(chunks: DataFrame) -> DataFrame:
     """Model outputs for chunks: short ones have none, so the generator answers."""
     item = F.to_json(F.struct(F.lit("What is it?").alias("question"), F.substring("text", 1, 20).alias("answer"), F.lit("easy").alias("difficulty"), F.lit("model").alias("topic")))
@@ -385,6 +422,13 @@ def export_markdown(spark: SparkSession, d: str) -> DataFrame:
     return sinks.markdown(_numbered_pairs(spark, d)).withColumn("number", F.col("number").cast("long"))
 
 
+def export_markdown_file(spark: SparkSession, d: str) -> DataFrame:
+    """The whole Markdown output, title and all, written as text and read back: its lines, each with how often it stands there."""
+    path = new_folder(spark, "markdown")
+    sinks.save_markdown(_numbered_pairs(spark, d), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 def export_csv_rows(spark: SparkSession, d: str) -> DataFrame:
     """All pairs, written as CSV and read back."""
     path = new_folder(spark, "csv")
@@ -446,6 +490,17 @@ def read_files(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.regexp_replace(F.substring_index("path", "/", -1), "%20", " ").alias("file"), "n_bytes", "text", "error")
 
 
+def followed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation as a file of a folder that is followed, in three steps: texts, and some of a kind that can't be read."""
+    folder, out, mark = (new_folder(spark, f"followed{x}") for x in ("", "-out", "-checkpoint"))
+    own = table(spark, d, "nation").select("n_nationkey", F.concat_ws("\n", "n_name", F.col("n_regionkey").cast("string")).alias("value"), F.concat("n_name", F.when(F.col("n_nationkey") % 5 == 0, ".bin").otherwise(".txt")).alias("file"))
+    for k in range(3):
+        files.save_texts(own.where(F.pmod("n_nationkey", F.lit(3)) == k).select("file", "value"), folder)
+        files.follow_folder(spark, folder, out, mark)
+    good, bad = files.followed(spark, out)
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad.withColumn("text", F.lit("")).select(*good.columns, "error")).select(F.substring_index("path", "/", -1).alias("file"), "n_bytes", "text", "error")
+
+
 def stored_uploads(spark: SparkSession, d: str) -> DataFrame:
     """Every document uploaded to its source under a name that others share; the newest of each name is what is stored."""
     path = new_folder(spark, "uploads")
@@ -532,11 +587,11 @@ def join_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    clean_light, clean_full, chunk_documents, chunk_stats, fallback_qa, qa_by_difficulty, qa_by_topic, topic_questions, hard_questions, preview_pairs, batch_metadata, upload_stats, weak_chunks, embedding_inputs, embed_chunks, flashcards_new, upload_flow,
+    clean_light, clean_full, chunk_documents, chunk_stats, fallback_qa, question_totals, qa_by_difficulty, qa_by_topic, topic_questions, hard_questions, preview_pairs, batch_metadata, upload_stats, weak_chunks, embedding_inputs, embed_chunks, flashcards_new, upload_flow, upload_with_client,
     distinct_documents, bootstrap_documents, bootstrap_questions, unique_questions, review_state, due_cards, review_stream, late_review_stream, due_stream, card_stream, instance_summary, instance_page, instance_lookup,
     instance_documents, instance_patch, instance_delete, instance_cascade, numbered_documents, validated_inputs, vector_topk, vector_topk_pivots, topic_accuracy, avg_accuracy, best_topic, weak_topics,
-    test_score, accuracy_series, progress, batch_summary, extract_json, generate_with_fallback, ask_model, compare_models, export_markdown, export_csv_rows, export_json, display_formats, extract_text, join_pages,
-    parse_files, read_pdfs, read_files, stored_uploads, stored_cards, stored_changes, order_pages,
+    test_score, accuracy_series, progress, batch_summary, batch_totals, extract_json, output_shapes, generate_with_fallback, ask_model, compare_models, export_markdown, export_markdown_file, export_csv_rows, export_json, display_formats, extract_text, join_pages,
+    parse_files, read_pdfs, read_files, followed_files, stored_uploads, stored_cards, stored_changes, order_pages,
 )
 
 

@@ -99,6 +99,31 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.*", strict:
     return extracted(rows, suffix_of(F.col("path")), strict, pdf)
 
 
+#: What the binary reader gives.
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def follow_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*.*", strict: bool = False, pdf: Callable[[bytes], list[str]] = pdf_pages) -> None:
+    """Parses the files that came into a folder since the last run on this checkpoint, each once, and ends.
+
+    A batch is written in one pass to a partition of ``out`` of its own, which is written over if the batch comes again:
+    files with a text and those with an error apart (see :func:`followed`).
+    """
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        read = extracted(rows.select("path", F.col("length").alias("n_bytes"), "content"), suffix_of(F.col("path")), strict, pdf)
+        read.withColumn("failed", F.col("error").isNotNull()).write.mode("overwrite").partitionBy("failed").parquet(f"{out}/batch={batch}")
+
+    source = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", pattern).load(folder)
+    source.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def followed(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """(path, n_bytes and text of the files that could be read, path, n_bytes and error of those that could not)."""
+    rows = spark.read.schema("path string, n_bytes long, text string, error string, batch long, failed boolean").parquet(out)
+    return rows.where(~F.col("failed")).select("path", "n_bytes", "text"), rows.where("failed").select("path", "n_bytes", "error")
+
+
 def save_files(files: DataFrame, folder: str) -> None:
     """Writes rows of file (a name) and content (bytes) as one file each, into a folder that executors share.
 

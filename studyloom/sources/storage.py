@@ -6,7 +6,7 @@ import contextlib
 import contextvars
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +47,23 @@ def written(df: DataFrame, name: str, *more: DataFrame) -> DataFrame:
 
 @contextlib.contextmanager
 def made_tables() -> Iterator[list[str]]:
-    """The paths of all tables that are written within."""
+    """The paths of all tables that are written within, also for such a block around this one."""
     paths: list[str] = []
-    token = _MADE.set(paths)
+    outer, token = _MADE.get(), _MADE.set(paths)
     try:
         yield paths
     finally:
         _MADE.reset(token)
+        if outer is not None:
+            outer.extend(paths)
+
+
+def alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns as a written table; other tables that it wrote on its way are deleted."""
+    with made_tables() as paths:
+        out = written(make(), name)
+    removed(spark, [p for p in paths if p != out.written_to])
+    return out
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:

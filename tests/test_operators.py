@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from studyloom.operators import analytics, cards, crud, qa, srs, vectors
+from studyloom.operators.chunking import chunk
+from studyloom.plans import flows
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -124,3 +128,66 @@ def test_clients(spark):
     assert compared == {"a": 1, "b": 0}
     vectors_ = qa.embed(chunks.where("text is not null"), lambda texts: [[float(len(t))] for t in texts]).orderBy("doc_id").collect()
     assert [r["embedding"] for r in vectors_] == [[10.0], [11.0]]
+
+
+SHAPES = [
+    ('Here: [{"question": "a", "answer": "b", "difficulty": "easy"}] done', "items", 1),
+    ('[{"question": "a [x]", "answer": "b", "difficulty": "easy", "more": [1]}, {"question": "a", "answer": "b", "difficulty": "hard", "topic": null}]', "items", 2),
+    ('[{"question": "a", "answer": "b"}]', "wrong shape", 0),
+    ('[{"question": 1, "answer": "b", "difficulty": "easy"}]', "wrong shape", 0),
+    ('[{"question": "a", "answer": "b", "difficulty": "easy"}, 3]', "wrong shape", 0),
+    ("[]", "wrong shape", 0),
+    ("[1, 2]", "wrong shape", 0),
+    ("[null]", "wrong shape", 0),
+    ('[{"question": "a",}]', "malformed", 0),
+    ("text [not json] text", "malformed", 0),
+    ("] nothing [", "absent", 0),
+    ("", "absent", 0),
+    (None, "absent", 0),
+]
+
+
+def test_shapes_of_outputs(spark):
+    df = spark.createDataFrame([(k, x, 1) for k, (x, *_) in enumerate(SHAPES)], "id int, output string, shapes int")
+    got = {r["id"]: (r["shape"], r["n_items"]) for r in qa.with_shape(df).collect()}
+    assert got == {k: tuple(want) for k, (_, *want) in enumerate(SHAPES)}
+
+
+def test_items_keep_the_order_given(spark):
+    """Of equal questions the first in the list makes the card, whatever its difficulty."""
+    items = [("q0", "medium"), ("q1", "easy"), ("q2", "hard"), ("q3", "easy"), ("q1", "hard")]
+    client = lambda text: json.dumps([{"question": q, "answer": f"{q} {k}", "difficulty": level, "topic": "t"} for k, (q, level) in enumerate(items)])
+    uploads = spark.createDataFrame([(1, 5, "some text"), (2, 5, "other text")], "id long, instance_id long, text string")
+    pairs, fresh, _ = flows.upload(uploads, spark.createDataFrame([], "instance_id long, question string"), client=client)
+    assert [(r["document_id"], r["question"]) for r in pairs.orderBy("id").collect()] == [(d, q) for d in (1, 2) for q, _ in items]
+    assert sorted((r["question"], r["answer"], r["id"]) for r in fresh.collect()) == [("q0", "q0 0", 1), ("q1", "q1 1", 2), ("q2", "q2 2", 3), ("q3", "q3 3", 4)]
+
+
+def test_a_batch_reads_texts_once(spark, tmp_path):
+    """Metadata, chunks and pairs come from what was written: no plan of theirs goes back to the texts."""
+    long = " ".join(f"word{k}" for k in range(950)) + "."
+    rows = [("a", long, None), ("b", " \n ", None), ("c", None, None), ("d", "x", "OSError"), ("e", "é", None)]
+    spark.createDataFrame(rows, "path string, text string, error string").write.parquet(str(tmp_path / "texts"))
+    found = spark.read.parquet(str(tmp_path / "texts"))
+    for df in flows.batch(found, "now"):
+        assert "texts" not in df._jdf.queryExecution().executedPlan().toString()
+    meta = {r["path"]: (r["error"], r["file_size_chars"], r["cleaned_size_chars"], r["chunk_count"], r["qa_count"]) for r in flows.batch(found, "now")[0].collect()}
+    none = "Failed to extract text"
+    assert meta == {"a": (None, len(long), len(long), 3, 9), "b": (none, None, None, 0, 0), "c": (none, None, None, 0, 0), "d": ("OSError", None, None, 0, 0), "e": (None, 1, 0, 0, 0)}
+    assert flows.batch_totals(found) == {"total_files": 5, "successful": 2, "failed": 3, "total_chunks": 3, "total_qa": 9}
+
+
+def test_totals_tell_null_keys_apart(spark):
+    df = spark.createDataFrame([(1, "t", "easy"), (1, None, "easy"), (None, "t", "hard"), (None, None, None)], "instance_id long, topic string, difficulty string")
+    got = Counter((r["instance_id"], r["topic"], r["difficulty"], r["level"], r["n"]) for r in analytics.question_totals(df).collect())
+    want = Counter()
+    rows = [tuple(r) for r in df.collect()]
+    for keep in (0b111, 0b101, 0b100, 0b001, 0):
+        for key, n in Counter(tuple(v if keep >> (2 - k) & 1 else None for k, v in enumerate(r)) for r in rows).items():
+            want[(*key, 7 - keep, n)] += 1
+    assert got == want
+
+
+def test_chunks_of_nothing_with_outer(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, " "), (3, None)], "id int, text string")
+    assert sorted((r["id"], r["chunk_id"], r["text"]) for r in chunk(df, outer=True).collect()) == [(1, 1, "a b"), (2, None, None), (3, None, None)]

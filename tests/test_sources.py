@@ -188,3 +188,28 @@ def test_broken_pdfs_are_errors_of_their_own(spark):
     got = files.extracted(spark.createDataFrame(rows, "id int, content binary"), F.lit("pdf")).collect()
     assert len(got) == 60 and [r["text"] for r in got if r["id"] == 0] == ["\n\n--- PAGE 1 ---\n\nfine\n"]
     assert all(r["error"] is None or r["text"] == "" for r in got)
+
+
+def test_a_followed_folder_is_parsed_once(spark, tmp_path):
+    """Files that come in three steps end in what a reading of the whole folder gives; none is parsed twice, and broken ones stand apart."""
+    folder, out, mark, seen = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark"), tmp_path / "seen"
+    folder.mkdir()
+    seen.mkdir()
+
+    def told(data):
+        import uuid
+
+        (seen / f"{len(data)}-{uuid.uuid4().hex}").touch()
+        return files.pdf_pages(data)
+
+    for k in range(3):
+        (folder / f"a{k}.txt").write_text(f"text {k}")
+        (folder / f"b{k}.pdf").write_bytes(pdf_bytes([f"page {'x' * k}"]))
+        (folder / f"c{k}.pdf").write_bytes(b"broken" + b"!" * k)
+        files.follow_folder(spark, str(folder), out, mark, pdf=told)
+    files.follow_folder(spark, str(folder), out, mark, pdf=told)
+    good, bad = files.followed(spark, out)
+    whole = files.read_folder(spark, str(folder))
+    assert sorted(map(tuple, good.collect())) == sorted((r["path"], r["n_bytes"], r["text"]) for r in whole.where("error is null").collect())
+    assert sorted(map(tuple, bad.collect())) == sorted((r["path"], r["n_bytes"], r["error"]) for r in whole.where("error is not null").collect())
+    assert good.count() == 6 and bad.count() == 3 and len(list(seen.iterdir())) == 6
