@@ -7,11 +7,11 @@ building needs no shuffle.  An index that has been built serves any test set.
 Matching starts at the rarest terms.  Each test window names its rarest term and its second-rarest; the few lists of such
 terms are taken from the index once.  Every different pair of terms at a distance is intersected there, once however many
 windows name it, by moving one list by the offset of the other.  What is left are candidate alignments (item, document,
-shift), and only the documents that hold one are looked up again, for the window's other terms.  Proximity matches go the
-same way, with a reach in place of an offset: positions are dealt into blocks of some reaches, and only postings of one
-block, or near its ends, meet, so that a long text with many postings of a term stays linear and can be spread.  Work
-follows the rare lists, not the frequent ones; postings of a frequent term or passage spread over the documents that hold
-it, and no list is gathered in one task.
+shift), and only the stretches of documents that hold one are looked up again, for the window's other terms.  Proximity
+matches go the same way, with a reach in place of an offset: positions are dealt into blocks of some reaches, and only
+postings of one block, or near its ends, meet, so that a long text with many postings of a term stays linear and can be
+spread.  Work follows the rare lists, not the frequent ones; postings of a frequent term or passage spread over the
+documents that hold it, and no list is gathered in one task.
 
 DataFrame functions only.  What is broadcast has rows of fixed size, hashes and offsets, and is broadcast only up to
 ``shared.BROADCAST_ROWS`` of them, which is checked; beyond, it is joined by shuffle.
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm.shared import ascii_lower, barrier, bounded, col, dropped, row_key, without, written
+from studyloom.sources.storage import alone
 
 #: Words in a window, and further words within which a window's terms count as near.
 WINDOW, SLOP = 10, 5
@@ -133,9 +134,8 @@ def alignments(wins: DataFrame, lists: DataFrame) -> DataFrame:
     return written(aligned.groupBy("ikey", *KEY, "shift").agg(F.array_distinct(F.flatten(F.collect_list("wins"))).alias("wins")), "alignments")
 
 
-def near_seeds(wins: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
+def near_seeds(wins: DataFrame, lists: DataFrame, slop: int, reach: int) -> DataFrame:
     """A written table of ikey, start, length, tids, the key and center (the rarest term's position) where the second-rarest stands within reach."""
-    reach = (wins.agg(F.max("length")).first()[0] or 1) + slop
     paired = _paired(lists, wins.select("tid", "tid2", "length")).withColumn("_own", _block(F.col("pos"), reach))
     other = _other(lists).select("*", _within(F.col("_p"), reach))
     found = paired.join(other, _same() & (F.col("tid2") == F.col("_t")) & (F.col("_own") == F.col("_block")) & (F.abs(F.col("_p") - F.col("pos")) < F.col("length") + slop), "left_semi")
@@ -144,11 +144,19 @@ def near_seeds(wins: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
     return written(joined.select("ikey", "start", "length", "tids", *KEY, F.col("pos").alias("center")), "near-seeds")
 
 
-def postings_in(index: DataFrame, terms: DataFrame, documents: DataFrame) -> DataFrame:
-    """_t, _o1, _o2, _p: a written table of the postings of ``terms`` in ``documents`` (by key)."""
-    keys = written(documents.select(*KEY).distinct(), "candidate-documents")
-    found = written(_other(index.join(bounded(keys), KEY, "left_semi").join(bounded(terms), "tid", "left_semi")), "candidate-postings")
-    dropped(keys)
+def spots_of(aligned: DataFrame, reach: int, seeds: DataFrame | None = None) -> DataFrame:
+    """The key and _block of every stretch of a document in which a candidate alignment or seed has to be looked at."""
+    first, last = (_block(F.col("shift") + F.col("w.start") + x, reach) for x in (F.lit(0), F.col("w.length") - 1))
+    spots = aligned.select(*KEY, "shift", F.explode("wins").alias("w")).select(*KEY, F.explode(F.sequence(first, last)).alias("_block"))
+    return spots if seeds is None else spots.union(seeds.select(*KEY, _within(F.col("center"), reach)))
+
+
+def postings_in(index: DataFrame, terms: DataFrame, spots: DataFrame, reach: int) -> DataFrame:
+    """_t, _o1, _o2, _p: a written table of the postings of ``terms`` at ``spots``."""
+    some = written(spots.distinct(), "candidate-spots")
+    known = index.join(bounded(terms), "tid", "left_semi").withColumn("_block", _block(F.col("pos"), reach))
+    found = written(_other(known.join(bounded(some), [*KEY, "_block"], "left_semi")), "candidate-postings")
+    dropped(some)
     return found
 
 
@@ -162,12 +170,10 @@ def phrase_matches(aligned: DataFrame, postings: DataFrame, tokens: DataFrame) -
     return written(aligned.join(there, ["ikey", *KEY, "shift"]).select("ikey", *KEY, "shift", ok.alias("wins")).where(F.size("wins") > 0), "phrase-matches")
 
 
-def proximity_matches(seeds: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
+def proximity_matches(seeds: DataFrame, postings: DataFrame, slop: int, reach: int) -> DataFrame:
     """ikey, start and the key: windows of which each term stands, in any order, within ``length + slop`` words of the document."""
-    reach = F.col("length") + slop
-    widest = (seeds.agg(F.max("length")).first()[0] or 1) + slop
-    asked = seeds.select("*", _within(F.col("center"), widest)).select("*", F.explode("tids").alias("want"))
-    near = asked.join(postings.withColumn("_own", _block(F.col("_p"), widest)), _same() & (F.col("want") == F.col("_t")) & (F.col("_own") == F.col("_block")) & (F.abs(F.col("_p") - F.col("center")) < reach))
+    asked = seeds.select("*", _within(F.col("center"), reach)).select("*", F.explode("tids").alias("want"))
+    near = asked.join(postings.withColumn("_own", _block(F.col("_p"), reach)), _same() & (F.col("want") == F.col("_t")) & (F.col("_own") == F.col("_block")) & (F.abs(F.col("_p") - F.col("center")) < F.col("length") + slop))
     seen = near.groupBy("ikey", "start", "length", *KEY, "center").agg(F.size(F.any_value("tids")).alias("need"), F.collect_set(F.struct(F.col("_p").alias("pos"), F.col("_t").alias("tid"))).alias("seen"))  # two reaches at most
     fits = F.exists("seen", lambda s: F.size(F.array_distinct(F.transform(F.filter("seen", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + F.col("length") + slop)), lambda x: x["tid"]))) == F.col("need"))
     return seen.where(fits).select("ikey", "start", *KEY).distinct()
@@ -181,23 +187,37 @@ def hits(items: DataFrame, found: DataFrame) -> DataFrame:
     return n_hit.join(named, KEY).select(*KEY, "n_hit", F.size("names").cast("long").alias("n_items"), F.array_join("names", ",").alias("items"))
 
 
+def _known(docs: DataFrame, items: DataFrame, window: int, slop: int, id_col: str, text_col: str) -> DataFrame:
+    """The key, n_words, what :func:`hits` has and n_near_items of every document."""
+    items, reach = written(items, "items"), window + slop
+    tokens, index = tokens_of(items), build_index(docs, id_col, text_col)
+    terms, wins, lists = look_up(index, tokens, window)
+    aligned, seeds = alignments(wins, lists), near_seeds(wins, lists, slop, reach)
+    dropped(lists)
+    postings = postings_in(index, terms, spots_of(aligned, reach, seeds), reach)
+    found = phrase_matches(aligned, postings, tokens)
+    near = proximity_matches(seeds, postings, slop, reach).select("ikey", *KEY).distinct().join(items.select("ikey", "item"), "ikey")
+    near = near.select(*KEY, "item").distinct().groupBy(*KEY).agg(F.count("*").alias("n_near_items"))
+    return lengths(index).join(hits(items, found), KEY, "left").join(near, KEY, "left")
+
+
+def _contaminated(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """The keys of documents with a phrase match."""
+    items = written(items, "items")
+    tokens, index = tokens_of(items), build_index(docs, id_col, text_col)
+    terms, wins, lists = look_up(index, tokens, window)
+    aligned = alignments(wins, lists)
+    dropped(lists)
+    return phrase_matches(aligned, postings_in(index, terms, spots_of(aligned, window), window), tokens).select(*KEY).distinct()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and n_near_items for each row of ``docs``.
 
     n_near_items counts the items of which a window's terms stand close together in any order, exact ones among them;
     contaminated follows exact windows.
     """
-    items = written(items_of(benchmark, item_col, item_text_col), "items")
-    tokens, index = tokens_of(items), build_index(docs, id_col, text_col)
-    terms, wins, lists = look_up(index, tokens, window)
-    aligned, seeds = alignments(wins, lists), near_seeds(wins, lists, slop)
-    postings = postings_in(index, terms, aligned.select(*KEY).union(seeds.select(*KEY)))
-    found = phrase_matches(aligned, postings, tokens)
-    near = proximity_matches(seeds, postings, slop).select("ikey", *KEY).distinct().join(items.select("ikey", "item"), "ikey")
-    near = near.select(*KEY, "item").distinct().groupBy(*KEY).agg(F.count("*").alias("n_near_items"))
-    known = lengths(index).join(hits(items, found), KEY, "left").join(near, KEY, "left")
-    known = written(known, "document-hits")
-    dropped(index, wins, lists, aligned, seeds, postings, found, terms, items)
+    known = alone(docs.sparkSession, "document-hits", lambda: _known(docs, items_of(benchmark, item_col, item_text_col), window, slop, id_col, text_col))
     own = docs.select(col(id_col).alias("doc_id"), *row_key(col(id_col), col(text_col)))
     zero, names = F.lit(0).cast("long"), F.coalesce("items", F.lit(""))
     return own.join(known, KEY, "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(names, 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), names.alias("items"), F.coalesce("n_near_items", zero).alias("n_near_items"))
@@ -205,14 +225,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a phrase match, every column as it was; of a match only the key is joined, by broadcast within the bound."""
-    items = written(items_of(benchmark, item_col, item_text_col), "items")
-    tokens, index = tokens_of(items), build_index(docs, id_col, text_col)
-    terms, wins, lists = look_up(index, tokens, window)
-    aligned = alignments(wins, lists)
-    postings = postings_in(index, terms, aligned)
-    found = phrase_matches(aligned, postings, tokens)
-    bad = written(found.select(*KEY).distinct(), "contaminated")
-    dropped(index, wins, lists, aligned, postings, found, terms, items)
+    bad = alone(docs.sparkSession, "contaminated", lambda: _contaminated(docs, items_of(benchmark, item_col, item_text_col), window, id_col, text_col))
     return without(docs, bad, col(id_col), col(text_col))
 
 
