@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm.shared import bounded, col, dropped, freed, row_key, without, written
+from studyloom.sources.storage import alone
 
 #: Words of a shingle and percent of similarity, unless a caller says otherwise.
 SHINGLE, PERCENT = 5, 80
@@ -356,7 +357,11 @@ def link(docs: DataFrame, classes: DataFrame, words: int, percent: int, matches:
 
 
 def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """_k1, _k2, doc_id, n_shingles, component_id and kept of each row."""
+    """_k1, _k2, doc_id, n_shingles, component_id and kept of each row, the one table that stays."""
+    return alone(docs.sparkSession, "judged", lambda: _linked(docs, words, percent, id_col, text_col))
+
+
+def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     own = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     own = own.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text")))
     identified = F.col("doc_id").isNotNull()
