@@ -33,8 +33,8 @@ SECOND_US = 1_000_000
 GAP_US, SLOT_US = 1800 * SECOND_US, 6 * 3600 * SECOND_US
 #: The slot of an open end: later than any date that Spark knows.
 OPEN = 1 << 30
-#: Shards of time, and intervals for each group that a task joins.
-SHARDS, GROUP_ROWS = 8, 100_000
+#: Shards of time, and intervals of both sides for each bucket of clients; a task joins what a shard has of them.
+SHARDS, GROUP_ROWS = 8, 200_000
 #: Relations by where the sale starts (earlier, equally, later) and ends.
 RELATIONS = [["overlaps", "finished_by", "contains"], ["starts", "equals", "started_by"], ["during", "finishes", "overlapped_by"]]
 
@@ -113,7 +113,7 @@ def range_join(sales: pa.Table, sessions: pa.Table, explain: bool = False) -> pa
     import duckdb
 
     sales = sales.append_column("i", pa.array(np.arange(sales.num_rows)))
-    with duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""}) as con:
+    with duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""}) as con:
         con.execute("SET nested_loop_join_threshold = 0")
         con.execute("SET merge_join_threshold = 0")
         con.register("sales_rows", sales)
@@ -142,9 +142,9 @@ def overlap_classes(sales: DataFrame, sessions: DataFrame, bounds: list[int], bu
 
 def overlaps(sales: DataFrame, lines: DataFrame, clicks: DataFrame, shards: int = SHARDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """sale_id, relation, n_pairs, overlap_slots and sessions_crc for each sale and each relation that it has with sessions of its client."""
-    sold = written(sale_intervals(sales, lines), "sale-intervals")
-    bounds, buckets = shard_bounds(sold, shards), max(1, -(-sold.count() // group_rows))
-    found = overlap_classes(sold.select("client", "s", "e").distinct(), session_intervals(sessions(clicks)), bounds, buckets)
+    sold, seen = written(sale_intervals(sales, lines), "sale-intervals"), written(session_intervals(sessions(clicks)), "session-intervals")
+    bounds, buckets = shard_bounds(sold, shards), max(1, -(-(sold.count() + seen.count()) // group_rows))
+    found = overlap_classes(sold.select("client", "s", "e").distinct(), seen, bounds, buckets)
     return sold.join(found, ["client", "s", "e"]).select("sale_id", "relation", "n_pairs", "overlap_slots", "sessions_crc")
 
 
