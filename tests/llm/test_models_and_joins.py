@@ -274,6 +274,44 @@ def test_gradients():
             assert abs((up - down) / 2e-2 - g[name][at]) < 2e-3, name
 
 
+def plain_forward(model, text):
+    """Probabilities of one text by the equations, a byte after the other: stretches from zero states, no padding, the mean over all bytes."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    n, out = model.hidden, []
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for at in range(0, len(text), language_id.STRETCH):
+        part = text[at : at + language_id.STRETCH]
+        both = []
+        for d, order in ((0, range(len(part))), (1, range(len(part) - 1, -1, -1))):
+            h, states = np.zeros(n), {}
+            for t in order:
+                x, u = p["x"][d][:, part[t] or 32], p["u"][d] @ h
+                z, r = sigmoid(x[:n] + u[:n]), sigmoid(x[n : 2 * n] + u[n : 2 * n])
+                h = (1 - z) * np.tanh(x[2 * n :] + r * (u[2 * n :] + p["c"][d][:, 0])) + z * h
+                states[t] = h
+            both.append(states)
+        for t in range(len(part)):
+            logits = p["w"] @ np.concatenate([both[0][t], both[1][t]]) + p["b"][:, 0]
+            e = np.exp(logits - logits.max())
+            out.append(e / e.sum())
+    return np.mean(out, axis=0)
+
+
+def test_predictions_by_plain_code(spark, sf):
+    """Every text of the smallest tables, and lengths around a stretch, against the equations."""
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(whole.where(~language_id.held_out(F.col("doc_id"))), epochs=2)
+    texts = {r["doc_id"]: r["text"] for r in whole.select("doc_id", "text").collect()}
+    texts |= {-k: "ä" + "b" * k for k in (1, 61, 62, 63, 64, 126, 127)} | {-1000: "a\0b", -1001: None, -1002: "12 3"}
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    for k, text in texts.items():
+        if not text or not any(map(str.isalpha, text)):
+            assert (got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0)
+            continue
+        want = plain_forward(model, text.encode())
+        assert abs(want.max() - got[k]["score"]) < 1e-3 and want[model.langs.index(got[k]["lang_pred"])] > want.max() - 1e-3
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = {r["doc_id"]: (r["lang"], r["text"]) for r in docs.collect()}
@@ -396,3 +434,24 @@ def test_pipeline(spark, sf):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, sf, tmp_path):
+    """The whole run over null ids and texts, repeated rows, an id with two texts and columns of clashing names; nothing is left but its result."""
+    long = " ".join(f"clean words number {k} stand here for once" for k in range(40))
+    leaked = next(r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect())
+    rows = [(1, long), (1, long), (2, long + " again"), (3, None), (None, long.replace("clean", "other")), (None, None), (4, ""), (5, long.replace("words", "parts") + "\nsecret: " + "aB3xY9" * 4), (5, long.replace("here", "there")), (6, long.replace("stand", "lie") + " " + leaked)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1, 2, "x", 3) for d, t in rows], "doc_id long, text string, lang string, source string, _k1 long, n_shingles int, key string, _row int")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    count = Counter(r["doc_id"] for r in pieces if r["start"] == 0)
+    assert count == {1: 1, None: 1, 5: 2}  # short and leaked texts go, of near copies one stays
+    text = Tokenizer.from_file(packing.default_tokenizer())
+    assert not any("aB3xY9aB3xY9" in text.decode(r["ids"]) for r in pieces)
+    own = {}
+    for r in pieces:
+        own.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in x) <= 2048 and sorted(x)[0][0] == 0 for x in own.values())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, df, sf).columns == df.columns, name
