@@ -42,7 +42,8 @@ def fallback_qa(chunks: DataFrame, text_col: str = "text", joined: bool = False)
 
 def bracketed(output: Column) -> Column:
     """What stands between the first ``[`` and the last ``]``, both included; null where there is none."""
-    return F.nullif(F.regexp_extract(output, r"(?s)\[.*\]", 0), F.lit(""))
+    # one start, at the first bracket, and one way back from the end: linear for any text
+    return F.nullif(F.regexp_extract(output, r"(?s)\A[^\[]*+(\[.*\])", 1), F.lit(""))
 
 
 def parse_items(output: Column) -> Column:
