@@ -77,7 +77,9 @@ def folded(state: tuple, events: pd.DataFrame) -> tuple:
 
 def in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """Events of all frames by time, then id."""
-    own = pd.concat([f[["ts", "event_id", "correct"]] for f in frames], ignore_index=True)
+    columns = ["ts", "event_id", "correct"]
+    some = [f[columns] for f in frames if len(f)]
+    own = pd.concat(some, ignore_index=True) if some else pd.DataFrame(columns=columns)
     return own.sort_values(["ts", "event_id"], ignore_index=True)
 
 
