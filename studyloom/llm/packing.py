@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ from studyloom.llm.shared import col, freed, written
 
 #: Tokens in a sequence, and the id that ends a document.
 MAX_TOKENS, END_ID = 2048, 0
-#: Words that a worker remembers before it starts anew, and bytes of ids that it hands over at once, or one text's.
-CACHE_WORDS, BATCH_BYTES = 400_000, 8 << 20
+#: Words that a worker remembers at most, and bytes of ids that it hands over at once, or one text's.
+CACHE_WORDS, BATCH_BYTES = 700_000, 8 << 20
+#: Bytes of texts whose words are looked up together, or one text's, and words whose ids are put in place at once.
+GROUP_BYTES, GATHER_UNITS = 24 << 20, 1 << 18
 #: Pieces for each salt of the ranking, about; a length with a third of all pieces has a third of that in a group.
 RANK_ROWS = 10_000
 
@@ -40,7 +43,7 @@ _SPECIAL = "<|"
 
 
 class WordTokenizer:
-    """The tokenizer's ids of a text, as little-endian unsigned 32-bit bytes, by way of remembered words.
+    """The tokenizer's ids of texts, as little-endian unsigned 32-bit bytes, by way of their distinct words.
 
     The vocabulary's pre-tokenizer never joins across a blank, and splits letters from marks, so a text's ids are those
     of its words, and a word of letters with marks behind it has the ids of the letters, then of the marks.  Letters up
@@ -58,62 +61,107 @@ class WordTokenizer:
             self.ends[k] = token.endswith("</w>")
         self.by_words = '"end_of_word_suffix":"</w>"' in self.model.to_str()
         self.limit = cache_words
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def direct(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, missing: set[str]) -> None:
-        """Remembers words; letters of Latin-1 are in lower case already, as all of the text then is."""
-        if len(self.words) + len(missing) > self.limit:
-            self.words.clear()
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        words, parts, split = self.words, self.parts, []
-        for w in missing:
-            letters = w.rstrip(_MARKS)
-            if letters.isalpha() and not _WIDE.search(letters):
-                split.append((w, letters))
-            else:
-                words[w] = self.direct(w) if w else b""
-        todo = list({x for _, x in split if x not in parts})
-        for i in range(0, len(todo), 2000):
-            some = todo[i : i + 2000]
-            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(some):
-                parts.update((w, self.direct(w)) for w in some)
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(some, (4 * cut).tolist(), strict=True):
-                parts[w] = raw[at:end]
-                at = end
-        for w, letters in split:
-            marks = w[len(letters) :]
-            if marks and marks not in parts:
-                parts[marks] = self.direct(marks)
-            words[w] = parts[letters] + parts[marks] if marks else parts[letters]
+        self.odd: dict[str, np.ndarray] = {}
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def direct(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def kept(self, word: str) -> np.ndarray:
+        """As :meth:`direct`, remembered: marks, and words of more than letters."""
+        ids = self.odd.get(word)
+        if ids is None:
+            if len(self.odd) >= self.limit:
+                self.odd.clear()
+            ids = self.odd[word] = self.direct(word)
+        return ids
+
+    def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words of letters and how many each word has; letters are in lower case already, as all of the text then is.
+
+        What was made is remembered; where there is no room, what was not used since the last time there was none goes.
+        """
+        ids = [x or y for x, y in zip(map(self.newer.get, words), map(self.older.get, words), strict=True)]
+        missing = [w for w, x in zip(words, ids, strict=True) if x is None]
+        made: list[bytes] = []
+        for i in range(0, len(missing), 2000):
+            some = missing[i : i + 2000]
+            own = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = (4 * np.flatnonzero(self.ends[own]) + 4).tolist()
+            raw = own.tobytes()
+            made += [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)] if len(cut) == len(some) else [self.direct(w).tobytes() for w in some]
+        each = iter(made)
+        ids = [next(each) if x is None else x for x in ids]
+        if 2 * len(words) <= self.limit:
+            if 2 * (len(self.newer) + len(missing)) > self.limit:
+                self.older, self.newer = self.newer, {}
+            self.newer.update(zip(words, ids, strict=True))
+        return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one behind another, and how many each word has."""
+        stems = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = pc.and_(pc.utf8_is_alpha(stems), pc.invert(pc.match_substring_regex(stems, r"[^\x00-\x{ff}]"))).to_numpy(zero_copy_only=False)
+        coded = stems.filter(pa.array(plain)).dictionary_encode()
+        flat, sizes = self.letters(coded.dictionary.to_pylist())
+        n = len(sizes)
+        marked = plain & pc.not_equal(pc.binary_length(stems), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        marks = [w[k:] for w, k in zip(words.filter(pa.array(marked)).to_pylist(), pc.utf8_length(stems.filter(pa.array(marked))).to_pylist(), strict=True)]
+        others = words.filter(pa.array(~plain)).to_pylist()
+        more = {w: n + 1 + k for k, w in enumerate({*marks, *others})}  # n stands for nothing
+        ids = [self.kept(w) for w in more]
+        flat, sizes = np.concatenate([flat, *ids]), np.concatenate([sizes, [0], [len(x) for x in ids]]).astype(np.int64)
+        units = np.full((len(words), 2), n, dtype=np.int64)  # letters, or the whole word, and marks
+        units[plain, 0] = coded.indices.to_numpy()
+        units[~plain, 0] = [more[w] for w in others]
+        units[marked, 1] = [more[w] for w in marks]
+        return gathered(flat, sizes, units.ravel()), sizes[units].sum(axis=1)
+
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; the tokenizer sees a word of them once, however often it stands there."""
+        by_words = [self.by_words and _SPECIAL not in t for t in texts]
+        split = pc.split_pattern(pa.array([lowered(t) for t, k in zip(texts, by_words, strict=True) if k], pa.large_string()), " ")
+        coded, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        flat, sizes = self.words(coded.dictionary)
+        places = coded.indices.to_numpy()
+        ids = gathered(flat, sizes, places)
+        ends = np.concatenate([[0], np.cumsum(sizes[places])])[ends].tolist()
+        k = 0
+        for text, found in zip(texts, by_words, strict=True):
+            yield ids[ends[k] : ends[k + 1]].tobytes() if found else self.direct(text).tobytes()
+            k += found
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_words or _SPECIAL in text:
-            return self.direct(text)
-        # a capital in a wide text is not lowered here, as one letter's lower case depends on its neighbours
-        text = text.lower() if text.isascii() or not _WIDE.search(text) else text.translate(_LOWER)
-        words = text.replace("\n", " ").split(" ")
-        found = list(map(self.words.get, words))
-        if None in found:
-            self.learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-            found = list(map(self.words.get, words))
-            if None in found:  # the cache was emptied just now
-                self.learn(set(words))
-                found = list(map(self.words.get, words))
-        return b"".join(found)
+        return next(self.many([text]))
+
+
+def lowered(text: str) -> str:
+    """A text in lower case with blanks for its line ends; a capital in a wide text is not lowered here, as one letter's lower case depends on its neighbours."""
+    return (text.lower() if text.isascii() or not _WIDE.search(text) else text.translate(_LOWER)).replace("\n", " ")
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """The numbers of units one behind another; ``flat`` holds those of all units, ``sizes`` of them for each."""
+    starts, out = np.cumsum(sizes) - sizes, [flat[:0]]
+    for i in range(0, len(units), GATHER_UNITS):
+        own = units[i : i + GATHER_UNITS]
+        n = sizes[own]
+        out.append(flat[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    return np.concatenate(out)
+
+
+def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows whose texts, the second column, have about ``GROUP_BYTES``; a longer text stands alone or ends one."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // GROUP_BYTES
+    ends = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(ends, ends[1:], strict=False) if a < b)
 
 
 @functools.cache
 def tokenizer_of_worker(path: str) -> WordTokenizer:
-    """One for all tasks that a Python worker runs, so that what it has learned stays."""
+    """One for all tasks that a Python worker runs."""
     return WordTokenizer(path)
 
 
@@ -141,8 +189,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, max_tokens: i
 
         for batch in batches:
             rows, held, size = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            own = ((own.column(0).to_pylist(), encode.many([t or "" for t in own.column(1).to_pylist()])) for own in groups(batch))
+            for doc, text_ids in (pair for docs, ids in own for pair in zip(docs, ids, strict=True)):
+                ids = text_ids + end
                 for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     own = ids[at : at + 4 * max_tokens]
                     rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own)))

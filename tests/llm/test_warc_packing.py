@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -232,3 +233,38 @@ def test_equal_rows_are_ranked_in_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 1000)
     rows = packing.pack(held, 16).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 20_000 and len({r["sequence_id"] for r in rows}) == 6667
+
+
+def test_tokenizer_sees_a_repeated_word_once():
+    """Equal words of a group's texts go to the tokenizer once, and words that come again in later groups stay known."""
+    fast = packing.WordTokenizer(packing.default_tokenizer(), cache_words=40)
+    want = {t: fast.direct(t).tobytes() for t in ["so many words, so few.", "<|endoftext|> x", "", "Few words (so many)", "Ünd 7 Σας few\nso so"]}
+    sent, encode = [], fast.model.encode_batch_fast
+
+    class Model:
+        def __getattr__(self, name):
+            return getattr(model, name)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts[0].split(" "))
+            return encode(texts, **options)
+
+    model, fast.model = fast.model, Model()
+    assert list(fast.many(list(want))) == list(want.values())
+    assert sorted(sent) == sorted(set(sent)) and {"so", "many", "words", "few"} <= set(sent)
+    before = len(sent)
+    assert list(fast.many(list(want))) == list(want.values()) and len(sent) == before
+    for k in range(30):  # other words come and go, the used one stays
+        assert fast(f"so {'abcdefghijklmnopqrstuvwxyzäöüß'[k] * 3}") == fast.direct(f"so {'abcdefghijklmnopqrstuvwxyzäöüß'[k] * 3}").tobytes()
+    assert sent.count("so") == 1 and len(fast.newer) + len(fast.older) <= 40
+
+
+def test_tokenizing_in_groups(monkeypatch):
+    """Groups end within a batch, and ids and pieces are those of the tokenizer on each text alone."""
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = [None, "", *[f"word{k} Some more, words {'x' * (k % 7)} ok! " * (k % 5) for k in range(60)], "many " * 3000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(packing, "GROUP_BYTES", 200)
+    monkeypatch.setattr(packing, "GATHER_UNITS", 7)
+    got = [x for own in packing.groups(batch) for x in zip(own.column(0).to_pylist(), packing.WordTokenizer(packing.default_tokenizer()).many([t or "" for t in own.column(1).to_pylist()]), strict=True)]
+    assert got == [(k, np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes()) for k, t in enumerate(texts)]
