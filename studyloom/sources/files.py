@@ -24,6 +24,8 @@ from studyloom.sources.pdf import pdf_pages
 #: Fixed value: what stands before each page.
 PAGE = "\n\n--- PAGE {} ---\n\n"
 FORMATS = ("pdf", "txt", "docx")
+#: Characters of texts that a task hands over at once, or one text's.
+HELD_CHARS = 4_000_000
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -79,7 +81,15 @@ def extracted(files: DataFrame, kind: Column, strict: bool = False, pdf: Callabl
                 return "", f"{type(e).__name__}: {e}"
 
         for data, form in batches:
-            yield pd.DataFrame([one(d, f) for d, f in zip(data, form, strict=True)], columns=["text", "error"])
+            rows, size = [], 0
+            for d, f in zip(data, form, strict=True):
+                rows.append(one(d, f))
+                size += len(rows[-1][0])
+                if size >= HELD_CHARS:
+                    yield pd.DataFrame(rows, columns=["text", "error"])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["text", "error"])
 
     return files.withColumn("_x", parse("content", kind)).withColumns({"text": F.col("_x.text"), "error": F.col("_x.error")}).drop("_x", "content")
 
@@ -124,10 +134,11 @@ def followed(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(~F.col("failed")).select("path", "n_bytes", "text"), rows.where("failed").select("path", "n_bytes", "error")
 
 
-def save_files(files: DataFrame, folder: str) -> None:
+def save_files(files: DataFrame, folder: str, made: Callable[..., bytes] | None = None) -> None:
     """Writes rows of file (a name) and content (bytes) as one file each, into a folder that executors share.
 
-    Tasks write; each file comes under its name only when it is whole, and a task that runs again writes the same.
+    With ``made`` the content is what it makes of the row's other values.  Tasks write; each file comes under its name only
+    when it is whole, and a task that runs again writes the same.  A task holds one file's content beside the rows it is given.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +147,16 @@ def save_files(files: DataFrame, folder: str) -> None:
         system, base = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
         system.create_dir(base, recursive=True)
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, *rest in zip(*batch.columns, strict=True):
                 part = f"{base}/_{name}.{uuid.uuid4().hex}"  # readers leave such names out
+                own = [x.as_py() for x in rest]
                 with system.open_output_stream(part) as to:
-                    to.write(content or b"")
+                    to.write((made(*own) if made else own[0]) or b"")
                 system.move(part, f"{base}/{name}")
             yield batch.select([0])
 
-    files.select(safe_file_name(F.col("file")).alias("file"), "content").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+    rest = [c for c in files.columns if c != "file"] if made else ["content"]
+    files.select(safe_file_name(F.col("file")).alias("file"), *rest).mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
 
 
 def save_texts(texts: DataFrame, folder: str) -> None:

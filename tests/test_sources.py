@@ -13,7 +13,7 @@ from studyloom.operators.chunking import chunk
 from studyloom.operators.qa import fallback_qa
 from studyloom.plans import flows
 from studyloom.sources import files, sinks, tables
-from studyloom.sources.pdf import pdf_bytes, to_unicode
+from studyloom.sources.pdf import Document, pdf_bytes, to_unicode
 
 
 def docx(*paragraphs: str) -> bytes:
@@ -213,3 +213,28 @@ def test_a_followed_folder_is_parsed_once(spark, tmp_path):
     assert sorted(map(tuple, good.collect())) == sorted((r["path"], r["n_bytes"], r["text"]) for r in whole.where("error is null").collect())
     assert sorted(map(tuple, bad.collect())) == sorted((r["path"], r["n_bytes"], r["error"]) for r in whole.where("error is not null").collect())
     assert good.count() == 6 and bad.count() == 3 and len(list(seen.iterdir())) == 6
+
+
+def test_files_are_made_where_they_are_written(spark, tmp_path):
+    """A file's content is made of its row by the writing task; values and files in any number of batches."""
+    rows = spark.createDataFrame([(f"{k}.pdf", k, "line 中\n" * k) for k in range(1, 30)], "file string, k int, text string")
+    files.save_files(rows, str(tmp_path / "pdfs"), lambda k, text: pdf_bytes([text] * 2, k % 2 > 0) if k % 2 else b"none")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.read_folder(spark, str(tmp_path / "pdfs"), "*.pdf").collect()}
+    assert len(got) == 29 and all((got[f"{k}.pdf"]["error"] is None) == (k % 2 > 0) for k in range(1, 30))
+    assert got["3.pdf"]["text"].count("line 中\n") == 6
+
+
+def test_a_read_file_is_let_go():
+    """Without the collector, so what a task holds doesn't grow with the files it has read."""
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        doc = Document(pdf_bytes(["a", "b", "c"], True))
+        assert len(list(doc.pages())) == 3
+        seen = weakref.ref(doc)
+        del doc
+        assert seen() is None
+    finally:
+        gc.enable()
