@@ -7,6 +7,7 @@ it is held, so files in any order of batches end in the same rows.  Events that
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta
@@ -64,15 +65,17 @@ _NEW = (REPETITIONS, INTERVAL, EASE, None, None)
 _EPOCH = datetime(1970, 1, 1)
 
 
+def applied(state: tuple, moment: datetime, ok: bool) -> tuple:
+    """The state after one event."""
+    r, i, e, then, fits = step(*state[:3], bool(ok), moment)
+    return (r, i, e, moment, then) if fits else (r, i, e, *state[3:])
+
+
 def folded(state: tuple, events: pd.DataFrame) -> tuple:
     """The state after events in order."""
-    r, i, e, at, due = state
-    for ts, ok in zip(events["ts"], events["correct"], strict=True):
-        moment = pd.Timestamp(ts).to_pydatetime()
-        r, i, e, then, applied = step(r, i, e, bool(ok), moment)
-        if applied:
-            at, due = moment, then
-    return r, i, e, at, due
+    for moment, _, ok in _rows(events):
+        state = applied(state, moment, ok)
+    return state
 
 
 def in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -84,7 +87,8 @@ def in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def _rows(events: pd.DataFrame) -> list[tuple]:
-    return [(pd.Timestamp(ts).to_pydatetime(), int(k), bool(ok)) for ts, k, ok in events.itertuples(index=False)]
+    moments = pd.to_datetime(events["ts"]).dt.to_pydatetime() if len(events) else []
+    return [(at, int(k), bool(ok)) for at, k, ok in zip(moments, events["event_id"].tolist(), events["correct"].tolist(), strict=True)]
 
 
 def _held(state: Any) -> pd.DataFrame:
@@ -163,8 +167,9 @@ class DueProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = _moment(timerValues.getCurrentWatermarkInMs())
         *state, told = tuple(self.card.get()) if self.card.exists() else (*_NEW, True)
-        events, said = in_order(iter([_held(self.later)])), []
-        sure = (events["ts"] <= now).to_numpy(dtype=bool)
+        state, said = tuple(state), []
+        events = sorted(tuple(x) for x in self.later.get()) if self.later.exists() else []
+        sure = bisect.bisect_right(events, now, key=lambda x: x[0])
 
         def tell(until: datetime) -> None:
             nonlocal told
@@ -172,14 +177,14 @@ class DueProcessor(StatefulProcessor):
                 said.append((key[0], state[3], state[4]))
                 told = True
 
-        for ts, k, ok in _rows(events[sure]):
+        for ts, _, ok in events[:sure]:
             tell(ts)
             before = state[3:]
-            state = list(folded(tuple(state), pd.DataFrame([(ts, k, ok)], columns=["ts", "event_id", "correct"])))
+            state = applied(state, ts, ok)
             told = told and state[3:] == before  # a review that changes nothing makes nothing due again
         tell(now)
         self.card.update((*state, told))
-        rest = _rows(events[~sure])
+        rest = events[sure:]
         _put(self.later, rest)
         for at in [rest[0][0] if rest else None, None if told else state[4]]:
             self._wake(at)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import types
 from pathlib import Path
 
 import duckdb
@@ -156,3 +157,28 @@ def test_cards_in_any_cut(spark, tmp_path):
             run_available(card_streams.card_stream(spark.readStream.schema(schema).parquet(source), have), out, str(tmp_path / f"mark{n}"))
         got = newest(spark, out, ["instance_id", "question_md5"]).where("instance_id is not null").drop("question_md5")
         assert sorted(map(str, got.select("instance_id", "id", "question", "answer", "ease_factor", "interval", "repetitions").collect())) == want
+
+
+def test_due_cards_make_no_frame_for_each_event(monkeypatch):
+    """A card's waiting events are applied as plain values: frames don't grow with them."""
+
+    class Kept:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = put = lambda self, value: setattr(self, "value", value)
+        clear = lambda self: setattr(self, "value", None)
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 1_704_067_200_000 + 86_400_000 * 50  # noqa: E731, N815
+
+    card, t0, made, frame = reviews.DueProcessor(), dt.datetime(2024, 1, 1), [], pd.DataFrame
+    card.card, card.later, card._wake = Kept(), Kept(), lambda at: None
+    card.later.value = [(t0 + dt.timedelta(days=k % 90), k, k % 9 != 0) for k in range(89, -1, -1)]
+    names = {n: getattr(pd, n) for n in ("Timestamp", "to_datetime", "concat")} | {"DataFrame": lambda *a, **k: made.append(1) or frame(*a, **k)}
+    monkeypatch.setattr(reviews, "pd", types.SimpleNamespace(**names))
+    told = list(card.handleExpiredTimer((7,), Now(), None))
+    monkeypatch.undo()
+    assert len(made) <= 3 and [r for r in card.later.value if r[0] <= t0 + dt.timedelta(days=50)] == [] and len(card.later.value) == 39
+    want = [(7, t0 + dt.timedelta(days=k), t0 + dt.timedelta(days=k + 1)) for k in range(0, 50, 9)]
+    assert [tuple(r) for r in told[0].itertuples(index=False) if (r.next_review - r.last_reviewed).days == 1] == want
