@@ -12,6 +12,7 @@ itself; an empty table gives an empty result; columns besides the named two are
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import os
 import re
@@ -31,7 +32,7 @@ MAX_TOKENS, END_ID = 2048, 0
 #: Words that a worker remembers at most, and bytes of ids that it hands over at once, or one text's.
 CACHE_WORDS, BATCH_BYTES = 700_000, 8 << 20
 #: Bytes of texts whose words are looked up together, or one text's, and words whose ids are put in place at once.
-GROUP_BYTES, GATHER_UNITS = 24 << 20, 1 << 18
+GROUP_BYTES, GATHER_UNITS = 6 << 20, 1 << 16
 #: Pieces for each salt of the ranking, about; a length with a third of all pieces has a third of that in a group.
 RANK_ROWS = 10_000
 
@@ -42,6 +43,18 @@ _LOWER = {k: k + 32 for k in (*range(65, 91), *range(192, 215), *range(216, 223)
 _SPECIAL = "<|"
 
 
+@dataclasses.dataclass
+class Known:
+    """Words, their ids one behind another, and how many each word has; as arrays, which take a fraction of a dictionary's memory."""
+
+    words: pa.Array
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+
 class WordTokenizer:
     """The tokenizer's ids of texts, as little-endian unsigned 32-bit bytes, by way of their distinct words.
 
@@ -62,8 +75,7 @@ class WordTokenizer:
         self.by_words = '"end_of_word_suffix":"</w>"' in self.model.to_str()
         self.limit = cache_words
         self.odd: dict[str, np.ndarray] = {}
-        self.newer: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.newer = self.older = Known(pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64))
 
     def direct(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -77,34 +89,48 @@ class WordTokenizer:
             ids = self.odd[word] = self.direct(word)
         return ids
 
-    def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def made(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokenizer's ids of distinct words of letters, one behind another, and how many each word has."""
+        flat, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 2000):
+            some = words.slice(i, 2000).to_pylist()
+            own = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[own]) + 1
+            if len(ends) == len(some):
+                flat.append(own[: ends[-1]])
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                each = [self.direct(w) for w in some]
+                flat += each
+                sizes.append(np.array([len(x) for x in each], dtype=np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words of letters and how many each word has; letters are in lower case already, as all of the text then is.
 
         What was made is remembered; where there is no room, what was not used since the last time there was none goes.
         """
-        ids = [x or y for x, y in zip(map(self.newer.get, words), map(self.older.get, words), strict=True)]
-        missing = [w for w, x in zip(words, ids, strict=True) if x is None]
-        made: list[bytes] = []
-        for i in range(0, len(missing), 2000):
-            some = missing[i : i + 2000]
-            own = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = (4 * np.flatnonzero(self.ends[own]) + 4).tolist()
-            raw = own.tobytes()
-            made += [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)] if len(cut) == len(some) else [self.direct(w).tobytes() for w in some]
-        each = iter(made)
-        ids = [next(each) if x is None else x for x in ids]
+        newer, older = self.newer, self.older
+        at, aged = (pc.fill_null(pc.index_in(words, value_set=k.words), -1).to_numpy().astype(np.int64) for k in (newer, older))
+        added = at < 0
+        at[added] = np.where(aged[added] < 0, -1, aged[added] + len(newer))
+        missing = at < 0
+        at[missing] = len(newer) + len(older) + np.arange(missing.sum())
+        own, counts = self.made(words.filter(pa.array(missing)))
+        flat, sizes = np.concatenate([newer.flat, older.flat, own]), np.concatenate([newer.sizes, older.sizes, counts])
         if 2 * len(words) <= self.limit:
-            if 2 * (len(self.newer) + len(missing)) > self.limit:
-                self.older, self.newer = self.newer, {}
-            self.newer.update(zip(words, ids, strict=True))
-        return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            if 2 * (len(newer) + added.sum()) > self.limit:
+                self.older, self.newer = newer, Known(words, gathered(flat, sizes, at), sizes[at])
+            elif added.any():
+                self.newer = Known(pa.concat_arrays([newer.words, words.filter(pa.array(added))]), np.concatenate([newer.flat, gathered(flat, sizes, at[added])]), np.concatenate([newer.sizes, sizes[at[added]]]))
+        return gathered(flat, sizes, at), sizes[at]
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words, one behind another, and how many each word has."""
         stems = pc.utf8_rtrim(words, characters=_MARKS)
         plain = pc.and_(pc.utf8_is_alpha(stems), pc.invert(pc.match_substring_regex(stems, r"[^\x00-\x{ff}]"))).to_numpy(zero_copy_only=False)
         coded = stems.filter(pa.array(plain)).dictionary_encode()
-        flat, sizes = self.letters(coded.dictionary.to_pylist())
+        flat, sizes = self.letters(coded.dictionary)
         n = len(sizes)
         marked = plain & pc.not_equal(pc.binary_length(stems), pc.binary_length(words)).to_numpy(zero_copy_only=False)
         marks = [w[k:] for w, k in zip(words.filter(pa.array(marked)).to_pylist(), pc.utf8_length(stems.filter(pa.array(marked))).to_pylist(), strict=True)]
@@ -120,6 +146,7 @@ class WordTokenizer:
 
     def many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; the tokenizer sees a word of them once, however often it stands there."""
+        pa.default_memory_pool().release_unused()  # what the texts before took
         by_words = [self.by_words and _SPECIAL not in t for t in texts]
         split = pc.split_pattern(pa.array([lowered(t) for t, k in zip(texts, by_words, strict=True) if k], pa.large_string()), " ")
         coded, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -268,3 +269,20 @@ def test_tokenizing_in_groups(monkeypatch):
     monkeypatch.setattr(packing, "GATHER_UNITS", 7)
     got = [x for own in packing.groups(batch) for x in zip(own.column(0).to_pylist(), packing.WordTokenizer(packing.default_tokenizer()).many([t or "" for t in own.column(1).to_pylist()]), strict=True)]
     assert got == [(k, np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes()) for k, t in enumerate(texts)]
+
+
+def test_remembered_words_take_little_memory():
+    """A worker that remembers words, next to the JVM, keeps some tens of bytes for each; what they are is still the tokenizer's."""
+    fast = packing.WordTokenizer(packing.default_tokenizer())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[k // 26**i % 26] for i in range(4)) + "ing" for k in range(40_000)]
+    texts = [" ".join(words[i : i + 4000]) for i in range(0, len(words), 4000)]
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+        got = [zlib.crc32(x) for x in fast.many(texts)]
+        kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert len(fast.newer) == len(words) and kept < 100 * len(words)
+    assert got == [zlib.crc32(fast.direct(t).tobytes()) for t in texts]
