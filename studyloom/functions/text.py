@@ -38,6 +38,11 @@ def normalized(text: Column) -> Column:
     return F.trim(_single_blanks(text))
 
 
+def blank(text: Column) -> Column:
+    """True for null and for nothing but white space; the first other character decides."""
+    return F.coalesce(~F.rlike(text, F.lit("[^" + WS[1:-1])), F.lit(True))
+
+
 def _single_blanks(text: Column) -> Column:
     return F.regexp_replace(text, _ODD_WS, " ")
 

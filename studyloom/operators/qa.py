@@ -82,7 +82,7 @@ def accepted(item: Column) -> Column:
     return item.isNotNull() & item["question"].isNotNull() & item["answer"].isNotNull() & item["difficulty"].isNotNull()
 
 
-def from_responses(responses: DataFrame, text_col: str = "text", output_col: str = "output", fallback: bool = True) -> DataFrame:
+def from_responses(responses: DataFrame, text_col: str = "text", output_col: str = "output", fallback: bool = True, joined: bool = False) -> DataFrame:
     """Questions parsed from a model's output; with ``fallback``, chunks without a usable output get the generator's.
 
     Adds place, the item's place in its list, and rejected, true for items that a table could not hold.
@@ -94,7 +94,7 @@ def from_responses(responses: DataFrame, text_col: str = "text", output_col: str
     good = good.select(*others, "source_chunk", "_i.question", "_i.answer", "_i.difficulty", "_i.topic", "place", (~accepted(F.col("_i"))).alias("rejected"))
     if not fallback:
         return good
-    rest = fallback_qa(parsed.where(F.col("_items").isNull()).select(*others, text_col), text_col)
+    rest = fallback_qa(parsed.where(F.col("_items").isNull()).select(*others, text_col), text_col, joined)
     return good.unionByName(rest.withColumns({"place": template_place(), "rejected": F.lit(False)}))
 
 
@@ -115,12 +115,12 @@ def ask(chunks: DataFrame, client: Callable[[str], str | None], text_col: str =
     return chunks.withColumn(output_col, call(text_col))
 
 
-def generate(chunks: DataFrame, client: Callable[[str], str | None] | None = None, text_col: str = "text", fallback: bool = True, placed: bool = False) -> DataFrame:
-    """Questions by ``client``, or by the generator alone without one; ``placed`` adds place, a question's place in its chunk's list."""
+def generate(chunks: DataFrame, client: Callable[[str], str | None] | None = None, text_col: str = "text", fallback: bool = True, placed: bool = False, joined: bool = False) -> DataFrame:
+    """Questions by ``client``, or by the generator alone without one; ``placed`` adds place, a question's place in its chunk's list; ``joined`` as in :func:`fallback_qa`."""
     if client is None:
-        own = fallback_qa(chunks, text_col)
+        own = fallback_qa(chunks, text_col, joined)
         return own.withColumn("place", template_place()) if placed else own
-    made = from_responses(ask(chunks, client, text_col), text_col, fallback=fallback).where(~F.col("rejected")).drop("rejected")
+    made = from_responses(ask(chunks, client, text_col), text_col, fallback=fallback, joined=joined).where(~F.col("rejected")).drop("rejected")
     return made if placed else made.drop("place")
 
 

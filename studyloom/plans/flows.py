@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from studyloom.functions.text import full_clean, light_clean, normalized
+from studyloom.functions.text import blank, full_clean, light_clean
 from studyloom.operators.cards import new_cards, without_pairs
 from studyloom.operators.chunking import chunk
 from studyloom.operators.crud import with_new_ids
@@ -17,8 +17,8 @@ from studyloom.sources.storage import dropped, written
 
 def questions(files: DataFrame, key: list[str], client: Callable[[str], str | None] | None = None, text_col: str = "text", placed: bool = False) -> DataFrame:
     """Files of extracted text: clean lightly, cut into chunks, generate; blank files give nothing.  ``placed``: as in :func:`qa.generate`."""
-    own = files.where(normalized(F.col(text_col)) != "").select(*key, light_clean(F.col(text_col)).alias("text"))
-    return generate(chunk(own), client, placed=placed)
+    own = files.select(*key, light_clean(F.col(text_col)).alias("text"))
+    return generate(chunk(own, cleaned=True), client, placed=placed, joined=True)
 
 
 #: What an upload says.
@@ -37,19 +37,25 @@ def upload(files: DataFrame, cards: DataFrame, now: Column | None = None, first_
     pairs = with_new_ids(made.withColumnRenamed("id", "document_id"), ["document_id", "chunk_id", "place"], first_pair_id)
     pairs = pairs.select("id", "instance_id", "document_id", "chunk_id", "question", "answer", "difficulty", "topic", "source_chunk")
     fresh = new_cards(pairs, cards, now)
-    first = pairs.groupBy("instance_id", "question").agg(F.min(F.struct("id", "document_id"))["document_id"].alias("document_id"))
+    return pairs, fresh, upload_report(files, cards, pairs)
+
+
+def upload_report(files: DataFrame, cards: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The stats of :func:`upload` from instance_id, document_id, chunk_id and question of the pairs, a written table as it is read twice.
+
+    Ids follow the files' order, so the first of equal questions is one of the lowest document, and no id is needed here.
+    """
+    first = pairs.groupBy("instance_id", "question").agg(F.min("document_id").alias("document_id"))
     made_cards = first.join(cards.select("instance_id", "question"), ["instance_id", "question"], "left_anti").groupBy(F.col("document_id").alias("_d")).agg(F.count("*").alias("flashcards"))
-    counts = pairs.groupBy("document_id").agg(F.count("*").alias("qa_pairs"), F.countDistinct("chunk_id").alias("chunks"))
+    counts = pairs.groupBy("document_id", "chunk_id").agg(F.count("*").alias("_n")).groupBy("document_id").agg(F.sum("_n").alias("qa_pairs"), F.count("chunk_id").alias("chunks"))
     zero = F.lit(0).cast("long")
-    blank = F.coalesce(normalized(F.col("text")) == "", F.lit(True))
     number = lambda c: F.coalesce(c, zero)
-    stats = files.select("id", blank.alias("blank")).join(counts, F.col("id") == F.col("document_id"), "left").join(made_cards, F.col("id") == F.col("_d"), "left").select(
+    return files.select("id", blank(F.col("text")).alias("blank")).join(counts, F.col("id") == F.col("document_id"), "left").join(made_cards, F.col("id") == F.col("_d"), "left").select(
         "id",
         *[number(c).alias(c) for c in ("qa_pairs", "flashcards", "chunks")],
         F.when(F.col("blank"), NO_TEXT).otherwise(F.format_string(DONE, number("qa_pairs"), number("flashcards"))).alias("message"),
         F.when(~F.col("blank") & F.col("qa_pairs").isNull(), NO_PAIRS).alias("warning"),
     )
-    return pairs, fresh, stats
 
 
 def bootstrap(documents: DataFrame, texts: DataFrame, qa_pairs: DataFrame, client: Callable[[str], str | None] | None = None) -> DataFrame:
@@ -64,8 +70,7 @@ META = ("path", "error", "file_size_chars", "cleaned_size_chars")
 
 def batch_chunks(files: DataFrame) -> DataFrame:
     """META and the chunks of files (path, text and error), a row each, or one row with a null chunk_id; a text is cleaned once."""
-    blank = F.coalesce(normalized(F.col("text")) == "", F.lit(True))
-    failed = F.coalesce("error", F.when(blank, F.lit("Failed to extract text")))
+    failed = F.coalesce("error", F.when(blank(F.col("text")), F.lit("Failed to extract text")))
     own = files.select("path", "text", F.explode(F.array(failed)).alias("error"))
     ok = F.col("error").isNull()
     own = own.select("path", "error", F.when(ok, F.char_length("text")).alias("file_size_chars"), F.explode(F.array(F.when(ok, full_clean(F.col("text"))))).alias("text"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from studyloom.operators import analytics, cards, crud, qa, srs, vectors
 from studyloom.operators.chunking import chunk
-from studyloom.plans import flows
+from studyloom.plans import flows, queries
+from studyloom.sources import storage
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -191,3 +192,10 @@ def test_totals_tell_null_keys_apart(spark):
 def test_chunks_of_nothing_with_outer(spark):
     df = spark.createDataFrame([(1, "a b"), (2, " "), (3, None)], "id int, text string")
     assert sorted((r["id"], r["chunk_id"], r["text"]) for r in chunk(df, outer=True).collect()) == [(1, 1, "a b"), (2, None, None), (3, None, None)]
+
+
+def test_upload_report_holds_what_it_counts(spark, sf):
+    """One narrow table of questions is written for the report, not all of the pairs twice."""
+    with storage.made_tables() as paths:
+        queries.upload_flow(spark, sf)
+    assert [spark.read.parquet(p).columns for p in paths] == [["instance_id", "document_id", "chunk_id", "question"]]
