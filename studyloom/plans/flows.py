@@ -74,7 +74,7 @@ def batch_chunks(files: DataFrame) -> DataFrame:
     own = files.select("path", "text", F.explode(F.array(failed)).alias("error"))
     ok = F.col("error").isNull()
     own = own.select("path", "error", F.when(ok, F.char_length("text")).alias("file_size_chars"), F.explode(F.array(F.when(ok, full_clean(F.col("text"))))).alias("text"))
-    return chunk(own.withColumn("cleaned_size_chars", F.char_length("text")), outer=True)
+    return chunk(own.withColumn("cleaned_size_chars", F.char_length("text")), cleaned=True, outer=True)
 
 
 def batch(files: DataFrame, generated_at: str, model: str = "llama3:8b", client: Callable[[str], str | None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -85,7 +85,7 @@ def batch(files: DataFrame, generated_at: str, model: str = "llama3:8b", client:
     """
     held = written(batch_chunks(files), "batch-chunks")
     chunks = held.where(F.col("chunk_id").isNotNull()).drop(*META[1:])
-    pairs = written(generate(chunks.withColumnRenamed("title", "chunk_title"), client, fallback=client is None), "batch-pairs")
+    pairs = written(generate(chunks.withColumnRenamed("title", "chunk_title"), client, fallback=client is None, joined=True), "batch-pairs")
     counted = pairs.groupBy("path").agg(F.count("*").alias("qa_count"))
     meta = held.groupBy(*META).agg(F.count("chunk_id").alias("chunk_count")).join(counted, "path", "left")
     zero = F.lit(0).cast("long")
@@ -99,7 +99,7 @@ def batch_totals(files: DataFrame, client: Callable[[str], str | None] | None =
     counts = [F.count_if(first).alias("total_files"), F.count_if(first & ok).alias("successful"), F.count_if(first & ~ok).alias("failed"), F.count("chunk_id").alias("total_chunks")]
     held = written(batch_chunks(files).observe(seen, *counts), "batch-chunks")
     chunks = held.where(F.col("chunk_id").isNotNull()).drop(*META[1:])
-    pairs = written(generate(chunks, client, fallback=client is None).observe(made, F.count("*").alias("total_qa")), "batch-pairs")
+    pairs = written(generate(chunks, client, fallback=client is None, joined=True).observe(made, F.count("*").alias("total_qa")), "batch-pairs")
     totals = seen.get | made.get
     dropped(held, pairs)
     return totals

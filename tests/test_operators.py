@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -199,3 +200,12 @@ def test_upload_report_holds_what_it_counts(spark, sf):
     with storage.made_tables() as paths:
         queries.upload_flow(spark, sf)
     assert [spark.read.parquet(p).columns for p in paths] == [["instance_id", "document_id", "chunk_id", "question"]]
+
+
+def test_batch_cuts_cleaned_texts_at_blanks(spark):
+    """A cleaned text has no white space but blanks, so it isn't searched for all kinds of it once more."""
+    own = spark.createDataFrame([(1, "a\u3000b  c", None), (2, "\u3000 ", None), (3, None, None), (4, "x", "bad")], "path long, text string, error string")
+    made = flows.batch_chunks(own)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and not re.search(r"split\([^,]*, \[", plan)
+    assert {(r["path"], r["text"], r["error"]) for r in made.collect()} == {(1, "a b c", None), (2, None, "Failed to extract text"), (3, None, "Failed to extract text"), (4, None, "bad")}
