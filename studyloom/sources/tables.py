@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import re
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,10 @@ SCHEMAS = {
 PARTS = 32
 #: Partition columns behind the table's own: of a row's instance, and the insert that brought it.
 PLACES = ("part", "batch")
+#: A partition's folder in a file's path.
+_PLACE = re.compile(r"/part=(\d+)/batch=([^/]+)/")
+#: Ids up to which deletions are broadcast, 8 bytes each.
+FEW_IDS = 1_000_000
 #: The batch of rows that were appended without a key.
 NO_KEY = "-"
 
@@ -120,24 +125,26 @@ def parts_of(spark: SparkSession, name: str, ids: DataFrame, database: str = "de
     return sorted(r["part"] for r in found.distinct().collect())
 
 
-def rewrite(spark: SparkSession, name: str, parts: list[int], change: Callable[[DataFrame], DataFrame], database: str = "default") -> None:
+def rewrite(spark: SparkSession, name: str, parts: list[int], change: Callable[[DataFrame], DataFrame], database: str = "default", moved: bool = True) -> None:
     """Puts ``change`` of some partitions' rows in their place; the files of all others stay as they are.
 
-    The new rows are written aside first, then swapped in, a partition at a time.  A change that has the same result when it
-    is applied again, as patches and deletions have, can be repeated after a failure.
+    The new rows are written aside by the dynamic overwrite, which swaps them in, a partition at a time, when they are whole.
+    A change that has the same result when it is applied again, as patches and deletions have, can be repeated after a
+    failure.  ``moved`` says that ``change`` may send rows to other tasks; else each task's rows stay together, and with them
+    the partition's files.
     """
     if not parts:
         return
-    table, places = f"{database}.{name}", lambda df: {tuple(r) for r in df.select(*PLACES).distinct().collect()}
+    table = f"{database}.{name}"
     own = spark.table(table).where(F.col("part").isin(parts))
-    before = places(own)
-    staged = written(change(own).select(*own.columns), f"staged-{name}")
-    after = places(staged)
+    before = set(own.inputFiles())
+    made = change(own).select(*own.columns)
     with _dynamic(spark):
-        staged.hint("rebalance", *PLACES).write.mode("overwrite").insertInto(table)
-    for part, batch in sorted(before - after):  # nothing is left there
+        (made.hint("rebalance", *PLACES) if moved else made).write.mode("overwrite").insertInto(table)
+    spark.catalog.refreshTable(table)
+    kept = {m.groups() for f in before.intersection(spark.table(table).inputFiles()) if (m := _PLACE.search(f)) and int(m[1]) in parts}
+    for part, batch in sorted(kept):  # no row was left to put in these files' place
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (part = {part}, batch = '{batch}')")
-    dropped(staged)
 
 
 def patch(spark: SparkSession, name: str, patches: DataFrame, fields: Mapping[str, str], database: str = "default") -> list[int]:
@@ -153,7 +160,8 @@ def delete(spark: SparkSession, name: str, ids: DataFrame, database: str = "defa
     """Deletes the stored rows whose ``by`` is among the ids; returns the partitions that were rewritten."""
     held = written(ids.select("id").distinct(), "deleted")
     parts = parts_of(spark, name, held, database, by)
-    rewrite(spark, name, parts, lambda rows: crud.without(rows, held, by), database)
+    few = held.count() <= FEW_IDS
+    rewrite(spark, name, parts, lambda rows: crud.without(rows, F.broadcast(held) if few else held, by), database, moved=not few)
     dropped(held)
     return parts
 

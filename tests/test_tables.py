@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studyloom.operators import paging
-from studyloom.sources import tables
+from studyloom.sources import storage, tables
 from studyloom.sources.storage import new_folder
 
 
@@ -124,3 +124,17 @@ def test_pages(spark):
     assert index.rows.where(F.col("_range") == 5).rdd.getNumPartitions() <= 4
     assert [r["position"] for r in paging.positions(index).orderBy("id").collect()] == list(range(1009))
     assert paging.page(paging.page_index(rows.limit(0)), 0, 10).count() == 0
+
+
+def test_a_deletion_writes_its_partitions_once(spark, db, monkeypatch):
+    """No second copy is staged, whether rows stay in their tasks or move; partitions without a row left are gone, others whole."""
+    tables.append_once(documents(spark, [(k, k % 7) for k in range(70)]), "documents", "first", db)
+    for few, gone in ((1_000_000, 3), (0, 5)):
+        monkeypatch.setattr(tables, "FEW_IDS", few)
+        with storage.made_tables() as paths:
+            tables.delete(spark, "documents", spark.createDataFrame([(gone,)], "id long"), db, "instance_id")
+        assert not [p for p in paths if "staged" in p]
+    left = {(r["id"], r["instance_id"]) for r in tables.read(spark, "documents", db).collect()}
+    assert left == {(k, k % 7) for k in range(70) if k % 7 not in (3, 5)}
+    parts = {r["partition"].split("/")[0] for r in spark.sql(f"SHOW PARTITIONS {db}.documents").collect()}
+    assert parts == {f"part={r['part']}" for r in spark.table(f"{db}.documents").select("part").distinct().collect()}
