@@ -36,7 +36,7 @@ def _state(r: Column, i: Column, e: Column, at: Column) -> Column:
 
 
 def review_state(events: DataFrame, card: str = "card_id", ts: str = "ts", event: str = "event_id", correct: str = "correct") -> DataFrame:
-    """card_id, repetitions, interval, ease_factor, last_reviewed and next_review after all events in order of time, then id.
+    """card_id, repetitions, interval, ease_factor, last_reviewed and next_review after all events in order of time, then id; of equal ones wrong answers come first.
 
     Events before a card's last wrong answer can't matter, so they are dropped before a card's events are gathered:
     the last wrong answer is an aggregate with partial results, and what is gathered is the start of one streak, as no
@@ -45,7 +45,8 @@ def review_state(events: DataFrame, card: str = "card_id", ts: str = "ts", event
     own = events.select(F.col(card).alias("card_id"), F.struct(F.col(ts).cast("timestamp_ntz").alias("ts"), F.col(event).alias("id")).alias("o"), F.coalesce(F.col(correct), F.lit(False)).alias("ok"))
     wrong = own.where(~F.col("ok")).groupBy("card_id").agg(F.max("o").alias("reset"))
     since = own.join(wrong, "card_id", "left").where(F.col("reset").isNull() | (F.col("o") >= F.col("reset")))
-    since = since.withColumn("_n", F.row_number().over(Window.partitionBy("card_id").orderBy("o"))).where(F.col("_n") <= STREAK + 1)
+    # right answers are counted apart: a wrong one that comes many times, all at one time and id, takes no place of theirs
+    since = since.withColumn("_n", F.row_number().over(Window.partitionBy("card_id", "ok").orderBy("o"))).where(F.col("_n") <= STREAK + 1)
     runs = since.groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("o.ts", "o.id", "ok"))).alias("run"))
     new = _state(F.lit(REPETITIONS), F.lit(INTERVAL).cast("long"), F.lit(EASE), F.lit(None).cast("timestamp_ntz"))
 

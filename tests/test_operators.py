@@ -44,6 +44,14 @@ def test_review_fold_against_steps(spark):
     assert got == want
 
 
+def test_reviews_that_come_again(spark):
+    """Events that come many times with the same id: every answer counts, as in the SQL, whatever the number of wrong ones before."""
+    rows = [(1, 0, 0, False)] * 60 + [(1, 1, 1, True)] * 3 + [(2, 0, 2, False)] * 3 + [(2, k, 2 + k, True) for k in range(1, 5) for _ in range(3)]
+    rows += [(3, 0, 9, True), (3, 0, 9, False), (3, 0, 9, True)]
+    got = {r["card_id"]: (r["repetitions"], r["interval"]) for r in srs.review_state(reviews(spark, rows)).collect()}
+    assert got == {1: (3, 13), 2: (12, 437396), 3: (2, 5)}
+
+
 def test_due(spark):
     df = spark.createDataFrame([(1, 1, T0), (2, 1, T0 + dt.timedelta(microseconds=1)), (3, 1, None), (4, 2, T0)], "id long, instance_id long, next_review timestamp_ntz")
     assert [r["id"] for r in cards.due(df, T0, 1).collect()] == [1]
