@@ -28,11 +28,11 @@ _STATE = "repetitions int, interval long, ease double, at timestamp_ntz, due tim
 def since_reset(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """The last wrong answer of all frames and what follows it, in order, as far as a streak can matter.
 
-    Of what has been read only answers since the last wrong one so far are held.
+    Of what has been read only answers since the last wrong one so far are held.  Of equal events wrong answers come first.
     """
-    held, order = None, ["ts", "event_id"]
+    held, order = None, ["ts", "event_id", "correct"]
     for frame in frames:
-        held = (frame[[*order, "correct"]] if held is None else pd.concat([held, frame[[*order, "correct"]]])).sort_values(order)
+        held = (frame[order] if held is None else pd.concat([held, frame[order]])).sort_values(order)
         wrong = (~held["correct"].astype(bool)).to_numpy().nonzero()[0]
         held = held.iloc[wrong[-1] if len(wrong) else 0 :]
     return held.iloc[: STREAK + 2]
@@ -79,11 +79,11 @@ def folded(state: tuple, events: pd.DataFrame) -> tuple:
 
 
 def in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Events of all frames by time, then id."""
+    """Events of all frames by time, then id; of equal ones wrong answers come first."""
     columns = ["ts", "event_id", "correct"]
     some = [f[columns] for f in frames if len(f)]
     own = pd.concat(some, ignore_index=True) if some else pd.DataFrame(columns=columns)
-    return own.sort_values(["ts", "event_id"], ignore_index=True)
+    return own.sort_values(columns, ignore_index=True)
 
 
 def _rows(events: pd.DataFrame) -> list[tuple]:

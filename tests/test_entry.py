@@ -94,6 +94,23 @@ def test_stream_holds_answers_since_the_last_wrong_one():
         assert reviews.since_reset(iter(frames)).to_numpy().tolist() == want.to_numpy().tolist()
 
 
+def test_equal_events_in_any_order():
+    """Of events with one time and id the wrong answer comes first, in whatever order they arrive."""
+    for ok in ([True, False, True], [False, True, True], [True, True, False]):
+        frame = pd.DataFrame({"ts": [dt.datetime(2024, 1, 1)] * 3, "event_id": [7] * 3, "correct": ok})
+        assert reviews.since_reset(iter([frame]))["correct"].tolist() == [False, True, True]
+        assert reviews.in_order(iter([frame]))["correct"].tolist() == [False, True, True]
+
+
+@pytest.mark.parametrize("name", ["review_stream", "late_review_stream", "due_stream"])
+def test_streams_of_a_table_of_many_files(spark, sf, tmp_path, duck, name):
+    """The events' table may be a folder, as Spark writes it."""
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    df, want = queries.queries()[name](spark, str(tmp_path)), duck.sql(oracles.SQL[name])
+    order = sorted(want.columns)
+    assert rows(df.columns, df.collect(), order) == rows(want.columns, want.fetchall(), order)
+
+
 STATE = ["repetitions", "interval", "ease_factor", "last_reviewed", "next_review"]
 REVIEWS = "card_id long, ts timestamp_ntz, event_id long, correct boolean"
 
