@@ -9,7 +9,8 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -24,6 +25,8 @@ from studyloom.sources.pdf import pdf_pages
 #: Fixed value: what stands before each page.
 PAGE = "\n\n--- PAGE {} ---\n\n"
 FORMATS = ("pdf", "txt", "docx")
+#: Files of a part, of which a task lists one at a time.
+PART_FILES = 5000
 #: Characters of texts that a task hands over at once, or one text's.
 HELD_CHARS = 4_000_000
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -57,6 +60,35 @@ def pdf_text(data: bytes, pages: Callable[[bytes], list[str]] = pdf_pages) -> st
     return "".join(PAGE.format(k) + text for k, text in enumerate(pages(data), 1))
 
 
+def parsed(data: bytes | None, form: str | None, strict: bool, pdf: Callable[[bytes], list[str]]) -> tuple[str, str | None]:
+    """The text of one file and its error; see :func:`extracted`."""
+    if data is None:
+        return "", "no content"
+    try:
+        if form == "pdf":
+            return pdf_text(bytes(data), pdf), None
+        if strict or form == "txt":
+            return bytes(data).decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"), None
+        if form == "docx":
+            return docx_text(bytes(data)), None
+        return "", f"unsupported format: {form}"
+    except Exception as e:  # noqa: BLE001 - one bad file must not end the job
+        return "", f"{type(e).__name__}: {e}"
+
+
+def _stretches(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows that begin with a text, in lists of about ``HELD_CHARS`` characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[0])
+        if size >= HELD_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def extracted(files: DataFrame, kind: Column, strict: bool = False, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
     """Adds text and error to rows with content (binary); ``kind`` names the format.
 
@@ -66,29 +98,8 @@ def extracted(files: DataFrame, kind: Column, strict: bool = False, pdf: Callabl
 
     @F.pandas_udf("text string, error string")
     def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        def one(data: bytes | None, form: str | None) -> tuple[str, str | None]:
-            if data is None:
-                return "", "no content"
-            try:
-                if form == "pdf":
-                    return pdf_text(bytes(data), pdf), None
-                if strict or form == "txt":
-                    return bytes(data).decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"), None
-                if form == "docx":
-                    return docx_text(bytes(data)), None
-                return "", f"unsupported format: {form}"
-            except Exception as e:  # noqa: BLE001 - one bad file must not end the job
-                return "", f"{type(e).__name__}: {e}"
-
         for data, form in batches:
-            rows, size = [], 0
-            for d, f in zip(data, form, strict=True):
-                rows.append(one(d, f))
-                size += len(rows[-1][0])
-                if size >= HELD_CHARS:
-                    yield pd.DataFrame(rows, columns=["text", "error"])
-                    rows, size = [], 0
-            if rows:
+            for rows in _stretches(parsed(d, f, strict, pdf) for d, f in zip(data, form, strict=True)):
                 yield pd.DataFrame(rows, columns=["text", "error"])
 
     return files.withColumn("_x", parse("content", kind)).withColumns({"text": F.col("_x.text"), "error": F.col("_x.error")}).drop("_x", "content")
@@ -109,6 +120,42 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.*", strict:
     return extracted(rows, suffix_of(F.col("path")), strict, pdf)
 
 
+def parts_for(files: int, cores: int) -> int:
+    """Into how many parts so many files go: enough for all cores, and ``PART_FILES`` files in each at most, or about so."""
+    return max(-(-files // PART_FILES), 4 * cores)
+
+
+def read_parts(spark: SparkSession, folder: str, suffix: str, strict: bool = False, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+    """As :func:`read_folder`, for files of one suffix that :func:`save_files` dealt into parts.
+
+    The driver lists the parts only, and each task the files of one part, so what the driver holds doesn't grow with the
+    files.  Tasks read as they wrote, from stores that Arrow knows.
+    """
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(_uri(folder))
+    parts = sorted(x.base_name for x in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if x.type == fs.FileType.Directory)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(_uri(folder))
+
+        def rows(part: str) -> Iterator[tuple]:
+            for x in system.get_file_info(fs.FileSelector(f"{base}/{part}")):
+                name = x.base_name
+                if x.type == fs.FileType.File and name.endswith(suffix) and not name.startswith(("_", ".")):
+                    with system.open_input_stream(x.path) as f:
+                        data = f.read()
+                    yield *parsed(data, name.rpartition(".")[2].lower(), strict, pdf), f"{folder}/{part}/{name}", len(data)
+
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                for held in _stretches(rows(parts[k])):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["text", "error", "path", "n_bytes"])
+
+    read = spark.range(0, len(parts), 1, max(len(parts), 1)).mapInArrow(run, "text string, error string, path string, n_bytes long")
+    return read.select("path", "n_bytes", "text", "error")
+
+
 #: What the binary reader gives.
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -134,25 +181,35 @@ def followed(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(~F.col("failed")).select("path", "n_bytes", "text"), rows.where("failed").select("path", "n_bytes", "error")
 
 
-def save_files(files: DataFrame, folder: str, made: Callable[..., bytes] | None = None) -> None:
+def _uri(folder: str) -> str:
+    return folder if ":" in folder else f"file://{folder}"
+
+
+def save_files(files: DataFrame, folder: str, made: Callable[..., bytes] | None = None, parts: int = 0) -> None:
     """Writes rows of file (a name) and content (bytes) as one file each, into a folder that executors share.
 
     With ``made`` the content is what it makes of the row's other values.  Tasks write; each file comes under its name only
     when it is whole, and a task that runs again writes the same.  A task holds one file's content beside the rows it is given.
+    With ``parts`` files go into so many folders below, by a hash of their names (see :func:`read_parts`).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        system, base = fs.FileSystem.from_uri(_uri(folder))
         system.create_dir(base, recursive=True)
+        there = {base}
         for batch in batches:
             for name, *rest in zip(*batch.columns, strict=True):
-                part = f"{base}/_{name}.{uuid.uuid4().hex}"  # readers leave such names out
-                own = [x.as_py() for x in rest]
-                with system.open_output_stream(part) as to:
-                    to.write((made(*own) if made else own[0]) or b"")
-                system.move(part, f"{base}/{name}")
+                own, name = [x.as_py() for x in rest], name.as_py()
+                to = f"{base}/{zlib.crc32(name.encode()) % parts:06d}" if parts else base
+                if to not in there:
+                    system.create_dir(to, recursive=True)
+                    there.add(to)
+                part = f"{to}/_{name}.{uuid.uuid4().hex}"  # readers leave such names out
+                with system.open_output_stream(part) as out:
+                    out.write((made(*own) if made else own[0]) or b"")
+                system.move(part, f"{to}/{name}")
             yield batch.select([0])
 
     rest = [c for c in files.columns if c != "file"] if made else ["content"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from studyloom.operators.chunking import chunk
 from studyloom.operators.qa import fallback_qa
-from studyloom.plans import flows
+from studyloom.plans import flows, queries
 from studyloom.sources import files, sinks, tables
 from studyloom.sources.pdf import Document, pdf_bytes, to_unicode
 
@@ -224,6 +224,27 @@ def test_files_are_made_where_they_are_written(spark, tmp_path):
     assert got["3.pdf"]["text"].count("line 中\n") == 6
 
 
+def test_parts_are_listed_by_tasks(spark, tmp_path):
+    """Files in parts, saved twice, are read once each, with errors of their own; the driver holds none of their names."""
+    folder = f"{tmp_path}/pdfs"
+    rows = spark.createDataFrame([(f"{k}.pdf", k) for k in range(300)] + [("a.txt", 1)], "file string, k int")
+    for _ in range(2):
+        files.save_files(rows, folder, lambda k: pdf_bytes([f"page {k}"], k % 2 > 0) if k % 3 else b"none", 7)
+    (tmp_path / "pdfs" / "000003" / "_5.pdf").write_bytes(b"begun")
+    read = files.read_parts(spark, folder, ".pdf")
+    got = {int(r["path"].rsplit("/", 1)[1][:-4]): r for r in read.collect()}
+    assert len(got) == read.count() == 300 and read.inputFiles() == []
+    assert all((r["text"], r["error"]) == (("\n\n--- PAGE 1 ---\n\npage %d\n" % k, None) if k % 3 else ("", "ValueError: no PDF header")) for k, r in got.items())
+    assert got[3]["n_bytes"] == 4 and sorted(p.name for p in (tmp_path / "pdfs").iterdir()) == [f"{k:06d}" for k in range(7)]
+    assert files.read_parts(spark, f"{tmp_path}/none", ".pdf").count() == 0
+    assert (files.parts_for(3_000_001, 12), files.parts_for(10, 12), files.parts_for(0, 2)) == (601, 48, 8)
+
+
+def test_pdf_files_are_not_listed_by_the_driver(spark, sf):
+    """What the driver holds of read_pdfs doesn't grow with the documents, of which each is a file."""
+    assert queries.read_pdfs(spark, sf).inputFiles() == []
+
+
 def test_a_read_file_is_let_go():
     """Without the collector, so what a task holds doesn't grow with the files it has read."""
     import gc
