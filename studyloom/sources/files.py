@@ -1,7 +1,7 @@
 """Text out of files: TXT, DOCX and PDF, from a folder or an upload area.
 
-Files are read by Spark, so any store it knows will do, and each is parsed on its own: what goes wrong with one becomes
-its error, and the others go on.
+Files are read by Spark, so any store it knows will do, or by tasks from the parts that tasks wrote.  Each is parsed on
+its own: what goes wrong with one becomes its error, and the others go on.
 """
 
 from __future__ import annotations
@@ -110,7 +110,10 @@ def suffix_of(path: Column) -> Column:
 
 
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*.*", strict: bool = False, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
-    """path, n_bytes, text and error of each file of a folder (not below it) whose name fits; none if the folder is missing."""
+    """path, n_bytes, text and error of each file of a folder (not below it) whose name fits; none if the folder is missing.
+
+    Spark lists the files on the driver; where they are too many for it, :func:`read_parts` lists in tasks.
+    """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
